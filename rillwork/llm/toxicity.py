@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _WORD = re.compile(r"[^\W\d_]+")
-N_FEATURES = 8
+N_FEATURES = 9
 
 
 @dataclass(frozen=True)
@@ -25,9 +25,9 @@ class ToxicParams:
     max_chars: int = 20_000
     window: int = 64
     stride: int = 32
-    ordinary_bytes: int = 24_000
-    toxic_bytes: int = 8_000
-    level: int = 1
+    ordinary_bytes: int = 12_000
+    toxic_bytes: int = 2_000
+    level: int = 5
     seed: int = 11
 
 
@@ -63,7 +63,7 @@ def features(m: np.ndarray, thresholds: list[float]) -> np.ndarray:
     if not n:
         return np.zeros(N_FEATURES)
     over = [(m >= t).sum() for t in thresholds]
-    return np.array([*(np.log1p(x) for x in over), *(np.sqrt(x / n) for x in over), np.clip(m.max(), 0, 20) / 5, np.log1p(n) / 5])
+    return np.array([*(np.log1p(x) for x in over), *(np.sqrt(x / n) for x in over), np.clip(m.max(), 0, 20) / 5, np.log1p(n) / 5, np.clip(m, -2, 10).mean()])
 
 
 def _toxic_text(toxic: list[str], ordinary: list[str], size: int) -> bytes:
@@ -83,13 +83,18 @@ def _toxic_text(toxic: list[str], ordinary: list[str], size: int) -> bytes:
     n, m = max(1, len(toxic)), max(1, len(ordinary))
     rated = []
     for x, k in a.items():
-        if k >= 3:
+        if k >= max(4, 0.02 * n):
             rate, other = k / n, (b[x] + 0.5) / m
-            if rate > 4 * other:
+            if rate > 6 * other:
                 rated.append((k * np.log(rate / other), x))
     rated.sort(reverse=True)
-    out, used = [], 0
-    for _, x in rated:
+    out, used, chosen = [], 0, []
+    for score, x in rated:
+        if score < 0.1 * rated[0][0]:  # what a few copies of one document share
+            break
+        if any(x.startswith(c) or c.startswith(x) for c in chosen):  # one piece a stem
+            continue
+        chosen.append(x)
         piece = (" " + x).encode()
         if used + len(piece) > size:
             break
@@ -122,7 +127,7 @@ def fit(samples: list[tuple[str, int, float]], p: ToxicParams | None = None) ->
         base = zstandard.train_dictionary(p.ordinary_bytes, pieces).as_bytes() if pieces else b""
     except zstandard.ZstdError:  # too little text to train on: it is the dictionary
         base = b"".join(pieces)[: p.ordinary_bytes]
-    model = ToxicModel(base, base + _toxic_text(toxic, plain, p.toxic_bytes), [2, 3, 5], np.zeros(N_FEATURES + 1), p)
+    model = ToxicModel(base, base + _toxic_text(toxic, plain, p.toxic_bytes), [2.0, 3.0, 5.0], np.zeros(N_FEATURES + 1), p)
     two = model.compressors()
     rest = [s for s, h in zip(samples, half, strict=True) if not h]
     m = [margins(t, *two, p) for t, _, _ in rest]
@@ -130,9 +135,9 @@ def fit(samples: list[tuple[str, int, float]], p: ToxicParams | None = None) ->
     if len(set(y.tolist())) < 2:
         model.weights[-1] = -3.0 if not any(label for _, label, _ in samples) else 0.0
         return model
-    # calibrated: margins that a window of ordinary text passes once in 100, 1000 and 10,000 times
+    # calibrated: margins that a window of ordinary text passes once in 20, 100 and 1000 times
     calm = np.concatenate([x for x, label in zip(m, y, strict=True) if not label] or [np.zeros(1)])
-    model.thresholds = [float(max(1, np.quantile(calm, q) + 1)) for q in (0.99, 0.999, 0.9999)]
+    model.thresholds = [float(max(i, np.quantile(calm, q))) for i, q in ((1, 0.95), (2, 0.99), (3, 0.999))]
     x = np.stack([features(v, model.thresholds) for v in m])
     model.weights = _fit_logistic(x, y)
     # the classes were sampled at different rates
