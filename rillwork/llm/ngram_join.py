@@ -27,6 +27,9 @@ from rillwork.llm.common import ascii_words, chunks, written
 from rillwork.llm.components import components
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
+#: Entries of more sets than this are compared in blocks of their clusters, others by a join.
+HOT = 32
+BLOCK = 1024
 _INDEX = "token long, sid long, n int, inner boolean"
 
 
@@ -36,7 +39,7 @@ class JoinParams:
 
     shingle: int = 4
     percent: int = 85
-    frequent: int = 24
+    frequent: int = 12
 
     def least(self, n: int) -> int:
         """Tokens that a set of n shares with any set it links to."""
@@ -231,7 +234,15 @@ def _buckets(docs: DataFrame, classes: DataFrame, p: JoinParams) -> DataFrame:
     sets = tokens.join(df, "token", "left").groupBy("sid", "n")
     sets = sets.agg(F.collect_list(F.when(F.col("df").isNull(), F.col("token"))).alias("rare"), F.collect_list(F.when(F.col("df").isNotNull(), F.col("token"))).alias("common"))
     combined = sets.select("sid", "n", "rare", "common").mapInArrow(_signatures(p), "key long, sid long, n int")
-    return written(rare.union(combined))
+    return _distinct_entries(written(rare.union(combined).distinct()))
+
+
+def _distinct_entries(buckets: DataFrame) -> DataFrame:
+    """One of all entries that hold the same sets, and none that hold a single set."""
+    member = [F.bit_xor(F.xxhash64("sid", F.lit(seed))).alias(f"x{seed}") for seed in (1, 2)]
+    entries = buckets.groupBy("key").agg(F.count("*").alias("k"), F.min("sid").alias("lo"), F.max("sid").alias("hi"), *member).where("lo != hi")
+    kept = entries.groupBy("k", "lo", "hi", "x1", "x2").agg(F.min("key").alias("key")).select("key")
+    return written(buckets.join(kept, "key"))
 
 
 def _needed(a: Column, b: Column, p: JoinParams) -> Column:
@@ -263,6 +274,55 @@ def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, p: JoinParams
     return both.withColumn("shared", shared).where(100 * F.col("shared") >= p.percent * (F.col("n_a") + F.col("n_b") - F.col("shared"))).select("a", "b")
 
 
+def _close(p: JoinParams):
+    """Pairs of different components in two blocks of a cluster that pass the test of sizes and sketches."""
+
+    def run(table: pa.Table) -> pa.Table:
+        sid, n, root, block, i, j = (table.column(c).to_numpy() for c in ("sid", "n", "root", "block", "i", "j"))
+        length = np.array([len(x) for x in table.column("sketch")], np.int64)
+        flat = table.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64)
+        start = np.cumsum(length) - length
+        out_a, out_b = [], []
+        for size in np.unique(length).tolist():
+            own = np.flatnonzero(length == size)
+            rows = flat[start[own][:, None] + np.arange(size)]
+            twice = np.flatnonzero(length == 2 * size)
+            longer = flat[start[twice][:, None] + np.arange(2 * size)]
+            others, cells = np.concatenate([own, twice]), np.concatenate([rows, longer[:, :size] ^ longer[:, size:]])
+            for k, x in enumerate(own.tolist()):
+                apart = np.bitwise_count(cells ^ rows[k]).sum(axis=1, dtype=np.int64)
+                both = n[others] + n[x]
+                needed = -(-p.percent * both // (100 + p.percent))
+                ok = (apart <= both - 2 * needed) & (root[others] != root[x])
+                ok &= np.minimum(n[others], n[x]) * 100 >= np.maximum(n[others], n[x]) * p.percent
+                ok &= (length[others] > size) | (others > x)  # each pair once
+                if i[0] != j[0]:
+                    ok &= block[others] != block[x]
+                hit = others[ok]
+                out_a.append(np.maximum(sid[hit], sid[x]))
+                out_b.append(np.minimum(sid[hit], sid[x]))
+        return pa.table({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
+
+    return run
+
+
+def _within_clusters(hot: DataFrame, classes: DataFrame, p: JoinParams) -> DataFrame:
+    """Candidates (a, b) from entries (key, sid, root) of many sets.
+
+    Such entries overlap almost wholly, so a join by key would give each pair again and again. Sets that entries
+    connect are a cluster; its pairs of different components are tested once, block against block: a task holds two
+    blocks, and only pairs that pass leave it.
+    """
+    chosen = hot.groupBy("key").agg(F.min("sid").alias("b"))
+    clusters = components(hot.join(chosen, "key").select(F.col("sid").alias("a"), "b"))
+    members = hot.select("sid", "root").distinct().join(clusters.select(F.col("node").alias("sid"), F.col("root").alias("cluster")), "sid")
+    members = members.join(classes.select("sid", "n", "sketch"), "sid")
+    sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    return dealt.drop("other", "blocks").groupBy("cluster", "i", "j").applyInArrow(_close(p), "a long, b long")
+
+
 def link_components(docs: DataFrame, p: JoinParams | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: the least doc_id that links lead to, itself included.
 
@@ -277,20 +337,26 @@ def link_components(docs: DataFrame, p: JoinParams | None = None) -> DataFrame:
     classes = written(meta.where("n > 0 and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max_by("sketch", "n").alias("sketch")))
     docs = docs.where("doc_id is not null")
     buckets = _buckets(docs, classes, p)
-    # one chosen set an entry
-    chosen = buckets.groupBy("key").agg(F.min("sid").alias("b"), F.max("sid").alias("hi")).where("b != hi").select("key", "b")
-    stars = buckets.join(chosen, "key").where(F.col("sid") != F.col("b")).select(F.col("sid").alias("a"), "b").distinct()
+    # one chosen set an entry: the one that holds most of what others hold, so that copies meet their original
+    entries = buckets.groupBy("key").agg(F.count("*").alias("k"))
+    weights = buckets.join(entries, "key").groupBy("sid").agg(F.sum("k").alias("held"))
+    weighed = written(buckets.join(entries, "key").join(weights, "sid"))
+    chosen = weighed.groupBy("key").agg(F.max_by("sid", F.struct("held", "sid")).alias("b"))
+    stars = weighed.join(chosen, "key").where(F.col("sid") != F.col("b")).select(F.greatest("sid", "b").alias("a"), F.least("sid", "b").alias("b")).distinct()
     links = written(_linked(stars, docs, classes, p))
     roots = written(components(links))
     # what is left: sets of different components in one entry
-    placed = buckets.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").select("key", "sid", "n", F.coalesce("root", "sid").alias("root"))
+    placed = weighed.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").select("key", "sid", "n", "k", F.coalesce("root", "sid").alias("root"))
     placed = written(placed)
-    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("k")).where("lo != hi and k > 2").select("key")
-    live = placed.join(mixed, "key")
-    one = live.select("key", F.col("sid").alias("a"), F.col("n").alias("m_a"), F.col("root").alias("r_a"))
-    two = live.select("key", F.col("sid").alias("b"), F.col("n").alias("m_b"), F.col("root").alias("r_b"))
+    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
+    live = written(placed.where("k > 2").join(mixed, "key"))
+    cold = live.where(F.col("k") <= HOT)
+    one = cold.select("key", F.col("sid").alias("a"), F.col("n").alias("m_a"), F.col("root").alias("r_a"))
+    two = cold.select("key", F.col("sid").alias("b"), F.col("n").alias("m_b"), F.col("root").alias("r_b"))
     near = (F.least("m_a", "m_b") * 100 >= F.greatest("m_a", "m_b") * p.percent) & (F.col("r_a") != F.col("r_b")) & (F.col("a") > F.col("b"))
-    rest = one.join(two, "key").where(near).select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
+    rest = one.join(two, "key").where(near).select("a", "b")
+    hot = live.where(F.col("k") > HOT)
+    rest = rest.union(_within_clusters(hot, classes, p)).distinct()
     more = _linked(rest, docs, classes, p)
     roots = components(links.union(more))
     full = classes.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").select("sid", "rep", F.coalesce("root", "sid").alias("root"))
