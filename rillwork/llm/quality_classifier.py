@@ -11,10 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillwork.llm.common import written
-from rillwork.llm.quality_rules import ratios
+from rillwork.llm.quality_rules import THRESHOLDS, ratios
 from rillwork.llm.text_stats import counts
 
-STATISTICS = [*ratios(), "n_words", "n_lines", "n_symbols"]
+STATISTICS = [*(name for _, name, _, _ in THRESHOLDS), "n_words", "n_lines", "n_symbols"]
 
 
 @dataclass(frozen=True)
