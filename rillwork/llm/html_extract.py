@@ -40,7 +40,7 @@ def _apart(tag: str, attributes: str) -> bool:
 def runs(page: str):
     """The page as (kind, name, text, apart): kind 'text' with the element it stands in, or 'tag'."""
     depth, closes, block, links, article = 0, "", "", 0, 0
-    low = None
+    low, outer = None, ""
     for m in _TOKEN.finditer(page):
         tag = m[3]
         if tag is None:
@@ -52,13 +52,14 @@ def runs(page: str):
             yield "text", ("a" if links else block), s, depth > 0, article
             continue
         tag, end = tag.lower(), bool(m[2])
+        was = depth > 0
         if depth:
             if tag == closes and tag not in VOID:
                 depth += -1 if end else not m[4].endswith("/")
         elif not end and tag not in VOID and not m[4].endswith("/") and _apart(tag, m[4]):
             low = page.lower() if low is None else low
             if low.find(f"</{tag}", m.end()) >= 0:  # one that never ends would take the rest of the page along
-                depth, closes = 1, tag
+                depth, closes, outer = 1, tag, block
         if tag == "a":
             links = 0 if end else 1
         elif tag == "article":
@@ -66,7 +67,9 @@ def runs(page: str):
         if tag not in INLINE:
             block = "" if end else tag
             links = links if tag in ("span", "b") else 0 if not end else links
-        yield "tag", tag, "", depth > 0, article
+        if was and not depth:  # what follows stands in the block that was open before
+            block = outer
+        yield "tag", tag, "", was or depth > 0, article
 
 
 def learn(pages: list[str], smooth: float = 2.0) -> dict[str, float]:
