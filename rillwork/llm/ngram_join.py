@@ -217,6 +217,16 @@ def _common(index: DataFrame) -> DataFrame:
     return index.groupBy("token").agg(F.count("*").alias("df"), F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo != hi").select("token", "df")
 
 
+def _texts_of(docs: DataFrame, classes: DataFrame, sids: DataFrame) -> DataFrame:
+    """(doc_id, text) of the documents that stand for these sets.
+
+    Their ids are written first: Spark then knows the table's size as it plans, sends it to the tasks if that is
+    below its broadcast threshold, and otherwise shuffles the texts.
+    """
+    own = written(classes.join(sids, "sid", "left_semi").select(F.col("rep").alias("doc_id")))
+    return docs.join(own, "doc_id", "left_semi").select("doc_id", "text")
+
+
 def _buckets(docs: DataFrame, classes: DataFrame, p: JoinParams) -> DataFrame:
     """(key, sid, n): sets that may be similar share a key."""
     index = docs.mapInArrow(_index(p), _INDEX)
@@ -227,8 +237,7 @@ def _buckets(docs: DataFrame, classes: DataFrame, p: JoinParams) -> DataFrame:
     need = (n - F.floor((n * p.percent + 99) / 100) + 1).cast("long")
     inner = F.least(n.cast("long"), need + F.greatest(F.lit(2).cast("long"), F.floor(need / 4)))
     hard = often.where(inner - F.col("k") < need).select("sid")
-    own = classes.join(hard, "sid", "left_semi").select(F.col("rep").alias("doc_id"))
-    tokens = docs.join(own, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_whole(p, True), "token long, sid long, n int")
+    tokens = _texts_of(docs, classes, hard).mapInArrow(_whole(p, True), "token long, sid long, n int")
     tokens = written(tokens)
     df = tokens.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") > p.frequent)
     sets = tokens.join(df, "token", "left").groupBy("sid", "n")
@@ -266,8 +275,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, p: JoinParams
     most = F.col("n_a") + F.col("n_b") - 2 * _needed(F.col("n_a"), F.col("n_b"), p)
     left = written(both.where(sizes).where(apart <= most).select("a", "b", "n_a", "n_b"))
     sids = left.select(F.col("a").alias("sid")).union(left.select(F.col("b").alias("sid"))).distinct()
-    own = classes.join(sids, "sid", "left_semi").select(F.col("rep").alias("doc_id"))
-    sets = docs.join(own, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_whole(p, False), "sid long, tokens array<long>")
+    sets = _texts_of(docs, classes, sids).mapInArrow(_whole(p, False), "sid long, tokens array<long>")
     sets = written(sets.dropDuplicates(["sid"]))
     both = left.join(sets.select(F.col("sid").alias("a"), F.col("tokens").alias("t_a")), "a").join(sets.select(F.col("sid").alias("b"), F.col("tokens").alias("t_b")), "b")
     shared = F.size(F.array_intersect("t_a", "t_b"))
