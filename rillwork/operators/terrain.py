@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 import pandas as pd
@@ -70,6 +71,62 @@ def d8(cells: DataFrame, cell: float) -> DataFrame:
     return out.drop("_most", *[k for k, *_ in D8])
 
 
+def fill_pits(cells: DataFrame) -> DataFrame:
+    """Inner cells lower than all eight neighbours, raised to the lowest of them."""
+    out = neighbours(cells)
+    near = [F.col(k) for k, *_ in D8]
+    inner = F.greatest(*near).isNotNull()
+    for x in near:
+        inner = inner & x.isNotNull()
+    least = F.least(*near)
+    return out.withColumn("z", F.when(inner & (F.col("z") < least), least).otherwise(F.col("z"))).drop(*[k for k, *_ in D8])
+
+
+def aspect(cells: DataFrame) -> DataFrame:
+    """The compass bearing in degrees that a cell faces, from a weighted 3 x 3 window; 0 where flat.
+
+    What lies beyond the grid's edge goes on in a straight line, up and down first and then left and right.
+    """
+    out = neighbours(cells)
+    on = lambda near, mid, far: F.coalesce(F.col(near), 2 * F.col(mid) - F.col(far))
+    out = out.withColumns({a: on(a, m, b) for a, m, b in (("n", "z", "s"), ("s", "z", "n"), ("ne", "e", "se"), ("se", "e", "ne"), ("nw", "w", "sw"), ("sw", "w", "nw"))})
+    out = out.withColumns({a: on(a, m, b) for a, m, b in (("e", "z", "w"), ("w", "z", "e"), ("ne", "n", "nw"), ("nw", "n", "ne"), ("se", "s", "sw"), ("sw", "s", "se"))})
+    x = (F.col("ne") + 2 * F.col("e") + F.col("se")) - (F.col("nw") + 2 * F.col("w") + F.col("sw"))
+    y = (F.col("sw") + 2 * F.col("s") + F.col("se")) - (F.col("nw") + 2 * F.col("n") + F.col("ne"))
+    turn = F.degrees(F.atan2(y, -x))
+    bearing = F.when((x == 0) & (y == 0), 0.0).when(turn > 90, 450 - turn).otherwise(90 - turn)
+    return out.withColumn("aspect", F.when(bearing == 360, 0.0).otherwise(bearing)).drop(*[k for k, *_ in D8])
+
+
+#: The eight facets in the order that decides ties, as side cell, corner cell, quarter turns, sense.
+FACETS = [("e", "ne", 0, 1), ("n", "ne", 1, -1), ("n", "nw", 1, 1), ("w", "nw", 2, -1), ("w", "sw", 2, 1), ("s", "sw", 3, -1), ("s", "se", 3, 1), ("e", "se", 4, -1)]
+
+
+def dinf(cells: DataFrame, cell: float) -> DataFrame:
+    """Direction of the steepest fall over eight facets: ``angle`` in radians from east towards north, null where none.
+
+    Water goes to the facet's side cell (r1, c1) with share p1 and to its corner cell (r2, c2) with share p2. A cell
+    that gets a share lies lower, so the flow has no loop.
+    """
+    z, quarter = F.col("z"), math.pi / 4
+    steps = {k: (dr, dc) for k, dr, dc, _ in D8}
+    falls, turns = [], []
+    for side, corner, _, _ in FACETS:
+        along, across = (z - F.col(side)) / cell, (F.col(side) - F.col(corner)) / cell
+        falls.append(F.when(across < 0, along).when(across > along, (z - F.col(corner)) / (cell * 2.0**0.5)).otherwise(F.sqrt(along * along + across * across)))
+        turns.append(F.when(across < 0, 0.0).when(across > along, quarter).otherwise(F.atan2(across, along)))
+    out = neighbours(cells).withColumns({"_f": F.array(*falls), "_t": F.array(*turns)}).withColumn("_most", F.array_max("_f"))
+    out = out.withColumn("_k", F.when(F.col("_most") > 0, F.array_position("_f", F.col("_most")).cast("int")))
+    of = lambda values: F.try_element_at(F.array(*[F.lit(v) for v in values]), F.col("_k"))
+    turn = F.try_element_at("_t", F.col("_k"))
+    out = out.withColumns({
+        "angle": of([float(f[3]) for f in FACETS]) * turn + of([f[2] * math.pi / 2 for f in FACETS]),
+        "r1": F.col("r") + of([steps[f[0]][0] for f in FACETS]), "c1": F.col("c") + of([steps[f[0]][1] for f in FACETS]), "p1": 1 - turn / quarter,
+        "r2": F.col("r") + of([steps[f[1]][0] for f in FACETS]), "c2": F.col("c") + of([steps[f[1]][1] for f in FACETS]), "p2": turn / quarter,
+    })
+    return out.drop("_f", "_t", "_most", "_k", *steps)
+
+
 def accumulate(flow: DataFrame, n: int, weights: dict[str, Column], rounds: int = 40) -> DataFrame:
     """Sum of each weight over a cell and all that drain to it.
 
@@ -161,6 +218,12 @@ def _uphill(z: np.ndarray, w: np.ndarray) -> np.ndarray:
     return out
 
 
+def _dealt(cells: DataFrame, tile: int) -> DataFrame:
+    """Each cell with the tiles (tr, tc) that it lies in or beside."""
+    ranges = lambda x: F.sequence(F.floor((F.col(x) - 1) / tile), F.floor((F.col(x) + 1) / tile))
+    return cells.withColumn("tr", F.explode(ranges("r"))).withColumn("tc", F.explode(ranges("c")))
+
+
 def tiled_fixpoint(cells: DataFrame, kernel, tile: int = 64, rounds: int = 400) -> DataFrame:
     """Runs a kernel on tiles with a rim of neighbours' values until none changes. ``cells`` has r, c, z, w.
 
@@ -178,11 +241,9 @@ def tiled_fixpoint(cells: DataFrame, kernel, tile: int = 64, rounds: int = 400)
         out["w"] = new[i[own], j[own]]
         return out
 
-    ranges = lambda x: F.sequence(F.floor((F.col(x) - 1) / tile), F.floor((F.col(x) + 1) / tile))
     state = written(cells.select("r", "c", "z", "w"))
     for _ in range(rounds):
-        dealt = state.withColumn("tr", F.explode(ranges("r"))).withColumn("tc", F.explode(ranges("c")))
-        new = written(dealt.groupBy("tr", "tc").applyInPandas(run, "r int, c int, z double, was double, w double"))
+        new = written(_dealt(state, tile).groupBy("tr", "tc").applyInPandas(run, "r int, c int, z double, was double, w double"))
         state = new.select("r", "c", "z", "w")
         if new.where("w != was").isEmpty():
             return state
@@ -198,3 +259,38 @@ def fill_depressions(cells: DataFrame, n: int, tile: int = 64) -> DataFrame:
 def uphill(cells: DataFrame, start: Column, barrier: Column, tile: int = 64) -> DataFrame:
     """cell(r, c, z, w): w >= 0.5 where a cell is a start, a barrier, or reached from a start going never down."""
     return tiled_fixpoint(cells.withColumn("w", F.when(start, 1.0).when(barrier, 0.5).otherwise(0.0)), _uphill, tile)
+
+
+def accumulate_split(flow: DataFrame, tile: int = 64, rounds: int = 400) -> DataFrame:
+    """(r, c, acc): each cell's weight and the shares of all that drain to it, along the two ways of ``dinf``.
+
+    ``flow`` has r, c, z, weight, r1, c1, p1, r2, c2, p2. A task works down one tile from its highest cell, with what
+    came to the rim in the round before; rounds grow with the tiles that a path crosses.
+    """
+    ways = ["r1", "c1", "p1", "r2", "c2", "p2"]
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["z", "r", "c"], ascending=[False, True, True], ignore_index=True)
+        i, j = pdf["r"].to_numpy() - key[0] * tile, pdf["c"].to_numpy() - key[1] * tile
+        own = (i >= 0) & (i < tile) & (j >= 0) & (j < tile)
+        place = {p: k for k, p in enumerate(zip(pdf["r"].tolist(), pdf["c"].tolist(), strict=True)) if own[k]}
+        acc = np.where(own, pdf["weight"], pdf["acc"]).tolist()
+        to = [[place.get((r, c)) for r, c in zip(pdf[f"r{x}"].tolist(), pdf[f"c{x}"].tolist(), strict=True)] for x in (1, 2)]
+        share = [pdf[f"p{x}"].tolist() for x in (1, 2)]
+        rim, inside = np.flatnonzero(~own).tolist(), np.flatnonzero(own).tolist()
+        for k in rim + inside:  # the rim is known, the others are whole once all higher ones have passed on
+            for at, p in zip(to, share, strict=True):
+                if at[k] is not None and p[k] > 0:
+                    acc[at[k]] += p[k] * acc[k]
+        out = pdf.loc[own, ["r", "c", "z", "weight", *ways]]
+        out["was"], out["acc"] = pdf.loc[own, "acc"], np.array(acc)[own]
+        return out
+
+    fields = "r int, c int, z double, weight double, r1 int, c1 int, p1 double, r2 int, c2 int, p2 double"
+    state = written(flow.select("r", "c", "z", F.col("weight").cast("double").alias("weight"), *ways, F.col("weight").cast("double").alias("acc")))
+    for _ in range(rounds):
+        new = written(_dealt(state, tile).groupBy("tr", "tc").applyInPandas(run, fields + ", was double, acc double"))
+        state = new.drop("was")
+        if new.where("acc != was").isEmpty():
+            return state.select("r", "c", "acc")
+    raise RuntimeError("tiles did not settle")

@@ -437,3 +437,61 @@ def q39_rolling_rain(spark, sf):
 def q40_fill_frames(spark, sf):
     """One row per site and step, with a map from store to how full it is."""
     return _simulated(spark, sf).groupBy("site", "time_min").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", F.struct(F.round("fill_pct", 4).alias("fill_pct"), (F.col("overflow") > 0).alias("overflowed")))))).alias("fills"))
+
+
+def _near_sql(grid: str) -> str:
+    return grid + """,
+t AS (SELECT r, c, z, lag(z) OVER x AS vw, lead(z) OVER x AS ve FROM g WINDOW x AS (PARTITION BY r ORDER BY c)),
+nb AS (SELECT *, lag(z) OVER y AS vn, lag(vw) OVER y AS vnw, lag(ve) OVER y AS vne, lead(z) OVER y AS vs, lead(vw) OVER y AS vsw, lead(ve) OVER y AS vse FROM t WINDOW y AS (PARTITION BY c ORDER BY r))"""
+
+
+def _dinf_sql() -> str:
+    rows = []
+    step = {k: (dr, dc) for k, dr, dc, _ in terrain.D8}
+    for i, (a, b, quarters, sense) in enumerate(terrain.FACETS):
+        (ra, ca), (rb, cb) = step[a], step[b]
+        rows.append(f"SELECT r, c, {i} AS i, {quarters} AS ac, {sense} AS af, r + {ra} AS r1, c + {ca} AS c1, r + {rb} AS r2, c + {cb} AS c2, (z - v{a}) / 5e0 AS s1, (v{a} - v{b}) / 5e0 AS s2, (z - v{b}) / (5e0 * sqrt(2e0)) AS s3 FROM nb WHERE v{a} IS NOT NULL AND v{b} IS NOT NULL")
+    return _near_sql(GRID) + f""",
+fa AS ({" UNION ALL ".join(rows)}),
+fs AS (SELECT *, CASE WHEN s2 < 0 THEN s1 WHEN s2 > s1 THEN s3 ELSE sqrt(s1 * s1 + s2 * s2) END AS s, CASE WHEN s2 < 0 THEN 0e0 WHEN s2 > s1 THEN pi() / 4 ELSE atan2(s2, s1) END AS turn FROM fa),
+di AS (SELECT *, af * turn + ac * pi() / 2 AS angle FROM fs WHERE s > 0 QUALIFY row_number() OVER (PARTITION BY r, c ORDER BY s DESC, i) = 1)"""
+
+
+@query(f"WITH {_dinf_sql()} SELECT g.r, g.c, round(angle, 6) AS angle FROM g LEFT JOIN di ON di.r = g.r AND di.c = g.c")
+def q41_dinf_direction(spark, sf):
+    return rounded(terrain.dinf(T.grid(spark, sf), T.CELL).select("r", "c", "angle"), "angle")
+
+
+@query(f"""WITH RECURSIVE {_dinf_sql()},
+e AS (SELECT r, c, r1 AS tr, c1 AS tc, 1 - turn / (pi() / 4) AS p FROM di UNION ALL SELECT r, c, r2, c2, turn / (pi() / 4) FROM di),
+lv AS (SELECT r, c, 1e0 AS m FROM g UNION ALL SELECT tr, tc, sum(m * p) FROM lv JOIN e ON e.r = lv.r AND e.c = lv.c AND p > 0 GROUP BY tr, tc)
+SELECT r, c, round(sum(m), 4) AS acc FROM lv GROUP BY r, c""")
+def q42_dinf_accumulation(spark, sf):
+    flow = terrain.dinf(T.grid(spark, sf), T.CELL).withColumn("weight", F.lit(1.0))
+    return rounded(terrain.accumulate_split(flow), "acc", digits=4)
+
+
+_ASPECT = _near_sql(GRID) + """,
+v AS (SELECT r, c, z, vw, ve, coalesce(vn, 2 * z - vs) AS n1, coalesce(vs, 2 * z - vn) AS s1, coalesce(vne, 2 * ve - vse) AS ne1, coalesce(vse, 2 * ve - vne) AS se1, coalesce(vnw, 2 * vw - vsw) AS nw1, coalesce(vsw, 2 * vw - vnw) AS sw1 FROM nb),
+h AS (SELECT *, coalesce(ve, 2 * z - vw) AS e2, coalesce(vw, 2 * z - ve) AS w2, coalesce(ne1, 2 * n1 - nw1) AS ne2, coalesce(nw1, 2 * n1 - ne1) AS nw2, coalesce(se1, 2 * s1 - sw1) AS se2, coalesce(sw1, 2 * s1 - se1) AS sw2 FROM v),
+k AS (SELECT r, c, (ne2 + 2 * e2 + se2) - (nw2 + 2 * w2 + sw2) AS x, (sw2 + 2 * s1 + se2) - (nw2 + 2 * n1 + ne2) AS y FROM h),
+b AS (SELECT r, c, CASE WHEN x = 0 AND y = 0 THEN 0e0 WHEN degrees(atan2(y, -x)) > 90 THEN 450 - degrees(atan2(y, -x)) ELSE 90 - degrees(atan2(y, -x)) END AS bearing FROM k),
+asp AS (SELECT r, c, CASE WHEN bearing = 360 THEN 0e0 ELSE bearing END AS aspect FROM b)"""
+
+
+@query(f"WITH {_ASPECT} SELECT r, c, round(aspect, 4) AS aspect FROM asp")
+def q43_aspect(spark, sf):
+    return rounded(terrain.aspect(T.grid(spark, sf)).select("r", "c", "aspect"), "aspect", digits=4)
+
+
+@query(f"WITH {_ASPECT} SELECT r, c, round(aspect, 4) AS aspect FROM asp WHERE r % 10 = 0 AND c % 10 = 0")
+def q44_slope_arrows(spark, sf):
+    """One arrow every fifty metres."""
+    step = max(1, int(50 / T.CELL))
+    out = terrain.aspect(T.grid(spark, sf)).where((F.col("r") % step == 0) & (F.col("c") % step == 0))
+    return rounded(out.select("r", "c", "aspect"), "aspect", digits=4)
+
+
+@query(f"WITH {_near_sql(ROUGH)} SELECT r, c, round(CASE WHEN vn + vne + ve + vse + vs + vsw + vw + vnw IS NOT NULL AND z < least(vn, vne, ve, vse, vs, vsw, vw, vnw) THEN least(vn, vne, ve, vse, vs, vsw, vw, vnw) ELSE z END, 6) AS z FROM nb")
+def q45_fill_pits(spark, sf):
+    return rounded(terrain.fill_pits(T.grid(spark, sf, T.ROUGH)).select("r", "c", "z"), "z")

@@ -14,7 +14,7 @@ def cells(spark, n, f):
     return spark.createDataFrame([(r, c, float(f(r, c))) for r in range(n) for c in range(n)], "r int, c int, z double")
 
 
-@pytest.mark.parametrize("name", ["q03_slope_deg", "q05_position_index", "q06_d8_direction", "q07_flow_accumulation", "q10_scs_runoff", "q13_incremental_runoff", "q19_catchments", "q21_contour_crossings", "q22_contour_rank", "q24_earthwork_volumes", "q26_burn_works", "q27_burn_diversion", "q28_receivers", "q38_nearest_line"])
+@pytest.mark.parametrize("name", ["q03_slope_deg", "q05_position_index", "q06_d8_direction", "q07_flow_accumulation", "q10_scs_runoff", "q13_incremental_runoff", "q19_catchments", "q21_contour_crossings", "q22_contour_rank", "q24_earthwork_volumes", "q26_burn_works", "q27_burn_diversion", "q28_receivers", "q38_nearest_line", "q41_dinf_direction", "q42_dinf_accumulation", "q43_aspect", "q44_slope_arrows", "q45_fill_pits"])
 def test_query_matches_sql(spark, name):
     same(spark, catalog.QUERIES[name], catalog.ORACLE[name])
 
@@ -57,6 +57,20 @@ def test_accumulation_of_a_slope(spark):
     assert reached.where("w >= 0.5").count() == 64
 
 
+def test_split_flow_on_a_plane(spark):
+    plane = cells(spark, 9, lambda r, c: 100 - c + 0.5 * r)
+    inner = terrain.dinf(plane, 1.0).where("r between 1 and 7 and c between 1 and 7")
+    assert [tuple(x) for x in inner.select(F.round("angle", 9), F.round(F.col("p1") + F.col("p2"), 9)).distinct().collect()] == [(round(math.atan(0.5), 9), 1.0)]
+    flow = terrain.dinf(plane, 1.0).withColumn("weight", F.lit(1.0))
+    whole = {(x.r, x.c): x.acc for x in terrain.accumulate_split(flow).collect()}
+    tiled = {(x.r, x.c): x.acc for x in terrain.accumulate_split(flow, tile=4).collect()}
+    assert whole == pytest.approx(tiled)
+    none = {(x.r, x.c) for x in flow.where("angle is null").collect()}
+    assert sum(v for k, v in whole.items() if k in none) == pytest.approx(81)
+    faces = terrain.aspect(plane).agg(F.min("aspect"), F.max("aspect")).first()
+    assert faces[0] == pytest.approx(faces[1]) == pytest.approx(90 - math.degrees(math.atan(0.5)))
+
+
 def test_components_and_greedy(spark):
     some = spark.createDataFrame([(0, 0), (0, 1), (1, 2), (5, 5), (4, 4), (7, 0)], "r int, c int")
     assert terrain.components(some, 8).select("zone").distinct().count() == 3
