@@ -45,6 +45,19 @@ def bucket_of(doc_id: str, n: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string")) % n
 
 
+def sampled_texts(docs: DataFrame, labels: DataFrame, shares: dict[int, float], most: int, seed: int) -> DataFrame:
+    """(text, label) of the documents that stand in ``labels`` (doc_id, label): of each label such a share, by hash of the id.
+
+    Only the chosen ids, ``most`` at most, are sent to the tasks; no text is shuffled for them.
+    """
+    parts = 1_000_000
+    share = F.lit(0)
+    for label, x in shares.items():
+        share = F.when(F.col("label") == label, min(parts, 1 + int(parts * x))).otherwise(share)
+    chosen = labels.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(parts)) < share).select("doc_id", "label").limit(most)
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label")
+
+
 def chunks(columns: list[list], size: int = CHUNK_CHARS, text: int = 1) -> Iterator[list[list]]:
     """Runs of the rows with about so many characters of text; one very long text is a run of its own."""
     start = chars = 0

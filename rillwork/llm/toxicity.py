@@ -1,7 +1,5 @@
 """Toxicity by compression distance: windows of a text under dictionaries of toxic and of ordinary text."""
 
-
-
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -13,6 +11,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rillwork.llm.common import sampled_texts
+
 _WORD = re.compile(r"[^\W\d_]+")
 N_FEATURES = 9
 
@@ -147,19 +147,15 @@ def fit(samples: list[tuple[str, int, float]], p: ToxicParams | None = None) ->
     return model
 
 
-def collect_samples(labelled: DataFrame, p: ToxicParams | None = None) -> list[tuple[str, int, float]]:
-    """Of each class, about max_per_class rows of the smallest hashes, from (text, label)."""
+def collect_samples(docs: DataFrame, labels: DataFrame, p: ToxicParams | None = None) -> list[tuple[str, int, float]]:
+    """Of each class, about max_per_class of the documents (doc_id, text) that ``labels`` (doc_id, label) marks."""
     p = p or ToxicParams()
-    known = labelled.where("label in (0, 1) and text is not null")
+    known = labels.where("label in (0, 1)")
     sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
-    parts = 1_000_000
-    share = F.lit(0)
-    for label, n in sizes.items():
-        share = F.when(F.col("label") == label, min(parts, 1 + int(parts * p.max_per_class / n))).otherwise(share)
-    chosen = known.where(F.pmod(F.xxhash64("text", F.lit(p.seed)), F.lit(parts)) < share)
+    chosen = sampled_texts(docs, known, {k: p.max_per_class / n for k, n in sizes.items()}, 4 * p.max_per_class, p.seed).where("text is not null")
     # a passage from a place that the hash decides; texts under max_chars are whole
     first = 1 + F.pmod(F.xxhash64("text"), F.greatest(F.lit(1), F.char_length("text") - p.max_chars)).cast("int")
-    rows = chosen.select(F.substring("text", first, F.lit(p.max_chars)).alias("text"), "label").limit(4 * p.max_per_class).collect()
+    rows = chosen.select(F.substring("text", first, F.lit(p.max_chars)).alias("text"), "label").collect()
     got = Counter(r["label"] for r in rows)
     return sorted((r["text"], int(r["label"]), sizes[r["label"]] / got[r["label"]]) for r in rows)
 
