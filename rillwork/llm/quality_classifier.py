@@ -10,7 +10,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillwork.llm.common import written
+from rillwork.llm.common import sampled_texts, written
 from rillwork.llm.quality_rules import THRESHOLDS, ratios
 from rillwork.llm.text_stats import counts
 
@@ -19,7 +19,7 @@ STATISTICS = [*(name for _, name, _, _ in THRESHOLDS), "n_words", "n_lines", "n_
 
 @dataclass(frozen=True)
 class RuleParams:
-    """max_labelled bounds the rows that trees and weights are fitted on, chosen by the hash of their text."""
+    """max_labelled bounds the rows that trees and weights are fitted on, chosen by the hash of their id."""
 
     max_labelled: int = 40_000
     trees: int = 12
@@ -75,17 +75,17 @@ class RuleModel:
         return 1 / (1 + F.exp(-total))
 
 
-def fit(labelled: DataFrame, p: RuleParams | None = None) -> RuleModel:
-    """Trees over the statistics of (text, label) rows; their paths become 0/1 columns of a lasso logistic regression.
+def fit(docs: DataFrame, labels: DataFrame, p: RuleParams | None = None) -> RuleModel:
+    """Trees over the statistics of the documents (doc_id, text) that ``labels`` (doc_id, label) marks; their paths
+    become 0/1 columns of a lasso logistic regression.
 
     With one class only, or none, there is no rule: every text scores the share of label 1 (0.5 without labels).
     """
     p = p or RuleParams()
-    known = labelled.where("label is not null")
-    n = known.count()
-    if n > p.max_labelled:
-        known = known.where(F.pmod(F.xxhash64("text", "label"), F.lit(1_000_000)) < int(1_000_000 * p.max_labelled / n))
-    data = written(statistics(known, ["label"]))
+    known = labels.where("label is not null")
+    sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    share = p.max_labelled / max(1, sum(sizes.values()))
+    data = written(statistics(sampled_texts(docs, known, dict.fromkeys(sizes, share), 2 * p.max_labelled, p.seed), ["label"]))
     shares = {r["label"]: r["count"] for r in data.groupBy("label").count().collect()}
     if len(shares) < 2:
         return RuleModel([], 0.0 if not shares else (20.0 if 1 in shares else -20.0))

@@ -44,20 +44,15 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_components(table(spark, sf_dir, "documents"))
 
 
-def _labelled(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
-    """Text and label of the rows to learn from."""
-    labels = table(spark, sf_dir, "labels").where(bucket_of("doc_id", 5) != 0).select("doc_id", F.col(label).alias("label"))
-    return table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id").select("text", "label")
-
-
 def _labels(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
     """doc_id and label of the rows to learn from."""
     return table(spark, sf_dir, "labels").where(bucket_of("doc_id", 5) != 0).select("doc_id", F.col(label).alias("label"))
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = quality_classifier.fit(_labelled(spark, sf_dir, "quality"))
-    out = quality_classifier.score(table(spark, sf_dir, "documents"), model, ["doc_id"])
+    docs = table(spark, sf_dir, "documents")
+    model = quality_classifier.fit(docs, _labels(spark, sf_dir, "quality"))
+    out = quality_classifier.score(docs, model, ["doc_id"])
     return out.select("doc_id", (bucket_of("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
