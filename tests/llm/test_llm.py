@@ -175,6 +175,15 @@ def test_pages():
     assert [html_extract.extract(x, scores) for x in (None, "", "<p>")] == ["", "", ""]
 
 
+def test_pages_with_lists_and_links():
+    menu = "<nav><ul>" + "<li><a href=x>Some menu entry</a></li>" * 30 + "</ul></nav>"
+    page = f"<html><body>{menu}<article><p>" + "word " * 40 + f"</article><footer>{menu}</footer></body></html>"
+    scores = html_extract.learn([page] * 50)
+    body = "<p>" + "first " * 20 + "<p>see <a href=y>this page</a> for more.<ul>" + "<li>one of six" * 6 + "</ul><p>The last words stand here, after all."
+    got = html_extract.extract(f"<html><body>{menu}<article>{body}</article><footer>{menu}</footer></body></html>", scores)
+    assert got == "first " * 20 + "see this page for more." + " one of six" * 6 + " The last words stand here, after all."
+
+
 def test_leaks(spark):
     rng = random.Random(3)
     words = [f"word{i}" for i in range(400)]
