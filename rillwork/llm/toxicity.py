@@ -1,5 +1,6 @@
 """Toxicity by compression distance: windows of a text under dictionaries of toxic and of ordinary text."""
 
+import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -50,8 +51,8 @@ class ToxicModel:
 
 
 def margins(text: str | None, ordinary, toxic, p: ToxicParams) -> np.ndarray:
-    """For each window of the whole text, how many bytes shorter it is under the toxic dictionary."""
-    data = (text or "").encode("utf-8", "surrogatepass")
+    """For each window of the whole text in lower case, how many bytes shorter it is under the toxic dictionary."""
+    data = (text or "").lower().encode("utf-8", "surrogatepass")
     a, b = ordinary.compress, toxic.compress
     ends = max(1, len(data) - p.window + p.stride)
     return np.array([len(a(w)) - len(b(w)) for w in (data[i : i + p.window] for i in range(0, ends, p.stride)) if w], np.int32)
@@ -67,32 +68,37 @@ def features(m: np.ndarray, thresholds: list[float]) -> np.ndarray:
 
 
 def _toxic_text(toxic: list[str], ordinary: list[str], size: int) -> bytes:
-    """Passages that set toxic documents apart: words, or their beginnings, in many toxic documents and few others."""
+    """A lexicon of what sets toxic documents apart: words, their beginnings and pairs, in many toxic documents and few others.
 
-    def holders(texts):
+    Not trained by zstandard: dictionaries trained on the toxic half hold mostly the ordinary text around such words,
+    and catch fewer held-out documents (README). What fewer than 4 samples or 2 % of them hold is left out.
+    """
+
+    def holders(texts, among=None):
         out = Counter()
         for t in texts:
-            seen = set()
-            for w in set(_WORD.findall(t)):
-                seen.update(w[:k] for k in range(4, min(len(w), 9) + 1))
+            words, seen = _WORD.findall(t), set()
+            for w in set(words):
+                seen.update(w[:k] for k in range(3, min(len(w), 9) + 1))
                 seen.add(w[:16])
-            out.update(x for x in seen if len(x) >= 4)
+            seen.update(f"{v} {w}" for v, w in itertools.pairwise(words))
+            out.update(x for x in seen if len(x) >= 3 and (among is None or x in among))
         return out
 
-    a, b = holders(toxic), holders(ordinary)
     n, m = max(1, len(toxic)), max(1, len(ordinary))
+    a = {x: k for x, k in holders(toxic).items() if k >= max(4, 0.02 * n)}
+    b = holders(ordinary, a)
     rated = []
     for x, k in a.items():
-        if k >= max(4, 0.02 * n):
-            rate, other = k / n, (b[x] + 0.5) / m
-            if rate > 6 * other:
-                rated.append((k * np.log(rate / other), x))
+        rate, other = k / n, (b[x] + 0.5) / m
+        if rate > 6 * other:
+            rated.append((k * np.log(rate / other), x))
     rated.sort(reverse=True)
     out, used, chosen = [], 0, []
     for score, x in rated:
         if score < 0.1 * rated[0][0]:  # what a few copies of one document share
             break
-        if any(x.startswith(c) or c.startswith(x) for c in chosen):  # one piece a stem
+        if any(x.startswith(c) or c.startswith(x) or (" " in x and f" {c}" in x) for c in chosen):  # one piece a stem
             continue
         chosen.append(x)
         piece = (" " + x).encode()
@@ -119,8 +125,8 @@ def fit(samples: list[tuple[str, int, float]], p: ToxicParams | None = None) ->
     rng = np.random.default_rng(p.seed)
     half = rng.permutation(len(samples)) % 2 == 0
     first = [s for s, h in zip(samples, half, strict=True) if h]
-    toxic = [t[: p.max_chars] for t, y, _ in first if y == 1]
-    plain = [t[: p.max_chars] for t, y, _ in first if y == 0]
+    toxic = [t[: p.max_chars].lower() for t, y, _ in first if y == 1]
+    plain = [t[: p.max_chars].lower() for t, y, _ in first if y == 0]
     pieces = [t.encode("utf-8", "surrogatepass")[i : i + 256] for t in plain for i in range(0, len(t), 256)]
     pieces = [pieces[i] for i in rng.permutation(len(pieces))[:20_000]]
     try:

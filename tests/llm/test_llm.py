@@ -166,6 +166,30 @@ def test_toxicity_catches_its_words(spark):
     assert all(0 <= s <= 1 for s in got)
 
 
+def test_toxicity_knows_capitals_and_phrases():
+    rng = random.Random(3)
+    plain = lambda: [rng.choice(NAMES) for _ in range(120)]
+
+    def toxic(phrases):
+        w = plain()
+        for _ in range(6):
+            w[rng.randrange(len(w))] = rng.choice(phrases)
+        return w
+
+    def caught(model, texts):
+        z = [toxicity.features(toxicity.margins(t, *model.compressors(), model.p), model.thresholds) @ model.weights[:-1] + model.weights[-1] for t in texts]
+        return sum(x >= 0 for x in z)
+
+    data = [(" ".join(toxic(["moronic", "scumbag", "worthless"])), 1, 1.0) for _ in range(100)] + [(" ".join(plain()), 0, 1.0) for _ in range(100)]
+    fresh = [" ".join(toxic(["moronic", "scumbag", "worthless"])) for _ in range(20)]
+    assert caught(toxicity.fit(data), [t.replace(w, w.upper()) for w in ("moronic",) for t in fresh]) >= 18
+    assert caught(toxicity.fit(data), [t.upper() for t in fresh]) >= 18
+    # words that are ordinary apart, toxic together
+    pairs = toxicity._toxic_text(["get lost now"] * 50, ["get now", "lost now"] * 50, 2000)
+    assert b"get lost" in pairs
+    assert b"git" in toxicity._toxic_text(["a git now"] * 50, ["a now"] * 50, 2000)
+
+
 def test_pages():
     page = "<html><head><title>T</title></head><body><nav><a href=1>Home</a></nav><div class='site-banner'>Buy now</div><article><h1>Head &amp; tail</h1><p>One <b>two</b>three\n four.<p>Five<aside>no</aside> six</article><section id=comments><p>me too</p></section><footer>end</footer>"
     scores = html_extract.learn([page] * 20)
