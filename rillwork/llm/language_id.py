@@ -21,6 +21,8 @@ BUCKETS = 1 << 15
 BLOCK = 128
 #: Distinct words a task remembers scores of.
 MEMORY = 300_000
+#: A word of more bytes is cut into pieces of so many characters; each has a place in the chain.
+LONG, PIECE = 48, 8
 
 
 @dataclass(frozen=True)
@@ -36,13 +38,37 @@ class CrfParams:
     seed: int = 5
 
 
+def cut(words: list[str]) -> list[str]:
+    """The words, those of over LONG bytes as consecutive pieces, so that writing without spaces counts in full.
+
+    A piece has a space on a side that is no edge of the word, and the 3 characters that follow it, so that no gram
+    is lost between two pieces.
+    """
+    if not any(len(w) > LONG // 4 and len(w.encode("utf-8", "surrogatepass")) > LONG for w in words):
+        return words
+    out = []
+    for w in words:
+        if len(w.encode("utf-8", "surrogatepass")) <= LONG:
+            out.append(w)
+        else:
+            out.extend((" " if i else "") + w[i : i + PIECE + 3] + (" " if i + PIECE < len(w) else "") for i in range(0, len(w), PIECE))
+    return out
+
+
+def _edged(word: str) -> bytes:
+    if not any(map(str.isalpha, word)):
+        return b""
+    data = word.strip(" ").lower().encode("utf-8", "surrogatepass")
+    return (b"" if word.startswith(" ") else b"^") + data + (b"" if word.endswith(" ") else b"$")
+
+
 def features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Feature numbers of all words in one run, with the word each belongs to, and how many each word has.
 
-    A word stands between edge marks; its 2- to 4-byte grams are its affixes, where they hold an edge, and its
-    character n-grams. A word of the lexicon has a feature of its own. A word without letters has none.
+    A word, or piece from cut(), stands between edge marks; its 2- to 4-byte grams are its affixes, where they hold an
+    edge, and its character n-grams. A word of the lexicon has a feature of its own. A word without letters has none.
     """
-    edged = [b"^" + w.lower().encode("utf-8", "surrogatepass")[:40] + b"$" if w.isalpha() or any(map(str.isalpha, w)) else b"" for w in words]
+    edged = [_edged(w) for w in words]
     sizes = np.array([len(e) for e in edged], np.int64)
     data = np.frombuffer(b"".join(edged), np.uint8).astype(np.uint64)
     owner = np.repeat(np.arange(len(words)), sizes)
@@ -153,6 +179,7 @@ def fit(samples: list[tuple[str, list[str]]], p: CrfParams | None = None) -> Crf
     """Maximum likelihood by stochastic gradients, on code-switched chains put together from pieces of the samples."""
     p = p or CrfParams()
     rng = np.random.default_rng(p.seed)
+    samples = [(lang, cut(words)) for lang, words in samples]
     langs = sorted({lang for lang, _ in samples})
     of = {lang: i for i, lang in enumerate(langs)}
     counts = {lang: Counter() for lang in langs}
@@ -230,9 +257,12 @@ def collect_samples(labelled: DataFrame, p: CrfParams | None = None) -> list[tup
     # a slice from a place that the hash decides; short texts are taken whole
     first = 1 + F.pmod(F.col("h"), F.greatest(F.lit(1), F.size("w") - p.words_per_doc)).cast("int")
     chosen = known.where(rank < F.try_element_at(share, F.col("lang"))).select("lang", F.xxhash64("text").alias("h"), words.alias("w"))
-    chosen = chosen.select("lang", F.slice("w", first, F.lit(p.words_per_doc)).alias("w"))
+    # of a word too long for that many pieces, a passage from such a place
+    most = p.words_per_doc * PIECE
+    passage = lambda x: F.substring(x, 1 + F.pmod(F.col("h"), F.greatest(F.lit(1), F.char_length(x) - most)).cast("int"), F.lit(most))
+    chosen = chosen.select("lang", F.transform(F.slice("w", first, F.lit(p.words_per_doc)), passage).alias("w"))
     rows = chosen.limit(3 * p.docs_per_lang * len(sizes)).collect()
-    return sorted(((r["lang"], list(r["w"])) for r in rows if r["w"]), key=lambda x: (x[0], x[1]))
+    return sorted(((r["lang"], cut(list(r["w"]))[: p.words_per_doc]) for r in rows if r["w"]), key=lambda x: (x[0], x[1]))
 
 
 def _predict(model: Crf, with_text: bool):
@@ -249,7 +279,7 @@ def _predict(model: Crf, with_text: bool):
                     known, scores, spoken = {}, scores[:0], spoken[:0]
                 ids, lengths, before = [], [], len(known)
                 for t in part:
-                    words = t.split() if t else []
+                    words = cut(t.split()) if t else []
                     ids.extend([known.setdefault(w, len(known)) for w in words])
                     lengths.append(len(words))
                 if len(known) > before:
@@ -277,12 +307,12 @@ def _predict(model: Crf, with_text: bool):
 
 
 def label_words(model: Crf, text: str) -> list[tuple[str, str, float]]:
-    """(word, language, probability) of each word of one text that has a letter."""
-    words = [w for w in text.split() if any(map(str.isalpha, w))]
+    """(word, language, probability) of each word of one text that has a letter, or of its pieces if it is long."""
+    words = [w for w in cut(text.split()) if any(map(str.isalpha, w))]
     if not words:
         return []
     m = model.marginals(model.word_scores(words), np.array([len(words)]))
-    return [(w, model.langs[k], float(p[k])) for w, p, k in zip(words, m, m.argmax(axis=1), strict=True)]
+    return [(w.strip(" ")[:PIECE] if " " in w else w, model.langs[k], float(p[k])) for w, p, k in zip(words, m, m.argmax(axis=1), strict=True)]
 
 
 def predict(docs: DataFrame, model: Crf, keep: list[str], with_text: bool = False) -> DataFrame:

@@ -138,6 +138,23 @@ def test_language_model(spark):
     assert language_id.fit([]).langs == []
 
 
+def test_language_of_long_words(spark):
+    rng = random.Random(6)
+    shared, zh, ja = "一二三四五六七八九十百千万", "我你他的是在有这中国", "のはをにがでとますした"
+    run = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    fitted = language_id.fit([("zh", [run(shared, 13) + run(zh, 80)]) for _ in range(60)] + [("ja", [run(shared, 13) + run(ja, 80)]) for _ in range(60)])
+    texts = [run(shared, 13) + run(letters, 100) for letters in (zh, ja) * 10] + [run(zh, 64) + run(ja, 200)]
+    out = language_id.predict(docs_of(spark, texts), fitted, ["doc_id"]).orderBy("doc_id").collect()
+    assert [r.lang_pred for r in out] == ["zh", "ja"] * 10 + ["ja"]
+    assert out[-1].n_switches == 1
+    assert "".join(w for w, _, _ in language_id.label_words(fitted, texts[-1])) == texts[-1]
+    word = "unterwasser" * 4 + "ung"
+    assert language_id.features([word], {})[0].tolist() != language_id.features([word[:-1] + "d"], {})[0].tolist()
+    # every gram of a long word stands in one of its pieces
+    whole, parts = run("abcdefgh", 333), lambda x: {x[i : i + k] for k in (2, 3, 4) for i in range(len(x) - k + 1)}
+    assert parts(f"^{whole}$".encode()) == set().union(*[parts(language_id._edged(x)) for x in language_id.cut([whole])])
+
+
 def held_out(spark, name, label):
     out = queries.queries()[name](spark, "/root/testdata/sf0.01").where("held_out")
     return out.join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", label), "doc_id").toPandas()
