@@ -162,6 +162,21 @@ def first_outlet(flow: DataFrame, n: int, outlets: DataFrame, rounds: int = 40)
     raise RuntimeError("the drainage has a loop")
 
 
+def erode(cells: DataFrame, passes: int = 3) -> DataFrame:
+    """(r, c) of a mask thinned by a 3x3 square: cells whose nine all stand in it, at most ``passes`` times.
+
+    A pass that would leave nothing is not taken, so a mask too thin for any stays as it is. Outside is empty.
+    """
+    around = F.explode(F.array(*[F.struct((F.col("r") + dr).alias("r"), (F.col("c") + dc).alias("c")) for dr in (-1, 0, 1) for dc in (-1, 0, 1)]))
+    mask = cells.select("r", "c").distinct()
+    for _ in range(passes):
+        inner = written(mask.select(around.alias("x")).groupBy("x.r", "x.c").count().where("count = 9").select("r", "c"))
+        if inner.isEmpty():
+            break
+        mask = inner
+    return mask
+
+
 def components(cells: DataFrame, n: int, eight: bool = True, rounds: int = 60) -> DataFrame:
     """(r, c, zone): connected cells share the least cell number. Labels spread to neighbours and then jump."""
     steps = [(dr, dc) for _, dr, dc, _ in D8 if eight or not (dr and dc)]

@@ -391,8 +391,15 @@ def q34_ridges(spark, sf):
     n = T.side(spark, sf)
     tpi = terrain.box_mean(T.grid(spark, sf), n, 7, "z", "mean").where((F.col("z") - F.col("mean") > 0.02) & F.col("r").between(1, n - 2) & F.col("c").between(1, n - 2))
     crest = T.written(tpi.join(_counted(spark, sf).where("acc <= 2"), ["r", "c"]).select("r", "c", "z"))
-    zones = crest.join(terrain.components(crest, n, eight=False), ["r", "c"])
-    out = zones.groupBy("zone").agg(F.count("*").alias("cells"), F.avg("z").alias("mean_z")).orderBy(F.desc("cells"), "zone").limit(30)
+    return _ridge_zones(crest, n)
+
+
+def _ridge_zones(crest: DataFrame, n: int, least_m: float = 100.0) -> DataFrame:
+    """The 30 largest connected parts of the thinned crest, of those as long as ``least_m`` or more, in cells."""
+    thin = T.written(terrain.erode(crest))
+    zones = crest.join(terrain.components(thin, n, eight=False), ["r", "c"])
+    sizes = zones.groupBy("zone").agg(F.count("*").alias("cells"), F.avg("z").alias("mean_z"))
+    out = sizes.where(F.col("cells") >= max(3, int(least_m / T.CELL))).orderBy(F.desc("cells"), "zone").limit(30)
     return rounded(out, "mean_z")
 
 

@@ -79,6 +79,19 @@ def test_components_and_greedy(spark):
     assert [(x.r, x.c) for x in top] == [(0, 0), (9, 9)]
 
 
+def test_ridges_are_thinned_and_long_enough(spark):
+    block = lambda r0, c0, h, w: {(r, c) for r in range(r0, r0 + h) for c in range(c0, c0 + w)}
+    df = lambda mask: spark.createDataFrame([(r, c, 1.0) for r, c in sorted(mask)], "r int, c int, z double")
+    got = lambda mask, **k: {tuple(x) for x in terrain.erode(df(mask), **k).collect()}
+    assert got(block(2, 2, 9, 9)) == block(5, 5, 3, 3)
+    assert got(block(0, 0, 5, 5)) == {(2, 2)}  # the third pass would leave nothing
+    assert got(block(2, 2, 2, 9)) == block(2, 2, 2, 9)  # too thin for any pass
+    # two wide crests joined by a neck, a small one and a line: the neck and what is small or thin go
+    mask = block(2, 2, 7, 36) | block(20, 2, 7, 36) | block(9, 10, 11, 1) | block(40, 2, 7, 10) | block(50, 2, 1, 40)
+    out = catalog._ridge_zones(df(mask), 60).collect()
+    assert [(x.zone, x.cells) for x in out] == [(5 * 60 + 5, 30), (23 * 60 + 5, 30)]
+
+
 def test_cascade_step():
     assert cascade.step([0.0], [150.0], [0.0], [100.0], [-1]) == ([100.0], [0.0], [50.0], 50.0)
     assert cascade.step([0.0, 0.0], [100.0, 0.0], [0.0, 0.0], [50.0, 200.0], [1, -1])[0] == [50.0, 50.0]
