@@ -345,7 +345,10 @@ def q28_receivers(spark, sf):
 
 
 def _simulated(spark, sf) -> DataFrame:
-    feed = _increments(spark, sf).where("cn = 70").select("time_min", F.lit(1.0).alias("hours"), "mm")
+    """Over all days of rain: the runoff of each is that of a storm of its own, the stores keep what they hold."""
+    storm = Window.partitionBy("day").orderBy("hour")
+    q = T.daily_rain(spark, sf).withColumn("q", H.runoff_mm(F.sum("mm").over(storm.rowsBetween(Window.unboundedPreceding, 0)), F.lit(70)))
+    feed = q.select("time_min", F.lit(1.0).alias("hours"), F.greatest(F.lit(0.0), F.col("q") - F.lag("q", 1, 0.0).over(storm)).alias("mm"))
     return cascade.simulate(T.stores(spark, sf), feed)
 
 

@@ -46,11 +46,24 @@ def grid(spark: SparkSession, sf_dir: str, noise: float = SMOOTH) -> DataFrame:
 
 
 def hourly_rain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(hour, mm) of the first 24 hours; an hour without an event has none."""
+    """(hour, mm) of the first 24 hours, as the queries' SQL has it (daily_rain: all of them); an hour without an event has none."""
     e = table(spark, sf_dir, "events").where(F.col("ts") < F.lit("2024-01-02").cast("timestamp")).groupBy(F.hour("ts").alias("hour")).agg((F.avg("value") / 10).alias("mm"))
     return spark.range(24).select(F.col("id").cast("int").alias("hour")).join(e, "hour", "left").select("hour", F.coalesce("mm", F.lit(0.0)).alias("mm"))
 
 
+def daily_rain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(day, hour, time_min, mm) of all events: every hour of every day from the first to the last, an hour without an event has none.
+
+    time_min is the end of the hour, counted from the start of the first day. No event gives no row.
+    """
+    at = F.date_trunc("hour", "ts")
+    rain = table(spark, sf_dir, "events").where("ts is not null").groupBy(F.to_date(at).alias("day"), F.hour(at).alias("hour")).agg((F.avg("value") / 10).alias("mm"))
+    days = rain.agg(F.min("day").alias("first"), F.max("day").alias("last")).where("first is not null")
+    days = days.select("first", F.explode(F.sequence("first", "last")).alias("day"))
+    hours = days.select("day", F.datediff("day", "first").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(23))).alias("hour"))
+    return hours.join(rain, ["day", "hour"], "left").select("day", "hour", ((F.col("n") * 24 + F.col("hour") + 1) * 60).alias("time_min"), F.coalesce("mm", F.lit(0.0)).alias("mm"))
+
+
 def hyetograph(rain: DataFrame) -> DataFrame:
     """(time_min, cum_mm) from hourly depths, from time 0."""
     cum = rain.select(((F.col("hour") + 1) * 60).alias("time_min"), F.sum("mm").over(Window.orderBy("hour").rowsBetween(Window.unboundedPreceding, 0)).alias("cum_mm"))

@@ -92,6 +92,18 @@ def test_ridges_are_thinned_and_long_enough(spark):
     assert [(x.zone, x.cells) for x in out] == [(5 * 60 + 5, 30), (23 * 60 + 5, 30)]
 
 
+def test_storm_takes_the_rain_of_all_days(spark, tmp_path):
+    spark.sql("select timestamp'2024-03-01 05:10:00' ts, 900.0D value union all select timestamp'2024-03-03 23:59:59', 1000.0D union all select timestamp'2024-03-03 23:00:00', 800.0D").write.parquet(f"{tmp_path}/events.parquet")
+    spark.sql("select 1L s_suppkey, 'a' s_name, 0 s_nationkey, 5.0D s_acctbal").write.parquet(f"{tmp_path}/supplier.parquet")
+    rain = {x.time_min: x.mm for x in T.daily_rain(spark, str(tmp_path)).collect()}
+    assert len(rain) == 72 and {k: v for k, v in rain.items() if v} == {360: 90.0, 4320: 90.0}
+    out = {x.time_min: x.inflow for x in catalog.q29_storm_simulation(spark, str(tmp_path)).collect()}
+    runoff = value(spark, H.runoff_mm(90.0, 70))
+    assert len(out) == 72 and {k: v for k, v in out.items() if v} == {k: pytest.approx(runoff / 1000 * 1000 * 2, abs=1e-6) for k in (360, 4320)}
+    assert catalog.q30_store_summary(spark, str(tmp_path)).first().inflow == pytest.approx(2 * 2 * runoff, abs=1e-5)
+    assert catalog.q40_fill_frames(spark, str(tmp_path)).count() == 72
+
+
 def test_cascade_step():
     assert cascade.step([0.0], [150.0], [0.0], [100.0], [-1]) == ([100.0], [0.0], [50.0], 50.0)
     assert cascade.step([0.0, 0.0], [100.0, 0.0], [0.0, 0.0], [50.0, 200.0], [1, -1])[0] == [50.0, 50.0]
