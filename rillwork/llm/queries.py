@@ -69,7 +69,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = toxicity.fit(toxicity.collect_samples(docs, _labels(spark, sf_dir, "toxic")))
+    model = toxicity.fit_tables(docs, _labels(spark, sf_dir, "toxic"))
     out = toxicity.score(docs, model, ["doc_id"])
     return out.select("doc_id", (bucket_of("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 

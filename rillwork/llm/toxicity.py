@@ -20,7 +20,7 @@ N_FEATURES = 9
 
 @dataclass(frozen=True)
 class ToxicParams:
-    """max_per_class bounds the labelled documents collected for the fit, max_chars the text taken of each."""
+    """max_per_class bounds the labelled documents of the fit, max_chars the text taken of each for the dictionaries."""
 
     max_per_class: int = 1500
     max_chars: int = 20_000
@@ -119,51 +119,85 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarr
     return w
 
 
-def fit(samples: list[tuple[str, int, float]], p: ToxicParams | None = None) -> ToxicModel:
-    """samples: (text, label, how many rows it stands for). Dictionaries from one half, thresholds from the other."""
-    p = p or ToxicParams()
+def histogram(m: np.ndarray, p: ToxicParams) -> np.ndarray:
+    """How many windows have each margin, from -span to span: a window's margin cannot be larger than itself and its frame."""
+    span = p.window + 32
+    return np.bincount(np.clip(m, -span, span) + span, minlength=2 * span + 1)
+
+
+def _quantile(counts: np.ndarray, q: float) -> float:
+    """Of the margins that a histogram counts; 0 if there are none."""
+    ends = np.cumsum(counts)
+    return float(np.searchsorted(ends, q * (ends[-1] - 1), side="right") - len(counts) // 2) if ends[-1] else 0.0
+
+
+def _dictionaries(first: list[tuple[str, int]], p: ToxicParams) -> ToxicModel:
     rng = np.random.default_rng(p.seed)
-    half = rng.permutation(len(samples)) % 2 == 0
-    first = [s for s, h in zip(samples, half, strict=True) if h]
-    toxic = [t[: p.max_chars].lower() for t, y, _ in first if y == 1]
-    plain = [t[: p.max_chars].lower() for t, y, _ in first if y == 0]
+    toxic = [t.lower() for t, y in first if y == 1]
+    plain = [t.lower() for t, y in first if y == 0]
     pieces = [t.encode("utf-8", "surrogatepass")[i : i + 256] for t in plain for i in range(0, len(t), 256)]
     pieces = [pieces[i] for i in rng.permutation(len(pieces))[:20_000]]
     try:
         base = zstandard.train_dictionary(p.ordinary_bytes, pieces).as_bytes() if pieces else b""
     except zstandard.ZstdError:  # too little text to train on: it is the dictionary
         base = b"".join(pieces)[: p.ordinary_bytes]
-    model = ToxicModel(base, base + _toxic_text(toxic, plain, p.toxic_bytes), [2.0, 3.0, 5.0], np.zeros(N_FEATURES + 1), p)
-    two = model.compressors()
-    rest = [s for s, h in zip(samples, half, strict=True) if not h]
-    m = [margins(t, *two, p) for t, _, _ in rest]
-    y = np.array([label for _, label, _ in rest], float)
+    return ToxicModel(base, base + _toxic_text(toxic, plain, p.toxic_bytes), [2.0, 3.0, 5.0], np.zeros(N_FEATURES + 1), p)
+
+
+def _calibrate(model: ToxicModel, rest: list[tuple[np.ndarray, int]], seen: dict[int, int], stood: dict[int, float]) -> ToxicModel:
+    """Thresholds and weights from the margins' histograms of whole texts; ``seen`` rows of a class stood for ``stood``."""
+    y = np.array([label for _, label in rest], float)
     if len(set(y.tolist())) < 2:
-        model.weights[-1] = -3.0 if not any(label for _, label, _ in samples) else 0.0
+        model.weights[-1] = -3.0 if not seen.get(1) else 0.0
         return model
     # calibrated: margins that a window of ordinary text passes once in 20, 100 and 1000 times
-    calm = np.concatenate([x for x, label in zip(m, y, strict=True) if not label] or [np.zeros(1)])
-    model.thresholds = [float(max(i, np.quantile(calm, q))) for i, q in ((1, 0.95), (2, 0.99), (3, 0.999))]
-    x = np.stack([features(v, model.thresholds) for v in m])
+    calm = sum(h for h, label in rest if not label)
+    model.thresholds = [max(float(i), _quantile(calm, q)) for i, q in ((1, 0.95), (2, 0.99), (3, 0.999))]
+    bins = np.arange(len(calm)) - len(calm) // 2
+    x = np.stack([features(np.repeat(bins, h), model.thresholds) for h, _ in rest])
     model.weights = _fit_logistic(x, y)
     # the classes were sampled at different rates
-    seen = {k: sum(1 for _, label, _ in samples if label == k) for k in (0, 1)}
-    stood = {k: sum(w for _, label, w in samples if label == k) for k in (0, 1)}
     model.weights[-1] += np.log(stood[1] / stood[0]) - np.log(seen[1] / seen[0])
     return model
 
 
-def collect_samples(docs: DataFrame, labels: DataFrame, p: ToxicParams | None = None) -> list[tuple[str, int, float]]:
-    """Of each class, about max_per_class of the documents (doc_id, text) that ``labels`` (doc_id, label) marks."""
+def fit(samples: list[tuple[str, int, float]], p: ToxicParams | None = None) -> ToxicModel:
+    """samples: (text, label, how many rows it stands for). Dictionaries from one half, thresholds from the other."""
+    p = p or ToxicParams()
+    half = np.random.default_rng(p.seed).permutation(len(samples)) % 2 == 0
+    model = _dictionaries([(t[: p.max_chars], y) for (t, y, _), h in zip(samples, half, strict=True) if h], p)
+    two = model.compressors()
+    rest = [(histogram(margins(t, *two, p), p), y) for (t, y, _), h in zip(samples, half, strict=True) if not h]
+    seen = {k: sum(1 for _, label, _ in samples if label == k) for k in (0, 1)}
+    return _calibrate(model, rest, seen, {k: sum(w for _, label, w in samples if label == k) for k in (0, 1)})
+
+
+def fit_tables(docs: DataFrame, labels: DataFrame, p: ToxicParams | None = None) -> ToxicModel:
+    """As fit(), of each class on about max_per_class of the documents (doc_id, text) that ``labels`` (doc_id, label) marks.
+
+    Dictionaries come from passages of one half, collected; the other half is measured whole, in tasks, and only
+    histograms of its margins are collected.
+    """
     p = p or ToxicParams()
     known = labels.where("label in (0, 1)")
     sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     chosen = sampled_texts(docs, known, {k: p.max_per_class / n for k, n in sizes.items()}, 4 * p.max_per_class, p.seed).where("text is not null")
+    half = F.pmod(F.xxhash64("text", F.lit(p.seed)), F.lit(2))
     # a passage from a place that the hash decides; texts under max_chars are whole
     first = 1 + F.pmod(F.xxhash64("text"), F.greatest(F.lit(1), F.char_length("text") - p.max_chars)).cast("int")
-    rows = chosen.select(F.substring("text", first, F.lit(p.max_chars)).alias("text"), "label").collect()
-    got = Counter(r["label"] for r in rows)
-    return sorted((r["text"], int(r["label"]), sizes[r["label"]] / got[r["label"]]) for r in rows)
+    rows = chosen.where(half == 0).select(F.substring("text", first, F.lit(p.max_chars)).alias("text"), "label").collect()
+    model = _dictionaries(sorted((r["text"], int(r["label"])) for r in rows), p)
+
+    @F.pandas_udf("array<long>")
+    def measured(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        two = model.compressors()
+        for texts in batches:
+            yield pd.Series([histogram(margins(t, *two, p), p) for t in texts], dtype=object)
+
+    rest = chosen.where(half == 1).select(measured("text").alias("h"), "label").collect()
+    rest = sorted(((list(r["h"]), int(r["label"])) for r in rest))
+    got = Counter(int(r["label"]) for r in rows) + Counter(y for _, y in rest)
+    return _calibrate(model, [(np.array(h, np.int64), y) for h, y in rest], got, sizes)
 
 
 def score(docs: DataFrame, model: ToxicModel, keep: list[str]) -> DataFrame:

@@ -207,6 +207,21 @@ def test_toxicity_knows_capitals_and_phrases():
     assert b"git" in toxicity._toxic_text(["a git now"] * 50, ["a now"] * 50, 2000)
 
 
+def test_toxicity_calibrates_on_whole_texts(spark):
+    rng = random.Random(8)
+    p = toxicity.ToxicParams(max_chars=300)
+    plain = lambda n: [rng.choice(NAMES) for _ in range(n)]
+    texts = [" ".join(plain(100) + (["moronic", "scumbag"] * 4 if i % 2 else [])) for i in range(120)]
+    docs = docs_of(spark, texts)
+    model = toxicity.fit_tables(docs, docs.selectExpr("doc_id", "cast(doc_id % 2 as int) label"), p)
+    # the words stand behind the first 300 characters: passages hold few of them, whole texts all
+    two = model.compressors()
+    halves = [r.h for r in docs.selectExpr(f"pmod(xxhash64(text, {p.seed}), 2) h").collect()]
+    calm = np.concatenate([toxicity.margins(t, *two, p) for i, (t, h) in enumerate(zip(texts, halves, strict=True)) if h == 1 and i % 2 == 0])
+    assert model.thresholds == [max(i, float(np.quantile(calm, q, method="lower"))) for i, q in ((1.0, 0.95), (2.0, 0.99), (3.0, 0.999))]
+    assert sum(toxicity.histogram(calm, p)) == len(calm)
+
+
 def test_pages():
     page = "<html><head><title>T</title></head><body><nav><a href=1>Home</a></nav><div class='site-banner'>Buy now</div><article><h1>Head &amp; tail</h1><p>One <b>two</b>three\n four.<p>Five<aside>no</aside> six</article><section id=comments><p>me too</p></section><footer>end</footer>"
     scores = html_extract.learn([page] * 20)
