@@ -202,9 +202,22 @@ def test_toxicity_knows_capitals_and_phrases():
     assert caught(toxicity.fit(data), [t.replace(w, w.upper()) for w in ("moronic",) for t in fresh]) >= 18
     assert caught(toxicity.fit(data), [t.upper() for t in fresh]) >= 18
     # words that are ordinary apart, toxic together
-    pairs = toxicity._toxic_text(["get lost now"] * 50, ["get now", "lost now"] * 50, 2000)
-    assert b"get lost" in pairs
-    assert b"git" in toxicity._toxic_text(["a git now"] * 50, ["a now"] * 50, 2000)
+    marks = toxicity._marks(["get lost now"] * 50, ["get now", "lost now"] * 50)
+    assert "get lost" in marks
+    assert toxicity._excess(["get lost, now get out"], ["get lost"]) == [b" get lost"]
+    assert "git" in toxicity._marks(["a git now"] * 50, ["a now"] * 50)
+    assert toxicity._excess(["gits and a git"], ["git"]) == [b" git git"]
+
+
+def test_toxicity_of_one_class():
+    for label in (0, 1):
+        model = toxicity.fit([("some text", label, 1.0)] * 9)
+        z = toxicity.features(toxicity.margins("other text", *model.compressors(), model.p), model.thresholds) @ model.weights[:-1] + model.weights[-1]
+        assert (z >= 0) == (label == 1)
+    # both known, one of them missing in the half that calibrates: the commoner one
+    counts = {1: 2.0, 0: 40.0}
+    made = toxicity._calibrate(toxicity.fit([]), [(toxicity.histogram(np.array([0]), toxicity.ToxicParams()), 0)] * 5, {0: 5, 1: 1}, counts)
+    assert made.weights[-1] < 0 and toxicity.fit([]).weights[-1] < 0
 
 
 def test_toxicity_calibrates_on_whole_texts(spark):
