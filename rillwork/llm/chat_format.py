@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>\n"
-#: What follows a start mark.
-_PIECE = r"(?s)^((?:[^\\\n]|\\.)*)\n(.*)<\|im_end\|>\n$"
 
 
 def escape_text(c: Column) -> Column:
@@ -16,13 +14,20 @@ def escape_text(c: Column) -> Column:
 
 
 def escape_role(c: Column) -> Column:
-    return F.replace(escape_text(c), F.lit("\n"), F.lit("\\\n"))
+    """As escape_text; a line feed becomes a backslash and an n, so that a role ends at the first line feed."""
+    return F.replace(escape_text(c), F.lit("\n"), F.lit("\\n"))
 
 
 def unescape(c: Column) -> Column:
     return F.regexp_replace(c, r"(?s)\\(.)", "$1")
 
 
+def unescape_role(c: Column) -> Column:
+    """Pairs of backslashes first, read from the left, then the other escapes in what lies between them."""
+    parts = F.split(c, r"\\\\", -1)
+    return F.array_join(F.transform(parts, lambda x: F.replace(F.replace(x, F.lit("\\n"), F.lit("\n")), F.lit("\\|"), F.lit("|"))), "\\")
+
+
 def _render(turns: Column, role, text) -> Column:
     return F.array_join(F.transform(turns, lambda t: F.concat(F.lit(START), role(t["role"]), F.lit("\n"), text(t["text"]), F.lit(END))), "")
 
@@ -33,35 +38,56 @@ def _pieces(formatted: Column) -> Column:
     return F.slice(parts, F.lit(2), F.size(parts) - 1)
 
 
+def _fields(pieces: Column) -> Column:
+    """Each piece as (whole, head, text), both still escaped: the head ends at the first line feed, the text at the end mark.
+
+    Plain searches only, no pattern that backtracks, so a line or a text may be of any length.
+    """
+
+    def one(p):
+        head = F.substring_index(p, "\n", 1)
+        rest = F.substr(p, F.char_length(head) + 2)
+        whole = F.endswith(rest, F.lit(END))
+        text = F.substr(rest, F.lit(1), F.greatest(F.lit(0), F.char_length(rest) - len(END)))
+        return F.struct((whole & ~F.contains(text, F.lit(END.strip()))).alias("whole"), head.alias("head"), text.alias("text"))
+
+    return F.transform(pieces, one)
+
+
 def parse(formatted: Column) -> Column:
     """The turns of a rendered conversation, as array<struct<role, text>>.
 
     Marks count wherever they stand. A piece that is no turn, with no end mark or with two, has null fields.
     """
+    turn = lambda f: F.struct(F.when(f["whole"], unescape_role(f["head"])).alias("role"), F.when(f["whole"], unescape(f["text"])).alias("text"))
+    return F.transform(_fields(_pieces(formatted)), turn)
 
-    def turn(p):
-        text = F.regexp_extract(p, _PIECE, 2)
-        whole = p.rlike(_PIECE) & ~F.contains(text, F.lit(END.strip()))
-        return F.struct(F.when(whole, unescape(F.regexp_extract(p, _PIECE, 1))).alias("role"), F.when(whole, unescape(text)).alias("text"))
 
-    return F.transform(_pieces(formatted), turn)
+def loss_runs(formatted: Column, role: str = "assistant") -> Column:
+    """The loss mask as runs of code points, one for each turn: ``skip`` outside the mask, ``take`` under it, ``rest`` outside.
+
+    The runs follow each other without a gap and cover the whole rendered text. A text of the role is under the mask
+    as it stands there, escapes included; other turns have take 0. Linear in the conversation's length.
+    """
 
+    def run(f):
+        said = f["whole"] & (unescape_role(f["head"]) == role)
+        n = F.char_length(f["text"])
+        before, after = F.char_length(f["head"]) + len(START) + 1, F.lit(len(END))
+        return F.struct(before.cast("long").alias("skip"), F.when(said, n).otherwise(0).cast("long").alias("take"), (F.when(said, 0).otherwise(n) + after).cast("long").alias("rest"))
 
-def loss_spans(formatted: Column, role: str = "assistant") -> Column:
-    """(first, length) in code points of each text of the role, as it stands in the rendered conversation."""
-    zero = F.struct(F.lit(1).cast("long").alias("at"), F.expr("cast(array() as array<struct<first: bigint, n: bigint>>)").alias("spans"))
+    return F.transform(_fields(_pieces(formatted)), run)
 
-    def step(acc, p):
-        head, text = F.regexp_extract(p, _PIECE, 1), F.regexp_extract(p, _PIECE, 2)
-        first = acc["at"] + len(START) + F.char_length(head) + 1
-        span = F.struct(first.cast("long").alias("first"), F.char_length(text).cast("long").alias("n"))
-        return F.struct((acc["at"] + len(START) + F.char_length(p)).cast("long").alias("at"), F.when(unescape(head) == role, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
 
-    return F.aggregate(_pieces(formatted), zero, step, lambda acc: acc["spans"])
+def under_mask(formatted: Column, runs: Column) -> Column:
+    """The stretches of the rendered text under the mask, unescaped, in order."""
+    cut = lambda p, r: unescape(F.substr(p, (r["skip"] - len(START) + 1).cast("int"), r["take"].cast("int")))
+    # an escaped stretch is unescaped by itself: runs never cut an escape in two
+    return F.zip_with(_pieces(formatted), runs, lambda p, r: F.when(r["take"] > 0, cut(p, r)).otherwise(""))
 
 
 def format_conversations(turns: DataFrame) -> DataFrame:
-    """One row per conv_id: formatted text, its escape level, and the turns and loss spans read back from it.
+    """One row per conv_id: formatted text, whether it is escaped, and the turns and loss runs read back from it.
 
     ``turns`` has conv_id, turn, role, text; other columns are ignored. A null role or text is empty; rows are
     ordered by (turn, role, text), so ties and repeated rows have one order; a null turn comes first; rows without
@@ -79,20 +105,19 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     )
     back = out.withColumn("recovered", parse(F.col("formatted")))
     checked = F.when(F.col("recovered") == F.col("turns"), F.col("recovered")).otherwise(F.raise_error(F.lit("a conversation does not survive its template")).cast(out.schema["turns"].dataType))
-    return back.select("conv_id", "formatted", "escaped", checked.alias("turns"), loss_spans(F.col("formatted")).alias("loss_spans"))
+    return back.select("conv_id", "formatted", "escaped", checked.alias("turns"), loss_runs(F.col("formatted")).alias("loss_runs"))
 
 
 def digests(formatted: DataFrame) -> DataFrame:
     """The figures of the contract, from the rendered text and what was read back from it."""
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    # an escaped span is unescaped by itself: spans never cut an escape in two
-    loss = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), s["first"].cast("int"), s["n"].cast("int")))), "")
-    return formatted.select(
+    read = formatted.withColumn("loss", F.array_join(under_mask(F.col("formatted"), F.col("loss_runs")), ""))
+    return read.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(said, 256).alias("turns_sha256"),
-        F.char_length(loss).cast("long").alias("loss_chars"),
-        F.sha2(loss, 256).alias("loss_sha256"),
+        F.char_length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
         F.char_length("formatted").cast("long").alias("formatted_chars"),
         "escaped",
     )

@@ -45,6 +45,23 @@ def test_chat_round_trip(spark):
         assert r.formatted.count("<|im_start|>") == r.n_turns == len(own)
 
 
+def test_chat_of_any_length(spark):
+    """Long lines, long roles, many escapes and many turns: no pattern may recurse, no step may be the square of the turns."""
+    rows = [(1, 0, "user", "<|im_start|>" + "a" * 1_000_000), (1, 1, "assistant", "\\" * 100_000 + "x"), (2, 0, "r" * 100_000, "t"), (3, 0, "\\\n|<|" * 20_000, "<|" * 50_000)]
+    rows += [(4, i, "assistant" if i % 2 else "user", f"turn {i}") for i in range(50_000)]
+    got = chat_format.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    seen = {r.conv_id: r for r in chat_format.digests(got).collect()}
+    for conv in (1, 2, 3, 4):
+        own = [x for x in rows if x[0] == conv]
+        said = "".join(f"{x[2]}\n{x[3]}\n" for x in own)
+        loss = "".join(x[3] for x in own if x[2] == "assistant")
+        r = seen[conv]
+        assert (r.n_turns, r.turns_sha256) == (len(own), hashlib.sha256(said.encode()).hexdigest())
+        assert (r.loss_chars, r.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    r = got.where("conv_id = 4").selectExpr("char_length(formatted) n", "aggregate(loss_runs, 0L, (a, x) -> a + x.skip + x.take + x.rest) covered").first()
+    assert r.n == r.covered
+
+
 def test_lines(spark):
     lines = ["A line of many words", "short", "another long line here", "  a LINE of many words\t", "ünïcödé l"]
     rng = random.Random(1)
