@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillwork.llm.common import chunks
+from rillwork.llm.common import chunks, written
 
 SHINGLE, CONTAINMENT, HASHES = 5, 0.8, 64
 #: Up to so many words of all items, their keys go to every task; beyond, keys are joined.
@@ -19,6 +19,8 @@ MAX_LOCAL_WORDS = 2_000_000
 _WORD = re.compile(r"[^\W_]+")
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _PAIRS = "doc_id long, item_id long, n_item long, n_shared long"
+_DOC_ROWS = "doc_id long, row long, value long"
+_ITEM_ROWS = "item_id long, item_row long, level long, value long"
 
 
 def _word_hashes(text: str | None, known: dict) -> list[int]:
@@ -143,48 +145,82 @@ def _search(items: list[tuple[int, np.ndarray]], containment: float, n_hashes: i
     return run
 
 
-def _emit(keys: bool, levels: list[int] | None, n_hashes: int):
-    """Rows (id, value): window or item keys, or distinct shingles, for the joined search."""
+def _rows(batches: Iterator[pa.RecordBatch], size: int = 200_000) -> Iterator[tuple[list, list, list[np.ndarray]]]:
+    """(ids, texts, shingles of each text), so many characters at once."""
+    known: dict = {}
+    for batch in batches:
+        for ids, texts in chunks([batch.column(0).to_pylist(), batch.column(1).to_pylist()], size):
+            if len(known) > 500_000:
+                known.clear()
+            yield ids, texts, [_shingles(np.array(_word_hashes(t, known), np.uint64)) for t in texts]
+
+
+def _row_key(text: str | None) -> int:
+    """Tells rows of one id apart: rows that share id and text are one."""
+    return xxhash.xxh3_64_intdigest((text or "").encode("utf-8", "surrogatepass")) - 2**63
+
+
+def _emit_docs(levels: list[int] | None, n_hashes: int):
+    """(doc_id, row, value): the window keys for these size classes, or the distinct shingles, each once a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict = {}
-        for batch in batches:
-            for ids, texts in chunks([batch.column(0).to_pylist(), batch.column(1).to_pylist()], 200_000):
-                if len(known) > 500_000:
-                    known.clear()
-                per_doc = [_shingles(np.array(_word_hashes(t, known), np.uint64)) for t in texts]
-                ids_array = np.array(ids, np.int64)
-                if keys and levels is not None:
-                    parts = [np.unique(np.stack([ids_array[d].view(np.uint64), k]), axis=1) for d, k in _window_keys(per_doc, levels, n_hashes)]
-                    whole = np.concatenate(parts, axis=1) if parts else np.zeros((2, 0), np.uint64)
-                else:
-                    rows = [(i, _item_keys(s, n_hashes) if keys else np.unique(s)) for i, s in zip(ids, per_doc, strict=True) if len(s)]
-                    whole = np.stack([np.concatenate([np.full(len(v), i, np.int64) for i, v in rows]).view(np.uint64), np.concatenate([v for _, v in rows])]) if rows else np.zeros((2, 0), np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(whole[0].view(np.int64)), pa.array(whole[1].view(np.int64))], names=["id", "value"])
+        for ids, texts, per_doc in _rows(batches):
+            owner, value = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+            if levels is None:
+                sets = [np.unique(s) for s in per_doc]
+                owner.append(np.repeat(np.arange(len(sets)), [len(s) for s in sets]))
+                value.extend(sets)
+            else:
+                for d, k in _window_keys(per_doc, levels, n_hashes):
+                    both = np.unique(np.stack([d.astype(np.uint64), k]), axis=1)
+                    owner.append(both[0].astype(np.int64))
+                    value.append(both[1])
+            at, keys = np.concatenate(owner), np.concatenate(value)
+            rows = np.array([_row_key(t) for t in texts], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[at]), pa.array(rows[at]), pa.array(keys.view(np.int64))], names=["doc_id", "row", "value"])
+
+    return run
+
+
+def _emit_items(keys: bool, n_hashes: int):
+    """(item_id, row, level, value): an item's keys, or its distinct shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts, per_doc in _rows(batches):
+            found = [(i, _row_key(t), np.unique(s)) for i, t, s in zip(ids, texts, per_doc, strict=True) if len(s)]
+            values = [_item_keys(s, n_hashes) if keys else s for _, _, s in found]
+            sizes = [len(v) for v in values]
+            flat = np.concatenate([np.zeros(0, np.uint64), *values])
+            column = lambda xs, t: pa.array(np.repeat(np.array(xs, np.int64), sizes), t)
+            yield pa.RecordBatch.from_arrays([column([i for i, _, _ in found], pa.int64()), column([r for _, r, _ in found], pa.int64()), column([_level(len(s)) for *_, s in found], pa.int64()), pa.array(flat.view(np.int64))], names=["item_id", "item_row", "level", "value"])
 
     return run
 
 
 def _joined(docs: DataFrame, items: DataFrame, containment: float, n_hashes: int) -> DataFrame:
     """The same search with every table distributed, for a benchmark of any size."""
-    levels = list(range(0, 24))
-    d = docs.mapInArrow(_emit(True, levels, n_hashes), "id long, value long").withColumnRenamed("id", "doc_id")
-    i = items.mapInArrow(_emit(True, None, n_hashes), "id long, value long").withColumnRenamed("id", "item_id")
-    pairs = d.join(i, "value").select("doc_id", "item_id").distinct()
-    own = items.mapInArrow(_emit(False, None, n_hashes), "id long, value long").withColumnRenamed("id", "item_id")
-    whole = docs.mapInArrow(_emit(False, None, n_hashes), "id long, value long").withColumnRenamed("id", "doc_id")
-    n_item = own.groupBy("item_id").agg(F.count("*").alias("n_item"))
-    shared = pairs.join(own, "item_id").join(whole, ["doc_id", "value"]).groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared"))
-    return shared.join(n_item, "item_id").where(F.col("n_shared") >= containment * F.col("n_item") - 1e-9).select("doc_id", "item_id", "n_item", "n_shared")
+    items = written(items)
+    keyed = written(items.mapInArrow(_emit_items(True, n_hashes), _ITEM_ROWS).distinct())
+    levels = sorted(r["level"] for r in keyed.select("level").distinct().collect())  # size classes: at most 64
+    if not levels:
+        return docs.select("doc_id", *[F.lit(None).cast("long").alias(c) for c in ("item_id", "n_item", "n_shared")]).where("false")
+    d = docs.mapInArrow(_emit_docs(levels, n_hashes), _DOC_ROWS)
+    pairs = written(d.join(keyed, "value").select("doc_id", "row", "item_id", "item_row").distinct())
+    own = written(items.mapInArrow(_emit_items(False, n_hashes), _ITEM_ROWS).select("item_id", "item_row", "value").distinct())
+    whole = docs.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_emit_docs(None, n_hashes), _DOC_ROWS).distinct()
+    n_item = own.groupBy("item_id", "item_row").agg(F.count("*").alias("n_item"))
+    shared = pairs.join(own, ["item_id", "item_row"]).join(whole, ["doc_id", "row", "value"]).groupBy("doc_id", "row", "item_id", "item_row").agg(F.count("*").alias("n_shared"))
+    return shared.join(n_item, ["item_id", "item_row"]).where(F.col("n_shared") >= containment * F.col("n_item") - 1e-9).select("doc_id", "item_id", "n_item", "n_shared")
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT, n_hashes: int = HASHES, max_local_words: int = MAX_LOCAL_WORDS) -> DataFrame:
-    """(doc_id, item_id, n_item, n_shared) of each item with so many of its five-word shingles in a document.
+    """(doc_id, item_id, n_item, n_shared) of each item with so many of its five-word shingles in a document, each once.
 
     Words are runs of letters and digits in lower case; a text of fewer words is one shingle of all of them. Null
-    and wordless texts, and rows without an id, match nothing; rows that share an id give their pairs each. Other
-    columns are ignored; empty tables give no pair. While the items have at most ``max_local_words`` words, their
-    keys go to every task and no row of the documents is shuffled; larger benchmarks are joined by key.
+    and wordless texts, and rows without an id, match nothing. Rows that share an id are searched each for itself, on
+    both sides: shingles of two rows never add up. Other columns are ignored; empty tables give no pair. While the
+    items have at most ``max_local_words`` words, their keys go to every task and no row of the documents is
+    shuffled; larger benchmarks are joined by key. Both ways find the same pairs: they share keys and windows.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null and text is not null")
     items = items.select(F.col("item_id").cast("long"), "text").where("item_id is not null and text is not null")
@@ -198,7 +234,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, containment: float = CONTAINME
             local.append((r["item_id"], s))
     if not local:
         return docs.select("doc_id", *[F.lit(None).cast("long").alias(c) for c in ("item_id", "n_item", "n_shared")]).where("false")
-    return docs.mapInArrow(_search(local, containment, n_hashes), _PAIRS)
+    return docs.mapInArrow(_search(local, containment, n_hashes), _PAIRS).distinct()
 
 
 def per_document(docs: DataFrame, leaks: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 import hashlib
 import itertools
 import random
+import re
 import sys
 from pathlib import Path
 
@@ -283,6 +284,39 @@ def test_leaks(spark):
     assert decontaminate.find_leaks(df, bench.limit(0)).count() == 0
 
 
+def shingles(text):
+    w = re.findall(r"[^\W_]+", (text or "").lower())
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_leaks_both_ways_against_brute_force(spark):
+    rng = random.Random(12)
+    words = [f"word{i}" for i in range(500)]
+    some = lambda n: [rng.choice(words) for _ in range(n)]
+    items = [(i, " ".join(some(rng.choice([1, 3, 7, 20, 60, 300])))) for i in range(30)] + [(30, None), (31, ""), (7, " ".join(some(40)))]
+    docs = [(i, " ".join(some(rng.choice([0, 40, 900])))) for i in range(25)]
+    for i, (_, text) in enumerate(x for x in items if x[1]):
+        w = text.split()
+        for share in (1.0, 0.9, 0.7):
+            part = w[: max(1, int(len(w) * share))]
+            docs.append((100 + i, " ".join(some(50) + part + some(rng.choice([0, 2000])))))
+    half = items[5][1].split()
+    docs += [(1, " ".join(half[: len(half) * 54 // 100])), (1, " ".join(half[len(half) * 46 // 100 :])), (1, " ".join(half[: len(half) * 54 // 100])), (None, items[3][1]), (900, None)]
+    want = set()
+    for d, text in docs:
+        own = shingles(text)
+        for i, t in items:
+            x = shingles(t)
+            if d is not None and x and len(own & x) >= 0.8 * len(x) - 1e-9:
+                want.add((d, i, len(x), len(own & x)))
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string").withColumn("row", F.lit(1)), spark.createDataFrame(items, "item_id long, text string")
+    got = [sorted(tuple(r) for r in decontaminate.find_leaks(df, bench, max_local_words=limit).collect()) for limit in (10**6, 0)]
+    assert got[0] == got[1]  # whatever the size: the same pairs, each once
+    assert set(got[0]) <= want
+    sure = {x for x in want if x[3] == x[2]}
+    assert sure <= set(got[0]) and len(set(got[0])) >= 0.97 * len(want)
+
+
 def test_mixture(spark):
     rows = [(i, "w " * 10, "big" if i < 300 else "small" if i < 350 else None, 1) for i in range(360)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
