@@ -19,15 +19,15 @@ class MixParams:
     """entropy_share: the target entropy, from that of the natural shares (0) to that of equal shares (1).
 
     max_repeats: how often a source may be passed over at most. budget_tokens: tokens to draw; None means the least
-    at which every document is drawn. block_tokens, max_blocks: size of the blocks that are permuted, and most per
-    source. rounds: each halves the exponent's interval four times.
+    at which every document is drawn. block_tokens: size of the blocks that are permuted; shelf_blocks: how many of
+    them are put in order at once. rounds: each halves the exponent's interval four times.
     """
 
     entropy_share: float = 0.5
     max_repeats: float = 4.0
     budget_tokens: int | None = None
     block_tokens: int = 65_536
-    max_blocks: int = 4096
+    shelf_blocks: int = 4096
     rounds: int = 5
     seed: int = 17
 
@@ -57,13 +57,17 @@ def solve_exponent(shares: DataFrame, total: int, p: MixParams) -> tuple[float,
 
     Entropy falls and repetition falls as the exponent grows, so each limit has one crossing: the exponent is the
     larger of where entropy meets its target and where repetition meets its limit. Each round evaluates 15 inner
-    points in one aggregation, which is four bisections.
+    points in one aggregation, which is four bisections. At exponent 1 every source is passed over equally often, the
+    least that is possible: a budget that breaks the limit even there is an error.
     """
 
     def budget(x):
         return p.budget_tokens / total if p.budget_tokens is not None else 1 / x["least"]
 
     ends = _at(shares, [0.0, 1.0])
+    least = ends[1.0]["most"] * budget(ends[1.0])
+    if least > p.max_repeats + 1e-9:
+        raise ValueError(f"a budget of {p.budget_tokens} tokens passes over the sources {least:.2f} times at least; max_repeats is {p.max_repeats}")
     target = ends[1.0]["entropy"] + p.entropy_share * (ends[0.0]["entropy"] - ends[1.0]["entropy"])
     ok = lambda x: x["entropy"] <= target + 1e-12 and x["most"] * budget(x) <= p.max_repeats + 1e-9
     if ok(ends[0.0]):
@@ -103,16 +107,23 @@ def mix(docs: DataFrame, p: MixParams | None = None) -> DataFrame:
     total = total or 1
     weight = F.pow(F.col("tokens") / F.lit(total), F.lit(exponent)) / F.lit(z)
     plan = totals.withColumn("weight", weight).withColumn("budget", F.col("weight") * F.lit(budget * total))
-    plan = plan.withColumn("n_blocks", F.least(F.lit(p.max_blocks), F.greatest(F.lit(1), F.ceil(F.col("tokens") / p.block_tokens))).cast("int"))
+    plan = plan.withColumn("n_blocks", F.greatest(F.lit(1), F.ceil(F.col("tokens") / p.block_tokens)).cast("long"))
+    plan = plan.withColumn("n_shelves", F.ceil(F.col("n_blocks") / p.shelf_blocks).cast("long"))
     # a crumb of a token that rounding leaves is no epoch
     plan = plan.withColumn("epochs", F.greatest(F.lit(1), F.ceil(F.col("budget") / F.col("tokens") - 1e-9)).cast("int"))
     # a source may be hot: joined by its few rows of totals, whose size Spark knows
-    rows = sized.join(plan, "source", "left").fillna({"weight": 0.0, "budget": 0.0, "n_blocks": 1, "epochs": 1, "tokens": 0})
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(p.seed)), F.col("n_blocks")).cast("int"))
-    blocks = rows.groupBy("source", "block", "epochs").agg(F.sum("n_tokens").alias("block_tokens"))
-    drawn = blocks.select("source", "block", "block_tokens", F.explode(F.sequence(F.lit(0), F.col("epochs") - 1)).alias("epoch"))
-    order = Window.partitionBy("source", "epoch").orderBy(F.xxhash64("block", "epoch", F.lit(p.seed)), "block")
-    drawn = drawn.select("source", "block", "epoch", (F.sum("block_tokens").over(order) - F.col("block_tokens")).alias("before_block"))
+    rows = sized.join(plan, "source", "left").fillna({"weight": 0.0, "budget": 0.0, "n_blocks": 1, "n_shelves": 1, "epochs": 1, "tokens": 0})
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(p.seed)), F.col("n_blocks")))
+    blocks = rows.groupBy("source", "block", "epochs", "n_shelves").agg(F.sum("n_tokens").alias("block_tokens"))
+    drawn = blocks.select("source", "block", "block_tokens", "n_shelves", F.explode(F.sequence(F.lit(0), F.col("epochs") - 1)).alias("epoch"))
+    # blocks lie on shelves by hash; shelves are summed first, so a window holds one shelf or one source's shelves
+    drawn = written(drawn.withColumn("shelf", F.pmod(F.xxhash64("block", "epoch", F.lit(p.seed + 1)), F.col("n_shelves"))).drop("n_shelves"))
+    along = Window.partitionBy("source", "epoch").orderBy("shelf")
+    shelves = drawn.groupBy("source", "epoch", "shelf").agg(F.sum("block_tokens").alias("shelf_tokens"))
+    shelves = shelves.select("source", "epoch", "shelf", (F.sum("shelf_tokens").over(along) - F.col("shelf_tokens")).alias("before_shelf"))
+    order = Window.partitionBy("source", "epoch", "shelf").orderBy(F.xxhash64("block", "epoch", F.lit(p.seed)), "block").rowsBetween(Window.unboundedPreceding, 0)
+    drawn = drawn.withColumn("before_block", F.sum("block_tokens").over(order) - F.col("block_tokens")).join(shelves, ["source", "epoch", "shelf"])
+    drawn = drawn.select("source", "block", "epoch", (F.col("before_shelf") + F.col("before_block")).alias("before_block"))
     each = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("epochs") - 1)))
     inside = Window.partitionBy("source", "epoch", "block").orderBy(F.xxhash64("doc_id", "epoch", F.lit(p.seed)), "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
     each = each.withColumn("before_doc", F.sum("n_tokens").over(inside) - F.col("n_tokens"))

@@ -3,6 +3,7 @@ import itertools
 import random
 import re
 import sys
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
@@ -334,6 +335,59 @@ def test_mixture(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def brute_mix(rows, p):
+    """Temperature mixing in plain Python: the exponent by fine bisection, budgets, and which documents of an epoch may be drawn."""
+    tokens = Counter()
+    for _, text, source in rows:
+        tokens[source] += len((text or "").encode().split())
+    tokens = {s: t for s, t in tokens.items() if t}
+    total = sum(tokens.values())
+
+    def at(e):
+        u = {s: (t / total) ** e for s, t in tokens.items()}
+        z = sum(u.values())
+        return {s: x / z for s, x in u.items()}
+
+    entropy = lambda w: -sum(x * np.log(x) for x in w.values())
+    budget = lambda w: p.budget_tokens / total if p.budget_tokens else max(t / total / w[s] for s, t in tokens.items())
+    target = entropy(at(1)) + p.entropy_share * (entropy(at(0)) - entropy(at(1)))
+    ok = lambda w: entropy(w) <= target + 1e-9 and max(budget(w) * w[s] * total / t for s, t in tokens.items()) <= p.max_repeats + 1e-9
+    low, high = 0.0, 1.0
+    if ok(at(0.0)):
+        high = 0.0
+    while high - low > 1e-9:
+        mid = (low + high) / 2
+        low, high = (low, mid) if ok(at(mid)) else (mid, high)
+    w = at(high)
+    return w, {s: x * budget(w) * total for s, x in w.items()}, tokens
+
+
+def test_mixture_against_brute_force(spark):
+    rng = random.Random(21)
+    rows = [(i, "w " * rng.choice([0, 1, 5, 40]), rng.choice(["a", "a", "a", "a", "b", None, "c"])) for i in range(500)]
+    rows += [(500, None, "b"), (501, "", "empty"), (7, "w w w", "a"), (7, "w w w", "a"), (502, "w " * 30, "rare")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"epoch": F.lit(5), "weight": F.lit("x"), "tokens": F.lit(1)})
+    for p in (mixing.MixParams(block_tokens=60, shelf_blocks=4), mixing.MixParams(block_tokens=60, budget_tokens=9000, max_repeats=30.0), mixing.MixParams(entropy_share=0.0, block_tokens=10**6)):
+        weights, budgets, tokens = brute_mix(rows, p)
+        got = mixing.mix(df, p).toPandas()
+        for source, w in weights.items():
+            own = got[got.source.isna()] if source is None else got[got.source == source]
+            assert own.weight.iloc[0] == pytest.approx(w, abs=1e-4)
+            # the budget is met to within the last document, and all passes but the last are whole
+            assert budgets[source] - 0.01 * budgets[source] - 1 <= own.n_tokens.sum() <= budgets[source] * 1.01 + 41
+            texts = Counter((d, len((t or "").split())) for d, t, s in rows if s == source)
+            last = own.epoch.max()
+            for epoch in range(last):
+                assert Counter(zip(own.doc_id[own.epoch == epoch], own.n_tokens[own.epoch == epoch])) == texts
+            assert not Counter(zip(own.doc_id[own.epoch == last], own.n_tokens[own.epoch == last])) - texts
+            # the tokens before a document are what lies before it by position
+            x = own.sort_values(["position", "n_tokens"])
+            assert np.allclose((x.n_tokens.cumsum() - x.n_tokens).to_numpy(), (x.position * budgets[source]).to_numpy(), atol=1 + 0.01 * budgets[source])
+        assert (got[got.source == "empty"].weight == 0).all() and (got.source == "empty").sum() == 1
+    with pytest.raises(ValueError, match="max_repeats"):
+        mixing.mix(df, mixing.MixParams(budget_tokens=20 * sum(tokens.values())))
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
