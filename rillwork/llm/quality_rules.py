@@ -19,7 +19,7 @@ THRESHOLDS = [
     ("digits", "digit_ratio", None, 0.25),
     ("letters", "nonletter_ratio", None, 0.6),
     ("vocabulary", "distinct_word_ratio", 0.02, None),
-    ("stop_words", "stop_word_ratio", None, 0.9),
+    ("stop_words", "stop_word_ratio", 0.02, 0.6),  # for the four languages of STOP_WORDS; give other bounds for others
 ]
 
 
