@@ -27,11 +27,15 @@ LONG, PIECE = 48, 8
 
 @dataclass(frozen=True)
 class CrfParams:
-    """docs_per_lang and words_per_doc bound what is collected for the fit; max_langs the labels; lexicon the words per language."""
+    """docs_per_lang, max_docs and words_per_doc bound what is collected for the fit; lexicon the words per language.
+
+    More languages than max_langs are an error: none is left out in silence.
+    """
 
     docs_per_lang: int = 150
+    max_docs: int = 30_000
     words_per_doc: int = 200
-    max_langs: int = 100
+    max_langs: int = 1000
     lexicon: int = 300
     sequence: int = 48
     epochs: int = 5
@@ -243,15 +247,19 @@ def fit(samples: list[tuple[str, list[str]]], p: CrfParams | None = None) -> Crf
 def collect_samples(labelled: DataFrame, p: CrfParams | None = None) -> list[tuple[str, list[str]]]:
     """About docs_per_lang documents of each language, those of the smallest hashes, and words_per_doc words of each.
 
-    Only text and lang of ``labelled`` are used; languages are counted over all rows first.
+    Only text and lang of ``labelled`` are used; languages are counted over all rows first. Many languages share
+    max_docs documents.
     """
     p = p or CrfParams()
     known = labelled.where("lang is not null and text is not null")
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(p.max_langs).collect()}
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).limit(p.max_langs + 1).collect()}
     if not sizes:
         return []
+    if len(sizes) > p.max_langs:
+        raise ValueError(f"more than {p.max_langs} languages: raise max_langs, or mend the labels")
+    docs_per_lang = max(1, min(p.docs_per_lang, p.max_docs // len(sizes)))
     parts = 1_000_000
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(parts, 1 + int(parts * p.docs_per_lang / n)))])
+    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(parts, 1 + int(parts * docs_per_lang / n)))])
     rank = F.pmod(F.xxhash64("text", F.lit(p.seed)), F.lit(parts))
     words = F.filter(F.split("text", rf"[{SPACE}]+"), lambda x: x != "")
     # a slice from a place that the hash decides; short texts are taken whole
@@ -261,7 +269,7 @@ def collect_samples(labelled: DataFrame, p: CrfParams | None = None) -> list[tup
     most = p.words_per_doc * PIECE
     passage = lambda x: F.substring(x, 1 + F.pmod(F.col("h"), F.greatest(F.lit(1), F.char_length(x) - most)).cast("int"), F.lit(most))
     chosen = chosen.select("lang", F.transform(F.slice("w", first, F.lit(p.words_per_doc)), passage).alias("w"))
-    rows = chosen.limit(3 * p.docs_per_lang * len(sizes)).collect()
+    rows = chosen.limit(3 * docs_per_lang * len(sizes)).collect()
     return sorted(((r["lang"], cut(list(r["w"]))[: p.words_per_doc]) for r in rows if r["w"]), key=lambda x: (x[0], x[1]))
 
 
