@@ -20,13 +20,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share: the session's spark.checkpoint.dir.
+
+    One of our own only where none is set and all tasks run in this process; on a cluster that is an error.
+    """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if found:
         return found
     at = spark.sparkContext._jsc.sc().getCheckpointDir()
     if at.isDefined():
         return at.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = tempfile.mkdtemp(prefix="rillwork-")
     spark.sparkContext.setCheckpointDir(own)
     return own
