@@ -1,12 +1,12 @@
 """N-gram Jaccard self-join of documents by token-combination prefixes, exact, to connected components.
 
-A document's set has the hashes of its distinct shingles (tokens). Documents of one set are one class from the start.
-A pair of classes with the wanted similarity shares a token in the prefixes of both sets, under any one order of the
-tokens: here rare tokens first, then frequent ones, each by hash. While enough of a set's tokens are rare, single
-tokens are indexed. For a set whose prefix holds frequent tokens, the prefix is extended by g tokens: then g + 1
-tokens are shared, of which one is rare, or two lie in the same of g classes of frequent tokens; so rare tokens are
-indexed singly and frequent ones as pairs within a class. Every candidate is tried first by a parity sketch, whose
-distance never exceeds that of the sets, and then by the sets themselves.
+A document's set has the hashes of its distinct shingles (tokens), ordered by hash. Documents of one set are one class
+from the start. A pair of classes with the wanted similarity shares a token in the prefixes of both sets; if both
+prefixes are extended by g tokens, it shares g + 1 tokens there. A token is frequent when it stands in more than so
+many extended prefixes. A set whose prefix holds no frequent token is indexed under the single tokens of its prefix.
+Any other is indexed under the rare tokens of its extended prefix, and under pairs of frequent ones that fall into the
+same of g classes: of g + 1 shared tokens, one is rare or two share a class. Every candidate is tried first by a parity
+sketch, whose distance never exceeds that of the sets, and then by the sets themselves.
 
 In an index entry, each document is compared with one chosen document. What is linked then is one component, and
 only pairs of different components that share an entry are left to compare: groups of copies never give all pairs.
@@ -30,17 +30,24 @@ _PRIME = np.uint64(0x9E3779B97F4A7C15)
 #: Entries of more sets than this are compared in blocks of their clusters, others by a join.
 HOT = 32
 BLOCK = 1024
-_INDEX = "token long, sid long, n int, inner boolean"
+_META = "doc_id long, sid long, n long, sketch array<long>, tokens array<long>"
 
 
 @dataclass(frozen=True)
 class JoinParams:
-    """Link when 100 * intersection >= percent * union of sets of ``shingle``-word runs. A token is frequent in more than ``frequent`` sets."""
+    """Link when 100 * intersection >= percent * union of sets of ``shingle``-word runs. A token is frequent in more than ``frequent`` sets.
+
+    percent is 60 or more: below, linked sets may share too few tokens for the classes, and sketches of too different sizes.
+    """
 
     shingle: int = 4
     percent: int = 85
     frequent: int = 12
 
+    def __post_init__(self) -> None:
+        if not 60 <= self.percent <= 100 or self.shingle < 1 or self.frequent < 1:
+            raise ValueError("percent must lie between 60 and 100, shingle and frequent must be positive")
+
     def least(self, n: int) -> int:
         """Tokens that a set of n shares with any set it links to."""
         return -(-self.percent * n // 100)
@@ -48,15 +55,9 @@ class JoinParams:
     def prefix(self, n: int) -> int:
         return n - self.least(n) + 1
 
-    def windows(self, n: int) -> tuple[int, int]:
-        """Tokens of lowest hash looked at, and how many of them must hold a whole prefix of rare ones.
-
-        The outer is longer by as many tokens as a set may hold beyond a partner: a token of the partner's inner
-        window lies in it.
-        """
-        p = self.prefix(n)
-        inner = min(n, p + max(2, p // 4))
-        return min(n, inner + p - 1), inner
+    def window(self, n: int) -> int:
+        """Tokens of lowest hash that are looked at: the prefix, extended by the most classes under which n is indexed."""
+        return min(n, self.prefix(n) + self.groups(n)[-1])
 
     def groups(self, n: int) -> list[int]:
         """Numbers of classes of frequent tokens under which sets of n are indexed: those of all partners' sizes."""
@@ -127,87 +128,93 @@ def _batches(batches, k: int):
             yield ids, _sets(texts, known, k)
 
 
-def _meta(p: JoinParams):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, sets in _batches(batches, p.shingle):
-            sketches = [_sketch(s).tolist() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([_sid(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sketches, pa.list_(pa.int64()))], names=["doc_id", "sid", "n", "sketch"])
+def _lists(arrays: list[np.ndarray | None]) -> pa.ListArray:
+    """The arrays as one column, null for None; no Python object for each number."""
+    sizes = np.array([0 if x is None else len(x) for x in arrays], np.int64)
+    flat = np.concatenate([x for x in arrays if x is not None]) if sizes.any() else np.zeros(0, np.int64)
+    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, pa.array(flat.view(np.int64)), mask=pa.array([x is None for x in arrays]))
 
-    return run
 
+def _meta(p: JoinParams):
+    """Each text read and hashed once: id and size of its set, its sketch, and the tokens of its extended prefix.
+
+    A set that the task has given tokens of lately has none again.
+    """
 
-def _index(p: JoinParams):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()  # copies within a task give their tokens once
-        for _, sets in _batches(batches, p.shingle):
+        seen: set[int] = set()
+        windows: dict[int, int] = {}
+        for ids, sets in _batches(batches, p.shingle):
             if len(seen) > 1_000_000:
                 seen.clear()
-            tokens, sids, sizes, looked, inside = [], [], [], [], []
-            for s in sets:
-                if not len(s) or (sid := _sid(s)) in seen:
+            sids, tokens = [_sid(s) for s in sets], []
+            for s, sid in zip(sets, sids, strict=True):
+                if not len(s) or sid in seen:
+                    tokens.append(None)
                     continue
                 seen.add(sid)
-                outer, inner = p.windows(len(s))
-                tokens.append(s[:outer])
-                sids.append(sid)
-                sizes.append(len(s))
-                looked.append(outer)
-                inside.append(np.arange(outer) < inner)
-            if tokens:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(sids, np.int64), looked)), pa.array(np.repeat(np.array(sizes, np.int32), looked)), pa.array(np.concatenate(inside))],
-                    names=["token", "sid", "n", "inner"],
-                )
+                n = len(s)
+                if n not in windows:
+                    windows[n] = p.window(n)
+                tokens.append(s[: windows[n]])
+            sketches = [_sketch(s) if len(s) else None for s in sets]
+            columns = [pa.array(ids, pa.int64()), pa.array(sids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), _lists(sketches), _lists(tokens)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "sid", "n", "sketch", "tokens"])
 
     return run
 
 
-def _whole(p: JoinParams, exploded: bool):
+def _whole(p: JoinParams):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, sets in _batches(batches, p.shingle):
             sets = [s for s in sets if len(s)]
-            sids = np.array([_sid(s) for s in sets], np.int64)
-            sizes = np.array([len(s) for s in sets], np.int32)
-            if not len(sets):
-                continue
-            flat = np.concatenate(sets).view(np.int64)
-            if exploded:
-                yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(sids, sizes)), pa.array(np.repeat(sizes, sizes))], names=["token", "sid", "n"])
-            else:
-                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(sids), pa.ListArray.from_arrays(offsets, pa.array(flat))], names=["sid", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array([_sid(s) for s in sets], pa.int64()), _lists(sets)], names=["sid", "tokens"])
 
     return run
 
 
+def _pairs(tokens: np.ndarray, g: int) -> Iterator[np.ndarray]:
+    """Keys of the pairs of tokens that fall into the same of g classes."""
+    of = (_mix(tokens) % np.uint64(g)).astype(np.int64)
+    order = np.argsort(of, kind="stable")
+    tokens, of = tokens[order], of[order]
+    for step in range(1, len(tokens)):
+        same = of[step:] == of[:-step]
+        if not same.any():
+            return
+        with np.errstate(over="ignore"):
+            yield _mix((tokens[:-step][same] * np.uint64(g * 2 + 1)) ^ _mix(tokens[step:][same]))
+
+
 def _signatures(p: JoinParams):
-    """Index keys of sets whose prefixes may hold frequent tokens, from (sid, n, common and rare tokens)."""
+    """(key, sid, n) from (sid, n, shared): the tokens of a set's extended prefix that other sets share, as (token, pos, often)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                sid, n = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                rare, common = (np.unique(np.asarray(batch.column(c)[i].values if batch.column(c)[i].values is not None else [], np.int64).view(np.uint64)) for c in (2, 3))
+            sids, sizes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            shared = batch.column(2)
+            offsets = shared.offsets.to_numpy()
+            token, pos, often = (shared.values.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+            token = token.view(np.uint64)
+            found, owner = [], []
+            for i, n in enumerate(sizes.tolist()):
+                own = slice(offsets[i], offsets[i + 1])
+                t, at, f = token[own], pos[own], often[own]
+                order = np.argsort(t, kind="stable")
+                t, at, f = t[order], at[order], f[order]
                 need = p.prefix(n)
-                keys = []
-                if len(rare) >= need:
-                    keys.append(rare[:need])
+                if not (f & (at < need)).any():
+                    keys = t[at < need]
                 else:
-                    for g in p.groups(n):
-                        long = need + g
-                        keys.append(rare[:long])
-                        some = common[: max(0, long - len(rare))]
-                        of = (_mix(some) % np.uint64(g)).astype(np.int64)
-                        order = np.argsort(of, kind="stable")
-                        some, of = some[order], of[order]
-                        for step in range(1, len(some)):
-                            same = of[step:] == of[:-step]
-                            if not same.any():
-                                break
-                            with np.errstate(over="ignore"):
-                                keys.append(_mix((some[:-step][same] * np.uint64(g * 2 + 1)) ^ _mix(some[step:][same])))
-                found = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.full(len(found), sid, np.int64)), pa.array(np.full(len(found), n, np.int32))], names=["key", "sid", "n"])
+                    keys = np.concatenate([t[~f], *(k for g in p.groups(n) for k in _pairs(t[f & (at < need + g)], g))])
+                keys = np.unique(keys)
+                found.append(keys)
+                owner.append(np.full(len(keys), i))
+            if not found:
+                continue
+            at = np.concatenate(owner).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(sids[at], pa.int64()), pa.array(sizes[at].astype(np.int32))], names=["key", "sid", "n"])
 
     return run
 
@@ -227,30 +234,16 @@ def _texts_of(docs: DataFrame, classes: DataFrame, sids: DataFrame) -> DataFrame
     return docs.join(own, "doc_id", "left_semi").select("doc_id", "text")
 
 
-def _buckets(docs: DataFrame, classes: DataFrame, p: JoinParams) -> DataFrame:
-    """(key, sid, n): sets that may be similar share a key."""
-    index = docs.mapInArrow(_index(p), _INDEX)
-    flagged = written(index.join(_common(index), "token").withColumn("often", F.col("df") > p.frequent).drop("df"))
-    rare = flagged.where("not often").select(F.col("token").alias("key"), "sid", "n")
-    often = flagged.where("often and inner").select("token", "sid", "n").distinct().groupBy("sid").agg(F.count("*").alias("k"), F.first("n").alias("n"))
-    n = F.col("n")
-    need = (n - F.floor((n * p.percent + 99) / 100) + 1).cast("long")
-    inner = F.least(n.cast("long"), need + F.greatest(F.lit(2).cast("long"), F.floor(need / 4)))
-    hard = often.where(inner - F.col("k") < need).select("sid")
-    tokens = _texts_of(docs, classes, hard).mapInArrow(_whole(p, True), "token long, sid long, n int")
-    tokens = written(tokens)
-    df = tokens.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") > p.frequent)
-    sets = tokens.join(df, "token", "left").groupBy("sid", "n")
-    sets = sets.agg(F.collect_list(F.when(F.col("df").isNull(), F.col("token"))).alias("rare"), F.collect_list(F.when(F.col("df").isNotNull(), F.col("token"))).alias("common"))
-    combined = sets.select("sid", "n", "rare", "common").mapInArrow(_signatures(p), "key long, sid long, n int")
-    return _distinct_entries(written(rare.union(combined).distinct()))
-
-
-def _distinct_entries(buckets: DataFrame) -> DataFrame:
-    """One of all entries that hold the same sets, and none that hold a single set."""
+def _buckets(meta: DataFrame, p: JoinParams) -> DataFrame:
+    """(key, sid, n, k): sets that may be similar share a key, k sets in all; of keys of the same sets, one."""
+    index = meta.where("tokens is not null").select("sid", F.col("n").cast("int").alias("n"), F.posexplode("tokens").alias("pos", "token"))
+    flagged = index.join(_common(index), "token").select("sid", "n", F.struct("token", "pos", (F.col("df") > p.frequent).alias("often")).alias("t"))
+    # copies of a set in different tasks gave the same tokens, which meet in one partition and are merged there
+    sets = flagged.groupBy("sid").agg(F.first("n").alias("n"), F.collect_set("t").alias("shared"))
+    buckets = written(sets.mapInArrow(_signatures(p), "key long, sid long, n int"))
     member = [F.bit_xor(F.xxhash64("sid", F.lit(seed))).alias(f"x{seed}") for seed in (1, 2)]
     entries = buckets.groupBy("key").agg(F.count("*").alias("k"), F.min("sid").alias("lo"), F.max("sid").alias("hi"), *member).where("lo != hi")
-    kept = entries.groupBy("k", "lo", "hi", "x1", "x2").agg(F.min("key").alias("key")).select("key")
+    kept = entries.groupBy("k", "lo", "hi", "x1", "x2").agg(F.min("key").alias("key")).select("key", "k")
     return written(buckets.join(kept, "key"))
 
 
@@ -275,7 +268,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, p: JoinParams
     most = F.col("n_a") + F.col("n_b") - 2 * _needed(F.col("n_a"), F.col("n_b"), p)
     left = written(both.where(sizes).where(apart <= most).select("a", "b", "n_a", "n_b"))
     sids = left.select(F.col("a").alias("sid")).union(left.select(F.col("b").alias("sid"))).distinct()
-    sets = _texts_of(docs, classes, sids).mapInArrow(_whole(p, False), "sid long, tokens array<long>")
+    sets = _texts_of(docs, classes, sids).mapInArrow(_whole(p), "sid long, tokens array<long>")
     sets = written(sets.dropDuplicates(["sid"]))
     both = left.join(sets.select(F.col("sid").alias("a"), F.col("tokens").alias("t_a")), "a").join(sets.select(F.col("sid").alias("b"), F.col("tokens").alias("t_b")), "b")
     shared = F.size(F.array_intersect("t_a", "t_b"))
@@ -286,7 +279,7 @@ def _close(p: JoinParams):
     """Pairs of different components in two blocks of a cluster that pass the test of sizes and sketches."""
 
     def run(table: pa.Table) -> pa.Table:
-        sid, n, root, block, i, j = (table.column(c).to_numpy() for c in ("sid", "n", "root", "block", "i", "j"))
+        sid, n, root, first = (table.column(c).to_numpy() for c in ("sid", "n", "root", "first"))
         length = np.array([len(x) for x in table.column("sketch")], np.int64)
         flat = table.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64)
         start = np.cumsum(length) - length
@@ -304,8 +297,8 @@ def _close(p: JoinParams):
                 ok = (apart <= both - 2 * needed) & (root[others] != root[x])
                 ok &= np.minimum(n[others], n[x]) * 100 >= np.maximum(n[others], n[x]) * p.percent
                 ok &= (length[others] > size) | (others > x)  # each pair once
-                if i[0] != j[0]:
-                    ok &= block[others] != block[x]
+                if not first.all():
+                    ok &= first[others] != first[x]
                 hit = others[ok]
                 out_a.append(np.maximum(sid[hit], sid[x]))
                 out_b.append(np.minimum(sid[hit], sid[x]))
@@ -319,16 +312,25 @@ def _within_clusters(hot: DataFrame, classes: DataFrame, p: JoinParams) -> DataF
 
     Such entries overlap almost wholly, so a join by key would give each pair again and again. Sets that entries
     connect are a cluster; its pairs of different components are tested once, block against block: a task holds two
-    blocks, and only pairs that pass leave it.
+    blocks, and only pairs that pass leave it. A component of BLOCK members or more has blocks of its own, which are
+    not compared with each other: the work grows with what is not linked yet, not with the square of the cluster.
     """
-    chosen = hot.groupBy("key").agg(F.min("sid").alias("b"))
+    chosen = written(hot.groupBy("key").agg(F.min("sid").alias("b")))
     clusters = components(hot.join(chosen, "key").select(F.col("sid").alias("a"), "b"))
     members = hot.select("sid", "root").distinct().join(clusters.select(F.col("node").alias("sid"), F.col("root").alias("cluster")), "sid")
-    members = members.join(classes.select("sid", "n", "sketch"), "sid")
-    sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
-    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    return dealt.drop("other", "blocks").groupBy("cluster", "i", "j").applyInArrow(_close(p), "a long, b long")
+    members = written(members.join(classes.select("sid", "n", "sketch"), "sid"))
+    part = F.when(F.col("size") >= BLOCK, F.col("root").cast("string")).otherwise("")
+    parts = written(members.groupBy("cluster", "root").agg(F.count("*").alias("size")).withColumn("part", part))
+    blocks = written(parts.groupBy("cluster", "part").agg(F.ceil(F.sum("size") / BLOCK).cast("int").alias("blocks")))
+    name = F.concat("part", F.lit(":"), "k")
+    placed = members.join(parts.select("cluster", "root", "part"), ["cluster", "root"]).join(blocks, ["cluster", "part"])
+    placed = written(placed.withColumn("k", F.pmod(F.xxhash64("sid"), F.col("blocks"))).select("cluster", name.alias("block"), "sid", "n", "root", "sketch"))
+    named = blocks.select("cluster", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k")).select("cluster", "part", name.alias("block"))
+    one, two = named.select("cluster", F.col("part").alias("p"), F.col("block").alias("i")), named.select("cluster", F.col("part").alias("q"), F.col("block").alias("j"))
+    pairs = written(one.join(two, "cluster").where("i <= j and (p != q or p = '')").select("cluster", "i", "j"))
+    left = placed.join(pairs, (placed.cluster == pairs.cluster) & (placed.block == pairs.i)).select(pairs.cluster, "i", "j", F.lit(True).alias("first"), "sid", "n", "root", "sketch")
+    right = placed.join(pairs, (placed.cluster == pairs.cluster) & (placed.block == pairs.j)).where("i != j").select(pairs.cluster, "i", "j", F.lit(False).alias("first"), "sid", "n", "root", "sketch")
+    return left.unionAll(right).groupBy("cluster", "i", "j").applyInArrow(_close(p), "a long, b long")
 
 
 def link_components(docs: DataFrame, p: JoinParams | None = None) -> DataFrame:
@@ -341,23 +343,24 @@ def link_components(docs: DataFrame, p: JoinParams | None = None) -> DataFrame:
     """
     p = p or JoinParams()
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    meta = written(docs.mapInArrow(_meta(p), "doc_id long, sid long, n long, sketch array<long>"))
-    classes = written(meta.where("n > 0 and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max_by("sketch", "n").alias("sketch")))
+    meta = written(docs.mapInArrow(_meta(p), _META))
     docs = docs.where("doc_id is not null")
-    buckets = _buckets(docs, classes, p)
+    known = meta.where("n > 0 and doc_id is not null")
+    # the sketch is the same in all rows of a set: the tasks keep one each before rows move
+    classes = written(known.groupBy("sid").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max_by("sketch", "n").alias("sketch")))
+    buckets = _buckets(known, p)
     # one chosen set an entry: the one that holds most of what others hold, so that copies meet their original
-    entries = buckets.groupBy("key").agg(F.count("*").alias("k"))
-    weights = buckets.join(entries, "key").groupBy("sid").agg(F.sum("k").alias("held"))
-    weighed = written(buckets.join(entries, "key").join(weights, "sid"))
-    chosen = weighed.groupBy("key").agg(F.max_by("sid", F.struct("held", "sid")).alias("b"))
+    weights = buckets.groupBy("sid").agg(F.sum("k").alias("held"))
+    weighed = written(buckets.join(weights, "sid"))
+    chosen = written(weighed.groupBy("key").agg(F.max_by("sid", F.struct("held", "sid")).alias("b")))
     stars = weighed.join(chosen, "key").where(F.col("sid") != F.col("b")).select(F.greatest("sid", "b").alias("a"), F.least("sid", "b").alias("b")).distinct()
     links = written(_linked(stars, docs, classes, p))
     roots = written(components(links))
     # what is left: sets of different components in one entry
-    placed = weighed.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").select("key", "sid", "n", "k", F.coalesce("root", "sid").alias("root"))
+    placed = weighed.where("k > 2").join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").select("key", "sid", "n", "k", F.coalesce("root", "sid").alias("root"))
     placed = written(placed)
     mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
-    live = written(placed.where("k > 2").join(mixed, "key"))
+    live = written(placed.join(mixed, "key"))
     cold = live.where(F.col("k") <= HOT)
     one = cold.select("key", F.col("sid").alias("a"), F.col("n").alias("m_a"), F.col("root").alias("r_a"))
     two = cold.select("key", F.col("sid").alias("b"), F.col("n").alias("m_b"), F.col("root").alias("r_b"))
@@ -367,9 +370,9 @@ def link_components(docs: DataFrame, p: JoinParams | None = None) -> DataFrame:
     rest = rest.union(_within_clusters(hot, classes, p)).distinct()
     more = _linked(rest, docs, classes, p)
     roots = components(links.union(more))
-    full = classes.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").select("sid", "rep", F.coalesce("root", "sid").alias("root"))
+    full = classes.select("sid", "rep").join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").select("sid", "rep", F.coalesce("root", "sid").alias("root"))
     full = written(full)
     least = full.groupBy("root").agg(F.min("rep").alias("component_id"))
     by_set = full.join(least, "root").select("sid", "component_id")
     own = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return meta.join(by_set, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    return meta.select("doc_id", "sid", "n").join(by_set, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
