@@ -102,6 +102,7 @@ def keep_bitmaps(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
     documents hold is spread over as many partitions as its rows need.
     """
     rows = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").mapInArrow(_hashed(least_chars), _LINES)
+    rows = written(rows)  # the range partitioner looks at its input twice; hashes are far smaller than texts
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     key = ["h1", "h2", "doc_id", "pos"]
     found = written(rows.repartitionByRange(n, *key).sortWithinPartitions(*key).mapInArrow(_firsts, _FOUND))
