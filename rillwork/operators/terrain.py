@@ -127,38 +127,94 @@ def dinf(cells: DataFrame, cell: float) -> DataFrame:
     return out.drop("_f", "_t", "_most", "_k", *steps)
 
 
-def accumulate(flow: DataFrame, n: int, weights: dict[str, Column], rounds: int = 40) -> DataFrame:
-    """Sum of each weight over a cell and all that drain to it.
+def _along_pointers(state: DataFrame, names: list[str]) -> DataFrame:
+    """Sums of each weight over a node and all whose pointers lead to it. ``state`` has id, ptr and the weights.
 
-    ``flow`` has r, c, to_r, to_c. Pointers double each round, so rounds grow with the logarithm of the longest path,
-    and each cell sends one row a round, summed before the shuffle.
+    Pointers double each round, so rounds grow with the logarithm of the longest path.
     """
-    cell = F.col("r").cast("long") * n + F.col("c")
-    to = F.col("to_r").cast("long") * n + F.col("to_c")
-    state = written(flow.select(cell.alias("id"), to.alias("ptr"), *[w.cast("double").alias(k) for k, w in weights.items()]))
-    for _ in range(rounds):
+    state = written(state)
+    for _ in range(64):
         if state.where("ptr is not null").isEmpty():
             return state.drop("ptr")
-        got = state.where("ptr is not null").groupBy("ptr").agg(*[F.sum(k).alias(f"_{k}") for k in weights]).withColumnRenamed("ptr", "id")
+        got = state.where("ptr is not null").groupBy("ptr").agg(*[F.sum(k).alias(f"_{k}") for k in names]).withColumnRenamed("ptr", "id")
         hop = state.select(F.col("id").alias("ptr"), F.col("ptr").alias("next"))
-        state = state.join(hop, "ptr", "left").join(got, "id", "left").select("id", F.col("next").alias("ptr"), *[(F.col(k) + F.coalesce(f"_{k}", F.lit(0.0))).alias(k) for k in weights])
+        state = state.join(hop, "ptr", "left").join(got, "id", "left").select("id", F.col("next").alias("ptr"), *[(F.col(k) + F.coalesce(f"_{k}", F.lit(0.0))).alias(k) for k in names])
         state = written(state)
     raise RuntimeError("the drainage has a loop")
 
 
-def first_outlet(flow: DataFrame, n: int, outlets: DataFrame, rounds: int = 40) -> DataFrame:
-    """(id, outlet) of each cell whose path meets an outlet (id), at the first it meets: pointers double, and outlets hold."""
+def _within_tile(pdf: pd.DataFrame, names: list[str]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """For the cells of one tile: the place of the last cell of each one's path inside, and the sums inside, by doubling."""
+    at = {int(x): k for k, x in enumerate(pdf["id"])}
+    to = np.array([at.get(int(x), -1) if x == x else -1 for x in pdf["to"]], np.int64)
+    root = np.where(to < 0, np.arange(len(to)), to)
+    sums = {k: pdf[k].to_numpy(np.float64).copy() for k in names}
+    ptr = to
+    for _ in range(64):
+        live = ptr >= 0
+        if not live.any():
+            return root, sums
+        for k in names:
+            sums[k] += np.bincount(ptr[live], sums[k][live], len(ptr))
+        ptr = np.where(live, ptr[np.maximum(ptr, 0)], -1)
+        root = root[root]
+    raise RuntimeError("the drainage has a loop")
+
+
+def accumulate(flow: DataFrame, n: int, weights: dict[str, Column], tile: int = 128) -> DataFrame:
+    """Sum of each weight over a cell and all that drain to it. ``flow`` has r, c, to_r, to_c.
+
+    Each tile is summed by itself; then only the cells from which water leaves a tile point to each other, and what
+    they carry doubles along these pointers; then each tile is summed once more with what comes in. Cells move
+    twice, to their tile; the rounds move rims only.
+    """
+    names = list(weights)
+    cell, to = F.col("r").cast("long") * n + F.col("c"), F.col("to_r").cast("long") * n + F.col("to_c")
+    cells = written(flow.select(cell.alias("id"), to.alias("to"), F.floor(F.col("r") / tile).cast("int").alias("tr"), F.floor(F.col("c") / tile).cast("int").alias("tc"), *[w.cast("double").alias(k) for k, w in weights.items()]))
+    fields = ", ".join(f"{k} double" for k in names)
+
+    def rims(pdf: pd.DataFrame) -> pd.DataFrame:
+        root, sums = _within_tile(pdf, names)
+        ids = pdf["id"].to_numpy()
+        r, c = ids // n % tile, ids % n % tile
+        out = (root == np.arange(len(ids))) | (r == 0) | (c == 0) | (r == tile - 1) | (c == tile - 1)
+        # a cell that ends its path inside carries its sum on; others only tell where water that enters them ends up
+        last = root[out] == np.flatnonzero(out)
+        frame = {"id": ids[out], "root": ids[root[out]], "to": pdf["to"].to_numpy()[out], "last": last}
+        return pd.DataFrame(frame | {k: sums[k][out] for k in names})
+
+    rim = written(cells.groupBy("tr", "tc").applyInPandas(rims, f"id long, root long, to double, last boolean, {fields}").withColumn("to", F.when(~F.isnan("to"), F.col("to").cast("long"))))
+    ends = rim.where("last").select("id", "to", *names)
+    entered = rim.select(F.col("id").alias("to"), F.col("root").alias("ptr"))
+    total = written(_along_pointers(ends.join(entered, "to", "left").select("id", "ptr", *names), names))
+    into = ends.where("to is not null").select("id", "to").join(total, "id").groupBy("to").agg(*[F.sum(k).alias(f"_{k}") for k in names]).withColumnRenamed("to", "id")
+    fed = cells.join(into, "id", "left").select("id", "to", "tr", "tc", *[(F.col(k) + F.coalesce(f"_{k}", F.lit(0.0))).alias(k) for k in names])
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        _, sums = _within_tile(pdf, names)
+        return pd.DataFrame({"id": pdf["id"]} | sums)
+
+    return written(fed.groupBy("tr", "tc").applyInPandas(whole, f"id long, {fields}"))
+
+
+def first_outlet(flow: DataFrame, n: int, outlets: DataFrame) -> DataFrame:
+    """(id, outlet) of each cell whose path meets an outlet (id), at the first it meets.
+
+    Pointers double until they stand on an outlet or leave the grid; cells that are settled take no part in later
+    rounds, so no round joins many cells to few outlets.
+    """
     cell = F.col("r").cast("long") * n + F.col("c")
     to = F.col("to_r").cast("long") * n + F.col("to_c")
-    marks = outlets.select("id", F.lit(True).alias("stop"))
-    state = flow.select(cell.alias("id"), to.alias("ptr")).join(marks, "id", "left").select("id", F.when(F.col("stop"), F.col("id")).otherwise(F.col("ptr")).alias("ptr"))
-    state = written(state)
-    for _ in range(rounds):
-        hop = state.select(F.col("id").alias("ptr"), F.col("ptr").alias("next"))
-        moved = written(state.join(hop, "ptr", "left").select("id", "ptr", "next"))
-        state = moved.select("id", F.col("next").alias("ptr"))
-        if moved.where("not (ptr <=> next)").isEmpty():
-            return state.where("ptr is not null").withColumnRenamed("ptr", "outlet")
+    marks = outlets.select("id", F.lit(True).alias("stop")).distinct()
+    state = flow.select(cell.alias("id"), to.alias("ptr")).join(marks, "id", "left").select("id", F.when(F.col("stop"), F.col("id")).otherwise(F.col("ptr")).alias("ptr"), F.col("stop").isNotNull().alias("done"))
+    state = written(state.withColumn("done", F.col("done") | F.col("ptr").isNull()))
+    for _ in range(64):
+        left = state.where("not done")
+        if left.isEmpty():
+            return state.where("ptr is not null").select("id", F.col("ptr").alias("outlet"))
+        hop = state.select(F.col("id").alias("ptr"), F.col("ptr").alias("next"), F.col("done").alias("end"))
+        moved = left.join(hop, "ptr", "left").select("id", F.col("next").alias("ptr"), F.coalesce("end", F.lit(True)).alias("done"))
+        state = written(state.where("done").unionByName(moved))
     raise RuntimeError("the drainage has a loop")
 
 
@@ -177,7 +233,7 @@ def erode(cells: DataFrame, passes: int = 3) -> DataFrame:
     return mask
 
 
-def components(cells: DataFrame, n: int, eight: bool = True, rounds: int = 60) -> DataFrame:
+def components(cells: DataFrame, n: int, eight: bool = True) -> DataFrame:
     """(r, c, zone): connected cells share the least cell number. Labels spread to neighbours and then jump."""
     steps = [(dr, dc) for _, dr, dc, _ in D8 if eight or not (dr and dc)]
     ids = cells.select(F.col("r"), F.col("c"), (F.col("r").cast("long") * n + F.col("c")).alias("id"))
@@ -185,7 +241,7 @@ def components(cells: DataFrame, n: int, eight: bool = True, rounds: int = 60) -
     near = near.where((F.col("x.r") >= 0) & (F.col("x.r") < n) & (F.col("x.c") >= 0) & (F.col("x.c") < n)).select(F.col("id").alias("b"), (F.col("x.r").cast("long") * n + F.col("x.c")).alias("a"))
     edges = written(near.join(ids.select(F.col("id").alias("a")), "a"))
     label = written(ids.select("id", F.col("id").alias("zone")))
-    for _ in range(rounds):
+    while True:
         least = edges.join(label.withColumnRenamed("id", "a"), "a").groupBy("b").agg(F.min("zone").alias("m")).withColumnRenamed("b", "id")
         spread = label.join(least, "id", "left").select("id", "zone", F.least("zone", F.coalesce("m", "zone")).alias("new"))
         jump = label.select(F.col("id").alias("new"), F.col("zone").alias("far"))
@@ -193,7 +249,6 @@ def components(cells: DataFrame, n: int, eight: bool = True, rounds: int = 60) -
         label = moved.select("id", F.col("new").alias("zone"))
         if moved.where("new < zone").isEmpty():
             return label.select(F.floor(F.col("id") / n).cast("int").alias("r"), (F.col("id") % n).cast("int").alias("c"), "zone")
-    raise RuntimeError("labels did not settle")
 
 
 def _lower(z: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -239,15 +294,34 @@ def _dealt(cells: DataFrame, tile: int) -> DataFrame:
     return cells.withColumn("tr", F.explode(ranges("r"))).withColumn("tc", F.explode(ranges("c")))
 
 
-def tiled_fixpoint(cells: DataFrame, kernel, tile: int = 64, rounds: int = 400) -> DataFrame:
+def _near_flat(z: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Steps to the nearest cell with 0 over cells of the same height, never through others."""
+    out = w.copy()
+    todo = [(w[i, j], i, j) for i, j in zip(*np.nonzero(w < 1e8), strict=True)]
+    heapq.heapify(todo)
+    rows, cols = z.shape
+    while todo:
+        d, i, j = heapq.heappop(todo)
+        if d > out[i, j]:
+            continue
+        for x in range(max(0, i - 1), min(rows, i + 2)):
+            for y in range(max(0, j - 1), min(cols, j + 2)):
+                if z[x, y] == z[i, j] and out[x, y] > d + 1:
+                    out[x, y] = d + 1
+                    heapq.heappush(todo, (d + 1, x, y))
+    return out
+
+
+def tiled_fixpoint(cells: DataFrame, kernel, tile: int = 128) -> DataFrame:
     """Runs a kernel on tiles with a rim of neighbours' values until none changes. ``cells`` has r, c, z, w.
 
-    A task holds one tile; a round moves values across tile edges, so rounds grow with the tiles a path crosses.
+    A task holds one tile and settles it for the rim it has. After the first round only tiles beside a changed rim
+    run again, so a round costs what still moves; rounds grow with the tiles a path crosses.
     """
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         top, left = key[0] * tile - 1, key[1] * tile - 1
-        z, w = np.full((tile + 2, tile + 2), np.nan), np.full((tile + 2, tile + 2), np.inf if kernel is _lower else 2.0)
+        z, w = np.full((tile + 2, tile + 2), np.nan), np.full((tile + 2, tile + 2), 2.0 if kernel is _uphill else np.inf)
         i, j = pdf["r"].to_numpy() - top, pdf["c"].to_numpy() - left
         z[i, j], w[i, j] = pdf["z"], pdf["w"]
         new = kernel(z, w)
@@ -256,27 +330,34 @@ def tiled_fixpoint(cells: DataFrame, kernel, tile: int = 64, rounds: int = 400)
         out["w"] = new[i[own], j[own]]
         return out
 
-    state = written(cells.select("r", "c", "z", "w"))
-    for _ in range(rounds):
-        new = written(_dealt(state, tile).groupBy("tr", "tc").applyInPandas(run, "r int, c int, z double, was double, w double"))
-        state = new.select("r", "c", "z", "w")
-        if new.where("w != was").isEmpty():
-            return state
-    raise RuntimeError("tiles did not settle")
-
-
-def fill_depressions(cells: DataFrame, n: int, tile: int = 64) -> DataFrame:
+    at = {"tr": F.floor(F.col("r") / tile), "tc": F.floor(F.col("c") / tile)}
+    state, active = written(cells.select("r", "c", "z", "w")), None
+    while True:
+        dealt = _dealt(state, tile)
+        new = dealt if active is None else dealt.join(active, ["tr", "tc"], "left_semi")
+        new = written(new.groupBy("tr", "tc").applyInPandas(run, "r int, c int, z double, was double, w double"))
+        changed = new.where("w != was").select("r", "c").withColumns({"hr": at["tr"], "hc": at["tc"]})
+        touched = written(_dealt(changed, tile).where("tr != hr or tc != hc").select("tr", "tc").distinct())
+        kept = new.select("r", "c", "z", "w")
+        if active is not None:
+            kept = kept.unionByName(state.withColumns(at).join(active, ["tr", "tc"], "left_anti").select("r", "c", "z", "w"))
+        if touched.isEmpty():
+            return kept
+        state, active = written(kept), touched
+
+
+def fill_depressions(cells: DataFrame, n: int, tile: int = 128) -> DataFrame:
     """cell(r, c, z, w): w is the least surface from which water leaves the grid everywhere."""
     edge = (F.col("r") == 0) | (F.col("c") == 0) | (F.col("r") == n - 1) | (F.col("c") == n - 1)
     return tiled_fixpoint(cells.withColumn("w", F.when(edge, F.col("z")).otherwise(F.lit(1e9))), _lower, tile)
 
 
-def uphill(cells: DataFrame, start: Column, barrier: Column, tile: int = 64) -> DataFrame:
+def uphill(cells: DataFrame, start: Column, barrier: Column, tile: int = 128) -> DataFrame:
     """cell(r, c, z, w): w >= 0.5 where a cell is a start, a barrier, or reached from a start going never down."""
     return tiled_fixpoint(cells.withColumn("w", F.when(start, 1.0).when(barrier, 0.5).otherwise(0.0)), _uphill, tile)
 
 
-def accumulate_split(flow: DataFrame, tile: int = 64, rounds: int = 400) -> DataFrame:
+def accumulate_split(flow: DataFrame, tile: int = 128) -> DataFrame:
     """(r, c, acc): each cell's weight and the shares of all that drain to it, along the two ways of ``dinf``.
 
     ``flow`` has r, c, z, weight, r1, c1, p1, r2, c2, p2. A task works down one tile from its highest cell, with what
@@ -303,9 +384,42 @@ def accumulate_split(flow: DataFrame, tile: int = 64, rounds: int = 400) -> Data
 
     fields = "r int, c int, z double, weight double, r1 int, c1 int, p1 double, r2 int, c2 int, p2 double"
     state = written(flow.select("r", "c", "z", F.col("weight").cast("double").alias("weight"), *ways, F.col("weight").cast("double").alias("acc")))
-    for _ in range(rounds):
+    while True:
         new = written(_dealt(state, tile).groupBy("tr", "tc").applyInPandas(run, fields + ", was double, acc double"))
         state = new.drop("was")
         if new.where("acc != was").isEmpty():
             return state.select("r", "c", "acc")
-    raise RuntimeError("tiles did not settle")
+
+
+def condition(cells: DataFrame, n: int, cell: float) -> DataFrame:
+    """cell(r, c, z, dir, to_r, to_c): depressions filled, flats resolved, and the D8 way of every cell.
+
+    A cell of a flat goes to the neighbour of its height that is nearest to a way down, over cells of that height;
+    so every inner cell has a way out of the grid. Cells on the grid's edge without a lower neighbour end a path.
+    """
+    filled = written(fill_depressions(cells, n).select("r", "c", F.col("w").alias("z")))
+    down = written(d8(filled, cell))
+    edge = (F.col("r") == 0) | (F.col("c") == 0) | (F.col("r") == n - 1) | (F.col("c") == n - 1)
+    steps = tiled_fixpoint(down.withColumn("w", F.when(edge | (F.col("dir") > 0), 0.0).otherwise(1e9)), _near_flat)
+    both = neighbours(steps.withColumnRenamed("w", "far").withColumn("own", F.struct("z", "far")), "own")
+    # the neighbour of the same height and fewest steps, the first in the order of D8
+    level = lambda k: F.col(f"{k}.z") == F.col("z")
+    least = F.least(*[F.when(level(k) & (F.col(f"{k}.far") < F.col("far")), F.col(f"{k}.far")) for k, *_ in D8])
+    code, dr, dc = F.lit(0), F.lit(0), F.lit(0)
+    for k, r, c, v in reversed(D8):
+        hit = level(k) & (F.col(f"{k}.far") == F.col("_least"))
+        code, dr, dc = F.when(hit, v).otherwise(code), F.when(hit, r).otherwise(dr), F.when(hit, c).otherwise(dc)
+    flat = both.withColumn("_least", least).where("far > 0 and _least is not null").select("r", "c", code.alias("_d"), (F.col("r") + dr).alias("_r"), (F.col("c") + dc).alias("_c"), F.col("far").alias("_w"))
+    out = down.join(flat, ["r", "c"], "left")
+    return out.select("r", "c", "z", F.coalesce("_d", "dir").alias("dir"), F.coalesce("_r", "to_r").alias("to_r"), F.coalesce("_c", "to_c").alias("to_c"), F.coalesce("_w", F.lit(0.0)).alias("steps"))
+
+
+def condition_dinf(cells: DataFrame, n: int, cell: float, lift: float = 1e-5) -> DataFrame:
+    """As ``condition`` for split flow: flats are lifted by ``lift`` for each step from their way down, and ``dinf`` looks at that.
+
+    A cell that has no fall on the lifted surface takes its D8 way whole, so none is left without a way out.
+    """
+    d = written(condition(cells, n, cell).withColumn("z", F.col("z") + lift * F.col("steps")))
+    split = dinf(d, cell)
+    none = F.col("angle").isNull() & F.col("to_r").isNotNull()
+    return split.withColumns({"r1": F.when(none, F.col("to_r")).otherwise(F.col("r1")), "c1": F.when(none, F.col("to_c")).otherwise(F.col("c1")), "p1": F.when(none, 1.0).otherwise(F.col("p1")), "p2": F.when(none, 0.0).otherwise(F.col("p2"))})

@@ -505,3 +505,28 @@ def q44_slope_arrows(spark, sf):
 @query(f"WITH {_near_sql(ROUGH)} SELECT r, c, round(CASE WHEN vn + vne + ve + vse + vs + vsw + vw + vnw IS NOT NULL AND z < least(vn, vne, ve, vse, vs, vsw, vw, vnw) THEN least(vn, vne, ve, vse, vs, vsw, vw, vnw) ELSE z END, 6) AS z FROM nb")
 def q45_fill_pits(spark, sf):
     return rounded(terrain.fill_pits(T.grid(spark, sf, T.ROUGH)).select("r", "c", "z"), "z")
+
+
+#: Filled surface, steps to a way down over flats, and the way of every cell.
+_FULL = FILL + f""",
+h AS (SELECT g.r, g.c, f.w AS z, g.n FROM f JOIN g ON g.r = f.r AND g.c = f.c),
+st(i, dr, dc, code, dist) AS (VALUES {_STEPS}),
+fl AS (SELECT a.r, a.c, i, code, b.r AS tr, b.c AS tc, (a.z - b.z) / dist AS f FROM h a, st, h b WHERE b.r = a.r + dr AND b.c = a.c + dc),
+be AS (SELECT * FROM fl WHERE f > 0 QUALIFY row_number() OVER (PARTITION BY r, c ORDER BY f DESC, i) = 1),
+fs AS (
+  SELECT h.r, h.c, h.z, 0 AS k FROM h LEFT JOIN be ON be.r = h.r AND be.c = h.c WHERE be.r IS NOT NULL OR h.r = 0 OR h.c = 0 OR h.r = n - 1 OR h.c = n - 1
+  UNION SELECT b.r, b.c, b.z, fs.k + 1 FROM fs JOIN h b ON abs(b.r - fs.r) <= 1 AND abs(b.c - fs.c) <= 1 AND b.z = fs.z
+    WHERE NOT EXISTS (SELECT 1 FROM be WHERE be.r = b.r AND be.c = b.c) AND fs.k < 60),
+fd AS (SELECT r, c, z, min(k) AS k FROM fs GROUP BY r, c, z),
+fw AS (SELECT a.r, a.c, code, b.r AS tr, b.c AS tc FROM fd a, st, fd b WHERE a.k > 0 AND b.r = a.r + dr AND b.c = a.c + dc AND b.z = a.z AND b.k < a.k QUALIFY row_number() OVER (PARTITION BY a.r, a.c ORDER BY b.k, i) = 1),
+way AS (SELECT h.r, h.c, coalesce(fw.code, be.code, 0) AS dir, coalesce(fw.tr, be.tr) AS to_r, coalesce(fw.tc, be.tc) AS to_c FROM h LEFT JOIN be ON be.r = h.r AND be.c = h.c LEFT JOIN fw ON fw.r = h.r AND fw.c = h.c),
+walk AS (SELECT r, c FROM way UNION ALL SELECT w.to_r, w.to_c FROM walk JOIN way w ON w.r = walk.r AND w.c = walk.c WHERE w.to_r IS NOT NULL)"""
+
+
+@query(_FULL + ", ac AS (SELECT r, c, count(*)::BIGINT AS acc FROM walk GROUP BY r, c) SELECT way.r, way.c, way.dir, acc FROM way JOIN ac ON ac.r = way.r AND ac.c = way.c")
+def q46_conditioned_accumulation(spark, sf):
+    """The whole chain from a raw surface: fill, flats, D8, accumulation."""
+    n = T.side(spark, sf)
+    flow = T.written(terrain.condition(T.grid(spark, sf, T.ROUGH), n, T.CELL))
+    acc = _cells(terrain.accumulate(flow, n, {"acc": F.lit(1.0)}), n)
+    return flow.join(acc, ["r", "c"]).select("r", "c", "dir", F.col("acc").cast("long").alias("acc"))
