@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from rillwork.sources.tables import written
+
 
 def with_centres(cells: DataFrame, n: int, cell: float) -> DataFrame:
     """x and y of the true cell centres, north up."""
@@ -72,24 +74,65 @@ def companion_side(cells: DataFrame, line: list[tuple[float, float]], width: flo
     )
 
 
-def burn_diversion(cells: DataFrame, start: tuple[float, float], end: tuple[float, float], depth: float, width: float, gradient_pct: float, n: int, cell: float) -> DataFrame:
-    """Lowers cells to a floor that falls from the ground at the start; samples lie half a cell apart."""
-    length = ((end[0] - start[0]) ** 2 + (end[1] - start[1]) ** 2) ** 0.5
-    if not length:
+def burn_diversion(cells: DataFrame, points: list[tuple[float, float]], depth: float, width: float, gradient_pct: float, n: int, cell: float) -> DataFrame:
+    """Lowers cells to a floor that falls from the ground at the first vertex; each segment has samples a third of a cell apart.
+
+    ``points`` are the vertices. A line of one vertex or without length changes nothing. The ground at the start is
+    taken from the nearest cell of the grid.
+    """
+    spans = [(a, b, ((b[0] - a[0]) ** 2 + (b[1] - a[1]) ** 2) ** 0.5) for a, b in zip(points, points[1:], strict=False)]
+    if not sum(s[2] for s in spans):
         return cells
-    step = cell / 2
-    count = int(length / step) + 1
-    r, c = min(n - 1, max(0, n - 1 - int(start[1] / cell))), min(n - 1, max(0, int(start[0] / cell)))
+    start = points[0]
+    r, c = min(n - 1, max(0, int((cell * n - start[1]) / cell))), min(n - 1, max(0, int(start[0] / cell)))
     top = cells.where((F.col("r") == r) & (F.col("c") == c)).select(F.col("z").alias("top"))
-    ux, uy = (end[0] - start[0]) / length, (end[1] - start[1]) / length
-    d = F.col("k") * step
-    far = F.sqrt(F.pow(F.col("x") - (start[0] + d * ux), F.lit(2.0)) + F.pow(F.col("y") - (start[1] + d * uy), F.lit(2.0)))
-    close = cells.where(distance("x", "y", *start, *end) <= width / 2)
-    floors = close.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))).where(far <= width / 2).join(F.broadcast(top), F.lit(True))
-    lowest = floors.groupBy("r", "c").agg(F.min(F.col("top") - d * gradient_pct / 100.0 - depth).alias("floor"))
+    out, before = None, 0.0
+    for a, b, length in spans:
+        if not length:
+            continue
+        steps = max(2, int(length / cell * 3))
+        t = F.col("k") / float(steps)
+        far = F.sqrt(F.pow(F.col("x") - (a[0] + t * (b[0] - a[0])), 2) + F.pow(F.col("y") - (a[1] + t * (b[1] - a[1])), 2))
+        close = cells.where(distance("x", "y", *a, *b) <= width / 2)
+        floors = close.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(steps)))).where(far <= width / 2)
+        floors = floors.select("r", "c", (before + t * length).alias("d"))
+        out, before = floors if out is None else out.unionAll(floors), before + length
+    lowest = out.groupBy("r", "c").agg(F.max("d").alias("d")).join(F.broadcast(top), F.lit(True)).select("r", "c", (F.col("top") - F.col("d") * (gradient_pct / 100.0) - depth).alias("floor"))
     return cells.join(lowest, ["r", "c"], "left").withColumn("z", F.least("z", F.coalesce("floor", "z"))).drop("floor")
 
 
+def all_apart(cells: DataFrame, by: str, apart: float) -> DataFrame:
+    """Cells (r, c, by) from the greatest value down, each at least ``apart`` cells from all taken before it; ties by row and column.
+
+    All cells that are greater than every other left within that distance are taken at once and those too close to
+    them go, which gives what taking one by one would. Of a block no two cells can be taken, so only its greatest is
+    compared, with the cells of the blocks around it.
+    """
+    side = max(1, int(apart / 2**0.5))
+    key = F.struct(F.col(by), (-F.col("r")).alias("r"), (-F.col("c")).alias("c"))
+    left = written(cells.select("r", "c", by).withColumns({"br": F.floor(F.col("r") / side), "bc": F.floor(F.col("c") / side), "key": key}))
+    reach = int(apart / side) + 1
+    around = lambda x: F.explode(F.sequence(F.col(x) - reach, F.col(x) + reach))
+    near = lambda a, b: (F.pow(F.col(f"{a}.r") - F.col(f"{b}.r"), 2) + F.pow(F.col(f"{a}.c") - F.col(f"{b}.c"), 2)) < apart * apart
+    taken = []
+    while not left.isEmpty():
+        best = left.groupBy("br", "bc").agg(F.max("key").alias("key"))
+        best = best.select((-F.col("key.r")).alias("r"), (-F.col("key.c")).alias("c"), F.col(f"key.{by}").alias(by), "key", around("br").alias("br"), "bc").select("r", "c", by, "key", "br", around("bc").alias("bc"))
+        beaten = best.alias("x").join(left.alias("y"), ["br", "bc"]).where(near("x", "y") & (F.col("y.key") > F.col("x.key"))).select("x.r", "x.c").distinct()
+        won = written(best.select("r", "c", by).distinct().join(beaten, ["r", "c"], "left_anti"))
+        taken.append(won)
+        spread = won.select("r", "c", around_of("r", side, reach).alias("br")).select("r", "c", "br", around_of("c", side, reach).alias("bc"))
+        gone = left.alias("y").join(spread.alias("x"), ["br", "bc"]).where(near("x", "y")).select("y.r", "y.c").distinct()
+        left = written(left.join(gone, ["r", "c"], "left_anti"))
+    if not taken:
+        return cells.select("r", "c", by).limit(0)
+    return reduce(DataFrame.unionAll, taken)
+
+
+def around_of(axis: str, side: int, reach: int) -> Column:
+    return F.explode(F.sequence(F.floor(F.col(axis) / side) - reach, F.floor(F.col(axis) / side) + reach))
+
+
 def greedy_apart(cells: DataFrame, by: str, apart: float, most: int, square: bool = False) -> DataFrame:
     """Up to ``most`` cells from the greatest value down, each at least ``apart`` cells from all taken before.
 
@@ -118,12 +161,40 @@ def contour_quads(cells: DataFrame, step: float) -> DataFrame:
     return both.where(first <= last).select("r", "c", F.explode(F.sequence(first, last)).alias("k")).select("r", "c", (F.col("k") * step).alias("level"))
 
 
-def pond_sites(keys: DataFrame, cells: DataFrame, acc: DataFrame, radius: int, n: int, cell: float) -> DataFrame:
-    """For each keypoint the cell of most flow per width of its valley, within ``radius`` cells; widths count cells not above the fill."""
-    k = F.broadcast(keys)
-    around = cells.join(k, (F.abs(F.col("r") - F.col("kr")) <= radius) & (F.abs(F.col("c") - F.col("kc")) <= radius) & F.col("r").between(1, n - 2) & F.col("c").between(1, n - 2)).join(acc, ["r", "c"])
-    sites = around.select("rank", "r", "c", "z", "acc")
-    row = cells.select("r", F.col("c").alias("oc"), F.col("z").alias("oz"))
-    wide = sites.join(row, "r").where((F.abs(F.col("oc") - F.col("c")) <= 200) & (F.col("oz") <= F.col("z") + 2)).groupBy("rank", "r", "c", "z", "acc").agg((F.count("*") * cell).alias("width_m"))
-    best = F.max_by(F.struct("r", "c", "z", "width_m"), F.struct(F.col("acc") / (F.col("width_m") + 1), -F.col("r"), -F.col("c"))).alias("s")
-    return wide.groupBy("rank").agg(best).select("rank", "s.*")
+def pond_sites(keys: DataFrame, cells: DataFrame, acc: DataFrame, radius: int, n: int, cell: float, cut_left: bool = True) -> DataFrame:
+    """For each keypoint (rank, kr, kc) the cell of most flow per width of its valley, within ``radius`` cells of it.
+
+    Only inner cells with more flow than the keypoint, and at most four times as much, are looked at; the first of
+    equals by row and column wins. A width counts cells of the row, up to 200 to each side, that lie no higher than
+    2 m above the site. cut_left: a row that does not reach 200 cells to the left has no width. A keypoint without
+    such a cell is its own site, of ten cells' width.
+    """
+    k = F.broadcast(keys)  # as many rows as keypoints were asked for
+    at_key = k.join(acc.withColumnsRenamed({"r": "kr", "c": "kc", "acc": "k_acc"}), ["kr", "kc"]).join(cells.select(F.col("r").alias("kr"), F.col("c").alias("kc"), F.col("z").alias("k_z")), ["kr", "kc"])
+    at_key = written(at_key)
+    close = (F.abs(F.col("r") - F.col("kr")) <= radius) & (F.abs(F.col("c") - F.col("kc")) <= radius) & F.col("r").between(1, n - 2) & F.col("c").between(1, n - 2)
+    around = cells.join(F.broadcast(at_key), close).join(acc, ["r", "c"]).where("acc > k_acc and acc <= 4 * k_acc")
+    if cut_left:
+        around = around.where("c >= 200")
+    # the row is looked at in stretches of 200 columns, so no site meets a whole row
+    sites = written(around.select("rank", "r", "c", "z", "acc"))
+    stretch = sites.select("*", F.explode(F.sequence(F.floor((F.col("c") - 200) / 200), F.floor((F.col("c") + 200) / 200))).alias("part"))
+    row = cells.select("r", F.floor(F.col("c") / 200).alias("part"), F.col("c").alias("oc"), F.col("z").alias("oz"))
+    wide = stretch.join(row, ["r", "part"]).where((F.abs(F.col("oc") - F.col("c")) <= 200) & (F.col("oz") <= F.col("z") + 2)).groupBy("rank", "r", "c", "z", "acc").agg((F.count("*") * cell).alias("width_m"))
+    best = F.max_by(F.struct("r", "c", "z", "acc", "width_m"), F.struct(F.col("acc") / (F.col("width_m") + 1), -F.col("r"), -F.col("c"))).alias("s")
+    found = at_key.join(wide.groupBy("rank").agg(best), "rank", "left")
+    own = F.struct(F.col("kr").alias("r"), F.col("kc").alias("c"), F.col("k_z").alias("z"), F.col("k_acc").alias("acc"), F.lit(10.0 * cell).alias("width_m"))
+    return found.select("rank", F.coalesce("s", own).alias("s")).select("rank", "s.*")
+
+
+def cultivation_levels(keys: DataFrame, each_side: int = 2, spacing_m: float = 5.0) -> DataFrame:
+    """(elevation, keypoint, step, line_type, label) from keypoints (kp, base): the keyline and lines on both sides of it.
+
+    An elevation that several have is the first keypoint's, of its lowest step.
+    """
+    e = keys.select("kp", F.explode(F.sequence(F.lit(-each_side), F.lit(each_side))).alias("step"), "base").select("kp", "step", F.round(F.col("base") + F.col("step") * spacing_m, 2).alias("elevation"))
+    once = e.groupBy("elevation").agg(F.min(F.struct("kp", "step")).alias("s")).select("elevation", F.col("s.kp").alias("keypoint"), "s.step")
+    kind = F.when(F.col("step") == 0, "keyline").when(F.col("step") > 0, "cultivation_upper").otherwise("cultivation_lower")
+    sign = F.when(F.col("step") > 0, "+").otherwise("")
+    name = F.when(F.col("step") == 0, F.concat(F.lit("Keyline "), "keypoint")).otherwise(F.concat(F.lit("Cultivation "), "keypoint", F.lit(" ("), sign, "step", F.lit(")")))
+    return once.withColumns({"line_type": kind, "label": F.concat(name, F.lit(" — "), F.format_string("%.1f m", "elevation"))})

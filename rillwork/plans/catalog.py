@@ -56,9 +56,12 @@ d8 AS (SELECT g.r, g.c, g.cn, g.z, coalesce(code, 0) AS dir, tr AS to_r, tc AS t
 WALK = "WITH RECURSIVE " + DIRS + """,
 walk AS (SELECT r AS sr, c AS sc, r, c, cn FROM d8 UNION ALL SELECT w.sr, w.sc, d.to_r, d.to_c, w.cn FROM walk w JOIN d8 d ON d.r = w.r AND d.c = w.c WHERE d.to_r IS NOT NULL)"""
 RAIN = """
-rain AS (SELECT h AS hour, coalesce(mm, 0e0) AS mm FROM (SELECT unnest(range(24))::INT AS h) LEFT JOIN
-  (SELECT hour(ts)::INT AS hh, avg(value) / 10 AS mm FROM events WHERE ts < TIMESTAMP '2024-01-02' GROUP BY 1) ON hh = h),
-hy AS (SELECT 0 AS time_min, 0e0 AS cum_mm UNION ALL SELECT (hour + 1) * 60, sum(mm) OVER (ORDER BY hour) FROM rain)"""
+first AS (SELECT min(ts)::DATE AS d0, max(ts)::DATE AS d1 FROM events),
+rain AS (SELECT day, h::INT AS hour, ((date_diff('day', d0, day) * 24 + h + 1) * 60)::INT AS time_min, coalesce(mm, 0e0) AS mm FROM
+  (SELECT unnest(generate_series(d0, d1, INTERVAL 1 DAY))::DATE AS day, d0 FROM first), (SELECT unnest(range(24)) AS h) LEFT JOIN
+  (SELECT ts::DATE AS dd, hour(ts) AS hh, avg(value) / 10 AS mm FROM events GROUP BY 1, 2) ON dd = day AND hh = h),
+hy AS (SELECT 0 AS time_min, 0e0 AS cum_mm UNION ALL SELECT time_min, sum(mm) OVER (ORDER BY time_min) FROM rain),
+storm AS (SELECT day, time_min, sum(mm) OVER (PARTITION BY day ORDER BY hour) AS cum_mm FROM rain)"""
 
 
 def _q(p: str, cn: str) -> str:
@@ -153,21 +156,22 @@ def q11_runoff_zonal(spark, sf):
 
 @query(f"WITH {RAIN} SELECT time_min::INT AS time_min, round(cum_mm, 6) AS cum_mm FROM hy")
 def q12_hyetograph(spark, sf):
-    return rounded(T.hyetograph(T.hourly_rain(spark, sf)), "cum_mm")
+    return rounded(T.hyetograph(T.daily_rain(spark, sf)), "cum_mm")
 
 
 def _increments(spark, sf) -> DataFrame:
-    """(time_min, cn, mm): the runoff each step adds on each curve number; a few classes by a few steps."""
+    """(time_min, cn, mm): the runoff each step adds on each curve number, each day a storm of its own; a few classes by the hours."""
     cns = T.grid(spark, sf).select("cn").distinct()
-    hy = T.hyetograph(T.hourly_rain(spark, sf))
-    each = F.broadcast(hy).join(cns, F.lit(True)).withColumn("q", H.runoff_mm("cum_mm", "cn"))
-    return each.withColumn("mm", F.greatest(F.lit(0.0), F.col("q") - F.lag("q", 1, 0.0).over(Window.partitionBy("cn").orderBy("time_min")))).where("time_min > 0").select("time_min", "cn", "mm")
+    storm = Window.partitionBy("day").orderBy("hour").rowsBetween(Window.unboundedPreceding, 0)
+    depths = T.daily_rain(spark, sf).withColumn("cum_mm", F.sum("mm").over(storm)).select("day", "time_min", "cum_mm")
+    each = depths.join(F.broadcast(cns), F.lit(True)).withColumn("q", H.runoff_mm("cum_mm", "cn"))
+    return each.withColumn("mm", F.greatest(F.lit(0.0), F.col("q") - F.lag("q", 1, 0.0).over(Window.partitionBy("day", "cn").orderBy("time_min")))).select("time_min", "cn", "mm")
 
 
-_INC = f"{GRID}, {RAIN}, z AS (SELECT cn, count(*) AS k FROM g GROUP BY cn), i AS (SELECT time_min, cn, k, q - lag(q, 1, 0e0) OVER (PARTITION BY cn ORDER BY time_min) AS mm FROM (SELECT *, {_q('cum_mm', 'cn')} AS q FROM hy, z))"
+_INC = f"{GRID}, {RAIN}, z AS (SELECT cn, count(*) AS k FROM g GROUP BY cn), i AS (SELECT time_min, cn, k, q - lag(q, 1, 0e0) OVER (PARTITION BY day, cn ORDER BY time_min) AS mm FROM (SELECT *, {_q('cum_mm', 'cn')} AS q FROM storm, z))"
 
 
-@query(f"WITH {_INC} SELECT time_min::INT AS time_min, cn, round(greatest(0e0, mm), 6) AS mm FROM i WHERE time_min > 0")
+@query(f"WITH {_INC} SELECT time_min::INT AS time_min, cn, round(greatest(0e0, mm), 6) AS mm FROM i")
 def q13_incremental_runoff(spark, sf):
     return rounded(_increments(spark, sf), "mm")
 
@@ -200,13 +204,23 @@ def _ponds(spark, sf) -> DataFrame:
     return wet.join(terrain.components(wet, T.side(spark, sf)), ["r", "c"])
 
 
-@query()
+PONDS = FILL + """,
+wet AS (SELECT g.r, g.c, f.w - g.z AS depth, (g.r::BIGINT * g.n + g.c) AS id FROM f JOIN g ON g.r = f.r AND g.c = f.c WHERE f.w - g.z >= 1e-3),
+lb(r, c, zone) USING KEY (r, c) AS (
+  SELECT r, c, id FROM wet
+  UNION SELECT w.r, w.c, min(o.zone) FROM lb JOIN wet w ON abs(w.r - lb.r) <= 1 AND abs(w.c - lb.c) <= 1
+    JOIN recurring.lb o ON o.r BETWEEN w.r - 1 AND w.r + 1 AND o.c BETWEEN w.c - 1 AND w.c + 1 JOIN recurring.lb own ON own.r = w.r AND own.c = w.c
+  GROUP BY w.r, w.c, own.zone HAVING min(o.zone) < own.zone),
+pz AS (SELECT wet.r, wet.c, depth, zone FROM wet JOIN lb ON lb.r = wet.r AND lb.c = wet.c)"""
+
+
+@query(PONDS + " SELECT zone, count(*)::BIGINT AS cells, count(*) * 25e0 AS area_m2, round(sum(depth * 25), 6) AS volume_m3, round(avg(depth), 6) AS mean_depth FROM pz GROUP BY zone")
 def q16_pond_zones(spark, sf):
     out = _ponds(spark, sf).groupBy("zone").agg(F.count("*").alias("cells"), (F.count("*") * AREA).alias("area_m2"), F.sum(F.col("depth") * AREA).alias("volume_m3"), F.avg("depth").alias("mean_depth"))
     return rounded(out, "volume_m3", "mean_depth")
 
 
-@query()
+@query(PONDS + " SELECT count(*)::BIGINT AS cells, count(*) * 25e0 AS area_m2, round(sum(depth * 25), 6) AS volume_m3 FROM pz WHERE zone = (SELECT zone FROM pz ORDER BY depth DESC, r, c LIMIT 1)")
 def q17_pond_query(spark, sf):
     """The pond at the deepest wet cell, as a click there would find it."""
     ponds = T.written(_ponds(spark, sf))
@@ -233,26 +247,43 @@ _BEAR = "CASE dir WHEN 64 THEN 0 WHEN 128 THEN 45 WHEN 1 THEN 90 WHEN 2 THEN 135
 
 @query("WITH RECURSIVE " + DIRS + f""", o AS (SELECT (i * n // 6)::INT AS r, (n // 2)::INT AS c FROM n, (SELECT unnest([1, 2, 3, 4, 5]) AS i)),
 own AS (SELECT r AS sr, c AS sc, r, c, dir FROM d8 UNION ALL SELECT w.sr, w.sc, d.to_r, d.to_c, w.dir FROM own w JOIN d8 d ON d.r = w.r AND d.c = w.c WHERE d.to_r IS NOT NULL AND NOT EXISTS (SELECT 1 FROM o WHERE o.r = w.r AND o.c = w.c)),
-hit AS (SELECT own.*, {_BEAR} AS b FROM own JOIN o ON o.r = own.r AND o.c = own.c)
+walk AS (SELECT r, c FROM d8 UNION ALL SELECT d.to_r, d.to_c FROM walk w JOIN d8 d ON d.r = w.r AND d.c = w.c WHERE d.to_r IS NOT NULL),
+ac AS (SELECT r AS ar, c AS ac, count(*) AS acc FROM walk GROUP BY r, c),
+hit AS (SELECT own.*, acc, coalesce({_BEAR}, 0) AS b FROM own JOIN o ON o.r = own.r AND o.c = own.c JOIN ac ON ar = sr AND ac.ac = sc)
 SELECT r::BIGINT * (SELECT n FROM n) + c AS outlet, count(*)::BIGINT AS cells, count(*) * 25e0 AS area_m2,
-  round(((degrees(atan2(round(sum(sin(radians(b))), 9), round(sum(cos(radians(b))), 9))) + 360)::DOUBLE) % 360, 4) AS bearing FROM hit GROUP BY r, c""")
+  round(((degrees(atan2(round(sum(acc * sin(radians(b))), 6), round(sum(acc * cos(radians(b))), 6))) + 360)::DOUBLE) % 360, 4) AS bearing FROM hit GROUP BY r, c""")
 def q19_catchments(spark, sf):
     n = T.side(spark, sf)
     flow = T.written(terrain.d8(T.grid(spark, sf), T.CELL).select("r", "c", "dir", "to_r", "to_c"))
     own = terrain.first_outlet(flow, n, _outlets(spark, n))
-    bearing = F.radians(F.try_element_at(F.create_map(*[F.lit(x) for k, v in ((64, 0.0), (128, 45.0), (1, 90.0), (2, 135.0), (4, 180.0), (8, 225.0), (16, 270.0), (32, 315.0)) for x in (k, v)]), F.col("dir")))
-    cells = flow.select((F.col("r").cast("long") * n + F.col("c")).alias("id"), bearing.alias("b")).join(own, "id")
-    east, north = F.round(F.sum(F.sin("b")), 9), F.round(F.sum(F.cos("b")), 9)
+    code = F.create_map(*[F.lit(x) for k, v in ((64, 0.0), (128, 45.0), (1, 90.0), (2, 135.0), (4, 180.0), (8, 225.0), (16, 270.0), (32, 315.0)) for x in (k, v)])
+    bearing = F.radians(F.coalesce(F.try_element_at(code, F.col("dir")), F.lit(0.0)))
+    # a cell's direction counts as much as what flows through it
+    acc = terrain.accumulate(flow, n, {"acc": F.lit(1.0)})
+    cells = flow.select((F.col("r").cast("long") * n + F.col("c")).alias("id"), bearing.alias("b")).join(own, "id").join(acc, "id")
+    east, north = F.round(F.sum(F.col("acc") * F.sin("b")), 6), F.round(F.sum(F.col("acc") * F.cos("b")), 6)
     out = cells.groupBy("outlet").agg(F.count("*").alias("cells"), (F.count("*") * AREA).alias("area_m2"), F.pmod(F.degrees(F.atan2(east, north)) + 360.0, F.lit(360.0)).alias("bearing"))
     return rounded(out, "bearing", digits=4)
 
 
-@query()
+_EXITS = WALK + """, a AS (SELECT r, c, count(*)::BIGINT AS acc FROM walk GROUP BY r, c),
+e AS (SELECT a.r, a.c, acc, row_number() OVER (ORDER BY acc DESC, a.r, a.c) AS k FROM a, n WHERE acc > 2 AND (a.r = 0 OR a.c = 0 OR a.r = n - 1 OR a.c = n - 1)),
+pick AS (SELECT r, c, acc, k, [{'r': r, 'c': c}] AS kept, true AS ok FROM e WHERE k = 1 UNION ALL
+  SELECT e.r, e.c, e.acc, e.k, CASE WHEN far THEN list_append(kept, {'r': e.r, 'c': e.c}) ELSE kept END, far FROM
+  (SELECT e.*, kept, len(list_filter(kept, lambda x: power(x.r - e.r, 2) + power(x.c - e.c, 2) < 400)) = 0 AS far FROM pick JOIN e ON e.k = pick.k + 1) e)"""
+
+
+@query(_EXITS + """, v AS (SELECT r, c, acc, acc * 25e0 * 3e-2 AS vol FROM pick WHERE ok)
+SELECT row_number() OVER (ORDER BY acc DESC, r, c)::INT AS rank, r, c, acc, round(vol, 6) AS volume_m3, round(vol * 1e3 / 86400e0, 6) AS flow_ls FROM v""")
 def q20_exits(spark, sf):
-    """Edge cells by inflow, each at least 20 cells from all taken before it, at most 10."""
+    """Where water leaves the site: cells of its boundary with more flow than the threshold, 20 cells apart, with the event's volume and mean flow."""
     n = T.side(spark, sf)
-    edge = _counted(spark, sf).where((F.col("acc") >= 2) & ((F.col("r") == 0) | (F.col("c") == 0) | (F.col("r") == n - 1) | (F.col("c") == n - 1)))
-    return vector.greedy_apart(edge, "acc", 20.0, 10)
+    edge = _counted(spark, sf).where((F.col("acc") > 2) & ((F.col("r") == 0) | (F.col("c") == 0) | (F.col("r") == n - 1) | (F.col("c") == n - 1)))
+    kept = vector.all_apart(edge, "acc", 20.0)
+    volume = F.col("acc") * AREA * 0.03
+    order = Window.orderBy(F.desc("acc"), "r", "c")  # exits 20 cells apart on a boundary: few
+    out = kept.select(F.row_number().over(order).alias("rank"), "r", "c", F.col("acc").cast("long").alias("acc"), volume.alias("volume_m3"), (volume * 1000 / 86400).alias("flow_ls"))
+    return rounded(out, "volume_m3", "flow_ls")
 
 
 @query(f"WITH {GRID}, q AS (SELECT a.r, a.c, least(a.z, b.z, d.z, e.z) AS lo, greatest(a.z, b.z, d.z, e.z) AS hi FROM g a JOIN g b ON b.r = a.r AND b.c = a.c + 1 JOIN g d ON d.r = a.r + 1 AND d.c = a.c JOIN g e ON e.r = a.r + 1 AND e.c = a.c + 1) SELECT l::BIGINT AS level, count(*)::BIGINT AS quads FROM (SELECT unnest(range(ceil(lo)::BIGINT, ceil(hi)::BIGINT)) AS l FROM q) GROUP BY l")
@@ -332,11 +363,16 @@ def q26_burn_works(spark, sf):
     return rounded(vector.burn(g, plan).select("r", "c", "z"), "z")
 
 
-@query(f"WITH {GRID}, k AS (SELECT *, {_X} AS x, {_Y} AS y FROM g), s0 AS (SELECT z AS z0 FROM k WHERE r = n - 1 - 20 AND c = 6), m AS (SELECT r, c, min(z0 - dd * 1e-2 - 5e-1) AS f FROM k, s0, (SELECT unnest(range(37)) * 25e-1 AS dd) WHERE sqrt(power(x - (31e0 + dd), 2) + power(y - 101e0, 2)) <= 3e0 GROUP BY r, c) SELECT k.r, k.c, round(least(z, coalesce(f, z)), 6) AS z FROM k LEFT JOIN m ON m.r = k.r AND m.c = k.c")
+@query(f"""WITH {GRID}, k AS (SELECT *, {_X} AS x, {_Y} AS y FROM g), s0 AS (SELECT z AS z0 FROM k, n WHERE r = floor((5e0 * n.n - 101e0) / 5) AND c = 6),
+sg(x0, y0, x1, y1, before, len, steps) AS (VALUES (31e0, 101e0, 91e0, 101e0, 0e0, 6e1, 36), (91e0, 101e0, 121e0, 141e0, 6e1, 5e1, 30)),
+sp AS (SELECT x0 + i / steps::DOUBLE * (x1 - x0) AS px, y0 + i / steps::DOUBLE * (y1 - y0) AS py, before + i / steps::DOUBLE * len AS d FROM sg, (SELECT unnest(range(37)) AS i) WHERE i <= steps),
+m AS (SELECT r, c, min(z0 - d * 1e-2 - 5e-1) AS f FROM k, s0, sp WHERE sqrt(power(x - px, 2) + power(y - py, 2)) <= 3e0 GROUP BY r, c)
+SELECT k.r, k.c, round(least(z, coalesce(f, z)), 6) AS z FROM k LEFT JOIN m ON m.r = k.r AND m.c = k.c""")
 def q27_burn_diversion(spark, sf):
+    """A drain of two segments."""
     n = T.side(spark, sf)
     g = vector.with_centres(T.grid(spark, sf), n, T.CELL)
-    return rounded(vector.burn_diversion(g, (31.0, 101.0), (121.0, 101.0), 0.5, 6.0, 1.0, n, T.CELL).select("r", "c", "z"), "z")
+    return rounded(vector.burn_diversion(g, [(31.0, 101.0), (91.0, 101.0), (121.0, 141.0)], 0.5, 6.0, 1.0, n, T.CELL).select("r", "c", "z"), "z")
 
 
 @query("WITH l AS (SELECT s_nationkey, s_acctbal, min(s_name) AS f FROM supplier GROUP BY 1, 2), m AS (SELECT s_nationkey, s_acctbal, lag(f) OVER (PARTITION BY s_nationkey ORDER BY s_acctbal) AS receiver FROM l) SELECT s_nationkey AS site, s_name AS name, s_acctbal AS elevation, receiver FROM supplier JOIN m USING (s_nationkey, s_acctbal)")
@@ -363,7 +399,7 @@ def q30_store_summary(spark, sf):
     return rounded(out, "inflow", "infiltration", "overflow", "peak_fill_pct", "first_overflow_hr")
 
 
-@query(f"WITH {_INC} SELECT r, c, round(max(greatest(0e0, mm)) / 1e3 * 25e0, 6) AS peak_m3, round(sum(greatest(0e0, mm)) / 1e3 * 25e0, 6) AS total_m3 FROM g JOIN i ON i.cn = g.cn AND time_min > 0 GROUP BY r, c")
+@query(f"WITH {_INC} SELECT r, c, round(max(greatest(0e0, mm)) / 1e3 * 25e0, 6) AS peak_m3, round(sum(greatest(0e0, mm)) / 1e3 * 25e0, 6) AS total_m3 FROM g JOIN i ON i.cn = g.cn GROUP BY r, c")
 def q31_cell_peak(spark, sf):
     """Peak and total per curve number first, then per cell: the steps never multiply the cells."""
     by_cn = _increments(spark, sf).groupBy("cn").agg((F.max("mm") / 1000.0 * AREA).alias("peak_m3"), (F.sum("mm") / 1000.0 * AREA).alias("total_m3"))
@@ -376,17 +412,39 @@ def q32_compare(spark, sf):
     return rounded(rounded(a.withColumn("reduction_pct", H.percent_drop("before", "after")), "reduction_pct"), "before", "after", digits=4)
 
 
+def _separation(n: int) -> float:
+    """At least a tenth of the grid's shorter side."""
+    return float(max(10, int(n * 0.1)))
+
+
 def _scored(spark, sf) -> DataFrame:
+    """Valley cells up to the 75th percentile of flow, all of them if that leaves none, by flow over gentle slope."""
     n = T.side(spark, sf)
     slope = terrain.box_mean(terrain.slope_deg(T.grid(spark, sf), T.CELL), n, 1, "slope", "smooth").select("r", "c", "smooth")
-    valley = _counted(spark, sf).where("acc >= 10")
-    high = valley.agg(F.percentile("acc", F.lit(0.75)).alias("p75"))
-    return valley.join(F.broadcast(high), F.col("acc") <= F.col("p75")).join(slope, ["r", "c"]).select("r", "c", "acc", (F.col("acc") / (F.col("smooth") + 1)).alias("score"))
+    valley = T.written(_counted(spark, sf).where("acc >= 10"))
+    high = valley.agg(F.percentile("acc", F.lit(0.75)).alias("p75"), F.min("acc").alias("least"))
+    band = valley.join(F.broadcast(high), (F.col("acc") <= F.col("p75")) | (F.col("least") > F.col("p75")))
+    return T.written(band.join(slope, ["r", "c"]).select("r", "c", "acc", (F.col("acc") / (F.col("smooth") + 1)).alias("score")))
 
 
-@query()
+_SCORED = WALK + ", " + SLOPE[len(GRID) + 2 :] + f""", a AS (SELECT r, c, count(*)::BIGINT AS acc FROM walk GROUP BY r, c),
+sg AS (SELECT sl.*, n FROM sl, n), sma AS {_mirror(1, 'sg', 'r', 'c', 'slope', 'm').replace(', n WHERE', ' WHERE')}, smb AS {_mirror(1, 'sma', 'c', 'r', 'm', 'smooth')},
+va AS (SELECT * FROM a WHERE acc >= 10), hi AS (SELECT quantile_cont(acc, 75e-2) AS p75 FROM va),
+sc AS (SELECT va.r, va.c, acc, acc / (smooth + 1) AS score FROM va JOIN hi ON acc <= p75 JOIN smb ON smb.r = va.r AND smb.c = va.c),
+sep AS (SELECT greatest(10, floor(n / 10)) AS s FROM n),
+kp AS (SELECT 1 AS rank, r, c, acc, score, [{{'r': r, 'c': c}}] AS kept FROM (SELECT * FROM sc ORDER BY score DESC, r, c LIMIT 1) UNION ALL
+  SELECT rank + 1, b.r, b.c, b.acc, b.score, list_append(kept, {{'r': b.r, 'c': b.c}}) FROM (
+    SELECT kp.rank, kp.kept, sc.*, row_number() OVER (ORDER BY sc.score DESC, sc.r, sc.c) AS o FROM kp, sep, sc
+    WHERE kp.rank < 5 AND len(list_filter(kp.kept, lambda x: sc.r - x.r >= -s AND sc.r - x.r < s AND sc.c - x.c >= -s AND sc.c - x.c < s)) = 0) b WHERE o = 1)"""
+
+
+def _keypoints(spark, sf) -> DataFrame:
+    return vector.greedy_apart(_scored(spark, sf), "score", _separation(T.side(spark, sf)), 5, square=True)
+
+
+@query(_SCORED + " SELECT rank::INT AS rank, r, c, round(score, 6) AS score FROM kp")
 def q33_keypoints(spark, sf):
-    return rounded(vector.greedy_apart(_scored(spark, sf), "score", 10.0, 5, square=True), "score")
+    return rounded(_keypoints(spark, sf), "score")
 
 
 @query()
@@ -406,18 +464,27 @@ def _ridge_zones(crest: DataFrame, n: int, least_m: float = 100.0) -> DataFrame:
     return rounded(out, "mean_z")
 
 
-@query()
+@query(_SCORED + """, ca AS (SELECT kp.rank, a.r, a.c, g.z, a.acc FROM kp JOIN a ON abs(a.r - kp.r) <= 6 AND abs(a.c - kp.c) <= 6 AND a.acc > kp.acc AND a.acc <= 4 * kp.acc JOIN g ON g.r = a.r AND g.c = a.c WHERE a.r BETWEEN 1 AND g.n - 2 AND a.c BETWEEN 1 AND g.n - 2),
+wi AS (SELECT ca.*, (SELECT count(*) FROM g WHERE g.r = ca.r AND abs(g.c - ca.c) <= 200 AND g.z <= ca.z + 2) * 5e0 AS width_m FROM ca),
+be1 AS (SELECT * FROM wi QUALIFY row_number() OVER (PARTITION BY rank ORDER BY acc / (width_m + 1) DESC, r, c) = 1)
+SELECT kp.rank::INT AS rank, coalesce(be1.r, kp.r) AS r, coalesce(be1.c, kp.c) AS c, round(coalesce(be1.z, g.z), 6) AS z, coalesce(be1.acc, kp.acc)::BIGINT AS acc, coalesce(width_m, 5e1) AS width_m
+FROM kp JOIN g ON g.r = kp.r AND g.c = kp.c LEFT JOIN be1 ON be1.rank = kp.rank""")
 def q35_pond_sites(spark, sf):
-    """The narrowest high-flow cell near each keypoint."""
+    """Just below each keypoint, where the valley is narrow for its flow; the row is scanned to the grid's edge."""
     n = T.side(spark, sf)
-    keys = vector.greedy_apart(_scored(spark, sf), "score", 10.0, 5, square=True).select("rank", F.col("r").alias("kr"), F.col("c").alias("kc"))
-    return rounded(vector.pond_sites(keys, T.grid(spark, sf), _counted(spark, sf), 6, n, T.CELL), "z", "width_m")
+    keys = _keypoints(spark, sf).select("rank", F.col("r").alias("kr"), F.col("c").alias("kc"))
+    out = vector.pond_sites(keys, T.grid(spark, sf), _counted(spark, sf), 6, n, T.CELL, cut_left=False)
+    return rounded(out.withColumn("acc", F.col("acc").cast("long")), "z")
 
 
-@query("SELECT level::BIGINT AS level, kp, off FROM (SELECT *, row_number() OVER (PARTITION BY level ORDER BY kp, off) AS k FROM (SELECT n_nationkey AS kp, off, n_nationkey * 2 + off * 3 AS level FROM nation, (SELECT unnest(range(5))::INT AS off))) WHERE k = 1")
+@query("""WITH k AS (SELECT n_nationkey + 1 AS kp, 100e0 + n_nationkey * 15e-1 AS base FROM nation), e AS (SELECT kp, o::INT AS o, round(base + o * 5e0, 2) AS elevation FROM k, (SELECT unnest(range(-2, 3)) AS o))
+SELECT elevation, kp AS keypoint, o AS step, CASE WHEN o = 0 THEN 'keyline' WHEN o > 0 THEN 'cultivation_upper' ELSE 'cultivation_lower' END AS line_type,
+  CASE WHEN o = 0 THEN 'Keyline ' || kp ELSE 'Cultivation ' || kp || ' (' || CASE WHEN o > 0 THEN '+' ELSE '' END || o || ')' END || ' — ' || printf('%.1f', elevation) || ' m' AS label
+FROM e QUALIFY row_number() OVER (PARTITION BY elevation ORDER BY kp, o) = 1""")
 def q36_cultivation_levels(spark, sf):
-    each = T.table(spark, sf, "nation").select(F.col("n_nationkey").alias("kp"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("off")).withColumn("level", (F.col("kp") * 2 + F.col("off") * 3).cast("long"))
-    return each.withColumn("k", F.row_number().over(Window.partitionBy("level").orderBy("kp", "off"))).where("k = 1").select("level", "kp", "off")
+    """Keylines and the lines above and below them, each elevation once, with the first keypoint that has it."""
+    keys = T.table(spark, sf, "nation").select((F.col("n_nationkey") + 1).alias("kp"), (100.0 + F.col("n_nationkey") * 1.5).alias("base"))
+    return vector.cultivation_levels(keys, 2, 5.0)
 
 
 @query(f"WITH {GRID}, {_LINES}, {_SAMPLES}, h AS (SELECT id, i, greatest(0e0, max(z) OVER (PARTITION BY id) + 1 - z) AS h FROM sm JOIN g ON g.r = sm.r AND g.c = sm.c) SELECT id, round(max(h), 6) AS max_height, round(sum(h) * sqrt(4e3) / 19e0 * 2, 6) AS volume_m3, CASE WHEN max(h) > 5 THEN 'may need an engineer' WHEN max(h) <= 4 THEN 'feasible' ELSE 'check' END AS class FROM h GROUP BY id")
@@ -437,10 +504,10 @@ def q38_nearest_line(spark, sf):
     return rounded(d.groupBy(k).agg(F.min_by("id", F.struct(F.round("d", 6), "id")).alias("id"), F.min("d").alias("distance")), "distance")
 
 
-@query(f"WITH {RAIN} SELECT hour, round(mm, 6) AS mm, round(sum(mm) OVER (ORDER BY hour ROWS BETWEEN 5 PRECEDING AND CURRENT ROW), 6) AS mm_6h FROM rain")
+@query(f"WITH {RAIN} SELECT time_min, hour, round(mm, 6) AS mm, round(sum(mm) OVER (ORDER BY time_min ROWS BETWEEN 5 PRECEDING AND CURRENT ROW), 6) AS mm_6h FROM rain")
 def q39_rolling_rain(spark, sf):
-    w = Window.orderBy("hour").rowsBetween(-5, 0)
-    return rounded(T.hourly_rain(spark, sf).withColumn("mm_6h", F.sum("mm").over(w)), "mm", "mm_6h")
+    w = Window.orderBy("time_min").rowsBetween(-5, 0)
+    return rounded(T.daily_rain(spark, sf).select("time_min", "hour", "mm", F.sum("mm").over(w).alias("mm_6h")), "mm", "mm_6h")
 
 
 @query()

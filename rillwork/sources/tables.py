@@ -24,6 +24,8 @@ def written(df: DataFrame) -> DataFrame:
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
         at = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not at.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = at.get() if at.isDefined() else tempfile.mkdtemp(prefix="rillwork-")
         spark.sparkContext.setCheckpointDir(root)
     path = f"{root.rstrip('/')}/table-{uuid.uuid4().hex}"
@@ -45,12 +47,6 @@ def grid(spark: SparkSession, sf_dir: str, noise: float = SMOOTH) -> DataFrame:
     return table(spark, sf_dir, "orders").where(k < n * n).select(r.alias("r"), c.alias("c"), z.alias("z"), (40 + F.col("o_custkey") % 5 * 10).cast("int").alias("cn"))
 
 
-def hourly_rain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(hour, mm) of the first 24 hours, as the queries' SQL has it (daily_rain: all of them); an hour without an event has none."""
-    e = table(spark, sf_dir, "events").where(F.col("ts") < F.lit("2024-01-02").cast("timestamp")).groupBy(F.hour("ts").alias("hour")).agg((F.avg("value") / 10).alias("mm"))
-    return spark.range(24).select(F.col("id").cast("int").alias("hour")).join(e, "hour", "left").select("hour", F.coalesce("mm", F.lit(0.0)).alias("mm"))
-
-
 def daily_rain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(day, hour, time_min, mm) of all events: every hour of every day from the first to the last, an hour without an event has none.
 
@@ -65,8 +61,8 @@ def daily_rain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hyetograph(rain: DataFrame) -> DataFrame:
-    """(time_min, cum_mm) from hourly depths, from time 0."""
-    cum = rain.select(((F.col("hour") + 1) * 60).alias("time_min"), F.sum("mm").over(Window.orderBy("hour").rowsBetween(Window.unboundedPreceding, 0)).alias("cum_mm"))
+    """(time_min, cum_mm) from depths (time_min, mm), from time 0. One row an hour: a window of all of them is small."""
+    cum = rain.select("time_min", F.sum("mm").over(Window.orderBy("time_min").rowsBetween(Window.unboundedPreceding, 0)).alias("cum_mm"))
     zero = rain.sparkSession.range(1).select(F.lit(0).alias("time_min"), F.lit(0.0).alias("cum_mm"))
     return zero.unionAll(cum)
 
