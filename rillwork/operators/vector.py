@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from rillwork.functions import geometry as G
 from rillwork.sources.tables import written
 
 
@@ -198,3 +200,209 @@ def cultivation_levels(keys: DataFrame, each_side: int = 2, spacing_m: float = 5
     sign = F.when(F.col("step") > 0, "+").otherwise("")
     name = F.when(F.col("step") == 0, F.concat(F.lit("Keyline "), "keypoint")).otherwise(F.concat(F.lit("Cultivation "), "keypoint", F.lit(" ("), sign, "step", F.lit(")")))
     return once.withColumns({"line_type": kind, "label": F.concat(name, F.lit(" — "), F.format_string("%.1f m", "elevation"))})
+
+
+def global_rank(df: DataFrame, name: str, *order) -> DataFrame:
+    """row_number over all rows in this order, which must tell all rows apart, without gathering them in one task.
+
+    Rows are sorted by range; each range counts its own, and starts where the ranges before it end.
+    """
+    sorted_rows = written(df.orderBy(*order).withColumn("_part", F.spark_partition_id()))
+    before = sorted_rows.groupBy("_part").agg(F.count("*").alias("_n"))  # as many rows as partitions
+    before = before.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return sorted_rows.withColumn(name, within).join(F.broadcast(before), "_part").withColumn(name, (F.col(name) + F.col("_before")).cast("int")).drop("_part", "_before")
+
+
+def profile(lines: DataFrame, raster: DataFrame, n: int, cell: float, value: str = "acc") -> DataFrame:
+    """(id, i, d, value): samples of lines (id, pts) a cell apart, both ends included; off the raster the value is 0."""
+    length = G.length("pts")
+    s = lines.withColumn("len", length).where("len >= 1").withColumn("steps", F.greatest(F.lit(2), F.floor(F.col("len") / max(cell, 1.0)).cast("int")))
+    s = s.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("steps") - 1))).withColumn("d", F.col("len") * F.col("i") / (F.col("steps") - 1))
+    s = s.withColumn("p", G.interpolate("pts", F.col("d"))).select("id", "len", "i", "d", F.floor((cell * n - F.col("p.y")) / cell).cast("int").alias("r"), F.floor(F.col("p.x") / cell).cast("int").alias("c"))
+    return s.join(raster.select("r", "c", value), ["r", "c"], "left").select("id", "len", "i", "d", F.coalesce(value, F.lit(0.0)).cast("double").alias(value))
+
+
+def peaks(profiles: DataFrame, least: float, most: int = 3, reach: int = 5, skip: int = 10) -> DataFrame:
+    """(id, len, i, d, acc) of each profile's peaks: no less than ``least`` or than any sample within ``reach``.
+
+    After a peak the next ``skip`` - 1 samples are passed over. Of each line the ``most`` greatest stay, the first of equals.
+    """
+    w = Window.partitionBy("id").orderBy("i").rowsBetween(-reach, reach)
+    high = profiles.withColumn("m", F.max("acc").over(w)).where((F.col("acc") >= least) & (F.col("acc") >= F.col("m")))
+    one = F.sort_array(F.collect_list(F.struct("i", "d", "acc")))
+    start = F.struct(F.lit(-skip).alias("last"), F.expr("cast(array() as array<struct<i: int, d: double, acc: double>>)").alias("out"))
+
+    def step(state, x):
+        take = x["i"] >= state["last"] + skip
+        return F.struct(F.when(take, x["i"]).otherwise(state["last"]).alias("last"), F.when(take, F.array_append(state["out"], x)).otherwise(state["out"]).alias("out"))
+
+    found = high.groupBy("id", "len").agg(one.alias("all")).select("id", "len", F.explode(F.aggregate("all", start, step, lambda s: s["out"])).alias("x")).select("id", "len", "x.*")
+    return found.withColumn("_k", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("acc"), "i"))).where(F.col("_k") <= most).drop("_k")
+
+
+def sized_segments(found: DataFrame, inflow_m3: Column, section_m2: float) -> DataFrame:
+    """Each peak with the stretch of its line that holds its inflow: centred on it, moved along where the line ends; 1 m at least."""
+    need = F.greatest(F.lit(1.0), inflow_m3 / section_m2)
+    out = found.withColumns({"inflow_m3": inflow_m3, "required_m": need})
+    low, high = F.greatest(F.lit(0.0), F.col("d") - F.col("required_m") / 2), F.least(F.col("len"), F.col("d") + F.col("required_m") / 2)
+    out = out.withColumns({"_a": low, "_b": high}).withColumn("_short", F.greatest(F.lit(0.0), F.col("required_m") - (F.col("_b") - F.col("_a"))))
+    start = F.when(F.col("_a") == 0, F.col("_a")).otherwise(F.greatest(F.lit(0.0), F.col("_a") - F.col("_short")))
+    end = F.when(F.col("_a") == 0, F.least("len", F.col("_b") + F.col("_short"))).otherwise(F.col("_b"))
+    return out.withColumns({"seg_start": start, "seg_end": end}).where("seg_end - seg_start >= 1").drop("_a", "_b", "_short")
+
+
+def walked_segments(found: DataFrame, profiles: DataFrame, drop: float) -> DataFrame:
+    """Each peak with the stretch around it on which flow never falls below ``drop`` times the peak's."""
+    low = profiles.select("id", F.col("i").alias("j"), F.col("acc").alias("v"))
+    ends = profiles.groupBy("id").agg(F.max("i").alias("n"))
+    cut = found.join(low, "id").where(F.col("v") < F.col("acc") * drop).groupBy("id", "i").agg(F.max(F.when(F.col("j") < F.col("i"), F.col("j"))).alias("a"), F.min(F.when(F.col("j") > F.col("i"), F.col("j"))).alias("b"))
+    spans = found.join(cut, ["id", "i"], "left").join(ends, "id").withColumns({"a": F.coalesce(F.col("a") + 1, F.lit(0)), "b": F.coalesce(F.col("b") - 1, "n")})
+    at = lambda k, name: profiles.select("id", F.col("i").alias(k), F.col("d").alias(name))
+    out = spans.join(at("a", "seg_start"), ["id", "a"]).join(at("b", "seg_end"), ["id", "b"])
+    return out.where("seg_end - seg_start >= 1").select("id", "i", "d", "acc", "seg_start", "seg_end", (F.col("seg_end") - F.col("seg_start")).alias("length_m"))
+
+
+def in_polygons(cells: DataFrame, polygons: DataFrame, n: int, cell: float, all_touched: bool = False) -> DataFrame:
+    """(r, c, id, seq) of each cell in each polygon (id, seq, parts), by its centre, or by any touch of its square.
+
+    A polygon is dealt to the rows that its extent spans, a row at a time, so cells meet only the polygons beside
+    them. Parts are rings; a hole is a ring too.
+    """
+    every = F.flatten("parts")
+    y = F.transform(every, lambda p: p["y"])
+    top, bottom = F.floor((cell * n - F.array_max(y)) / cell) - 1, F.floor((cell * n - F.array_min(y)) / cell) + 1
+    rows = polygons.where("size(parts) > 0").withColumn("r", F.explode(F.sequence(top, bottom))).withColumn("r", F.col("r").cast("int"))
+    rows = rows.withColumns({"x0": F.array_min(F.transform(every, lambda p: p["x"])), "x1": F.array_max(F.transform(every, lambda p: p["x"]))})
+    both = cells.select("r", "c", ((F.col("c") + 0.5) * cell).alias("x"), ((F.lit(n) - F.col("r") - 0.5) * cell).alias("y")).join(rows, "r").where((F.col("x") >= F.col("x0") - cell) & (F.col("x") <= F.col("x1") + cell))
+    odd = F.aggregate("parts", F.lit(0), lambda a, p: a + G.inside(p, F.col("x"), F.col("y")).cast("int")) % 2 == 1
+    if all_touched:
+        odd = odd | _edge_touch(F.col("parts"), cell)
+    return both.where(odd).select("r", "c", "id", "seq")
+
+
+def _edge_touch(parts: Column, cell: float) -> Column:
+    half = cell / 2
+    return F.exists(parts, lambda p: G.touches(G.closed(p), F.col("x") - half, F.col("y") - half, F.col("x") + half, F.col("y") + half))
+
+
+def on_edges(cells: DataFrame, polygons: DataFrame, n: int, cell: float) -> DataFrame:
+    """(r, c, id) of the cells whose square the rings of a polygon touch."""
+    touched = in_polygons(cells, polygons, n, cell, all_touched=True)
+    both = touched.join(polygons.select("id", "parts"), "id").withColumns({"x": (F.col("c") + 0.5) * cell, "y": (F.lit(n) - F.col("r") - 0.5) * cell})
+    return both.where(_edge_touch(F.col("parts"), cell)).select("r", "c", "id")
+
+
+def zone_cn(cells: DataFrame, zones: DataFrame, default: float, n: int, cell: float) -> DataFrame:
+    """cell(r, c, cn): the curve number of the last zone (seq, cn, wkt) that holds the centre, or the default.
+
+    Zones whose text is no geometry, and curve numbers of 0 or less, count for nothing.
+    """
+    known = zones.select("seq", "cn", G.from_wkt("wkt").alias("parts")).where("parts is not null and cn > 0").withColumn("id", F.col("seq"))
+    found = in_polygons(cells, known, n, cell).join(known.select("seq", "cn"), "seq").groupBy("r", "c").agg(F.max_by("cn", "seq").alias("zone"))
+    return cells.select("r", "c").join(found, ["r", "c"], "left").select("r", "c", F.coalesce(F.col("zone").cast("double"), F.lit(float(default))).alias("cn"))
+
+
+def clip(cells: DataFrame, polygon: DataFrame, n: int, cell: float) -> DataFrame:
+    """The cells of the polygon's extent, with rows and columns from its corner; outside the polygon z is null."""
+    mask = written(in_polygons(cells, polygon, n, cell).select("r", "c").distinct().withColumn("_in", F.lit(True)))
+    box = mask.agg(F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("c").alias("c0"), F.max("c").alias("c1"))
+    inner = cells.join(F.broadcast(box), F.col("r").between(F.col("r0"), F.col("r1")) & F.col("c").between(F.col("c0"), F.col("c1")))
+    return inner.join(mask, ["r", "c"], "left").select((F.col("r") - F.col("r0")).alias("r"), (F.col("c") - F.col("c0")).alias("c"), F.when(F.col("_in"), F.col("z")).alias("z"))
+
+
+def clip_lines(lines: DataFrame, ring: Column, least_m: float = 0.5) -> DataFrame:
+    """(id, start, end, length_m) of the longest stretch of each line (id, pts) inside a ring, as distances along the line.
+
+    Each segment is cut where it crosses the ring; pieces whose middle is inside belong, and those that follow each
+    other are one stretch. Lines without a stretch of ``least_m`` go.
+    """
+    seg = lines.select("id", F.posexplode(G.measured("pts")).alias("i", "s")).where("s.len > 0")
+    s, dx, dy = F.col("s"), F.col("s.x1") - F.col("s.x0"), F.col("s.y1") - F.col("s.y0")
+
+    def cut(e):
+        ex, ey = e["x1"] - e["x0"], e["y1"] - e["y0"]
+        both = dx * ey - dy * ex
+        t = F.try_divide((e["x0"] - s["x0"]) * ey - (e["y0"] - s["y0"]) * ex, both)
+        u = F.try_divide((e["x0"] - s["x0"]) * dy - (e["y0"] - s["y0"]) * dx, both)
+        return F.when((t > 0) & (t < 1) & (u >= 0) & (u <= 1), t)
+
+    ts = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), F.array_compact(F.transform(G.segments(G.closed(ring)), cut)))))
+    pieces = seg.withColumn("ts", ts).select("id", "i", "s", F.posexplode(F.zip_with(F.slice("ts", F.lit(1), F.size("ts") - 1), F.slice("ts", F.lit(2), F.size("ts") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("k", "t"))
+    middle = (F.col("t.a") + F.col("t.b")) / 2
+    pieces = pieces.withColumn("inside", G.inside(ring, F.col("s.x0") + middle * dx, F.col("s.y0") + middle * dy))
+    w = Window.partitionBy("id").orderBy("i", "k")
+    runs = pieces.withColumn("run", F.sum((~F.col("inside")).cast("int")).over(w)).where("inside")
+    runs = runs.groupBy("id", "run").agg(F.min(F.col("s.before") + F.col("t.a") * F.col("s.len")).alias("start"), F.max(F.col("s.before") + F.col("t.b") * F.col("s.len")).alias("end")).withColumn("length_m", F.col("end") - F.col("start"))
+    best = runs.groupBy("id").agg(F.max_by(F.struct("start", "end", "length_m"), F.struct("length_m", -F.col("start"))).alias("x"))
+    return best.select("id", "x.*").where(F.col("length_m") >= least_m)
+
+
+def companion_berm(cells: DataFrame, original: DataFrame, line: list[tuple[float, float]], depth: float, width: float) -> DataFrame:
+    """Raises the side of a swale whose mean of the original ground is lower, so that it takes up what the swale gives.
+
+    ``cells`` and ``original`` have r, c, x, y, z. The sides are bands of the swale's width beside it. If one side has
+    no cell the other is taken, and if both have none nothing changes.
+    """
+    got = companion_side(original, line, width)
+    use_left = F.col("right").isNull() | (F.col("left").isNotNull() & (F.col("left") < F.col("right")))
+    plan = got.select(use_left.alias("_left"), F.when(use_left, F.col("n_left")).otherwise(F.col("n_right")).alias("_n"), "n_swale").where("_n > 0")
+    plan = plan.select("_left", (F.col("n_swale") / F.col("_n") * depth).alias("_raise"))
+    d, side = _off(line)
+    ring = (d > width / 2) & (d <= 1.5 * width)
+    out = cells.join(F.broadcast(plan), F.lit(True), "left")  # one row
+    hit = ring & F.when(F.col("_left"), side < 0).otherwise(side > 0)
+    return out.withColumn("z", F.when(hit & F.col("_raise").isNotNull(), F.col("z") + F.col("_raise")).otherwise(F.col("z"))).drop("_left", "_raise")
+
+
+def _off(line: list[tuple[float, float]]) -> tuple[Column, Column]:
+    """Distance from a line, and a value below zero on its left."""
+    (x0, y0), (x1, y1) = line[0], line[-1]
+    parts = [distance("x", "y", *a, *b) for a, b in zip(line, line[1:], strict=False)]
+    return (reduce(F.least, parts) if len(parts) > 1 else parts[0]), (F.col("x") - x0) * (y1 - y0) - (F.col("y") - y0) * (x1 - x0)
+
+
+def burn_plan(cells: DataFrame, works: list[dict], n: int, cell: float) -> DataFrame:
+    """Burns works in their order: kind, points, depth, width, and crest, companion, gradient_pct, enabled where they matter.
+
+    Works switched off, and those with too few points, are passed over. ``cells`` has r, c, x, y, z.
+    """
+    original, out = cells, cells
+    for w in works:
+        points, kind = w.get("points") or [], w["kind"]
+        if not w.get("enabled", True) or len(points) < (3 if kind == "basin" else 2):
+            continue
+        if kind == "diversion":
+            out = burn_diversion(out, points, w["depth"], w["width"], w.get("gradient_pct", 1.0), n, cell)
+            continue
+        out = burn(out, [(kind, points, w["depth"], w["width"], w.get("crest"))])
+        if kind == "swale" and w.get("companion"):
+            out = companion_berm(out, original, points, w["depth"], w["width"])
+    return out
+
+
+def outline(cells: DataFrame) -> DataFrame:
+    """(x0, y0, x1, y1) in cells: the sides of a mask's cells (r, c) that no two of them share, which bound its area."""
+    r, c = F.col("r"), F.col("c")
+    sides = F.array(*[F.struct(*[v.cast("int").alias(k) for k, v in zip(("x0", "y0", "x1", "y1"), s)]) for s in ((c, r, c + 1, r), (c, r + 1, c + 1, r + 1), (c, r, c, r + 1), (c + 1, r, c + 1, r + 1))])
+    return cells.select(F.explode(sides).alias("s")).select("s.*").groupBy("x0", "y0", "x1", "y1").count().where("count = 1").drop("count")
+
+
+def ordered_pixels(zones: DataFrame) -> DataFrame:
+    """(zone, seq, r, c): each zone's cells as a line, from the first cell with one neighbour or none to the first unvisited neighbour.
+
+    Where the walk ends, what is left of the zone is not part of the line. A zone is one group: a thinned ridge.
+    """
+
+    def walk(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        left = set(zip(pdf["r"].tolist(), pdf["c"].tolist(), strict=True))
+        near = lambda p: [(p[0] + a, p[1] + b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a or b) and (p[0] + a, p[1] + b) in left]
+        ends = sorted(p for p in left if len(near(p)) <= 1)
+        at, out = (ends or sorted(left))[0], []
+        while at is not None:
+            out.append(at)
+            left.discard(at)
+            at = next(iter(near(at)), None)
+        return pd.DataFrame([(key[0], i, r, c) for i, (r, c) in enumerate(out)], columns=["zone", "seq", "r", "c"])
+
+    return zones.select("zone", "r", "c").groupBy("zone").applyInPandas(walk, "zone long, seq int, r int, c int")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from rillwork.functions import geometry as G
 from rillwork.functions import hydro as H
 from rillwork.operators import cascade, terrain, vector
 from rillwork.sources import tables as T
@@ -311,21 +312,47 @@ def q22_contour_rank(spark, sf):
     cells = vector.sample_lines(_lines(spark, sf), 20, n, T.CELL)
     at = cells.join(_counted(spark, sf), ["r", "c"], "left").join(terrain.slope_deg(g, T.CELL).select("r", "c", "slope"), ["r", "c"], "left")
     out = at.groupBy("id").agg(F.coalesce(F.max("acc"), F.lit(0.0)).cast("long").alias("peak_acc"), F.coalesce(F.avg("slope"), F.lit(0.0)).alias("mean_slope")).where("mean_slope <= 18")
-    return rounded(out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("peak_acc"), "id"))), "mean_slope")
+    return rounded(vector.global_rank(out, "rank", F.desc("peak_acc"), "id"), "mean_slope")
 
 
-@query(WALK + f""", a AS (SELECT r, c, count(*)::BIGINT AS acc FROM walk GROUP BY r, c), {_LINES}, {_SAMPLES},
-v AS (SELECT id, i, coalesce(acc, 0)::BIGINT AS acc FROM sm LEFT JOIN a ON a.r = sm.r AND a.c = sm.c),
-p AS (SELECT *, max(acc) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS m FROM v),
-t AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY acc DESC, i) AS k FROM p WHERE acc >= 3 AND acc >= m)
-SELECT id, i::INT AS place, acc, round(acc * 25 * 3e-2, 6) AS inflow_m3, round(greatest(1e0, acc * 25 * 3e-2 / (3e-1 * 6e-1)), 6) AS required_m, row_number() OVER (ORDER BY acc DESC, id, i)::INT AS rank FROM t WHERE k <= 3""")
+#: Lines across the grid, a sample a cell.
+_PROFILE = WALK + """, a AS (SELECT r, c, count(*)::BIGINT AS acc FROM walk GROUP BY r, c),
+ln AS (SELECT n_nationkey AS id, 5e0 * n * (n_nationkey % 5) / 12 + 3 AS x0, 5e0 * n * (1 + n_nationkey // 5) / 7 AS y0, 2e0 * n AS dx, 2e1 AS dy, n FROM nation, n),
+le AS (SELECT *, sqrt(dx * dx + dy * dy) AS len, greatest(2, floor(sqrt(dx * dx + dy * dy) / 5)::INT) AS steps FROM ln),
+sm AS (SELECT id, len, i, len * i / (steps - 1) AS d, floor((x0 + dx * i / (steps - 1)) / 5)::INT AS c, floor((5e0 * n - (y0 + dy * i / (steps - 1))) / 5)::INT AS r FROM le, (SELECT unnest(range(10000))::INT AS i) WHERE i < steps),
+pf AS (SELECT id, len, i, d, coalesce(acc, 0)::DOUBLE AS acc FROM sm LEFT JOIN a ON a.r = sm.r AND a.c = sm.c),
+hi AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY i) AS k FROM (SELECT *, max(acc) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS m FROM pf) WHERE acc >= 3 AND acc >= m),
+gr AS (SELECT id, k, i, i AS last, true AS ok FROM hi WHERE k = 1 UNION ALL SELECT hi.id, hi.k, hi.i, CASE WHEN hi.i >= last + 10 THEN hi.i ELSE last END, hi.i >= last + 10 FROM gr JOIN hi ON hi.id = gr.id AND hi.k = gr.k + 1),
+pk AS (SELECT hi.id, hi.len, hi.i, hi.d, hi.acc FROM gr JOIN hi ON hi.id = gr.id AND hi.k = gr.k WHERE ok QUALIFY row_number() OVER (PARTITION BY hi.id ORDER BY hi.acc DESC, hi.i) <= 3)"""
+
+
+def _profiles(spark, sf) -> DataFrame:
+    n, k = T.side(spark, sf), F.col("n_nationkey")
+    x, y = 5.0 * n * (k % 5) / 12 + 3, 5.0 * n * (1 + F.floor(k / 5)) / 7
+    lines = T.table(spark, sf, "nation").select(k.alias("id"), G.line((x, y), (x + 2.0 * n, y + 20.0)).alias("pts"))
+    return T.written(vector.profile(lines, _counted(spark, sf), n, T.CELL))
+
+
+@query(_PROFILE + """, se AS (SELECT *, acc * 25 * 3e-2 AS inflow_m3, greatest(1e0, acc * 25 * 3e-2 / (3e-1 * 6e-1)) AS need FROM pk),
+ab AS (SELECT *, greatest(0e0, d - need / 2) AS a0, least(len, d + need / 2) AS b0 FROM se),
+sf AS (SELECT *, CASE WHEN a0 = 0 THEN a0 ELSE greatest(0e0, a0 - greatest(0e0, need - (b0 - a0))) END AS a1, CASE WHEN a0 = 0 THEN least(len, b0 + greatest(0e0, need - (b0 - a0))) ELSE b0 END AS b1 FROM ab)
+SELECT id, i AS place, acc, round(acc * 25 / 1e4, 6) AS contributing_ha, round(inflow_m3, 6) AS inflow_m3, round(need, 6) AS required_m, round(a1, 6) AS seg_start, round(b1, 6) AS seg_end, row_number() OVER (ORDER BY acc DESC, id, i)::INT AS rank FROM sf WHERE b1 - a1 >= 1""")
 def q23_swale_segments(spark, sf):
-    v = vector.sample_lines(_lines(spark, sf), 20, T.side(spark, sf), T.CELL).join(_counted(spark, sf), ["r", "c"], "left").select("id", "place", F.coalesce("acc", F.lit(0.0)).cast("long").alias("acc"))
-    p = v.withColumn("m", F.max("acc").over(Window.partitionBy("id").orderBy("place").rowsBetween(-5, 5))).where("acc >= 3 and acc >= m")
-    top = p.withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("acc"), "place"))).where("k <= 3")
-    inflow = F.col("acc") * AREA * 0.03
-    out = top.select("id", "place", "acc", inflow.alias("inflow_m3"), F.greatest(F.lit(1.0), inflow / (0.3 * 0.6)).alias("required_m"), F.row_number().over(Window.orderBy(F.desc("acc"), "id", "place")).alias("rank"))
-    return rounded(out, "inflow_m3", "required_m")
+    """Where lines cross streams, the stretch that holds what comes down."""
+    found = vector.peaks(_profiles(spark, sf), 3)
+    out = vector.sized_segments(found, F.col("acc") * AREA * 0.03, 0.3 * 0.6)
+    out = vector.global_rank(out.select("id", F.col("i").alias("place"), "acc", (F.col("acc") * AREA / 10000).alias("contributing_ha"), "inflow_m3", "required_m", "seg_start", "seg_end"), "rank", F.desc("acc"), "id", "place")
+    return rounded(out, "contributing_ha", "inflow_m3", "required_m", "seg_start", "seg_end")
+
+
+@query(_PROFILE + """, lo AS (SELECT pk.id, pk.i, max(CASE WHEN p.i < pk.i THEN p.i END) AS a, min(CASE WHEN p.i > pk.i THEN p.i END) AS b FROM pk JOIN pf p ON p.id = pk.id AND p.acc < pk.acc * 5e-1 GROUP BY pk.id, pk.i),
+sp AS (SELECT pk.*, coalesce(a + 1, 0) AS a, coalesce(b - 1, (SELECT max(i) FROM pf WHERE pf.id = pk.id)) AS b FROM pk LEFT JOIN lo ON lo.id = pk.id AND lo.i = pk.i)
+SELECT sp.id, sp.i AS place, sp.acc, round(x.d, 6) AS seg_start, round(y.d, 6) AS seg_end, round(y.d - x.d, 6) AS length_m FROM sp JOIN pf x ON x.id = sp.id AND x.i = sp.a JOIN pf y ON y.id = sp.id AND y.i = sp.b WHERE y.d - x.d >= 1""")
+def q47_walked_segments(spark, sf):
+    """Without a runoff depth: the stretch around each peak on which flow stays above half of it."""
+    profiles = _profiles(spark, sf)
+    out = vector.walked_segments(T.written(vector.peaks(profiles, 3)), profiles, 0.5)
+    return rounded(out.select("id", F.col("i").alias("place"), "acc", "seg_start", "seg_end", "length_m"), "seg_start", "seg_end", "length_m")
 
 
 _WORKS = "w AS (SELECT p_partkey, ['swale', 'berm', 'basin', 'dam', 'diversion'][p_partkey % 5 + 1] AS kind, p_size / 1e1 AS d, 1 + p_size % 7 / 2e0 AS w, p_retailprice / 1e1 AS l, p_retailprice / 5e0 AS a, p_partkey % 2 = 0 AS comp, (1 + p_partkey % 4)::DOUBLE AS g FROM part), x AS (SELECT *, (greatest(1e-1, w - 2 * d) + w + 2 * d) / 2 * d AS cs, (greatest(5e-2, w - 2 * d) + w + 2 * d) / 2 * d AS cs5, greatest(5e-2, w - 2 * d) AS bw FROM w)"
