@@ -90,6 +90,11 @@ def infiltration_m3(rate_mm_h, area_m2, hours, available) -> Column:
     return F.least(_c(rate_mm_h) / 1000.0 * _c(area_m2) * _c(hours), _c(available))
 
 
+def design_m3s(inflow_m3, hours) -> Column:
+    """The mean flow of a storm's inflow, which sizes spillways; none without a duration."""
+    return F.when(_c(hours) <= 0, F.lit(0.0)).otherwise(F.try_divide(_c(inflow_m3), _c(hours) * 3600.0))
+
+
 def _steps(x: Column, bounds: list[tuple[float, str]], last: str, inclusive: bool = False) -> Column:
     out = None
     for most, name in bounds:

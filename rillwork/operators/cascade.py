@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-STEPS = "site int, time_min int, name string, inflow double, infiltration double, stored double, overflow double, fill_pct double, first_overflow_hr double"
+STEPS = "site int, time_min int, name string, inflow double, infiltration double, stored double, overflow double, exit double, fill_pct double, first_overflow_hr double"
 
 
 def receivers(stores: DataFrame) -> DataFrame:
@@ -34,32 +34,74 @@ def step(stored: list[float], inflow: list[float], loss: list[float], capacity:
     return now, out_loss, over, left
 
 
-def simulate(stores: DataFrame, feed: DataFrame) -> DataFrame:
-    """One row per site, step and store. ``feed`` has time_min, hours, mm (runoff of the step); inflow is mm over feed area.
+def _lower(elevation: list[float]) -> list[int]:
+    """For each of descending elevations the first place strictly below it, -1 if there is none; one pass from the end."""
+    out, below = [-1] * len(elevation), -1
+    for i in range(len(elevation) - 2, -1, -1):
+        if elevation[i + 1] < elevation[i]:
+            below = i + 1
+        out[i] = below
+    return out
 
-    A site is one group: its stores, a few, and its steps. Sites run apart from each other.
+
+def simulate(stores: DataFrame, feed: DataFrame, inflow: Column | None = None) -> DataFrame:
+    """One row per site, step and store, from stores (site, name, elevation, capacity, area, rate, ...) and steps (time_min, hours, mm).
+
+    Inflow is the step's mm over area times feed, or the column ``inflow``, an array with a volume for each step in
+    the order of time. A site is one group, with a row for each store: its storages, and the steps as arrays, which
+    are sent once. exit is what leaves the site. Rows that repeat a name count once.
     """
-    steps = feed.select("time_min", "hours", "mm")
-    # a storm is short, and every store needs every step of it
-    rows = stores.join(F.broadcast(steps), F.lit(True))
+    row = feed.agg(F.sort_array(F.collect_list(F.struct("time_min", "hours", "mm"))).alias("steps"))  # one row: a storm's steps
+    rows = stores.crossJoin(F.broadcast(row)) if inflow is None else stores.withColumn("_in", inflow).crossJoin(F.broadcast(row))
+    into = F.transform("steps", lambda s: s["mm"] / 1000.0 * F.col("area") * F.col("feed")) if inflow is None else F.col("_in")
+    rows = rows.select("site", "name", "elevation", "capacity", "area", "rate", into.alias("inflow"), F.transform("steps", lambda s: s["time_min"]).alias("times"), F.transform("steps", lambda s: s["hours"]).alias("hours"))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         own = pdf.drop_duplicates("name").sort_values(["elevation", "name"], ascending=[False, True]).reset_index(drop=True)
-        at = []
-        for i, e in enumerate(own["elevation"]):
-            below = own.index[own["elevation"] < e]
-            at.append(int(below[0]) if len(below) else -1)
+        at = _lower(own["elevation"].tolist())
+        names, capacity = own["name"].tolist(), own["capacity"].tolist()
+        rate = (own["rate"] / 1000.0 * own["area"]).tolist()
         stored, first, out = [0.0] * len(own), [None] * len(own), []
-        times = pdf.drop_duplicates("time_min").sort_values("time_min")
-        for t, hours, mm in zip(times["time_min"], times["hours"], times["mm"], strict=True):
-            inflow = [mm / 1000.0 * a for a in own["area"] * own["feed"]]
-            loss = [r / 1000.0 * a * hours for r, a in zip(own["rate"], own["area"], strict=True)]
-            stored, gone, over, _ = step(stored, inflow, loss, list(own["capacity"]), at)
-            for i, name in enumerate(own["name"]):
+        for k, (t, dt) in enumerate(zip(own["times"][0], own["hours"][0], strict=True)):
+            inflow = [max(0.0, x[k]) for x in own["inflow"]]
+            stored, gone, over, _ = step(stored, inflow, [r * dt for r in rate], capacity, at)
+            for i, name in enumerate(names):
                 if over[i] > 0 and first[i] is None:
                     first[i] = t / 60
-                fill = 100 * stored[i] / own["capacity"][i] if own["capacity"][i] > 0 else 0.0
-                out.append((int(key[0]), int(t), name, inflow[i], gone[i], stored[i], over[i], fill, first[i]))
+                fill = 100 * stored[i] / capacity[i] if capacity[i] > 0 else 0.0
+                out.append((int(key[0]), int(t), name, inflow[i], gone[i], stored[i], over[i], over[i] if at[i] < 0 else 0.0, fill, first[i]))
         return pd.DataFrame(out, columns=[x.split()[0] for x in STEPS.split(", ")])
 
     return rows.groupBy("site").applyInPandas(run, STEPS)
+
+
+def site_steps(simulated: DataFrame, runoff: DataFrame) -> DataFrame:
+    """(site, time_min, runoff_m3, exit_m3, outflow_ls, baseline_ls): what leaves a site in each step, with its stores and without.
+
+    ``runoff`` has time_min, hours and runoff_m3 of the whole ground. A step lasts a second at least.
+    """
+    out = simulated.groupBy("site", "time_min").agg(F.sum("exit").alias("exit_m3")).join(F.broadcast(runoff), "time_min")
+    seconds = F.greatest(F.col("hours") * 3600, F.lit(1.0))
+    return out.select("site", "time_min", "runoff_m3", "exit_m3", (F.col("exit_m3") * 1000 / seconds).alias("outflow_ls"), (F.col("runoff_m3") * 1000 / seconds).alias("baseline_ls"))
+
+
+def peak(value: str) -> Column:
+    """The greatest value and the first time it is reached; 0 and 0 if it is never above 0."""
+    best = F.max(F.struct(F.col(value).alias("v"), (-F.col("time_min")).alias("t")))
+    return F.struct(F.greatest(F.lit(0.0), best["v"]).alias("v"), F.when(best["v"] > 0, -best["t"] / 60.0).otherwise(0.0).alias("hr"))
+
+
+def compare_sites(steps: DataFrame, works: DataFrame) -> DataFrame:
+    """One row per site: before (no storage) against after, with cut and fill of its works (site, cut_m3, fill_m3).
+
+    Captured is between 0 and 100; reductions are never below 0, and 0 where there was nothing before; so is the delay.
+    """
+    s = steps.groupBy("site").agg(F.sum("runoff_m3").alias("runoff_m3"), F.sum("exit_m3").alias("exit_m3"), peak("baseline_ls").alias("b"), peak("outflow_ls").alias("a"))
+    w = works.groupBy("site").agg(F.coalesce(F.sum("cut_m3"), F.lit(0.0)).alias("cut_m3"), F.coalesce(F.sum("fill_m3"), F.lit(0.0)).alias("fill_m3"))
+    drop = lambda before, after: F.when(before > 0, F.greatest(F.lit(0.0), (before - after) / before * 100)).otherwise(0.0)
+    total, left = F.col("runoff_m3"), F.col("exit_m3")
+    out = s.join(w, "site", "left").fillna(0.0, ["cut_m3", "fill_m3"])
+    return out.select(
+        "site", "runoff_m3", "exit_m3", F.col("b.v").alias("peak_before_ls"), F.col("a.v").alias("peak_after_ls"), F.least(F.lit(100.0), drop(total, left)).alias("captured_pct"), drop(total, left).alias("exit_reduction_pct"),
+        drop(F.col("b.v"), F.col("a.v")).alias("peak_reduction_pct"), F.greatest(F.lit(0.0), F.col("a.hr") - F.col("b.hr")).alias("peak_delay_hr"), "cut_m3", "fill_m3", (F.col("cut_m3") - F.col("fill_m3")).alias("net_m3"),
+    )
