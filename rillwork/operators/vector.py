@@ -420,3 +420,42 @@ def ponding_frame(ponds: DataFrame, works: DataFrame, n: int, cell: float) -> Da
     close = ponds.join(rows, "r").where(F.sqrt(F.pow(F.col("x") - F.col("wx"), 2) + F.pow(F.col("y") - F.col("wy"), 2)) <= reach)
     last = close.groupBy("r", "c").agg(F.max_by(F.struct("name", (F.col("depth") * F.col("fill")).alias("d")), "name").alias("s"))
     return last.select("r", "c", "s.name", F.when(F.col("s.d") > 1e-3, F.col("s.d")).alias("depth"))
+
+
+def nearest(points: DataFrame, lines: DataFrame, reach: float, most: float | None = None) -> DataFrame:
+    """(pid, id, distance) of the line nearest to each point (pid, x, y) among lines (id, pts), the least id of equals.
+
+    Lines are dealt to blocks as wide as the reach, and points meet the lines of their block only. Points that have
+    none within reach look again with twice the reach, up to ``most``; beyond it they have no line and no distance.
+    """
+    seg = written(lines.select("id", F.explode(G.segments("pts")).alias("s")).select("id", "s.*"))
+    left, found = written(points.select("pid", "x", "y")), []
+    empty = seg.isEmpty()
+    while not empty and not left.isEmpty():
+        span = lambda a, b, d=reach: F.explode(F.sequence(F.floor((F.least(a, b) - d) / d), F.floor((F.greatest(a, b) + d) / d)))
+        dealt = seg.withColumn("bx", span("x0", "x1")).withColumn("by", span("y0", "y1"))
+        at = left.withColumns({"bx": F.floor(F.col("x") / reach), "by": F.floor(F.col("y") / reach)})
+        d = F.round(distance("x", "y", "x0", "y0", "x1", "y1"), 6)
+        best = at.join(dealt, ["bx", "by"]).withColumn("d", d).where(F.col("d") <= reach).groupBy("pid").agg(F.min(F.struct("d", "id")).alias("m")).select("pid", F.col("m.id").alias("id"), F.col("m.d").alias("distance"))
+        best = written(best)
+        found.append(best)
+        left = written(left.join(best.select("pid"), "pid", "left_anti"))
+        if most is not None and reach >= most:
+            break
+        reach = reach * 2 if most is None else min(reach * 2, most)
+    out = reduce(DataFrame.unionAll, found) if found else None
+    rest = left.select("pid").join(lines.select("id").limit(0), F.lit(True), "left").withColumn("distance", F.lit(None).cast("double"))
+    return rest if out is None else out.unionByName(rest)
+
+
+def thinned_ridges(crest: DataFrame, zones: DataFrame, n: int, cell: float, least_m: float = 100.0, most: int = 30) -> DataFrame:
+    """(zone, cells, length_m, mean_z) of thinned crests (r, c, zone) as lines, the longest first; crest has r, c, z.
+
+    A zone of fewer cells than ``least_m`` spans, or of fewer than three, is none.
+    """
+    big = zones.groupBy("zone").agg(F.count("*").alias("cells")).where(F.col("cells") >= max(3, int(least_m / cell)))
+    path = ordered_pixels(zones.join(big, "zone")).join(crest.select("r", "c", "z"), ["r", "c"])
+    step = Window.partitionBy("zone").orderBy("seq")
+    far = F.sqrt(F.pow(F.col("r") - F.lag("r").over(step), 2) + F.pow(F.col("c") - F.lag("c").over(step), 2)) * cell
+    out = path.withColumn("d", far).groupBy("zone").agg(F.count("*").alias("cells"), F.coalesce(F.sum("d"), F.lit(0.0)).alias("length_m"), F.avg("z").alias("mean_z"))
+    return out.where("cells >= 2").orderBy(F.desc("length_m"), "zone").limit(most)

@@ -537,11 +537,11 @@ def q37_dam_walls(spark, sf):
 
 @query(f"WITH n AS (SELECT floor(sqrt(count(*)))::BIGINT AS n FROM orders), {_LINES}, p AS (SELECT c_custkey, (c_custkey * 37 % 1000) / 1e3 * 5 * n AS x, (c_custkey * 91 % 1000) / 1e3 * 5 * n AS y FROM customer, n), t AS (SELECT *, greatest(0e0, least(1e0, ((x - x0) * (x1 - x0) + (y - y0) * (y1 - y0)) / ((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)))) AS t FROM p, ln), d AS (SELECT c_custkey, id, sqrt((x - x0 - t * (x1 - x0)) * (x - x0 - t * (x1 - x0)) + (y - y0 - t * (y1 - y0)) * (y - y0 - t * (y1 - y0))) AS d FROM t) SELECT c_custkey, arg_min(id, (round(d, 6), id)) AS id, round(min(d), 6) AS distance FROM d GROUP BY c_custkey")
 def q38_nearest_line(spark, sf):
-    """For each clicked point the nearest drawn line; the lines are a small table, sent to every task."""
+    """For each clicked point the nearest drawn line."""
     n, k = T.side(spark, sf), F.col("c_custkey")
-    p = T.table(spark, sf, "customer").select(k, ((k * 37 % 1000) / 1000.0 * 5 * n).alias("x"), ((k * 91 % 1000) / 1000.0 * 5 * n).alias("y"))
-    d = p.join(F.broadcast(_lines(spark, sf)), F.lit(True)).withColumn("d", vector.distance("x", "y", "x0", "y0", "x1", "y1"))
-    return rounded(d.groupBy(k).agg(F.min_by("id", F.struct(F.round("d", 6), "id")).alias("id"), F.min("d").alias("distance")), "distance")
+    p = T.table(spark, sf, "customer").select(k.alias("pid"), ((k * 37 % 1000) / 1000.0 * 5 * n).alias("x"), ((k * 91 % 1000) / 1000.0 * 5 * n).alias("y"))
+    lines = _lines(spark, sf).select("id", G.line(("x0", "y0"), ("x1", "y1")).alias("pts"))
+    return vector.nearest(p, lines, T.CELL * n / 4).select(F.col("pid").alias("c_custkey"), "id", "distance")
 
 
 @query(f"WITH {RAIN} SELECT time_min, hour, round(mm, 6) AS mm, round(sum(mm) OVER (ORDER BY time_min ROWS BETWEEN 5 PRECEDING AND CURRENT ROW), 6) AS mm_6h FROM rain")

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from rillwork.functions import geometry as G
 from rillwork.functions import hydro as H
 from rillwork.functions import labels as L
-from rillwork.operators import cascade, terrain, vector
+from rillwork.operators import cascade, contours, terrain, vector
 from rillwork.plans.catalog import _FOLD, _INC, _LINES, _NONE, _WORKS, _X, _Y, AREA, GRID, WALK, _cells, _counted, _increments, _q, query, rounded
 from rillwork.sources import tables as T
 
@@ -265,3 +265,63 @@ SELECT x0::INT AS x0, y0::INT AS y0, x1::INT AS x1, y1::INT AS y1 FROM s GROUP B
 def q62_stream_outline(spark, sf):
     """The outline of the stream mask, side by side."""
     return vector.outline(_counted(spark, sf).where("acc > 10"))
+
+
+@query(f"""WITH n AS (SELECT floor(sqrt(count(*)))::BIGINT AS n FROM orders), {_LINES}, p AS (SELECT c_custkey, (c_custkey * 37 % 1000) / 1e3 * 5 * n AS x, (c_custkey * 91 % 1000) / 1e3 * 5 * n AS y FROM customer, n), t AS (SELECT *, greatest(0e0, least(1e0, ((x - x0) * 60 + (y - y0) * 20) / 4e3)) AS t FROM p, ln),
+d AS (SELECT c_custkey, id, round(sqrt(power(x - x0 - t * 60, 2) + power(y - y0 - t * 20, 2)), 6) AS d FROM t), b AS (SELECT c_custkey, min(d) AS d, arg_min(id, (d, id)) AS id FROM d GROUP BY 1)
+SELECT c_custkey, CASE WHEN d <= 12 THEN id END AS id, coalesce(CASE WHEN d <= 12 THEN d END, -1e0) AS distance FROM b""")
+def q63_line_within_reach(spark, sf):
+    """The nearest line within 12 m of each point, -1 where there is none."""
+    n, k = T.side(spark, sf), F.col("c_custkey")
+    x, y = 5.0 * n * (1 + F.col("n_nationkey") % 5) / 7, 5.0 * n * (1 + F.floor(F.col("n_nationkey") / 5)) / 7
+    lines = T.table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), G.line((x, y), (x + 60.0, y + 20.0)).alias("pts"))
+    p = T.table(spark, sf, "customer").select(k.alias("pid"), ((k * 37 % 1000) / 1000.0 * 5 * n).alias("x"), ((k * 91 % 1000) / 1000.0 * 5 * n).alias("y"))
+    return vector.nearest(p, lines, 12.0, 12.0).select(F.col("pid").alias("c_custkey"), "id", F.coalesce("distance", F.lit(-1.0)).alias("distance"))
+
+
+_SEGMENTS = f"""{GRID}, q AS (SELECT a.r, a.c, a.z AS a, b.z AS b, d.z AS d, e.z AS e FROM g a JOIN g b ON b.r = a.r AND b.c = a.c + 1 JOIN g d ON d.r = a.r + 1 AND d.c = a.c JOIN g e ON e.r = a.r + 1 AND e.c = a.c + 1),
+l AS (SELECT *, unnest(range(floor(least(a, b, d, e))::BIGINT + 1, floor(greatest(a, b, d, e))::BIGINT + 1))::DOUBLE AS v FROM q),
+s AS (SELECT *, CASE WHEN (a >= v) <> (b >= v) THEN {{'n': 'h ' || r || ' ' || c, 'x': c + (v - a) / (b - a), 'y': r::DOUBLE}} END AS tp, CASE WHEN (b >= v) <> (e >= v) THEN {{'n': 'v ' || r || ' ' || (c + 1), 'x': c + 1e0, 'y': r + (v - b) / (e - b)}} END AS rt,
+  CASE WHEN (d >= v) <> (e >= v) THEN {{'n': 'h ' || (r + 1) || ' ' || c, 'x': c + (v - d) / (e - d), 'y': r + 1e0}} END AS bt, CASE WHEN (a >= v) <> (d >= v) THEN {{'n': 'v ' || r || ' ' || c, 'x': c::DOUBLE, 'y': r + (v - a) / (d - a)}} END AS lf FROM l),
+u AS (SELECT v, tp AS p, rt AS q FROM s WHERE tp IS NOT NULL AND bt IS NOT NULL AND lf IS NOT NULL AND (a >= v) = ((a + b + d + e) / 4 >= v)
+  UNION ALL SELECT v, lf, bt FROM s WHERE tp IS NOT NULL AND bt IS NOT NULL AND lf IS NOT NULL AND (a >= v) = ((a + b + d + e) / 4 >= v)
+  UNION ALL SELECT v, tp, lf FROM s WHERE tp IS NOT NULL AND bt IS NOT NULL AND lf IS NOT NULL AND (a >= v) <> ((a + b + d + e) / 4 >= v)
+  UNION ALL SELECT v, bt, rt FROM s WHERE tp IS NOT NULL AND bt IS NOT NULL AND lf IS NOT NULL AND (a >= v) <> ((a + b + d + e) / 4 >= v)
+  UNION ALL SELECT v, w[1], w[2] FROM (SELECT v, list_filter([tp, rt, bt, lf], lambda x: x IS NOT NULL) AS w FROM s) WHERE len(w) = 2),
+sg AS (SELECT v AS level, p.n AS p, q.n AS q, 5 * sqrt(power(p.x - q.x, 2) + power(p.y - q.y, 2)) AS len FROM u)"""
+
+
+@query(f"WITH {_SEGMENTS} SELECT level, count(*)::BIGINT AS segments, round(sum(len), 4) AS length_m FROM sg GROUP BY level")
+def q64_contour_length(spark, sf):
+    """Each level's contours: how many pieces, and how long together."""
+    s = contours.segments(T.grid(spark, sf), 1.0)
+    length = F.sqrt(F.pow(F.col("x0") - F.col("x1"), 2) + F.pow(F.col("y0") - F.col("y1"), 2)) * T.CELL
+    return rounded(s.groupBy("level").agg(F.count("*").alias("segments"), F.sum(length).alias("length_m")), "length_m", digits=4)
+
+
+@query(f"""WITH RECURSIVE {_SEGMENTS}, nd AS (SELECT level, p AS n FROM sg UNION SELECT level, q FROM sg), ed AS (SELECT level, p AS a, q AS b FROM sg UNION SELECT level, q, p FROM sg),
+lb(level, n, root) USING KEY (level, n) AS (SELECT level, n, n FROM nd UNION SELECT ed.level, ed.b, min(lb.root) FROM lb JOIN ed ON ed.level = lb.level AND ed.a = lb.n JOIN recurring.lb own ON own.level = ed.level AND own.n = ed.b GROUP BY ed.level, ed.b, own.root HAVING min(lb.root) < own.root),
+ln AS (SELECT sg.level, root, sum(len) AS length_m FROM sg JOIN lb ON lb.level = sg.level AND lb.n = sg.p GROUP BY 1, 2 HAVING sum(len) >= 50)
+SELECT level, round(length_m, 4) AS length_m FROM ln""")
+def q65_contour_lines(spark, sf):
+    """Contours as lines of 50 m and more."""
+    out = contours.lines(contours.segments(T.grid(spark, sf), 1.0), T.side(spark, sf), T.CELL, 50.0)
+    return rounded(out.select("level", "length_m"), "length_m", digits=4)
+
+
+@query()
+def q66_ridge_lines(spark, sf):
+    """The longest ridges as lines: the thinned crests of q34, walked from end to end."""
+    n = T.side(spark, sf)
+    tpi = terrain.box_mean(T.grid(spark, sf), n, 7, "z", "mean").where((F.col("z") - F.col("mean") > 0.02) & F.col("r").between(1, n - 2) & F.col("c").between(1, n - 2))
+    crest = T.written(tpi.join(_counted(spark, sf).where("acc <= 2"), ["r", "c"]).select("r", "c", "z"))
+    zones = T.written(terrain.components(T.written(terrain.erode(crest)), n, eight=False))
+    return rounded(vector.thinned_ridges(crest, zones, n, T.CELL, 15.0), "length_m", "mean_z")
+
+
+@query(f"WITH {_INC}, p AS (SELECT cn, max(greatest(0e0, mm)) / 1e3 * 25 AS inc, sum(greatest(0e0, mm)) / 1e3 * 25 AS cum FROM i GROUP BY cn) SELECT m AS mode, round(greatest(1e0, CASE WHEN m = 'incremental' THEN max(inc) ELSE max(cum) END), 6) AS top FROM p, (VALUES ('incremental'), ('cumulative')) AS t(m) GROUP BY m")
+def q67_frame_scales(spark, sf):
+    """The top of the colour scale of each kind of frame, 1 at least: the same over all frames."""
+    by_cn = _increments(spark, sf).groupBy("cn").agg((F.max("mm") / 1000.0 * AREA).alias("incremental"), (F.sum("mm") / 1000.0 * AREA).alias("cumulative"))
+    out = by_cn.unpivot(["cn"], ["incremental", "cumulative"], "mode", "v").groupBy("mode").agg(F.greatest(F.lit(1.0), F.max("v")).alias("top"))
+    return rounded(out, "top")
