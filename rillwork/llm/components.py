@@ -11,7 +11,8 @@ from rillwork.llm.common import written
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
     """One step. Minima are aggregated before the shuffle and joined back, so a hub's edges are never one group."""
     both = edges if not large else edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    # written, so that both sides of the join are plain shuffles: of those Spark splits a hub's edges among tasks
+    least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
     near = both.join(least, "u")
     if large:
         out = near.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -30,7 +31,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
     sign = None
     for _ in range(rounds):
-        edges = written(_stars(_stars(edges, True), False))
+        edges = written(_stars(written(_stars(edges, True)), False))
         found = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(found) == sign:
             break
