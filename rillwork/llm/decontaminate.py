@@ -23,14 +23,16 @@ _DOC_ROWS = "doc_id long, row long, value long"
 _ITEM_ROWS = "item_id long, item_row long, level long, value long"
 
 
-def _word_hashes(text: str | None, known: dict) -> list[int]:
-    out = []
-    for w in _WORD.findall((text or "").lower()):
-        h = known.get(w)
-        if h is None:
-            h = known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-        out.append(h)
-    return out
+class _Known(dict):
+    """Hashes of words, computed when a word is first met."""
+
+    def __missing__(self, word: str) -> int:
+        h = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return h
+
+
+def _word_hashes(text: str | None, known: _Known) -> list[int]:
+    return list(map(known.__getitem__, _WORD.findall((text or "").lower())))
 
 
 def _shingles(words: np.ndarray) -> np.ndarray:
@@ -114,9 +116,12 @@ def _search(items: list[tuple[int, np.ndarray]], containment: float, n_hashes: i
     owner = np.repeat(np.arange(len(items)), n_hashes)
     order = np.argsort(keys, kind="stable")
     keys, owner = keys[order], owner[order]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict = {}
+        known = _Known()
+        # most window keys are no item's: a look at their low bits tells, without a search
+        low_bits = np.uint64((1 << 22) - 1)
+        known_bits = np.zeros(1 << 22, bool)
+        known_bits[keys & low_bits] = True
         for batch in batches:
             out = []
             for ids, texts in chunks([batch.column(0).to_pylist(), batch.column(1).to_pylist()]):
@@ -125,12 +130,11 @@ def _search(items: list[tuple[int, np.ndarray]], containment: float, n_hashes: i
                 per_doc = [_shingles(np.array(_word_hashes(t, known), np.uint64)) for t in texts]
                 seen: set[tuple[int, int]] = set()
                 for doc, k in _window_keys(per_doc, levels, n_hashes):
-                    left = np.searchsorted(keys, k, "left")
-                    hit = np.flatnonzero(keys[np.minimum(left, len(keys) - 1)] == k)
-                    if not len(hit):
+                    maybe = np.flatnonzero(known_bits[k & low_bits])
+                    if not len(maybe):
                         continue
-                    right = np.searchsorted(keys, k[hit], "right")
-                    for d, lo, hi in zip(doc[hit].tolist(), left[hit].tolist(), right.tolist(), strict=True):
+                    left, right = np.searchsorted(keys, k[maybe], "left"), np.searchsorted(keys, k[maybe], "right")
+                    for d, lo, hi in zip(doc[maybe].tolist(), left.tolist(), right.tolist(), strict=True):
                         seen.update((d, o) for o in owner[lo:hi].tolist())
                 sets: dict[int, np.ndarray] = {}
                 for d, o in sorted(seen):
@@ -147,7 +151,7 @@ def _search(items: list[tuple[int, np.ndarray]], containment: float, n_hashes: i
 
 def _rows(batches: Iterator[pa.RecordBatch], size: int = 200_000) -> Iterator[tuple[list, list, list[np.ndarray]]]:
     """(ids, texts, shingles of each text), so many characters at once."""
-    known: dict = {}
+    known = _Known()
     for batch in batches:
         for ids, texts in chunks([batch.column(0).to_pylist(), batch.column(1).to_pylist()], size):
             if len(known) > 500_000:
@@ -229,7 +233,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, containment: float = CONTAINME
         return _joined(docs, items, containment, n_hashes).distinct()
     local = []
     for r in items.distinct().collect():
-        s = np.unique(_shingles(np.array(_word_hashes(r["text"], {}), np.uint64)))
+        s = np.unique(_shingles(np.array(_word_hashes(r["text"], _Known()), np.uint64)))
         if len(s):
             local.append((r["item_id"], s))
     if not local:
