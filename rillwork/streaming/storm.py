@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-RUNOFF = "gauge long, hour timestamp, mm double, cum_mm double, runoff_mm double"
+RUNOFF = "gauge long, ts timestamp, mm double, cum_mm double, runoff_mm double"
 
 
 def hourly(readings: DataFrame, late: str = "1 hour") -> DataFrame:
@@ -16,21 +16,35 @@ def hourly(readings: DataFrame, late: str = "1 hour") -> DataFrame:
     return readings.withWatermark("ts", late).groupBy(w, "gauge").agg(F.sum("mm").alias("mm")).select("gauge", F.col("window.start").alias("hour"), "mm")
 
 
-def running_runoff(readings: DataFrame, cn: float = 61.0) -> DataFrame:
-    """Each reading with the gauge's depth so far and the SCS runoff it adds; state is the depth and the runoff."""
+def running_runoff(readings: DataFrame, cn: float = 61.0, late: str = "1 hour") -> DataFrame:
+    """Each reading (gauge, ts, mm) with the gauge's depth so far and the SCS runoff it adds, in the order of time.
+
+    A reading waits in the state until the watermark has passed it, so what arrives out of order within ``late`` comes
+    out as if it had arrived in order; what is later than that is dropped. State is the depth and the waiting readings.
+    """
     s = 25400.0 / cn - 254.0
 
     def q(p: float) -> float:
         return 0.0 if p <= 0.2 * s else (p - 0.2 * s) ** 2 / (p + 0.8 * s)
 
     def run(key, batches, state: GroupState):
-        cum = state.get[0] if state.exists else 0.0
-        rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
+        cum, times, depths = state.get if state.exists else (0.0, [], [])
+        waiting = list(zip(times, depths, strict=True))
+        mark = state.getCurrentWatermarkMs()
+        if not state.hasTimedOut:
+            for b in batches:
+                ms = b["ts"].astype("datetime64[us]").astype("int64")
+                waiting += [(int(t), float(mm)) for t, mm in zip(ms, b["mm"], strict=True) if t // 1000 >= mark]
+        waiting.sort()
         out = []
-        for ts, mm in zip(rows["ts"], rows["mm"], strict=True):
+        while waiting and waiting[0][0] // 1000 < mark:
+            t, mm = waiting.pop(0)
             before, cum = q(cum), cum + max(0.0, mm)
-            out.append((key[0], ts, mm, cum, max(0.0, q(cum) - before)))
-        state.update((cum,))
-        yield pd.DataFrame(out, columns=["gauge", "hour", "mm", "cum_mm", "runoff_mm"])
-
-    return readings.groupBy("gauge").applyInPandasWithState(run, RUNOFF, "cum double", "append", GroupStateTimeout.NoTimeout)
+            out.append((key[0], pd.Timestamp(t, unit="us"), mm, cum, max(0.0, q(cum) - before)))
+        state.update((cum, [t for t, _ in waiting], [mm for _, mm in waiting]))
+        if waiting:
+            state.setTimeoutTimestamp(max(mark, waiting[0][0] // 1000) + 1)
+        yield pd.DataFrame(out, columns=["gauge", "ts", "mm", "cum_mm", "runoff_mm"])
+
+    marked = readings.withWatermark("ts", late)
+    return marked.groupBy("gauge").applyInPandasWithState(run, RUNOFF, "cum double, times array<long>, depths array<double>", "append", GroupStateTimeout.EventTimeTimeout)
