@@ -487,7 +487,21 @@ def q33_keypoints(spark, sf):
     return rounded(_keypoints(spark, sf), "score")
 
 
-@query()
+def _eroded(src: str) -> str:
+    return f"SELECT a.r, a.c FROM {src} a JOIN {src} b ON abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 GROUP BY a.r, a.c HAVING count(*) = 9"
+
+
+_RIDGES = WALK + f""", a AS (SELECT r, c, count(*)::BIGINT AS acc FROM walk GROUP BY r, c),
+ma AS {_mirror(7, 'g', 'r', 'c', 'z', 'm').replace(', n WHERE', ' WHERE')}, mb AS {_mirror(7, 'ma', 'c', 'r', 'm', 'mean')},
+cr AS (SELECT g.r, g.c, g.z, n FROM g JOIN mb ON mb.r = g.r AND mb.c = g.c JOIN a ON a.r = g.r AND a.c = g.c WHERE z - mean > 2e-2 AND acc <= 2 AND g.r BETWEEN 1 AND n - 2 AND g.c BETWEEN 1 AND n - 2),
+e1 AS ({_eroded('cr')}), e2 AS ({_eroded('e1')}), e3 AS ({_eroded('e2')}), ct AS (SELECT (SELECT count(*) FROM e1) AS k1, (SELECT count(*) FROM e2) AS k2, (SELECT count(*) FROM e3) AS k3),
+th AS (SELECT r, c FROM cr, ct WHERE k1 = 0 UNION ALL SELECT r, c FROM e1, ct WHERE k1 > 0 AND k2 = 0 UNION ALL SELECT r, c FROM e2, ct WHERE k2 > 0 AND k3 = 0 UNION ALL SELECT r, c FROM e3, ct WHERE k3 > 0),
+tz AS (SELECT th.r, th.c, z, th.r::BIGINT * n + th.c AS id FROM th JOIN cr ON cr.r = th.r AND cr.c = th.c),
+lb(r, c, zone) USING KEY (r, c) AS (SELECT r, c, id FROM tz UNION SELECT w.r, w.c, min(o.zone) FROM lb JOIN tz w ON abs(w.r - lb.r) + abs(w.c - lb.c) <= 1
+  JOIN recurring.lb o ON abs(o.r - w.r) + abs(o.c - w.c) <= 1 JOIN recurring.lb own ON own.r = w.r AND own.c = w.c GROUP BY w.r, w.c, own.zone HAVING min(o.zone) < own.zone)"""
+
+
+@query(_RIDGES + " SELECT zone, count(*)::BIGINT AS cells, round(avg(z), 6) AS mean_z FROM tz JOIN lb ON lb.r = tz.r AND lb.c = tz.c GROUP BY zone HAVING count(*) >= 20 ORDER BY cells DESC, zone LIMIT 30")
 def q34_ridges(spark, sf):
     n = T.side(spark, sf)
     tpi = terrain.box_mean(T.grid(spark, sf), n, 7, "z", "mean").where((F.col("z") - F.col("mean") > 0.02) & F.col("r").between(1, n - 2) & F.col("c").between(1, n - 2))
@@ -544,10 +558,10 @@ def q38_nearest_line(spark, sf):
     return vector.nearest(p, lines, T.CELL * n / 4).select(F.col("pid").alias("c_custkey"), "id", "distance")
 
 
-@query(f"WITH {RAIN} SELECT time_min, hour, round(mm, 6) AS mm, round(sum(mm) OVER (ORDER BY time_min ROWS BETWEEN 5 PRECEDING AND CURRENT ROW), 6) AS mm_6h FROM rain")
+@query(f"WITH {RAIN} SELECT time_min, hour, round(mm, 9) AS mm, round(sum(mm) OVER (ORDER BY time_min ROWS BETWEEN 5 PRECEDING AND CURRENT ROW), 9) AS mm_6h FROM rain")
 def q39_rolling_rain(spark, sf):
     w = Window.orderBy("time_min").rowsBetween(-5, 0)
-    return rounded(T.daily_rain(spark, sf).select("time_min", "hour", "mm", F.sum("mm").over(w).alias("mm_6h")), "mm", "mm_6h")
+    return rounded(T.daily_rain(spark, sf).select("time_min", "hour", "mm", F.sum("mm").over(w).alias("mm_6h")), "mm", "mm_6h", digits=9)
 
 
 @query()
