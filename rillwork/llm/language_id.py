@@ -19,8 +19,8 @@ NEW = ["lang_pred", "score", "n_switches"]
 BUCKETS = 1 << 15
 #: Positions of a chain that advance together with those of all other blocks.
 BLOCK = 128
-#: Distinct words a task remembers scores of.
-MEMORY = 300_000
+#: Distinct words a task remembers scores of, and text that it labels at once, in characters: what bounds its memory.
+MEMORY, PART = 150_000, 400_000
 #: A word of more bytes is cut into pieces of so many characters; each has a place in the chain.
 LONG, PIECE = 48, 8
 
@@ -282,7 +282,7 @@ def _predict(model: Crf, with_text: bool):
             langs, conf, switches = [], [], []
             keys = batch.columns if with_text else batch.columns[:-1]
             texts = batch.column(batch.num_columns - 1).to_pylist()
-            for (part,) in chunks([texts], text=0):
+            for (part,) in chunks([texts], PART, text=0):
                 if len(known) > MEMORY:
                     known, scores, spoken = {}, scores[:0], spoken[:0]
                 ids, lengths, before = [], [], len(known)
