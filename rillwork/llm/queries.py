@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillwork.llm import chat_format, decontaminate, html_extract, language_id, line_dedup, mixing, ngram_join, quality_classifier, quality_rules, toxicity
+from rillwork.llm import chat_format, decontaminate, html_extract, language_id, line_dedup, mixing, ngram_join, quality_classifier, quality_rules, sentence_pieces, toxicity
 from rillwork.llm.common import bucket_of, table, written
 
 
@@ -74,6 +74,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (bucket_of("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    vocabulary = sentence_pieces.read_vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    out = sentence_pieces.encode(table(spark, sf_dir, "documents"), vocabulary, ["doc_id"])
+    ids = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -81,7 +90,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_language_id, op2_chat_formatting, op3_mixing, op4_line_dedup, op5_quality_rules, op6_ngram_jaccard_join, op7_quality_classifier, op8_html_extraction, op9_decontamination, op10_toxicity, pipeline]
+    own = [op1_language_id, op2_chat_formatting, op3_mixing, op4_line_dedup, op5_quality_rules, op6_ngram_jaccard_join, op7_quality_classifier, op8_html_extraction, op9_decontamination, op10_toxicity, op12_sentencepiece, pipeline]
     return {f.__name__: f for f in own}
 
 
