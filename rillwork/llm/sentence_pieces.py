@@ -199,7 +199,7 @@ class _Cache(dict):
 
 _OTHER = re.compile(r"[^\w▁]+")
 _RUN = re.compile(f"[ {SPACE}]+[^ {SPACE}]*")
-_EDGE = re.compile(r"[^ ](?= )")
+_EDGE = re.compile(f"[^ {SPACE}](?= )")
 
 
 def _words(text: str) -> Iterator[list[str]]:
@@ -208,8 +208,7 @@ def _words(text: str) -> Iterator[list[str]]:
     while start < len(text):
         edge = _EDGE.search(text, start + SLICE_CHARS) if len(text) - start > SLICE_CHARS else None
         stop = edge.end() if edge else len(text)
-        part = text[start:stop] if start or stop < len(text) else text
-        part = part if start == 0 else part[1:]  # its first space stands for the one in front
+        part = text[start + (start > 0) : stop]  # a slice's first space stands for the one in front
         if part.startswith(" ") or part.endswith(" ") or "  " in part or SPACE in part or not part:
             yield _RUN.findall(" " + part)
         else:
