@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillwork.llm import chat_format, decontaminate, html_extract, language_id, line_dedup, mixing, ngram_join, quality_classifier, quality_rules, sentence_pieces, toxicity
+from rillwork.llm import chat_format, decontaminate, html_extract, language_id, line_dedup, mixing, ngram_join, quality_classifier, quality_rules, sentence_pieces, toxicity, whitening
 from rillwork.llm.common import bucket_of, table, written
 
 
@@ -83,6 +83,12 @@ def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").where(whitening.usable(F.col("embedding")))
+    vectors = rows.select("vec_id", whitening.as_integers(F.col("embedding")).alias("x"))
+    return whitening.whiten(vectors, whitening.fit(vectors), ["vec_id"])
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -90,7 +96,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_language_id, op2_chat_formatting, op3_mixing, op4_line_dedup, op5_quality_rules, op6_ngram_jaccard_join, op7_quality_classifier, op8_html_extraction, op9_decontamination, op10_toxicity, op12_sentencepiece, pipeline]
+    own = [op1_language_id, op2_chat_formatting, op3_mixing, op4_line_dedup, op5_quality_rules, op6_ngram_jaccard_join, op7_quality_classifier, op8_html_extraction, op9_decontamination, op10_toxicity, op12_sentencepiece, op13_embedding_whitening, pipeline]
     return {f.__name__: f for f in own}
 
 
