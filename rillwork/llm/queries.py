@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillwork.llm import chat_format, decontaminate, html_extract, language_id, line_dedup, mixing, ngram_join, quality_classifier, quality_rules, sentence_pieces, toxicity, whitening
+from rillwork.llm import chat_format, decontaminate, html_extract, language_id, line_dedup, mixing, ngram_join, prefix_trie, quality_classifier, quality_rules, sentence_pieces, toxicity, whitening
 from rillwork.llm.common import bucket_of, table, written
 
 
@@ -74,6 +74,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (bucket_of("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    numbered = written(prefix_trie.numbered_turns(table(spark, sf_dir, "conversations")))
+    return prefix_trie.build_trie(*prefix_trie.with_shared_openings(numbered)).drop("place", "subtree_end")
+
+
 def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -96,7 +101,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_language_id, op2_chat_formatting, op3_mixing, op4_line_dedup, op5_quality_rules, op6_ngram_jaccard_join, op7_quality_classifier, op8_html_extraction, op9_decontamination, op10_toxicity, op12_sentencepiece, op13_embedding_whitening, pipeline]
+    own = [op1_language_id, op2_chat_formatting, op3_mixing, op4_line_dedup, op5_quality_rules, op6_ngram_jaccard_join, op7_quality_classifier, op8_html_extraction, op9_decontamination, op10_toxicity, op11_prefix_trie, op12_sentencepiece, op13_embedding_whitening, pipeline]
     return {f.__name__: f for f in own}
 
 
@@ -193,5 +198,33 @@ FROM documents LEFT JOIN f ON f.doc_id = documents.doc_id
 """
 
 
+# CRC-32 bit by bit: DuckDB has no such function. place and subtree_end depend on the order of hashes: see the tests.
+_OP11 = r"""
+WITH t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL
+), n AS (SELECT conv_id, count(*) AS n FROM t GROUP BY conv_id),
+c AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base,
+    xor(list_reduce(list_prepend(4294967295, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+      lambda a, x: list_reduce(list_prepend(xor(a, x), [0, 1, 2, 3, 4, 5, 6, 7]), lambda v, k: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)), 4294967295) % 4 AS h
+  FROM n
+), l AS (SELECT c.*, least(h, coalesce(n.n, 0)) AS taken FROM c LEFT JOIN n ON n.conv_id = base),
+r AS (
+  SELECT l.conv_id, i AS d, role, text FROM l JOIN t ON t.conv_id = base AND i <= taken
+  UNION ALL SELECT l.conv_id, i - h + taken, role, text FROM l JOIN t ON t.conv_id = l.conv_id AND i > h
+), s AS (SELECT l.conv_id, coalesce(list([role, text] ORDER BY d) FILTER (d IS NOT NULL), []) AS s FROM l LEFT JOIN r ON r.conv_id = l.conv_id GROUP BY l.conv_id),
+m AS (SELECT conv_id, s, d, s[1:d] AS path FROM (SELECT *, unnest(range(0, len(s) + 1)) AS d FROM s)),
+k AS (
+  SELECT path, d, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(s) = d), '')) AS ends_sha256,
+    CASE WHEN d = 0 THEN 0 ELSE len(list_filter(regexp_split_to_array(path[d][2], '[\x20\x09-\x0D]+'), lambda x: x <> '')) END AS words
+  FROM m GROUP BY path, d
+), u AS (SELECT path, d, unnest(range(0, d + 1)) AS top, (n_convs - 1) * words AS saved, NOT EXISTS (SELECT 1 FROM k AS y WHERE y.d = k.d + 1 AND y.path[1:k.d] = k.path) AS leaf FROM k),
+v AS (SELECT path[1:top] AS path, top AS d, count(*) FILTER (leaf) AS n_leaves, sum(saved) AS saved_tokens, count(*) FILTER (d = top + 1) AS n_children FROM u GROUP BY ALL)
+SELECT k.conv_id, k.d::BIGINT AS depth, p.conv_id AS parent_conv_id, k.n_convs, n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens, k.ends_sha256
+FROM k JOIN v ON v.path = k.path AND v.d = k.d LEFT JOIN k AS p ON p.d = k.d - 1 AND p.path = k.path[1:k.d - 1]
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_formatting": _OP2, "op4_line_dedup": _OP4, "op5_quality_rules": _op5(), "op6_ngram_jaccard_join": _OP6, "op9_decontamination": _OP9}
+    return {"op2_chat_formatting": _OP2, "op4_line_dedup": _OP4, "op5_quality_rules": _op5(), "op6_ngram_jaccard_join": _OP6, "op9_decontamination": _OP9, "op11_prefix_trie": _OP11}
