@@ -190,11 +190,46 @@ def test_language_query_against_plain_chains(spark):
         assert (r.lang_pred == "und" and r.score == 0) if not want else (r.lang_pred == max(want, key=want.get) and r.score == pytest.approx(max(want.values()), abs=1e-6))
     held = [r for r in got if r.held_out and docs[r.doc_id].lang]
     assert len(held) > 200 and sum(r.lang_pred == docs[r.doc_id].lang for r in held) >= 0.98 * len(held)
-    with pytest.raises(ValueError, match="languages"):
-        language_id.collect_samples(docs_of(spark, ["a", "b"]).withColumn("lang", F.col("doc_id").cast("string")), language_id.CrfParams(max_langs=1))
     assert language_id.predict(docs_of(spark, ["a"]).limit(0), model, ["doc_id"]).count() == 0
 
 
+def test_samples_leave_no_language_out(spark):
+    """Copies of a few texts, and a language that is nearly all of the table, whatever the seed."""
+    few = spark.range(8000).select(F.when(F.col("id") < 4000, "en").otherwise("xx").alias("lang"), F.concat(F.lit("word"), F.col("id") % 2 + F.when(F.col("id") < 4000, 0).otherwise(5)).alias("text"))
+    one = spark.range(20000).select(
+        F.when(F.col("id") < 18000, "en").otherwise(F.concat(F.lit("l"), F.floor((F.col("id") - 18000) / 500))).alias("lang"), F.when(F.col("id") < 18000, "all alike here").otherwise(F.concat(F.lit("w"), "id")).alias("text")
+    )
+    for seed in (1, 5, 9):
+        p = language_id.CrfParams(seed=seed)
+        got = language_id.collect_samples(few, p)
+        assert sorted(got) == [("en", ["word0"]), ("en", ["word1"]), ("xx", ["word5"]), ("xx", ["word6"])]
+        got = [lang for lang, _ in language_id.collect_samples(one, p)]
+        assert got.count("en") == 1 and all(100 < got.count(f"l{k}") < 260 for k in range(4))
+
+
+def test_any_number_of_labels(spark):
+    many = spark.range(1300).select(F.concat(F.lit("l"), F.col("id") % 1100).alias("lang"), F.concat(F.lit("some text "), "id").alias("text"))
+    with pytest.warns(UserWarning, match="50 languages"):
+        got = language_id.collect_samples(many, language_id.CrfParams(max_langs=50))
+    assert {lang for lang, _ in got} == {f"l{k}" for k in sorted(range(200), key=lambda k: f"l{k}")[:50]}
+
+
+def test_long_text_by_stretches(spark, monkeypatch):
+    """A text labelled stretch by stretch has the same labels as in one piece."""
+    rng = random.Random(2)
+    en, de = "the of and that with they".split(), "der die und nicht wird 17 über".split()
+    fitted = language_id.fit([("en", [rng.choice(en) for _ in range(40)]) for _ in range(20)] + [("de", [rng.choice(de) for _ in range(40)]) for _ in range(20)])
+    runs = [[rng.choice(rng.choice([en, de, ["--"] * 9])) for _ in range(n)] for n in (700, 3, 90, 1500)]
+    texts = [" ".join(r) + "\n" for r in runs] + ["--- " * 2000, None, ""]
+    whole = language_id.predict(docs_of(spark, texts), fitted, ["doc_id"]).orderBy("doc_id").collect()
+    for size in (60, 900, 1500):
+        scores = language_id._Scores(fitted)
+        for r, t in zip(whole[:4], texts[:4], strict=True):
+            mass, n, moved = language_id._label_long(fitted, scores, t, size)
+            assert fitted.langs[mass.argmax()] == r.lang_pred and mass.max() / n == pytest.approx(r.score, abs=1e-9) and moved == r.n_switches
+        assert language_id._label_long(fitted, scores, texts[4], size)[1] == 0
+
+
 def test_language_of_long_words(spark):
     rng = random.Random(6)
     shared, zh, ja = "一二三四五六七八九十百千万", "我你他的是在有这中国", "のはをにがでとますした"
