@@ -228,7 +228,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, containment: float = CONTAINME
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null and text is not null")
     items = items.select(F.col("item_id").cast("long"), "text").where("item_id is not null and text is not null")
-    size = items.agg(F.sum(F.size(F.split("text", r"\s+")) + 1)).first()[0] or 0
+    # words as the search takes them; a word of many characters counts as several
+    size = items.agg(F.sum(F.greatest(F.regexp_count("text", F.lit(r"[\p{L}\p{N}]+")), F.char_length("text") / 16) + 1)).first()[0] or 0
     if size > max_local_words:
         return _joined(docs, items, containment, n_hashes).distinct()
     local = []

@@ -27,6 +27,7 @@ RAW = frozenset("script style noscript textarea iframe".split())
 #: Elements that mark nothing by their tag, only by their names.
 PLAIN = INLINE | VOID | frozenset("html body article main div section p center ul ol li dl dt dd table caption colgroup thead tbody tfoot tr td th h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption address details summary hgroup fieldset legend label".split())
 _TAG = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_EMPTY = re.compile("<!--+>")
 _EDGE = re.compile(r"[>\"']")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _PARTS = re.compile(r"[a-z0-9]+")
@@ -72,8 +73,9 @@ def read(page: str) -> Page:
         if at == size:
             break
         if page.startswith("<!--", at):
+            empty = _EMPTY.match(page, at)
             close = page.find("-->", at + 4)
-            i = size if close < 0 else close + 3
+            i = empty.end() if empty else size if close < 0 else close + 3
             continue
         m = _TAG.match(page, at + 1)
         if not m:
@@ -161,17 +163,19 @@ class Scores:
 
 def apart(page: Page, scores: Scores) -> list[bool]:
     """Which tokens lie in an element that is set apart: one with a feature of little main text, if it is closed and
-    holds no article or main element."""
+    holds no article or main element. A form with over half of the page's words is the page's frame, not a form."""
     n = len(page.kind)
-    holds = [0] * (n + 1)
+    holds, words = [0] * (n + 1), [0] * (n + 1)
     for i in range(n):
         holds[i + 1] = holds[i] + (page.kind[i] == "open" and page.name[i] in ("article", "main"))
+        words[i + 1] = words[i] + (len(page.text[i].split()) if page.kind[i] == "text" else 0)
     out, until = [False] * n, -1
     for i in range(n):
         if i <= until:
             out[i] = True
         elif page.kind[i] == "open" and page.end[i] > i and holds[page.end[i]] == holds[i]:
-            if any(scores.share(f) < APART for f in features(page.name[i], page.text[i])):
+            frame = page.name[i] == "form" and 2 * (words[page.end[i]] - words[i]) > words[n]
+            if not frame and any(scores.share(f) < APART for f in features(page.name[i], page.text[i])):
                 out[i], until = True, page.end[i]
     return out
 

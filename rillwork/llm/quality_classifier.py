@@ -79,10 +79,10 @@ def fit(docs: DataFrame, labels: DataFrame, p: RuleParams | None = None) -> Rule
     """Trees over the statistics of the documents (doc_id, text) that ``labels`` (doc_id, label) marks; their paths
     become 0/1 columns of a lasso logistic regression.
 
-    With one class only, or none, there is no rule: every text scores the share of label 1 (0.5 without labels).
+    Labels other than 0 and 1 say nothing. With one class only, or none, there is no rule: every text scores the share of label 1 (0.5 without labels).
     """
     p = p or RuleParams()
-    known = labels.where("label is not null")
+    known = labels.where("label in (0, 1)")
     sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     share = p.max_labelled / max(1, sum(sizes.values()))
     data = written(statistics(sampled_texts(docs, known, dict.fromkeys(sizes, share), 2 * p.max_labelled, p.seed), ["label"]))

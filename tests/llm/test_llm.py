@@ -382,6 +382,34 @@ def test_pages_left_open():
         assert time.time() - began < 5, bad
 
 
+def test_pages_in_one_form_and_empty_comments():
+    scores, body = learned([]), "<p>" + "word " * 30 + "</p>"
+    assert html_extract.extract(f"<body><form action=x><nav>menu entry</nav>{body}</form><footer>end</footer></body>", scores) == ("word " * 30).strip()
+    assert html_extract.extract(f"<body>{body}<form><p>your name please</p></form></body>", scores) == ("word " * 30).strip()
+    for comment in ("<!-->", "<!--->", "<!---->", "<!-- > -->"):
+        assert html_extract.extract(f"<body>{comment}{body}</body>", scores) == ("word " * 30).strip()
+
+
+def test_labels_other_than_two(spark):
+    docs = docs_of(spark, ["some words of a text"] * 12)
+    labels = docs.select("doc_id", F.when(F.col("doc_id") < 3, 2).when(F.col("doc_id") < 6, -1).when(F.col("doc_id") < 9, 1).otherwise(0).alias("label"))
+    out = quality_classifier.score(docs, quality_classifier.fit(docs, labels), ["doc_id"])
+    assert all(0 <= r.score <= 1 for r in out.collect())
+    only = quality_classifier.fit(docs, labels.where("label in (2, -1)"))
+    assert only.rules == [] and only.intercept == 0
+
+
+def test_benchmarks_without_blanks_are_joined(spark, monkeypatch):
+    """Words joined by commas, and one endless word, count as what they are: no such benchmark is collected."""
+    docs, called = docs_of(spark, ["a b c d e f"]), []
+    joined = decontaminate._joined
+    monkeypatch.setattr(decontaminate, "_joined", lambda *a: called.append(1) or joined(*a))
+    for text in (",".join(f"w{i}" for i in range(3000)), "x" * 60_000):
+        items = spark.createDataFrame([(1, text)], "item_id long, text string")
+        assert decontaminate.find_leaks(docs, items, max_local_words=2500).count() == 0
+    assert len(called) == 2
+
+
 def test_best_run_against_brute_force():
     rng = random.Random(7)
     for _ in range(200):
