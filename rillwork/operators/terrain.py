@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rillwork.sources.tables import written
+from rillwork.operators import spill
+from rillwork.sources.tables import forget, written
 
 #: Direction codes and steps, in the order that decides ties.
 D8 = [("n", -1, 0, 64), ("ne", -1, 1, 128), ("e", 0, 1, 1), ("se", 1, 1, 2), ("s", 1, 0, 4), ("sw", 1, -1, 8), ("w", 0, -1, 16), ("nw", -1, -1, 32)]
@@ -251,28 +252,6 @@ def components(cells: DataFrame, n: int, eight: bool = True) -> DataFrame:
             return label.select(F.floor(F.col("id") / n).cast("int").alias("r"), (F.col("id") % n).cast("int").alias("c"), "zone")
 
 
-def _lower(z: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Least water level inside a tile given levels around it: priority flood from the rim inwards."""
-    out = w.copy()
-    rows, cols = z.shape
-    rim = np.ones(z.shape, bool)
-    rim[1:-1, 1:-1] = False
-    heap = [(w[i, j], i, j) for i, j in zip(*np.nonzero(w < 1e8), strict=True)]
-    heapq.heapify(heap)
-    while heap:
-        level, i, j = heapq.heappop(heap)
-        if level > out[i, j]:
-            continue
-        for x in range(max(0, i - 1), min(rows, i + 2)):
-            for y in range(max(0, j - 1), min(cols, j + 2)):
-                if np.isfinite(z[x, y]) and not rim[x, y]:
-                    new = max(z[x, y], level)
-                    if new < out[x, y]:
-                        out[x, y] = new
-                        heapq.heappush(heap, (new, x, y))
-    return out
-
-
 def _uphill(z: np.ndarray, w: np.ndarray) -> np.ndarray:
     """Spreads 1 from marked cells to neighbours that lie as high or higher. 0.5 marks cells that never pass it on."""
     out = w.copy()
@@ -348,8 +327,7 @@ def tiled_fixpoint(cells: DataFrame, kernel, tile: int = 128) -> DataFrame:
 
 def fill_depressions(cells: DataFrame, n: int, tile: int = 128) -> DataFrame:
     """cell(r, c, z, w): w is the least surface from which water leaves the grid everywhere."""
-    edge = (F.col("r") == 0) | (F.col("c") == 0) | (F.col("r") == n - 1) | (F.col("c") == n - 1)
-    return tiled_fixpoint(cells.withColumn("w", F.when(edge, F.col("z")).otherwise(F.lit(1e9))), _lower, tile)
+    return spill.fill(cells, n, tile)
 
 
 def uphill(cells: DataFrame, start: Column, barrier: Column, tile: int = 128) -> DataFrame:
