@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -335,38 +336,130 @@ def uphill(cells: DataFrame, start: Column, barrier: Column, tile: int = 128) ->
     return tiled_fixpoint(cells.withColumn("w", F.when(start, 1.0).when(barrier, 0.5).otherwise(0.0)), _uphill, tile)
 
 
-def accumulate_split(flow: DataFrame, tile: int = 128) -> DataFrame:
+def _downstream(to: list[list[int]], share: list[list[float]]) -> list[int]:
+    """Places in an order in which each stands before those that it passes water to."""
+    n = len(to[0])
+    waits = [0] * n
+    for at, p in zip(to, share, strict=True):
+        for t, x in zip(at, p, strict=True):
+            if t >= 0 and x > 0:
+                waits[t] += 1
+    order = [k for k in range(n) if not waits[k]]
+    for k in order:  # grows while it is read
+        for at, p in zip(to, share, strict=True):
+            t = at[k]
+            if t >= 0 and p[k] > 0:
+                waits[t] -= 1
+                if not waits[t]:
+                    order.append(t)
+    if len(order) < n:
+        raise RuntimeError("the drainage has a loop")
+    return order
+
+
+def _split_tile(pdf: pd.DataFrame) -> tuple[list[list[int]], list[list[float]], list[int]]:
+    """Both targets of each cell as places in the tile (-1: outside or none), their shares, and the order downstream."""
+    at = {x: k for k, x in enumerate(pdf["id"].tolist())}
+    to = [[at.get(x, -1) for x in pdf[f"t{k}"].tolist()] for k in (1, 2)]
+    share = [[x if x == x else 0.0 for x in pdf[f"p{k}"].tolist()] for k in (1, 2)]
+    return to, share, _downstream(to, share)
+
+
+def _solved_inflow(links: pd.DataFrame) -> pd.DataFrame:
+    """(id, inflow) of a small system: each cell passes its inflow on once it is whole."""
+    start, inner = links[links["a"] < 0], links[links["a"] >= 0]
+    x: dict[int, float] = dict(zip(start["b"].tolist(), start["v"].tolist(), strict=True))
+    out: dict[int, list[tuple[int, float]]] = {}
+    waits: dict[int, int] = {}
+    for a, b, v in zip(inner["a"].tolist(), inner["b"].tolist(), inner["v"].tolist(), strict=True):
+        out.setdefault(a, []).append((b, v))
+        waits[b] = waits.get(b, 0) + 1
+    todo = [a for a in out if not waits.get(a)]
+    while todo:
+        a = todo.pop()
+        for b, v in out.get(a, ()):
+            x[b] = x.get(b, 0.0) + v * x.get(a, 0.0)
+            waits[b] -= 1
+            if not waits[b]:
+                todo.append(b)
+    return pd.DataFrame({"id": list(x), "inflow": list(x.values())}, columns=["id", "inflow"]).astype({"id": "int64", "inflow": "float64"})
+
+
+def rim_inflow(links: DataFrame, small: int = 2_000_000) -> DataFrame:
+    """(id, inflow) solved from links (a, b, v): v of what comes to a goes on to b; where a is -1, v itself comes to b.
+
+    Up to ``small`` links are solved in one task. More are carried on in rounds: what is still under way takes one
+    link a round, so there are as many rounds as tiles on the longest way, over rims only.
+    """
+    links = written(links.groupBy("a", "b").agg(F.sum("v").alias("v")))
+    if links.count() <= small:
+        return links.groupBy().applyInPandas(_solved_inflow, "id long, inflow double")
+    inner, moving = links.where("a >= 0"), links.where("a < 0").select(F.col("b").alias("id"), F.col("v").alias("inflow"))
+    moving = written(moving)
+    parts = [moving]
+    while True:
+        moving = written(moving.join(inner, F.col("id") == F.col("a")).groupBy("b").agg(F.sum(F.col("inflow") * F.col("v")).alias("inflow")).select(F.col("b").alias("id"), "inflow"))
+        if moving.isEmpty():
+            break
+        parts.append(moving)
+        if len(parts) > 20:
+            total = written(reduce(DataFrame.unionAll, parts[:-1]).groupBy("id").agg(F.sum("inflow").alias("inflow")))
+            forget(*parts[:-1])
+            parts = [total, moving]
+    return reduce(DataFrame.unionAll, parts).groupBy("id").agg(F.sum("inflow").alias("inflow"))
+
+
+def accumulate_split(flow: DataFrame, tile: int = 128, small: int = 2_000_000) -> DataFrame:
     """(r, c, acc): each cell's weight and the shares of all that drain to it, along the two ways of ``dinf``.
 
-    ``flow`` has r, c, z, weight, r1, c1, p1, r2, c2, p2. A task works down one tile from its highest cell, with what
-    came to the rim in the round before; rounds grow with the tiles that a path crosses.
+    ``flow`` has r, c, weight, r1, c1, p1, r2, c2, p2. What leaves a tile is a linear map of what enters it: a task
+    carries, beside its own weights, one unit from each rim cell down through its tile. Between tiles only what comes
+    to rim cells is solved; then each tile is summed once more. Cells move twice, whatever the grid's size. A null
+    weight is none.
     """
-    ways = ["r1", "c1", "p1", "r2", "c2", "p2"]
+    key = lambda r, c: F.shiftleft(F.col(r).cast("long"), 32) + F.col(c)
+    cells = written(flow.select(
+        key("r", "c").alias("id"), F.coalesce(key("r1", "c1"), F.lit(-1)).alias("t1"), "p1", F.coalesce(key("r2", "c2"), F.lit(-1)).alias("t2"), "p2", F.coalesce(F.col("weight").cast("double"), F.lit(0.0)).alias("weight"),
+        F.floor(F.col("r") / tile).alias("tr"), F.floor(F.col("c") / tile).alias("tc"),
+    ))
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["z", "r", "c"], ascending=[False, True, True], ignore_index=True)
-        i, j = pdf["r"].to_numpy() - key[0] * tile, pdf["c"].to_numpy() - key[1] * tile
-        own = (i >= 0) & (i < tile) & (j >= 0) & (j < tile)
-        place = {p: k for k, p in enumerate(zip(pdf["r"].tolist(), pdf["c"].tolist(), strict=True)) if own[k]}
-        acc = np.where(own, pdf["weight"], pdf["acc"]).tolist()
-        to = [[place.get((r, c)) for r, c in zip(pdf[f"r{x}"].tolist(), pdf[f"c{x}"].tolist(), strict=True)] for x in (1, 2)]
-        share = [pdf[f"p{x}"].tolist() for x in (1, 2)]
-        rim, inside = np.flatnonzero(~own).tolist(), np.flatnonzero(own).tolist()
-        for k in rim + inside:  # the rim is known, the others are whole once all higher ones have passed on
+    def rims(pdf: pd.DataFrame) -> pd.DataFrame:
+        to, share, order = _split_tile(pdf)
+        ids = pdf["id"].to_numpy()
+        r, c = (ids >> 32) % tile, (ids & 0xFFFFFFFF) % tile
+        entries = np.flatnonzero((r == 0) | (c == 0) | (r == tile - 1) | (c == tile - 1))
+        carried = np.zeros((len(ids), len(entries) + 1))
+        carried[entries, np.arange(len(entries))] = 1.0
+        carried[:, -1] = pdf["weight"]
+        names, outer = np.append(ids[entries], -1), [pdf["t1"].tolist(), pdf["t2"].tolist()]
+        a, b, v = [], [], []
+        for k in order:
+            own = carried[k]
+            for at, p, far in zip(to, share, outer, strict=True):
+                if p[k] > 0:
+                    if at[k] >= 0:
+                        carried[at[k]] += p[k] * own
+                    elif far[k] >= 0:
+                        some = np.flatnonzero(own)
+                        a.append(names[some])
+                        b.append(np.full(len(some), int(far[k])))
+                        v.append(p[k] * own[some])
+        flat = [np.concatenate(x) if x else np.zeros(0) for x in (a, b, v)]
+        return pd.DataFrame({"a": flat[0].astype(np.int64), "b": flat[1].astype(np.int64), "v": flat[2]})
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        to, share, order = _split_tile(pdf)
+        acc = (pdf["weight"] + pdf["inflow"]).tolist()
+        for k in order:
             for at, p in zip(to, share, strict=True):
-                if at[k] is not None and p[k] > 0:
+                if at[k] >= 0 and p[k] > 0:
                     acc[at[k]] += p[k] * acc[k]
-        out = pdf.loc[own, ["r", "c", "z", "weight", *ways]]
-        out["was"], out["acc"] = pdf.loc[own, "acc"], np.array(acc)[own]
-        return out
+        ids = pdf["id"].to_numpy()
+        return pd.DataFrame({"r": (ids >> 32).astype(np.int32), "c": (ids & 0xFFFFFFFF).astype(np.int32), "acc": acc})
 
-    fields = "r int, c int, z double, weight double, r1 int, c1 int, p1 double, r2 int, c2 int, p2 double"
-    state = written(flow.select("r", "c", "z", F.col("weight").cast("double").alias("weight"), *ways, F.col("weight").cast("double").alias("acc")))
-    while True:
-        new = written(_dealt(state, tile).groupBy("tr", "tc").applyInPandas(run, fields + ", was double, acc double"))
-        state = new.drop("was")
-        if new.where("acc != was").isEmpty():
-            return state.select("r", "c", "acc")
+    inflow = rim_inflow(cells.groupBy("tr", "tc").applyInPandas(rims, "a long, b long, v double"), small)
+    fed = cells.join(inflow, "id", "left").withColumn("inflow", F.coalesce("inflow", F.lit(0.0)))
+    return written(fed.groupBy("tr", "tc").applyInPandas(whole, "r int, c int, acc double"))
 
 
 def condition(cells: DataFrame, n: int, cell: float) -> DataFrame:

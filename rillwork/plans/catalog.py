@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -411,7 +411,8 @@ def _simulated(spark, sf) -> DataFrame:
     """Over all days of rain: the runoff of each is that of a storm of its own, the stores keep what they hold."""
     storm = Window.partitionBy("day").orderBy("hour")
     q = T.daily_rain(spark, sf).withColumn("q", H.runoff_mm(F.sum("mm").over(storm.rowsBetween(Window.unboundedPreceding, 0)), F.lit(70)))
-    feed = q.select("time_min", F.lit(1.0).alias("hours"), F.greatest(F.lit(0.0), F.col("q") - F.lag("q", 1, 0.0).over(storm)).alias("mm"))
+    hours = (F.col("time_min") - F.lag("time_min", 1, 0).over(Window.orderBy("time_min"))) / 60.0  # a row an hour: few
+    feed = q.select("time_min", hours.alias("hours"), F.greatest(F.lit(0.0), F.col("q") - F.lag("q", 1, 0.0).over(storm)).alias("mm"))
     return cascade.simulate(T.stores(spark, sf), feed)
 
 
@@ -439,11 +440,92 @@ def q30_store_summary(spark, sf):
     return rounded(out, "inflow", "infiltration", "overflow", "peak_fill_pct", "first_overflow_hr")
 
 
-@query(f"WITH {_INC} SELECT r, c, round(max(greatest(0e0, mm)) / 1e3 * 25e0, 6) AS peak_m3, round(sum(greatest(0e0, mm)) / 1e3 * 25e0, 6) AS total_m3 FROM g JOIN i ON i.cn = g.cn GROUP BY r, c")
+CNS = (40, 50, 60, 70, 80)
+
+
+def _class_counts(spark, sf) -> DataFrame:
+    """(r, c, ends, cn40, ...): how many cells of each curve number drain through a cell, and whether its path ends there."""
+    n = T.side(spark, sf)
+    flow = T.written(terrain.d8(T.grid(spark, sf), T.CELL).select("r", "c", "cn", "to_r", "to_c"))
+    counts = _cells(terrain.accumulate(flow, n, {f"cn{k}": (F.col("cn") == k).cast("double") for k in CNS}), n)
+    return counts.join(flow.select("r", "c", F.col("to_r").isNull().alias("ends")), ["r", "c"])
+
+
+def _storm_steps(increments: DataFrame) -> DataFrame:
+    """One row: the storm's steps (time_min, hours, mm40, ...) as an array ``s``, a few bytes for each step.
+
+    A step lasts from the one before it, the first from the storm's start.
+    """
+    mm = [F.sum(F.when(F.col("cn") == k, F.greatest(F.lit(0.0), F.col("mm"))).otherwise(0.0)).alias(f"mm{k}") for k in CNS]
+    hours = (F.col("time_min") - F.lag("time_min", 1, 0).over(Window.orderBy("time_min"))) / 60.0
+    by_step = increments.groupBy("time_min").agg(*mm).withColumn("hours", hours)
+    return by_step.agg(F.sort_array(F.collect_list(F.struct("time_min", "hours", *[f"mm{k}" for k in CNS]))).alias("s"))
+
+
+def _routed(x) -> Column:
+    """The flow that a step's runoff (mm40, ...) makes at a cell with such counts: linear in runoff, so no step is routed by itself."""
+    return sum((F.coalesce(f"cn{k}", F.lit(0.0)) * x[f"mm{k}"] for k in CNS), F.lit(0.0)) / 1000.0 * AREA
+
+
+def _frames(spark, sf) -> DataFrame:
+    """(r, c, ends, peak_m3, total_m3): the greatest and the summed routed flow of each cell over all steps.
+
+    Steps stay an array that is folded in one projection: there never is a row for a cell and a step.
+    """
+    steps = _storm_steps(_increments(spark, sf))
+    wet = F.filter("s", lambda x: sum((x[f"mm{k}"] for k in CNS), F.lit(0.0)) > 0)
+    sum_of = lambda k: F.aggregate("s", F.lit(0.0), lambda a, x: a + x[k])
+    all_mm = F.struct(*[sum_of(f"mm{k}").alias(f"mm{k}") for k in CNS])
+    row = steps.select(F.array_distinct(F.transform(wet, lambda x: F.struct(*[x[f"mm{k}"].alias(f"mm{k}") for k in CNS]))).alias("w"), all_mm.alias("all"))
+    at = _class_counts(spark, sf).crossJoin(F.broadcast(row))
+    return at.select("r", "c", "ends", F.coalesce(F.array_max(F.transform("w", _routed)), F.lit(0.0)).alias("peak_m3"), F.coalesce(_routed(F.col("all")), F.lit(0.0)).alias("total_m3"))
+
+
+#: Routed flow of every cell in every step.
+_FRAMES = f"WITH RECURSIVE {_INC}," + WALK[len("WITH RECURSIVE ") + len(GRID) + 1 :] + """,
+ca AS (SELECT r, c, cn, count(*) AS k FROM walk GROUP BY r, c, cn), ms AS (SELECT time_min, cn, mm FROM i WHERE mm > 0),
+fr AS (SELECT r, c, time_min, sum(ca.k * mm) / 1e3 * 25 AS v FROM ca JOIN ms ON ms.cn = ca.cn GROUP BY ALL)"""
+
+
+@query(_FRAMES + " SELECT g.r, g.c, round(coalesce(max(v), 0e0), 4) AS peak_m3, round(coalesce(sum(v), 0e0), 4) AS total_m3 FROM g LEFT JOIN fr ON fr.r = g.r AND fr.c = g.c GROUP BY g.r, g.c")
 def q31_cell_peak(spark, sf):
-    """Peak and total per curve number first, then per cell: the steps never multiply the cells."""
-    by_cn = _increments(spark, sf).groupBy("cn").agg((F.max("mm") / 1000.0 * AREA).alias("peak_m3"), (F.sum("mm") / 1000.0 * AREA).alias("total_m3"))
-    return rounded(T.grid(spark, sf).join(F.broadcast(by_cn), "cn").select("r", "c", "peak_m3", "total_m3"), "peak_m3", "total_m3")
+    """Peak and sum over the frames of a storm: a frame has the flow routed through each cell in one step."""
+    return rounded(_frames(spark, sf).select("r", "c", "peak_m3", "total_m3"), "peak_m3", "total_m3", digits=4)
+
+
+def _outflow(spark, sf) -> DataFrame:
+    """(time_min, hours, most_m3, runoff_m3): without stores, the greatest flow of each step and the ground's runoff.
+
+    Flow only grows downstream, so the greatest is where a path ends: cells of the rim, and pits.
+    """
+    counts = _class_counts(spark, sf).where("ends")
+    steps = _storm_steps(_increments(spark, sf))
+    each = counts.crossJoin(F.broadcast(steps)).select(F.explode(F.transform("s", lambda x: F.struct(x["time_min"].alias("time_min"), x["hours"].alias("hours"), _routed(x).alias("v")))).alias("x"))
+    # every cell drains to one end, so the ends' flows add up to the runoff
+    return each.groupBy("x.time_min", "x.hours").agg(F.max("x.v").alias("most_m3"), F.sum("x.v").alias("runoff_m3"))
+
+
+_OUTFLOW = _FRAMES + """, sj AS (SELECT time_min, sum(greatest(0e0, mm) * k) / 1e3 * 25 AS runoff_m3, (time_min - lag(time_min, 1, 0) OVER (ORDER BY time_min)) / 6e1 AS hours FROM i GROUP BY time_min),
+hg AS (SELECT sj.time_min, runoff_m3, hours, coalesce(m, 0e0) AS m FROM sj LEFT JOIN (SELECT time_min, max(v) AS m FROM fr GROUP BY 1) f ON f.time_min = sj.time_min)"""
+
+
+@query(_OUTFLOW + " SELECT time_min::INT AS time_min, round(runoff_m3, 4) AS runoff_m3, round(m * 1e3 / greatest(1e0, hours * 36e2), 4) AS outflow_ls, round(runoff_m3 * 1e3 / greatest(1e0, hours * 36e2), 4) AS baseline_ls FROM hg")
+def q68_outflow_without_stores(spark, sf):
+    """The hydrograph of a site without earthworks, and the baseline on which all runoff leaves in its step."""
+    seconds = F.greatest(F.lit(1.0), F.col("hours") * 3600)
+    out = _outflow(spark, sf).select("time_min", "runoff_m3", (F.col("most_m3") * 1000 / seconds).alias("outflow_ls"), (F.col("runoff_m3") * 1000 / seconds).alias("baseline_ls"))
+    return rounded(out, "runoff_m3", "outflow_ls", "baseline_ls", digits=4)
+
+
+@query(_OUTFLOW + """, o AS (SELECT *, m * 1e3 / greatest(1e0, hours * 36e2) AS ls FROM hg)
+SELECT round(sum(m), 4) AS outflow_m3, round(sum(runoff_m3), 4) AS runoff_m3, round(max(ls), 4) AS peak_ls, CASE WHEN max(ls) > 0 THEN arg_min(time_min, (-round(ls, 6), time_min)) / 6e1 ELSE 0e0 END AS peak_hr, count(*)::BIGINT AS steps FROM o""")
+def q69_baseline_storm(spark, sf):
+    """What a baseline without stores needs to be compared: volume that leaves, peak and its time."""
+    o = _outflow(spark, sf).withColumn("ls", F.col("most_m3") * 1000 / F.greatest(F.lit(1.0), F.col("hours") * 3600))
+    best = F.max(F.struct(F.round("ls", 6).alias("v"), (-F.col("time_min")).alias("t")))
+    out = o.agg(F.sum("most_m3").alias("outflow_m3"), F.sum("runoff_m3").alias("runoff_m3"), F.max("ls").alias("peak_ls"), best.alias("b"), F.count("*").alias("steps"))
+    out = out.withColumn("peak_hr", F.when(F.col("peak_ls") > 0, -F.col("b.t") / 60.0).otherwise(0.0)).drop("b")
+    return rounded(out, "outflow_m3", "runoff_m3", "peak_ls", digits=4)
 
 
 @query("WITH a AS (SELECT s_nationkey AS site, sum(s_acctbal) + 2e4 AS b, sum(s_acctbal * 5e-1) + 5e3 AS p FROM supplier GROUP BY 1) SELECT site, round(b, 4) AS before, round(p, 4) AS after, round(CASE WHEN b <= 0 THEN 0e0 ELSE greatest(0e0, 1e2 * (b - p) / b) END, 6) AS reduction_pct FROM a")

@@ -10,7 +10,7 @@ from rillwork.functions import geometry as G
 from rillwork.functions import hydro as H
 from rillwork.functions import labels as L
 from rillwork.operators import cascade, contours, terrain, vector
-from rillwork.plans.catalog import _FOLD, _INC, _LINES, _NONE, _WORKS, _X, _Y, AREA, GRID, WALK, _cells, _counted, _increments, _q, query, rounded
+from rillwork.plans.catalog import _FOLD, _FRAMES, _INC, _LINES, _NONE, _WORKS, _X, _Y, AREA, GRID, WALK, _cells, _class_counts, _counted, _frames, _increments, _q, _routed, _storm_steps, query, rounded
 from rillwork.sources import tables as T
 
 _E = "1e-9"
@@ -148,9 +148,6 @@ def q55_burn_plan(spark, sf):
     return rounded(vector.burn_plan(vector.with_centres(T.grid(spark, sf), n, T.CELL), plan, n, T.CELL).select("r", "c", "z"), "z")
 
 
-CNS = (40, 50, 60, 70, 80)
-
-
 def _placed_stores(spark, sf) -> DataFrame:
     """Stores at places of the grid, one group a nation: their elevation is the ground's, and their cell is looked up."""
     n, k = T.side(spark, sf), F.col("s_suppkey")
@@ -166,17 +163,12 @@ def _site_storm(spark, sf) -> tuple[DataFrame, DataFrame]:
     Flow is linear in runoff, and all cells of one curve number give the same runoff, so each curve number's cells
     are accumulated once; a step then is a sum of five products at each store, and no step touches the grid.
     """
-    n = T.side(spark, sf)
     inc = T.written(_increments(spark, sf))
-    flow = terrain.d8(T.grid(spark, sf), T.CELL)
-    counts = _cells(terrain.accumulate(flow, n, {f"cn{k}": (F.col("cn") == k).cast("double") for k in CNS}), n)
-    stores = _placed_stores(spark, sf).join(counts, ["r", "c"], "left")
-    by_step = inc.groupBy("time_min").agg(*[F.sum(F.when(F.col("cn") == k, F.col("mm")).otherwise(0.0)).alias(f"mm{k}") for k in CNS])
-    steps = by_step.agg(F.sort_array(F.collect_list(F.struct("time_min", *[f"mm{k}" for k in CNS]))).alias("s"))  # one row: a storm's steps
-    volume = F.transform("s", lambda x: sum((F.coalesce(f"cn{k}", F.lit(0.0)) * x[f"mm{k}"] for k in CNS), F.lit(0.0)) / 1000.0 * AREA)
-    fed = stores.crossJoin(F.broadcast(steps)).withColumn("inflow_m3", volume).drop("s")
+    stores = _placed_stores(spark, sf).join(_class_counts(spark, sf).drop("ends"), ["r", "c"], "left")
+    fed = stores.crossJoin(F.broadcast(_storm_steps(inc))).withColumn("inflow_m3", F.transform("s", _routed)).drop("s")
     size = T.grid(spark, sf).groupBy("cn").agg(F.count("*").alias("k"))
-    runoff = inc.join(F.broadcast(size), "cn").groupBy("time_min").agg((F.sum(F.col("mm") * F.col("k")) / 1000.0 * AREA).alias("runoff_m3")).withColumn("hours", F.lit(1.0))
+    runoff = inc.join(F.broadcast(size), "cn").groupBy("time_min").agg((F.sum(F.col("mm") * F.col("k")) / 1000.0 * AREA).alias("runoff_m3"))
+    runoff = runoff.withColumn("hours", (F.col("time_min") - F.lag("time_min", 1, 0).over(Window.orderBy("time_min"))) / 60.0)
     feed = runoff.select("time_min", "hours", F.lit(0.0).alias("mm"))
     return cascade.simulate(fed, feed, F.col("inflow_m3")), runoff
 
@@ -319,9 +311,9 @@ def q66_ridge_lines(spark, sf):
     return rounded(vector.thinned_ridges(crest, zones, n, T.CELL, 15.0), "length_m", "mean_z")
 
 
-@query(f"WITH {_INC}, p AS (SELECT cn, max(greatest(0e0, mm)) / 1e3 * 25 AS inc, sum(greatest(0e0, mm)) / 1e3 * 25 AS cum FROM i GROUP BY cn) SELECT m AS mode, round(greatest(1e0, CASE WHEN m = 'incremental' THEN max(inc) ELSE max(cum) END), 6) AS top FROM p, (VALUES ('incremental'), ('cumulative')) AS t(m) GROUP BY m")
+@query(_FRAMES + """, ce AS (SELECT r, c, sum(v) AS v FROM fr GROUP BY r, c) SELECT 'incremental' AS mode, round(greatest(1e0, coalesce(max(v), 0e0)), 4) AS top FROM fr UNION ALL SELECT 'cumulative', round(greatest(1e0, coalesce(max(v), 0e0)), 4) FROM ce""")
 def q67_frame_scales(spark, sf):
-    """The top of the colour scale of each kind of frame, 1 at least: the same over all frames."""
-    by_cn = _increments(spark, sf).groupBy("cn").agg((F.max("mm") / 1000.0 * AREA).alias("incremental"), (F.sum("mm") / 1000.0 * AREA).alias("cumulative"))
-    out = by_cn.unpivot(["cn"], ["incremental", "cumulative"], "mode", "v").groupBy("mode").agg(F.greatest(F.lit(1.0), F.max("v")).alias("top"))
-    return rounded(out, "top")
+    """The top of the colour scale of each kind of frame, 1 at least: the same over all frames. It is where a path ends."""
+    top = _frames(spark, sf).where("ends").agg(F.max("peak_m3").alias("incremental"), F.max("total_m3").alias("cumulative"))
+    out = top.unpivot([], ["incremental", "cumulative"], "mode", "v").select("mode", F.greatest(F.lit(1.0), "v").alias("top"))
+    return rounded(out, "top", digits=4)
