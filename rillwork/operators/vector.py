@@ -174,8 +174,10 @@ def pond_sites(keys: DataFrame, cells: DataFrame, acc: DataFrame, radius: int, n
     k = F.broadcast(keys)  # as many rows as keypoints were asked for
     at_key = k.join(acc.withColumnsRenamed({"r": "kr", "c": "kc", "acc": "k_acc"}), ["kr", "kc"]).join(cells.select(F.col("r").alias("kr"), F.col("c").alias("kc"), F.col("z").alias("k_z")), ["kr", "kc"])
     at_key = written(at_key)
-    close = (F.abs(F.col("r") - F.col("kr")) <= radius) & (F.abs(F.col("c") - F.col("kc")) <= radius) & F.col("r").between(1, n - 2) & F.col("c").between(1, n - 2)
-    around = cells.join(F.broadcast(at_key), close).join(acc, ["r", "c"]).where("acc > k_acc and acc <= 4 * k_acc")
+    # each keypoint's window is spelled out, so cells meet it by equality
+    window = at_key.withColumn("r", F.explode(F.sequence(F.greatest(F.lit(1), F.col("kr") - radius), F.least(F.lit(n - 2), F.col("kr") + radius))))
+    window = window.withColumn("c", F.explode(F.sequence(F.greatest(F.lit(1), F.col("kc") - radius), F.least(F.lit(n - 2), F.col("kc") + radius))))
+    around = cells.join(window, ["r", "c"]).join(acc, ["r", "c"]).where("acc > k_acc and acc <= 4 * k_acc")
     if cut_left:
         around = around.where("c >= 200")
     # the row is looked at in stretches of 200 columns, so no site meets a whole row
@@ -263,34 +265,69 @@ def walked_segments(found: DataFrame, profiles: DataFrame, drop: float) -> DataF
     return out.where("seg_end - seg_start >= 1").select("id", "i", "d", "acc", "seg_start", "seg_end", (F.col("seg_end") - F.col("seg_start")).alias("length_m"))
 
 
+def _edges(polygons: DataFrame) -> DataFrame:
+    """(id, seq, x0, y0, x1, y1): the sides of all rings of polygons (id, seq, parts)."""
+    return polygons.select("id", "seq", F.explode("parts").alias("ring")).select("id", "seq", F.explode(G.segments(G.closed("ring"))).alias("s")).select("id", "seq", "s.x0", "s.y0", "s.x1", "s.y1")
+
+
+def _spans(polygons: DataFrame, n: int, cell: float) -> DataFrame:
+    """(id, seq, r, a, b): stretches of each row's centre line inside a polygon, from a up to b, by the even-odd rule.
+
+    A side is dealt to the rows whose centre line it crosses; sorted, the crossings of a row pair up.
+    """
+    low, high = F.least("y0", "y1"), F.greatest("y0", "y1")
+    top, bottom = F.greatest(F.lit(0), F.floor(n - high / cell - 0.5).cast("int") - 1), F.least(F.lit(n - 1), F.ceil(n - low / cell - 0.5).cast("int") + 1)
+    e = _edges(polygons).where((F.col("y0") != F.col("y1")) & (top <= bottom)).withColumn("r", F.explode(F.sequence(top, bottom)))
+    y = (F.lit(n) - F.col("r") - 0.5) * cell
+    e = e.where((y > F.col("y0")) != (y > F.col("y1"))).select("id", "seq", "r", (F.col("x0") + (F.col("x1") - F.col("x0")) * (y - F.col("y0")) / (F.col("y1") - F.col("y0"))).alias("x"))
+    rows = e.groupBy("id", "seq", "r").agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size("xs") / 2).cast("int") - 1), lambda k: F.struct(F.get("xs", 2 * k).alias("a"), F.get("xs", 2 * k + 1).alias("b")))
+    return rows.where("size(xs) > 1").select("id", "seq", "r", F.explode(pairs).alias("p")).select("id", "seq", "r", "p.a", "p.b")
+
+
+def _columns(low: Column, high: Column, n: int, cell: float) -> Column:
+    """The columns between two places, one more on each side, within the grid."""
+    first, last = F.greatest(F.lit(0), F.floor(low / cell).cast("int") - 1), F.least(F.lit(n - 1), F.floor(high / cell).cast("int") + 1)
+    return F.explode(F.when(first <= last, F.sequence(first, last)))
+
+
+def _on_sides(polygons: DataFrame, n: int, cell: float) -> DataFrame:
+    """(r, c, id, seq) of the cells whose square a side of a polygon touches: a side is dealt to its rows, and in a row
+    to the columns that it passes over there."""
+    low, high = F.least("y0", "y1"), F.greatest("y0", "y1")
+    top, bottom = F.greatest(F.lit(0), F.floor(n - high / cell).cast("int") - 1), F.least(F.lit(n - 1), F.floor(n - low / cell).cast("int") + 1)
+    e = _edges(polygons).where(top <= bottom).withColumn("r", F.explode(F.sequence(top, bottom)))
+    # the part of the side within the row's band of y
+    y0, y1 = (F.lit(n) - F.col("r") - 1) * cell, (F.lit(n) - F.col("r")) * cell
+    at = lambda y: F.col("x0") + (F.col("x1") - F.col("x0")) * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(y - F.col("y0"), F.col("y1") - F.col("y0"))))
+    level = F.col("y0") == F.col("y1")
+    a, b = F.when(level, F.col("x0")).otherwise(at(y0)), F.when(level, F.col("x1")).otherwise(at(y1))
+    e = e.withColumn("c", _columns(F.least(a, b), F.greatest(a, b), n, cell))
+    x, y, half = (F.col("c") + 0.5) * cell, (F.lit(n) - F.col("r") - 0.5) * cell, cell / 2
+    hit = G.touches(G.line((F.col("x0"), F.col("y0")), (F.col("x1"), F.col("y1"))), x - half, y - half, x + half, y + half)
+    return e.where(hit).select("r", "c", "id", "seq").distinct()
+
+
 def in_polygons(cells: DataFrame, polygons: DataFrame, n: int, cell: float, all_touched: bool = False) -> DataFrame:
     """(r, c, id, seq) of each cell in each polygon (id, seq, parts), by its centre, or by any touch of its square.
 
-    A polygon is dealt to the rows that its extent spans, a row at a time, so cells meet only the polygons beside
-    them. Parts are rings; a hole is a ring too.
+    Parts are rings; a hole is a ring too. Polygons are drawn row by row, so the work follows the cells that they
+    cover and the length of their sides, not cells times polygons. Polygons without parts, and what lies off the
+    n x n grid, have no cell.
     """
-    every = F.flatten("parts")
-    y = F.transform(every, lambda p: p["y"])
-    top, bottom = F.floor((cell * n - F.array_max(y)) / cell) - 1, F.floor((cell * n - F.array_min(y)) / cell) + 1
-    rows = polygons.where("size(parts) > 0").withColumn("r", F.explode(F.sequence(top, bottom))).withColumn("r", F.col("r").cast("int"))
-    rows = rows.withColumns({"x0": F.array_min(F.transform(every, lambda p: p["x"])), "x1": F.array_max(F.transform(every, lambda p: p["x"]))})
-    both = cells.select("r", "c", ((F.col("c") + 0.5) * cell).alias("x"), ((F.lit(n) - F.col("r") - 0.5) * cell).alias("y")).join(rows, "r").where((F.col("x") >= F.col("x0") - cell) & (F.col("x") <= F.col("x1") + cell))
-    odd = F.aggregate("parts", F.lit(0), lambda a, p: a + G.inside(p, F.col("x"), F.col("y")).cast("int")) % 2 == 1
+    polygons = polygons.where("size(parts) > 0")
+    span = _spans(polygons, n, cell).withColumn("c", _columns(F.col("a"), F.col("b"), n, cell))
+    x = (F.col("c") + 0.5) * cell
+    drawn = span.where((x >= F.col("a")) & (x < F.col("b"))).select("r", "c", "id", "seq")
     if all_touched:
-        odd = odd | _edge_touch(F.col("parts"), cell)
-    return both.where(odd).select("r", "c", "id", "seq")
-
-
-def _edge_touch(parts: Column, cell: float) -> Column:
-    half = cell / 2
-    return F.exists(parts, lambda p: G.touches(G.closed(p), F.col("x") - half, F.col("y") - half, F.col("x") + half, F.col("y") + half))
+        drawn = drawn.union(_on_sides(polygons, n, cell)).distinct()
+    return cells.select("r", "c").join(drawn, ["r", "c"])
 
 
 def on_edges(cells: DataFrame, polygons: DataFrame, n: int, cell: float) -> DataFrame:
     """(r, c, id) of the cells whose square the rings of a polygon touch."""
-    touched = in_polygons(cells, polygons, n, cell, all_touched=True)
-    both = touched.join(polygons.select("id", "parts"), "id").withColumns({"x": (F.col("c") + 0.5) * cell, "y": (F.lit(n) - F.col("r") - 0.5) * cell})
-    return both.where(_edge_touch(F.col("parts"), cell)).select("r", "c", "id")
+    drawn = _on_sides(polygons.where("size(parts) > 0"), n, cell).select("r", "c", "id").distinct()
+    return cells.select("r", "c").join(drawn, ["r", "c"])
 
 
 def zone_cn(cells: DataFrame, zones: DataFrame, default: float, n: int, cell: float) -> DataFrame:
@@ -422,16 +459,35 @@ def ponding_frame(ponds: DataFrame, works: DataFrame, n: int, cell: float) -> Da
     return last.select("r", "c", "s.name", F.when(F.col("s.d") > 1e-3, F.col("s.d")).alias("depth"))
 
 
-def nearest(points: DataFrame, lines: DataFrame, reach: float, most: float | None = None) -> DataFrame:
+def _to_segment(x: Column, y: Column, s: Column) -> Column:
+    dx, dy = s["x1"] - s["x0"], s["y1"] - s["y0"]
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide((x - s["x0"]) * dx + (y - s["y0"]) * dy, dx * dx + dy * dy), F.lit(0.0))))
+    a, b = x - s["x0"] - t * dx, y - s["y0"] - t * dy
+    return F.sqrt(a * a + b * b)
+
+
+def nearest(points: DataFrame, lines: DataFrame, reach: float, most: float | None = None, few: int = 500) -> DataFrame:
     """(pid, id, distance) of the line nearest to each point (pid, x, y) among lines (id, pts), the least id of equals.
 
-    Lines are dealt to blocks as wide as the reach, and points meet the lines of their block only. Points that have
-    none within reach look again with twice the reach, up to ``most``; beyond it they have no line and no distance.
+    Up to ``few`` segments go to every task. More lines are dealt to blocks as wide as the reach, and points meet the
+    lines of their block only; points that have none within reach look again with twice the reach, up to ``most``.
+    Beyond ``most``, without lines, or with a coordinate that is null or not finite, a point has no line and no
+    distance; segments with such a coordinate count for nothing.
     """
-    seg = written(lines.select("id", F.explode(G.segments("pts")).alias("s")).select("id", "s.*"))
-    left, found = written(points.select("pid", "x", "y")), []
-    empty = seg.isEmpty()
-    while not empty and not left.isEmpty():
+    finite = lambda *names: reduce(lambda p, q: p & q, [F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")) for c in names])
+    seg = written(lines.select("id", F.explode(G.segments("pts")).alias("s")).select("id", "s.*").where(finite("x0", "y0", "x1", "y1")))
+    kind = lines.schema["id"].dataType
+    if seg.count() <= few:
+        row = seg.agg(F.collect_list(F.struct("id", "x0", "y0", "x1", "y1")).alias("s"))  # ``few`` entries at most
+        best = F.array_min(F.transform("s", lambda s: F.struct(F.round(_to_segment(F.col("x"), F.col("y"), s), 6).alias("d"), s["id"].alias("id"))))
+        m = F.when(finite("x", "y"), best)
+        near_by = points.crossJoin(F.broadcast(row)).select("pid", m.alias("m"))
+        within = F.lit(True) if most is None else F.col("m.d") <= most
+        return near_by.select("pid", F.when(within, F.col("m.id")).alias("id"), F.when(within, F.col("m.d")).alias("distance"))
+    good = written(points.select("pid", "x", "y", F.coalesce(finite("x", "y"), F.lit(False)).alias("ok")))
+    rest = good.where("not ok").select("pid")
+    left, found = good.where("ok").select("pid", "x", "y"), []
+    while not left.isEmpty():
         span = lambda a, b, d=reach: F.explode(F.sequence(F.floor((F.least(a, b) - d) / d), F.floor((F.greatest(a, b) + d) / d)))
         dealt = seg.withColumn("bx", span("x0", "x1")).withColumn("by", span("y0", "y1"))
         at = left.withColumns({"bx": F.floor(F.col("x") / reach), "by": F.floor(F.col("y") / reach)})
@@ -443,9 +499,8 @@ def nearest(points: DataFrame, lines: DataFrame, reach: float, most: float | Non
         if most is not None and reach >= most:
             break
         reach = reach * 2 if most is None else min(reach * 2, most)
-    out = reduce(DataFrame.unionAll, found) if found else None
-    rest = left.select("pid").join(lines.select("id").limit(0), F.lit(True), "left").withColumn("distance", F.lit(None).cast("double"))
-    return rest if out is None else out.unionByName(rest)
+    none = rest.union(left.select("pid")).select("pid", F.lit(None).cast(kind).alias("id"), F.lit(None).cast("double").alias("distance"))
+    return reduce(DataFrame.unionByName, [*found, none])
 
 
 def thinned_ridges(crest: DataFrame, zones: DataFrame, n: int, cell: float, least_m: float = 100.0, most: int = 30) -> DataFrame:

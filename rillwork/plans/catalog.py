@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from rillwork.functions import geometry as G
 from rillwork.functions import hydro as H
-from rillwork.operators import cascade, terrain, vector
+from rillwork.operators import cascade, quantile, terrain, vector
 from rillwork.sources import tables as T
 
 AREA = T.CELL * T.CELL
@@ -544,8 +544,8 @@ def _scored(spark, sf) -> DataFrame:
     n = T.side(spark, sf)
     slope = terrain.box_mean(terrain.slope_deg(T.grid(spark, sf), T.CELL), n, 1, "slope", "smooth").select("r", "c", "smooth")
     valley = T.written(_counted(spark, sf).where("acc >= 10"))
-    high = valley.agg(F.percentile("acc", F.lit(0.75)).alias("p75"), F.min("acc").alias("least"))
-    band = valley.join(F.broadcast(high), (F.col("acc") <= F.col("p75")) | (F.col("least") > F.col("p75")))
+    p75 = quantile.quantile(valley, "acc", 0.75)
+    band = valley if p75 is None or valley.where(F.col("acc") <= p75).isEmpty() else valley.where(F.col("acc") <= p75)
     return T.written(band.join(slope, ["r", "c"]).select("r", "c", "acc", (F.col("acc") / (F.col("smooth") + 1)).alias("score")))
 
 

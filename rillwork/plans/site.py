@@ -9,7 +9,8 @@ from pyspark.sql.window import Window
 from rillwork.functions import geometry as G
 from rillwork.functions import hydro as H
 from rillwork.functions import labels as L
-from rillwork.operators import cascade, contours, terrain, vector
+from rillwork.functions import projection as P
+from rillwork.operators import cascade, contours, rings, terrain, vector
 from rillwork.plans.catalog import _FOLD, _FRAMES, _INC, _LINES, _NONE, _WORKS, _X, _Y, AREA, GRID, WALK, _cells, _class_counts, _counted, _frames, _increments, _q, _routed, _storm_steps, query, rounded
 from rillwork.sources import tables as T
 
@@ -317,3 +318,55 @@ def q67_frame_scales(spark, sf):
     top = _frames(spark, sf).where("ends").agg(F.max("peak_m3").alias("incremental"), F.max("total_m3").alias("cumulative"))
     out = top.unpivot([], ["incremental", "cumulative"], "mode", "v").select("mode", F.greatest(F.lit(1.0), "v").alias("top"))
     return rounded(out, "top", digits=4)
+
+
+def _outlined(cells: str, zone: str) -> str:
+    """SQL: area and perimeter of each zone of a table of cells, from its cells and the sides that no two of them share."""
+    sides = " UNION ALL ".join(f"SELECT {zone} AS zone, {x0} AS x0, {y0} AS y0, {up} AS up FROM {cells}" for x0, y0, up in (("c", "r", "0"), ("c", "r + 1", "0"), ("c", "r", "1"), ("c + 1", "r", "1")))
+    return f"""sd AS (SELECT zone, count(*) AS k FROM (SELECT zone, x0, y0, up FROM ({sides}) GROUP BY ALL HAVING count(*) = 1) GROUP BY zone),
+oz AS (SELECT {zone} AS zone, count(*) AS k FROM {cells} GROUP BY 1), ol AS (SELECT oz.zone, oz.k * 25e0 AS area_m2, sd.k * 5e0 AS perimeter_m FROM oz JOIN sd ON sd.zone = oz.zone)"""
+
+
+@query(WALK + """, s0 AS (SELECT r, c, 0 AS zone, r::BIGINT * (SELECT n FROM n) + c AS id FROM walk GROUP BY r, c HAVING count(*) > 10),
+lb(r, c, root) USING KEY (r, c) AS (SELECT r, c, id FROM s0 UNION SELECT w.r, w.c, min(o.root) FROM lb JOIN s0 w ON abs(w.r - lb.r) + abs(w.c - lb.c) <= 1
+    JOIN recurring.lb o ON abs(o.r - w.r) + abs(o.c - w.c) <= 1 JOIN recurring.lb own ON own.r = w.r AND own.c = w.c GROUP BY w.r, w.c, own.root HAVING min(o.root) < own.root),
+k AS (SELECT (SELECT count(DISTINCT root) FROM lb) AS parts, (SELECT count(*) FROM s0) AS cells, (SELECT count(*) FROM s0 a JOIN s0 b ON b.r - a.r + b.c - a.c = 1 AND abs(b.r - a.r) + abs(b.c - a.c) = 1) AS pairs,
+  (SELECT count(*) FROM s0 a JOIN s0 b ON b.r = a.r AND b.c = a.c + 1 JOIN s0 d ON d.r = a.r + 1 AND d.c = a.c JOIN s0 e ON e.r = a.r + 1 AND e.c = a.c + 1) AS quads), """ + _outlined("s0", "zone") + """
+SELECT parts::BIGINT AS polygons, (parts - (cells - pairs + quads))::BIGINT AS holes, area_m2, perimeter_m FROM k, ol""")
+def q70_stream_polygons(spark, sf):
+    """The stream mask as polygons with holes: how many, and their area and outline, measured on the rings."""
+    mask = _counted(spark, sf).where("acc > 10").select("r", "c", F.lit(0).alias("zone"))
+    found = rings.polygons(mask, T.side(spark, sf), T.CELL)
+    return found.agg(F.count("*").alias("polygons"), F.sum("holes").alias("holes"), F.sum("area_m2").alias("area_m2"), F.sum("perimeter_m").alias("perimeter_m"))
+
+
+@query(WALK + """, o AS (SELECT (i * n // 6)::INT AS r, (n // 2)::INT AS c FROM n, (SELECT unnest([1, 2, 3, 4, 5]) AS i)),
+own AS (SELECT r AS sr, c AS sc, r, c FROM d8 UNION ALL SELECT w.sr, w.sc, d.to_r, d.to_c FROM own w JOIN d8 d ON d.r = w.r AND d.c = w.c WHERE d.to_r IS NOT NULL AND NOT EXISTS (SELECT 1 FROM o WHERE o.r = w.r AND o.c = w.c)),
+ct AS (SELECT own.sr AS r, own.sc AS c, own.r::BIGINT * (SELECT n FROM n) + own.c AS outlet FROM own JOIN o ON o.r = own.r AND o.c = own.c), """ + _outlined("ct", "outlet") + " SELECT zone AS outlet, area_m2, perimeter_m FROM ol")
+def q71_catchment_polygons(spark, sf):
+    """Catchments as polygons: area and outline of each, measured on the rings."""
+    n = T.side(spark, sf)
+    flow = T.written(terrain.d8(T.grid(spark, sf), T.CELL).select("r", "c", "to_r", "to_c"))
+    outlets = spark.range(1, 6).select((F.floor(F.col("id") * n / 6).cast("long") * n + n // 2).alias("id"))
+    cells = _cells(terrain.first_outlet(flow, n, outlets).withColumnRenamed("outlet", "zone"), n)
+    return rings.polygons(cells, n, T.CELL).groupBy(F.col("zone").alias("outlet")).agg(F.sum("area_m2").alias("area_m2"), F.sum("perimeter_m").alias("perimeter_m"))
+
+
+#: The projection of a point close to the middle of its zone by a series of another kind, in the angle from the middle.
+_UTM = """WITH p AS (SELECT c_custkey, 9 + (c_custkey % 401 - 200) / 1e3 AS lon, (c_custkey * 7 % 1600 - 800) / 1e1 AS lat FROM customer),
+k AS (SELECT *, 1 / 298.257223563::DOUBLE AS f, radians(lat) AS b, radians(lon - 9) AS l FROM p), e AS (SELECT *, f * (2 - f) AS e2 FROM k),
+v AS (SELECT *, e2 / (1 - e2) AS ep, 6378137e0 / sqrt(1 - e2 * sin(b) * sin(b)) AS nu, tan(b) * tan(b) AS t, l * cos(b) AS a FROM e), w AS (SELECT *, ep * cos(b) * cos(b) AS q,
+  6378137e0 * ((1 - e2 / 4 - 3 * e2 * e2 / 64 - 5 * e2 * e2 * e2 / 256 - 175 * power(e2, 4) / 16384) * b - (3 * e2 / 8 + 3 * e2 * e2 / 32 + 45 * e2 * e2 * e2 / 1024 + 105 * power(e2, 4) / 4096) * sin(2 * b)
+   + (15 * e2 * e2 / 256 + 45 * e2 * e2 * e2 / 1024 + 525 * power(e2, 4) / 16384) * sin(4 * b) - (35 * e2 * e2 * e2 / 3072 + 175 * power(e2, 4) / 12288) * sin(6 * b)) AS m FROM v)
+SELECT c_custkey, round(5e5 + 9996e-4 * nu * (a + (1 - t + q) * power(a, 3) / 6 + (5 - 18 * t + t * t + 72 * q - 58 * ep) * power(a, 5) / 120), 2) AS x,
+  round(9996e-4 * (m + nu * tan(b) * (a * a / 2 + (5 - t + 9 * q + 4 * q * q) * power(a, 4) / 24 + (61 - 58 * t + t * t + 600 * q - 330 * ep) * power(a, 6) / 720)), 2) AS y,
+  round(lon, 7) AS lon, round(lat, 7) AS lat FROM w"""
+
+
+@query(_UTM)
+def q72_reprojection(spark, sf):
+    """Points in degrees taken to a UTM zone, and from there back."""
+    k = F.col("c_custkey")
+    at = P.transform(9 + (k % 401 - 200) / 1000.0, (k * 7 % 1600 - 800) / 10.0, 4326, 32632)
+    out = T.table(spark, sf, "customer").select(k, at.alias("p")).withColumn("q", P.transform(F.col("p.x"), F.col("p.y"), 32632, 4326))
+    return rounded(rounded(out.select(k, F.col("p.x").alias("x"), F.col("p.y").alias("y"), F.col("q.x").alias("lon"), F.col("q.y").alias("lat")), "x", "y", digits=2), "lon", "lat", digits=7)

@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillwork.functions import geometry as G
+from rillwork.functions import projection as P
 
 
-def read_features(spark: SparkSession, path: str) -> DataFrame:
+def read_features(spark: SparkSession, path: str, epsg: int = 4326, to_epsg: int | None = None) -> DataFrame:
     """(path, seq, parts, props) of the features in GeoJSON files; those without a geometry are left out.
 
-    A file may be one feature collection, or have a feature on each line. props maps names to texts.
+    A file may be one feature collection, or have a feature on each line. props maps names to texts. With ``to_epsg``
+    coordinates are taken from the system ``epsg`` to that one.
     """
     text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     whole = F.from_json(F.get_json_object("value", "$.features"), "array<string>")
@@ -19,7 +21,8 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
     each = text.select("path", F.posexplode(F.coalesce(whole, lines)).alias("seq", "feature"))
     props = F.from_json(F.get_json_object("feature", "$.properties"), "map<string, string>")
     out = each.select("path", "seq", G.from_geojson("feature").alias("parts"), props.alias("props"))
-    return out.where("parts is not null and size(parts) > 0")
+    out = out.where("parts is not null and size(parts) > 0")
+    return out if to_epsg is None else out.withColumn("parts", P.to_crs(F.col("parts"), epsg, to_epsg))
 
 
 def read_contours(spark: SparkSession, path: str, field: str = "ELEV") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -77,28 +78,67 @@ def describe(data: bytes) -> dict:
     return {"width": f[256][0], "height": f[257][0], "cell_w": float(scale[0]), "cell_h": float(scale[1]), "x0": tie[3] - tie[0] * scale[0], "y0": tie[4] + tie[1] * scale[1], "nodata": float(text) if text else None, "epsg": codes.get(3072) or codes.get(2048)}
 
 
-def band(data: bytes) -> np.ndarray:
-    """The first band, as doubles. Strips or tiles, uncompressed, deflated or LZW, with or without a predictor for integers."""
+@dataclass(frozen=True)
+class Layout:
+    """Where the blocks, strips or tiles, of the first band lie in the file and in the raster."""
+
+    width: int
+    height: int
+    block_rows: int
+    block_cols: int
+    tiled: bool
+    samples: int
+    kind: str
+    how: int
+    predictor: int
+    places: tuple[int, ...]
+    sizes: tuple[int, ...]
+
+    @property
+    def across(self) -> int:
+        return -(-self.width // self.block_cols)
+
+    @property
+    def count(self) -> int:
+        return self.across * -(-self.height // self.block_rows)
+
+    def top(self, k: int) -> int:
+        return k // self.across * self.block_rows
+
+    def left(self, k: int) -> int:
+        return k % self.across * self.block_cols
+
+    def block(self, data: bytes, k: int) -> np.ndarray:
+        """The values of a block, cut to the raster."""
+        rows = self.block_rows if self.tiled else min(self.block_rows, self.height - self.top(k))
+        kind = np.dtype(self.kind)
+        raw = _unpacked(data[self.places[k] : self.places[k] + self.sizes[k]], self.how)
+        out = np.frombuffer(raw, kind, rows * self.block_cols * self.samples).reshape(rows, self.block_cols, self.samples)
+        if self.predictor == 2:
+            out = np.cumsum(out, axis=1, dtype=kind.newbyteorder("="))
+        elif self.predictor != 1:
+            raise ValueError(f"TIFF predictor {self.predictor} is not known")
+        return out[: self.height - self.top(k), : self.width - self.left(k), 0]
+
+
+def layout(data: bytes) -> Layout:
+    """Read from the file's directory alone. Strips or tiles, uncompressed, deflated or LZW, with or without a predictor for integers."""
     order, f = _fields(data)
-    width, height, per = f[256][0], f[257][0], f.get(277, (1,))[0]
-    kind = np.dtype(f"{order}{FORMATS[f.get(339, (1,))[0]]}{f[258][0] // 8}")
-    how, planar, predictor = f.get(259, (1,))[0], f.get(284, (1,))[0], f.get(317, (1,))[0]
+    width, height, planar = f[256][0], f[257][0], f.get(284, (1,))[0]
     tiled = 322 in f
-    w, h = (f[322][0], f[323][0]) if tiled else (width, f.get(278, (height,))[0])
+    w, h = (f[322][0], f[323][0]) if tiled else (width, min(height, f.get(278, (height,))[0]))
     places, sizes = (f[324], f[325]) if tiled else (f[273], f[279])
-    across = -(-width // w)
-    out = np.zeros((height, width))
-    samples = 1 if planar == 2 else per
-    for k in range(across * -(-height // h)):
-        top, left = k // across * h, k % across * w
-        rows = h if tiled else min(h, height - top)
-        block = np.frombuffer(_unpacked(data[places[k] : places[k] + sizes[k]], how), kind, rows * w * samples).reshape(rows, w, samples)
-        if predictor == 2:
-            block = np.cumsum(block, axis=1, dtype=kind.newbyteorder("="))
-        elif predictor != 1:
-            raise ValueError(f"TIFF predictor {predictor} is not known")
-        part = block[: height - top, : width - left, 0]
-        out[top : top + part.shape[0], left : left + part.shape[1]] = part
+    kind = f"{order}{FORMATS[f.get(339, (1,))[0]]}{f[258][0] // 8}"
+    return Layout(width, height, h, w, tiled, 1 if planar == 2 else f.get(277, (1,))[0], kind, f.get(259, (1,))[0], f.get(317, (1,))[0], places, sizes)
+
+
+def band(data: bytes) -> np.ndarray:
+    """The first band, as doubles."""
+    at = layout(data)
+    out = np.zeros((at.height, at.width))
+    for k in range(at.count):
+        part = at.block(data, k)
+        out[at.top(k) : at.top(k) + part.shape[0], at.left(k) : at.left(k) + part.shape[1]] = part
     return out
 
 
@@ -203,21 +243,6 @@ def as_geotiffs(cells: DataFrame, value: str, cell: float, x0: float, y0: float,
     return data.groupBy("tr", "tc").applyInPandas(run, "tr long, tc long, content binary")
 
 
-def save_geotiffs(tiles: DataFrame, folder: str, name: str) -> int:
-    """Writes the tiles as files <name>_<tr>_<tc>.tif through Spark's file systems, one at a time; how many there are."""
-    spark = tiles.sparkSession
-    jvm = spark._jvm
-    root = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    n = 0
-    for row in tiles.toLocalIterator():
-        out = fs.create(jvm.org.apache.hadoop.fs.Path(root, f"{name}_{row['tr']}_{row['tc']}.tif"), True)
-        out.write(bytearray(row["content"]))
-        out.close()
-        n += 1
-    return n
-
-
 def save_frames(frames: DataFrame, path: str) -> None:
     """Frames (step, r, c, ...) as a table with a folder for each step; what stood there before goes."""
     frames.write.mode("overwrite").partitionBy("step").parquet(path)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rillwork.operators import cascade, vector
 from rillwork.plans import report
-from rillwork.sources import features, rasters
+from rillwork.sources import features, geotiff, rasters
 
 
 def cells_of(spark, z):
@@ -18,19 +18,36 @@ def cells_of(spark, z):
     return spark.createDataFrame(pd.DataFrame({"r": r.ravel().astype(np.int32), "c": c.ravel().astype(np.int32), "v": z.ravel()})).withColumn("v", F.when(~F.isnan("v"), F.col("v")))
 
 
-def test_geotiff_round_trip(spark, tmp_path):
+def test_geotiff_source(spark, tmp_path):
+    """Written as tiles by tasks, read by blocks, with a window pushed down."""
     z = 100 - 2.0 * np.arange(150)[:, None] - 0.5 * np.arange(130)[None, :]
     z[:3, :3] = np.nan
-    tiles = rasters.as_geotiffs(cells_of(spark, z), "v", 5.0, 1000.0, 9000.0, tile=64, epsg=32632, note="Elevation")
-    assert rasters.save_geotiffs(tiles, str(tmp_path), "dem") == 9
+    for _ in range(2):  # files of the same name are replaced
+        geotiff.save(cells_of(spark, z).repartition(3), "v", str(tmp_path), "dem", 5.0, 1000.0, 9000.0, tile=64, epsg=32632, note="Elevation")
+    assert len(list(tmp_path.iterdir())) == 9
     meta = {tuple(r.path.rsplit("_", 2)[1:]): r for r in rasters.read_meta(spark, str(tmp_path)).collect()}
     m = meta["1", "2.tif"]
     assert (m.width, m.height, m.cell_w, m.x0, m.y0, m.nodata, m.epsg) == (2, 64, 5.0, 1000.0 + 640, 9000.0 - 320, -9999.0, 32632)
-    got = rasters.read_raster(spark, str(tmp_path)).toPandas()
-    assert len(got) == z.size and got.v.isna().sum() == 9
-    r, c = ((9000 - got.y) // 5).astype(int), ((got.x - 1000) // 5).astype(int)
-    want = z[r, c]
-    assert np.allclose(got.v[~got.v.isna()].astype(float), want[~np.isnan(want)], atol=1e-4)
+    for read in (rasters.read_raster, geotiff.read):
+        got = read(spark, str(tmp_path)).toPandas()
+        assert len(got) == z.size and got.v.isna().sum() == 9
+        r, c = ((9000 - got.y) // 5).astype(int), ((got.x - 1000) // 5).astype(int)
+        want = z[r, c]
+        assert np.allclose(got.v[~got.v.isna()].astype(float), want[~np.isnan(want)], atol=1e-4)
+    geotiff.save(cells_of(spark, z).limit(0), "v", str(tmp_path / "none"), "dem", 5.0, 0.0, 0.0)
+    assert not list((tmp_path / "none").glob("*.tif"))
+
+
+def test_geotiff_window(spark, tmp_path):
+    """A raster of many strips in one file: few of its partitions hold the window, and only they are read."""
+    z = np.arange(300.0)[:, None] * 1000 + np.arange(40.0)[None, :]
+    (tmp_path / "one.tif").write_bytes(rasters.encode(z, 0.0, 300.0, 1.0))
+    whole = geotiff.read(spark, str(tmp_path / "one.tif"), pixels=1)
+    assert whole.rdd.getNumPartitions() == 5 and whole.count() == z.size
+    part = whole.where("r >= 130 and r < 190 and c > 10 and c <= 12 and v > 0")
+    assert part.rdd.getNumPartitions() == 1
+    assert sorted((x.r, x.c, x.v) for x in part.collect()) == [(r, c, z[r, c]) for r in range(130, 190) for c in (11, 12)]
+    assert whole.where("r = 299 and c = 39").collect()[0].v == z[299, 39] and whole.where("r > 300").count() == 0
 
 
 def test_geotiff_forms():
