@@ -129,24 +129,34 @@ def dinf(cells: DataFrame, cell: float) -> DataFrame:
     return out.drop("_f", "_t", "_most", "_k", *steps)
 
 
-def _along_pointers(state: DataFrame, names: list[str]) -> DataFrame:
-    """Sums of each weight over a node and all whose pointers lead to it. ``state`` has id, ptr and the weights.
+#: How values meet: as columns over a group, of two columns, and in arrays.
+_MEET = {
+    "sum": (F.sum, lambda a, b: a + F.coalesce(b, F.lit(0.0)), np.add),
+    "min": (F.min, lambda a, b: F.least(a, b), np.minimum),  # least() passes over nulls
+}
+
+
+def _along_pointers(state: DataFrame, names: list[str], how: str = "sum") -> DataFrame:
+    """What each weight comes to over a node and all whose pointers lead to it. ``state`` has id, ptr and the weights.
 
     Pointers double each round, so rounds grow with the logarithm of the longest path.
     """
+    over, both, _ = _MEET[how]
     state = written(state)
     for _ in range(64):
         if state.where("ptr is not null").isEmpty():
             return state.drop("ptr")
-        got = state.where("ptr is not null").groupBy("ptr").agg(*[F.sum(k).alias(f"_{k}") for k in names]).withColumnRenamed("ptr", "id")
+        got = state.where("ptr is not null").groupBy("ptr").agg(*[over(k).alias(f"_{k}") for k in names]).withColumnRenamed("ptr", "id")
         hop = state.select(F.col("id").alias("ptr"), F.col("ptr").alias("next"))
-        state = state.join(hop, "ptr", "left").join(got, "id", "left").select("id", F.col("next").alias("ptr"), *[(F.col(k) + F.coalesce(f"_{k}", F.lit(0.0))).alias(k) for k in names])
-        state = written(state)
+        new = state.join(hop, "ptr", "left").join(got, "id", "left").select("id", F.col("next").alias("ptr"), *[both(F.col(k), F.col(f"_{k}")).alias(k) for k in names])
+        new = written(new)
+        forget(state)
+        state = new
     raise RuntimeError("the drainage has a loop")
 
 
-def _within_tile(pdf: pd.DataFrame, names: list[str]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    """For the cells of one tile: the place of the last cell of each one's path inside, and the sums inside, by doubling."""
+def _within_tile(pdf: pd.DataFrame, names: list[str], how: str = "sum") -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """For the cells of one tile: the place of the last cell of each one's path inside, and what weights come to inside, by doubling."""
     at = {int(x): k for k, x in enumerate(pdf["id"])}
     to = np.array([at.get(int(x), -1) if x == x else -1 for x in pdf["to"]], np.int64)
     root = np.where(to < 0, np.arange(len(to)), to)
@@ -157,14 +167,16 @@ def _within_tile(pdf: pd.DataFrame, names: list[str]) -> tuple[np.ndarray, dict[
         if not live.any():
             return root, sums
         for k in names:
-            sums[k] += np.bincount(ptr[live], sums[k][live], len(ptr))
+            new = sums[k].copy()
+            _MEET[how][2].at(new, ptr[live], sums[k][live])
+            sums[k] = new
         ptr = np.where(live, ptr[np.maximum(ptr, 0)], -1)
         root = root[root]
     raise RuntimeError("the drainage has a loop")
 
 
-def accumulate(flow: DataFrame, n: int, weights: dict[str, Column], tile: int = 128) -> DataFrame:
-    """Sum of each weight over a cell and all that drain to it. ``flow`` has r, c, to_r, to_c.
+def accumulate(flow: DataFrame, n: int, weights: dict[str, Column], tile: int = 128, how: str = "sum") -> DataFrame:
+    """Sum, or minimum, of each weight over a cell and all that drain to it. ``flow`` has r, c, to_r, to_c.
 
     Each tile is summed by itself; then only the cells from which water leaves a tile point to each other, and what
     they carry doubles along these pointers; then each tile is summed once more with what comes in. Cells move
@@ -176,7 +188,7 @@ def accumulate(flow: DataFrame, n: int, weights: dict[str, Column], tile: int =
     fields = ", ".join(f"{k} double" for k in names)
 
     def rims(pdf: pd.DataFrame) -> pd.DataFrame:
-        root, sums = _within_tile(pdf, names)
+        root, sums = _within_tile(pdf, names, how)
         ids = pdf["id"].to_numpy()
         r, c = ids // n % tile, ids % n % tile
         out = (root == np.arange(len(ids))) | (r == 0) | (c == 0) | (r == tile - 1) | (c == tile - 1)
@@ -188,12 +200,13 @@ def accumulate(flow: DataFrame, n: int, weights: dict[str, Column], tile: int =
     rim = written(cells.groupBy("tr", "tc").applyInPandas(rims, f"id long, root long, to double, last boolean, {fields}").withColumn("to", F.when(~F.isnan("to"), F.col("to").cast("long"))))
     ends = rim.where("last").select("id", "to", *names)
     entered = rim.select(F.col("id").alias("to"), F.col("root").alias("ptr"))
-    total = written(_along_pointers(ends.join(entered, "to", "left").select("id", "ptr", *names), names))
-    into = ends.where("to is not null").select("id", "to").join(total, "id").groupBy("to").agg(*[F.sum(k).alias(f"_{k}") for k in names]).withColumnRenamed("to", "id")
-    fed = cells.join(into, "id", "left").select("id", "to", "tr", "tc", *[(F.col(k) + F.coalesce(f"_{k}", F.lit(0.0))).alias(k) for k in names])
+    total = written(_along_pointers(ends.join(entered, "to", "left").select("id", "ptr", *names), names, how))
+    over, both, _ = _MEET[how]
+    into = ends.where("to is not null").select("id", "to").join(total, "id").groupBy("to").agg(*[over(k).alias(f"_{k}") for k in names]).withColumnRenamed("to", "id")
+    fed = cells.join(into, "id", "left").select("id", "to", "tr", "tc", *[both(F.col(k), F.col(f"_{k}")).alias(k) for k in names])
 
     def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, sums = _within_tile(pdf, names)
+        _, sums = _within_tile(pdf, names, how)
         return pd.DataFrame({"id": pdf["id"]} | sums)
 
     return written(fed.groupBy("tr", "tc").applyInPandas(whole, f"id long, {fields}"))
@@ -462,27 +475,55 @@ def accumulate_split(flow: DataFrame, tile: int = 128, small: int = 2_000_000) -
     return written(fed.groupBy("tr", "tc").applyInPandas(whole, "r int, c int, acc double"))
 
 
-def condition(cells: DataFrame, n: int, cell: float) -> DataFrame:
-    """cell(r, c, z, dir, to_r, to_c): depressions filled, flats resolved, and the D8 way of every cell.
+def flat_ways(down: DataFrame, n: int) -> DataFrame:
+    """(r, c, dir, to_r, to_c, steps) of the cells of flats, those inside the grid that no neighbour lies below.
 
-    A cell of a flat goes to the neighbour of its height that is nearest to a way down, over cells of that height;
-    so every inner cell has a way out of the grid. Cells on the grid's edge without a lower neighbour end a path.
+    ``down`` has r, c, z, dir. Two distances are taken over each flat and the cells of its height that have a way down
+    beside it: ``steps`` to the nearest of these, and the steps from the nearest cell with higher ground beside it. A cell
+    goes to the neighbour of its height for which twice the first less the second is least: away from higher ground, and
+    always nearer to a way down, since of two neighbours the second distance differs by one at most.
     """
-    filled = written(fill_depressions(cells, n).select("r", "c", F.col("w").alias("z")))
-    down = written(d8(filled, cell))
     edge = (F.col("r") == 0) | (F.col("c") == 0) | (F.col("r") == n - 1) | (F.col("c") == n - 1)
-    steps = tiled_fixpoint(down.withColumn("w", F.when(edge | (F.col("dir") > 0), 0.0).otherwise(1e9)), _near_flat)
-    both = neighbours(steps.withColumnRenamed("w", "far").withColumn("own", F.struct("z", "far")), "own")
-    # the neighbour of the same height and fewest steps, the first in the order of D8
-    level = lambda k: F.col(f"{k}.z") == F.col("z")
-    least = F.least(*[F.when(level(k) & (F.col(f"{k}.far") < F.col("far")), F.col(f"{k}.far")) for k, *_ in D8])
-    code, dr, dc = F.lit(0), F.lit(0), F.lit(0)
-    for k, r, c, v in reversed(D8):
-        hit = level(k) & (F.col(f"{k}.far") == F.col("_least"))
-        code, dr, dc = F.when(hit, v).otherwise(code), F.when(hit, r).otherwise(dr), F.when(hit, c).otherwise(dc)
-    flat = both.withColumn("_least", least).where("far > 0 and _least is not null").select("r", "c", code.alias("_d"), (F.col("r") + dr).alias("_r"), (F.col("c") + dc).alias("_c"), F.col("far").alias("_w"))
-    out = down.join(flat, ["r", "c"], "left")
-    return out.select("r", "c", "z", F.coalesce("_d", "dir").alias("dir"), F.coalesce("_r", "to_r").alias("to_r"), F.coalesce("_c", "to_c").alias("to_c"), F.coalesce("_w", F.lit(0.0)).alias("steps"))
+    near = neighbours(down.withColumn("core", ~edge & (F.col("dir") == 0)).withColumn("own", F.struct("z", "core")), "own")
+    beside = lambda test: reduce(lambda p, q: p | q, [F.coalesce(test(k), F.lit(False)) for k, *_ in D8])
+    near = near.withColumns({"higher": beside(lambda k: F.col(f"{k}.z") > F.col("z")), "touch": beside(lambda k: F.col(f"{k}.core") & (F.col(f"{k}.z") == F.col("z")))})
+    flat = written(near.where("core or touch").select("r", "c", "z", "core", "higher"))
+    toward = tiled_fixpoint(flat.withColumn("w", F.when(F.col("core"), 1e9).otherwise(0.0)), _near_flat)
+    away = tiled_fixpoint(flat.withColumn("w", F.when(F.col("higher"), 1.0).otherwise(1e9)), _near_flat)
+    away = away.select("r", "c", F.when(F.col("w") < 1e8, F.col("w")).otherwise(0.0).alias("d"))
+    ranked = toward.join(away, ["r", "c"]).select("r", "c", "z", F.col("w").alias("steps"), (2 * F.col("w") - F.col("d")).alias("v"))
+    # of the neighbours of the same height the one of the least value, the first in the order of D8
+    out = flat.where("core").select("r", "c", "z").join(ranked.select("r", "c", "steps", "v"), ["r", "c"]).where("steps < 1e8")
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(code).alias("code"), (F.col("r") + dr).alias("to_r"), (F.col("c") + dc).alias("to_c")) for i, (_, dr, dc, code) in enumerate(D8)])
+    there = ranked.select(F.col("r").alias("to_r"), F.col("c").alias("to_c"), F.col("z").alias("z2"), F.col("v").alias("v2"))
+    each = out.select("r", "c", "z", "steps", "v", F.explode(steps).alias("s")).select("r", "c", "z", "steps", "v", "s.*").join(there, ["to_r", "to_c"]).where("z2 = z and v2 < v")
+    best = each.groupBy("r", "c", "steps").agg(F.min(F.struct("v2", "i", "code", "to_r", "to_c")).alias("b"))
+    return best.select("r", "c", F.col("b.code").alias("dir"), "b.to_r", "b.to_c", "steps")
+
+
+def condition(cells: DataFrame, n: int, cell: float, breach: bool = False) -> DataFrame:
+    """cell(r, c, z, dir, to_r, to_c, steps): a surface without depressions and the D8 way of every cell.
+
+    Depressions are filled; a cell of a flat goes as flat_ways() says, so every inner cell has a way out of the grid.
+    Cells on the grid's edge without a lower neighbour end a path. breach: depressions are cut open instead. The ways
+    over the filled surface leave each pit over its lowest pass; along them every cell is lowered to the lowest
+    ground upstream of it. Where a cell has a lower neighbour then it goes down the steepest fall, elsewhere the
+    old way, to ground that is no higher; so no loop can form.
+    """
+    filled = written(fill_depressions(cells, n).select("r", "c", F.col("w").alias("z"), F.col("z").alias("ground")))
+    down = written(d8(filled, cell))
+    ways = flat_ways(down, n).select("r", "c", F.col("dir").alias("_d"), F.col("to_r").alias("_r"), F.col("to_c").alias("_c"), F.col("steps").alias("_w"))
+    out = down.join(ways, ["r", "c"], "left")
+    out = out.select("r", "c", "z", "ground", F.coalesce("_d", "dir").alias("dir"), F.coalesce("_r", "to_r").alias("to_r"), F.coalesce("_c", "to_c").alias("to_c"), F.coalesce("_w", F.lit(0.0)).alias("steps"))
+    if not breach:
+        return out.drop("ground")
+    out = written(out)
+    low = accumulate(out, n, {"low": F.col("ground")}, how="min")
+    cut = low.select(F.floor(F.col("id") / n).cast("int").alias("r"), (F.col("id") % n).cast("int").alias("c"), F.col("low").alias("z"))
+    fall = d8(written(cut), cell).select("r", "c", "z", F.col("dir").alias("_d"), F.col("to_r").alias("_r"), F.col("to_c").alias("_c"))
+    own = F.col("_d") > 0
+    both = fall.join(out.drop("z"), ["r", "c"])
+    return both.select("r", "c", "z", *[F.when(own, F.col(a)).otherwise(F.col(b)).alias(b) for a, b in (("_d", "dir"), ("_r", "to_r"), ("_c", "to_c"))], "steps")
 
 
 def condition_dinf(cells: DataFrame, n: int, cell: float, lift: float = 1e-5) -> DataFrame:

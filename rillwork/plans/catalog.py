@@ -716,12 +716,14 @@ h AS (SELECT g.r, g.c, f.w AS z, g.n FROM f JOIN g ON g.r = f.r AND g.c = f.c),
 st(i, dr, dc, code, dist) AS (VALUES {_STEPS}),
 fl AS (SELECT a.r, a.c, i, code, b.r AS tr, b.c AS tc, (a.z - b.z) / dist AS f FROM h a, st, h b WHERE b.r = a.r + dr AND b.c = a.c + dc),
 be AS (SELECT * FROM fl WHERE f > 0 QUALIFY row_number() OVER (PARTITION BY r, c ORDER BY f DESC, i) = 1),
-fs AS (
-  SELECT h.r, h.c, h.z, 0 AS k FROM h LEFT JOIN be ON be.r = h.r AND be.c = h.c WHERE be.r IS NOT NULL OR h.r = 0 OR h.c = 0 OR h.r = n - 1 OR h.c = n - 1
-  UNION SELECT b.r, b.c, b.z, fs.k + 1 FROM fs JOIN h b ON abs(b.r - fs.r) <= 1 AND abs(b.c - fs.c) <= 1 AND b.z = fs.z
-    WHERE NOT EXISTS (SELECT 1 FROM be WHERE be.r = b.r AND be.c = b.c) AND fs.k < 60),
-fd AS (SELECT r, c, z, min(k) AS k FROM fs GROUP BY r, c, z),
-fw AS (SELECT a.r, a.c, code, b.r AS tr, b.c AS tc FROM fd a, st, fd b WHERE a.k > 0 AND b.r = a.r + dr AND b.c = a.c + dc AND b.z = a.z AND b.k < a.k QUALIFY row_number() OVER (PARTITION BY a.r, a.c ORDER BY b.k, i) = 1),
+co AS (SELECT h.* FROM h LEFT JOIN be ON be.r = h.r AND be.c = h.c WHERE be.r IS NULL AND h.r > 0 AND h.c > 0 AND h.r < n - 1 AND h.c < n - 1),
+ft AS (SELECT r, c, z, true AS core FROM co UNION ALL SELECT DISTINCT h.r, h.c, h.z, false FROM h JOIN co ON abs(h.r - co.r) <= 1 AND abs(h.c - co.c) <= 1 AND h.z = co.z WHERE NOT EXISTS (SELECT 1 FROM co x WHERE x.r = h.r AND x.c = h.c)),
+fs(r, c, z, k) USING KEY (r, c) AS (SELECT r, c, z, 0 FROM ft WHERE NOT core
+  UNION SELECT b.r, b.c, b.z, min(fs.k) + 1 FROM fs JOIN ft b ON abs(b.r - fs.r) <= 1 AND abs(b.c - fs.c) <= 1 AND b.z = fs.z LEFT JOIN recurring.fs o ON o.r = b.r AND o.c = b.c WHERE o.r IS NULL GROUP BY b.r, b.c, b.z),
+hs(r, c, z, d) USING KEY (r, c) AS (SELECT DISTINCT ft.r, ft.c, ft.z, 1 FROM ft JOIN h ON abs(h.r - ft.r) <= 1 AND abs(h.c - ft.c) <= 1 AND h.z > ft.z
+  UNION SELECT b.r, b.c, b.z, min(hs.d) + 1 FROM hs JOIN ft b ON abs(b.r - hs.r) <= 1 AND abs(b.c - hs.c) <= 1 AND b.z = hs.z LEFT JOIN recurring.hs o ON o.r = b.r AND o.c = b.c WHERE o.r IS NULL GROUP BY b.r, b.c, b.z),
+fd AS (SELECT fs.r, fs.c, fs.z, k, 2 * k - coalesce(d, 0) AS v FROM fs LEFT JOIN hs ON hs.r = fs.r AND hs.c = fs.c),
+fw AS (SELECT a.r, a.c, code, b.r AS tr, b.c AS tc FROM fd a, st, fd b WHERE a.k > 0 AND b.r = a.r + dr AND b.c = a.c + dc AND b.z = a.z AND b.v < a.v QUALIFY row_number() OVER (PARTITION BY a.r, a.c ORDER BY b.v, i) = 1),
 way AS (SELECT h.r, h.c, coalesce(fw.code, be.code, 0) AS dir, coalesce(fw.tr, be.tr) AS to_r, coalesce(fw.tc, be.tc) AS to_c FROM h LEFT JOIN be ON be.r = h.r AND be.c = h.c LEFT JOIN fw ON fw.r = h.r AND fw.c = h.c),
 walk AS (SELECT r, c FROM way UNION ALL SELECT w.to_r, w.to_c FROM walk JOIN way w ON w.r = walk.r AND w.c = walk.c WHERE w.to_r IS NOT NULL)"""
 
@@ -733,3 +735,13 @@ def q46_conditioned_accumulation(spark, sf):
     flow = T.written(terrain.condition(T.grid(spark, sf, T.ROUGH), n, T.CELL))
     acc = _cells(terrain.accumulate(flow, n, {"acc": F.lit(1.0)}), n)
     return flow.join(acc, ["r", "c"]).select("r", "c", "dir", F.col("acc").cast("long").alias("acc"))
+
+
+@query(_FULL + """, up AS (SELECT r, c, z FROM g UNION ALL SELECT w.to_r, w.to_c, up.z FROM up JOIN way w ON w.r = up.r AND w.c = up.c WHERE w.to_r IS NOT NULL),
+lo AS (SELECT r, c, min(z) AS z FROM up GROUP BY r, c), lf AS (SELECT a.r, a.c, i, code, (a.z - b.z) / dist AS f FROM lo a, st, lo b WHERE b.r = a.r + dr AND b.c = a.c + dc),
+lb AS (SELECT * FROM lf WHERE f > 0 QUALIFY row_number() OVER (PARTITION BY r, c ORDER BY f DESC, i) = 1)
+SELECT lo.r, lo.c, round(lo.z, 6) AS z, coalesce(lb.code, way.dir) AS dir FROM lo JOIN way ON way.r = lo.r AND way.c = lo.c LEFT JOIN lb ON lb.r = lo.r AND lb.c = lo.c""")
+def q73_breached(spark, sf):
+    """The surface with its depressions cut open, and where each cell drains to."""
+    out = terrain.condition(T.grid(spark, sf, T.ROUGH), T.side(spark, sf), T.CELL, breach=True)
+    return rounded(out.select("r", "c", "z", "dir"), "z")
