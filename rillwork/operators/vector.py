@@ -131,6 +131,19 @@ def all_apart(cells: DataFrame, by: str, apart: float) -> DataFrame:
     return reduce(DataFrame.unionAll, taken)
 
 
+def auto_outlets(acc: DataFrame, n: int, threshold: float, apart: float = 20.0) -> DataFrame:
+    """(r, c, acc) of the outlets of an n x n grid: rim cells with as much flow, from the greatest down and so far apart.
+
+    Where no rim cell has that much, the cell of the greatest flow anywhere, the first of equals by row and column.
+    """
+    rim = (F.col("r") == 0) | (F.col("c") == 0) | (F.col("r") == n - 1) | (F.col("c") == n - 1)
+    edge = written(acc.where(rim & (F.col("acc") >= threshold)).select("r", "c", "acc"))
+    if not edge.isEmpty():
+        return all_apart(edge, "acc", apart)
+    best = acc.where("acc is not null").agg(F.max_by(F.struct("r", "c", "acc"), F.struct("acc", -F.col("r"), -F.col("c"))).alias("b"))
+    return best.where("b is not null").select("b.*")
+
+
 def around_of(axis: str, side: int, reach: int) -> Column:
     return F.explode(F.sequence(F.floor(F.col(axis) / side) - reach, F.floor(F.col(axis) / side) + reach))
 

@@ -539,13 +539,19 @@ def _separation(n: int) -> float:
     return float(max(10, int(n * 0.1)))
 
 
-def _scored(spark, sf) -> DataFrame:
-    """Valley cells up to the 75th percentile of flow, all of them if that leaves none, by flow over gentle slope."""
+def _scored(spark, sf, site: DataFrame | None = None) -> DataFrame:
+    """Valley cells up to the 75th percentile of flow, all of them if that leaves none, by flow over gentle slope.
+
+    With a ``site`` (r, c) only its cells: those of the band, or if there are none, those of the valley.
+    """
     n = T.side(spark, sf)
     slope = terrain.box_mean(terrain.slope_deg(T.grid(spark, sf), T.CELL), n, 1, "slope", "smooth").select("r", "c", "smooth")
     valley = T.written(_counted(spark, sf).where("acc >= 10"))
     p75 = quantile.quantile(valley, "acc", 0.75)
     band = valley if p75 is None or valley.where(F.col("acc") <= p75).isEmpty() else valley.where(F.col("acc") <= p75)
+    if site is not None:
+        own = T.written(band.join(site, ["r", "c"], "left_semi"))
+        band = valley.join(site, ["r", "c"], "left_semi") if own.isEmpty() else own
     return T.written(band.join(slope, ["r", "c"]).select("r", "c", "acc", (F.col("acc") / (F.col("smooth") + 1)).alias("score")))
 
 

@@ -11,7 +11,7 @@ from rillwork.functions import hydro as H
 from rillwork.functions import labels as L
 from rillwork.functions import projection as P
 from rillwork.operators import cascade, contours, rings, terrain, vector
-from rillwork.plans.catalog import _FOLD, _FRAMES, _INC, _LINES, _NONE, _WORKS, _X, _Y, AREA, GRID, WALK, _cells, _class_counts, _counted, _frames, _increments, _q, _routed, _storm_steps, query, rounded
+from rillwork.plans.catalog import _EXITS, _FOLD, _FRAMES, _INC, _LINES, _NONE, _SAMPLES, _SCORED, _WORKS, _X, _Y, AREA, GRID, ORACLE, SLOPE, WALK, _cells, _class_counts, _counted, _frames, _increments, _keypoints, _lines, _q, _routed, _scored, _separation, _storm_steps, q20_exits, q23_swale_segments, q35_pond_sites, query, rounded
 from rillwork.sources import tables as T
 
 _E = "1e-9"
@@ -370,3 +370,87 @@ def q72_reprojection(spark, sf):
     at = P.transform(9 + (k % 401 - 200) / 1000.0, (k * 7 % 1600 - 800) / 10.0, 4326, 32632)
     out = T.table(spark, sf, "customer").select(k, at.alias("p")).withColumn("q", P.transform(F.col("p.x"), F.col("p.y"), 32632, 4326))
     return rounded(rounded(out.select(k, F.col("p.x").alias("x"), F.col("p.y").alias("y"), F.col("q.x").alias("lon"), F.col("q.y").alias("lat")), "x", "y", digits=2), "lon", "lat", digits=7)
+
+
+_MASKS = f"""{GRID}, k AS (SELECT g.*, {_X} AS x, {_Y} AS y FROM g),
+ms AS (SELECT r, c, z, x > 21 AND x < 139 AND y > 21 AND y < 99 AS inn, x + 25e-1 >= 21 AND x - 25e-1 <= 139 AND y + 25e-1 >= 21 AND y - 25e-1 <= 99 AND NOT (x - 25e-1 > 21 AND x + 25e-1 < 139 AND y - 25e-1 > 21 AND y + 25e-1 < 99) AS edge FROM k)"""
+
+
+@query(f"""WITH RECURSIVE {_MASKS}, up AS (SELECT r, c, z FROM ms WHERE edge UNION SELECT b.r, b.c, b.z FROM up JOIN ms b ON abs(b.r - up.r) <= 1 AND abs(b.c - up.c) <= 1 AND b.z >= up.z AND NOT (b.inn AND NOT b.edge))
+SELECT count(*)::BIGINT AS cells, count(*) * 25 / 1e4 AS area_ha FROM (SELECT r, c FROM up UNION SELECT r, c FROM ms WHERE inn)""")
+def q74_site_uphill(spark, sf):
+    """What drains to a drawn site: uphill from its boundary, its inside belonging to it but leading no further."""
+    g, n, site = T.grid(spark, sf), T.side(spark, sf), _site(spark)
+    edge = vector.on_edges(g, site, n, T.CELL).select("r", "c", F.lit(True).alias("edge"))
+    centre = vector.in_polygons(g, site, n, T.CELL).select("r", "c", F.lit(True).alias("centre"))
+    marked = g.join(edge, ["r", "c"], "left").join(centre, ["r", "c"], "left")
+    out = terrain.uphill(marked, F.col("edge").isNotNull(), F.col("centre").isNotNull()).where("w >= 0.5")
+    return out.agg(F.count("*").alias("cells"), (F.count("*") * AREA / 10000).alias("area_ha"))
+
+
+#: A site in the middle of the grid.
+_MIDDLE = "r BETWEEN n // 4 AND n // 2 AND c BETWEEN n * 2 // 5 AND n * 3 // 5"
+_SITE_SCORED = _SCORED.replace("sc AS (SELECT va.r", "s0 AS (SELECT va.r").replace(
+    "sep AS (", f"si AS (SELECT r, c FROM g WHERE {_MIDDLE}), sc AS (SELECT s0.* FROM s0 JOIN si ON si.r = s0.r AND si.c = s0.c UNION ALL SELECT va.r, va.c, va.acc, va.acc / (smooth + 1) FROM va JOIN si ON si.r = va.r AND si.c = va.c JOIN smb ON smb.r = va.r AND smb.c = va.c WHERE NOT EXISTS (SELECT 1 FROM s0 JOIN si ON si.r = s0.r AND si.c = s0.c)),\nsep AS ("
+)
+
+
+@query(_SITE_SCORED + f""" SELECT kp.rank::INT AS rank, kp.r, kp.c, round(g.z, 6) AS elevation, round(slope, 6) AS slope_deg, round(kp.acc * 25 / 1e4, 6) AS catchment_ha,
+  'Keypoint ' || kp.rank || ' — ' || {_f('g.z', 0, '')} || ' m, ' || {_f('kp.acc * 25 / 1e4', 0, '')} || ' ha upslope, ' || {_f('slope', 1, '')} || '° slope' AS label FROM kp JOIN g ON g.r = kp.r AND g.c = kp.c JOIN sl ON sl.r = kp.r AND sl.c = kp.c""")
+def q75_site_keypoints(spark, sf):
+    """Keypoints of a site as a layer: where valleys turn gentle within its mask."""
+    n = T.side(spark, sf)
+    site = T.grid(spark, sf).where(F.col("r").between(n // 4, n // 2) & F.col("c").between(n * 2 // 5, n * 3 // 5)).select("r", "c")
+    scored = _scored(spark, sf, site)
+    kept = vector.greedy_apart(scored, "score", _separation(n), 5, square=True).drop("score")
+    at = kept.join(scored.select("r", "c", "acc"), ["r", "c"]).join(terrain.slope_deg(T.grid(spark, sf), T.CELL).select("r", "c", "z", "slope"), ["r", "c"])
+    ha = F.col("acc") * AREA / 10000
+    out = at.select("rank", "r", "c", F.col("z").alias("elevation"), F.col("slope").alias("slope_deg"), ha.alias("catchment_ha"), L.keypoint_label("rank", "z", ha, "slope").alias("label"))
+    return rounded(out, "elevation", "slope_deg", "catchment_ha")
+
+
+@query(WALK + ", " + SLOPE[len(GRID) + 2 :] + f""", a AS (SELECT r, c, count(*)::BIGINT AS acc FROM walk GROUP BY r, c), {_LINES}, {_SAMPLES},
+k AS (SELECT id, coalesce(max(acc), 0)::BIGINT AS peak_acc, coalesce(avg(slope), 0e0) AS mean_slope, avg(z) AS elevation FROM sm LEFT JOIN a ON a.r = sm.r AND a.c = sm.c LEFT JOIN sl ON sl.r = sm.r AND sl.c = sm.c LEFT JOIN g ON g.r = sm.r AND g.c = sm.c GROUP BY id),
+t AS (SELECT *, row_number() OVER (ORDER BY peak_acc DESC, id) AS rank FROM k WHERE mean_slope <= 18 ORDER BY peak_acc DESC, id LIMIT 5)
+SELECT id, rank::INT AS rank, peak_acc, round(mean_slope, 6) AS mean_slope, '#' || rank || ' Elev ' || {_f('elevation', 1, '')} || ' m — ' || {_f('peak_acc * 25 / 1e4')} || ' ha upslope — ' || {_f('peak_acc * 25 * 3e1 / 1e3', 0)} || ' m³ inflow' AS label FROM t""")
+def q76_top_contours(spark, sf):
+    """The five lines that most water comes down to, with their labels."""
+    n, g = T.side(spark, sf), T.grid(spark, sf)
+    slope = terrain.slope_deg(g, T.CELL).select("r", "c", "z", "slope")
+    at = vector.sample_lines(_lines(spark, sf), 20, n, T.CELL).join(_counted(spark, sf), ["r", "c"], "left").join(slope, ["r", "c"], "left")
+    out = at.groupBy("id").agg(F.coalesce(F.max("acc"), F.lit(0.0)).cast("long").alias("peak_acc"), F.coalesce(F.avg("slope"), F.lit(0.0)).alias("mean_slope"), F.avg("z").alias("elevation"))
+    top = out.where("mean_slope <= 18").orderBy(F.desc("peak_acc"), "id").limit(5)
+    top = top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("peak_acc"), "id")))  # five rows
+    return rounded(top.select("id", "rank", "peak_acc", "mean_slope", L.contour_label("rank", "elevation", "peak_acc", AREA, 30.0).alias("label")), "mean_slope")
+
+
+@query(f"SELECT *, 'Exit ' || rank || ': ' || {_f('volume_m3', 0)} || ' m³ over event | avg ' || {_f('flow_ls')} || ' L/s' AS label FROM ({ORACLE['q20_exits']})")
+def q77_exit_layer(spark, sf):
+    """The exits as a layer with labels."""
+    return q20_exits(spark, sf).withColumn("label", L.exit_label("rank", "volume_m3", "flow_ls"))
+
+
+@query(f"""SELECT s.*, '#' || rank || '  Elev ' || {_f('2e2 - id', 1, '')} || ' m — ' || {_f('contributing_ha')} || ' ha upslope — ' || {_f('inflow_m3', 0)} || ' m³ inflow — ' || {_f('required_m', 0, '')} || ' m swale required' AS label FROM ({ORACLE['q23_swale_segments']}) s""")
+def q78_segment_layer(spark, sf):
+    """The swale segments as a layer with labels, each line at a level of its own."""
+    out = q23_swale_segments(spark, sf)
+    return out.withColumn("label", L.segment_label("rank", 200.0 - F.col("id"), "contributing_ha", "inflow_m3", "required_m", F.col("seg_end") - F.col("seg_start")))
+
+
+_OUTLETS = _EXITS.replace("acc > 2 AND", "acc >= 3 AND")
+
+
+@query(_OUTLETS + """ SELECT 3e0 AS threshold, r, c, acc FROM pick WHERE ok UNION ALL (SELECT 1e12, r, c, acc FROM a ORDER BY acc DESC, r, c LIMIT 1)""")
+def q79_auto_outlets(spark, sf):
+    """Outlets found on the rim, and the one that stands in for them where no rim cell has as much flow as asked for."""
+    n, acc = T.side(spark, sf), T.written(_counted(spark, sf))
+    found = [vector.auto_outlets(acc, n, t).select(F.lit(t).alias("threshold"), "r", "c", F.col("acc").cast("long").alias("acc")) for t in (3.0, 1e12)]
+    return found[0].union(found[1])
+
+
+@query(f"SELECT rank, r, c, z AS elevation, round(acc * 25 / 1e4, 6) AS catchment_ha, width_m AS dam_width_m, 'Pond site ' || rank || ' — ' || {_f('acc * 25 / 1e4', 0, '')} || ' ha catchment, ~' || {_f('width_m', 0, '')} || ' m dam wall' AS label FROM ({ORACLE['q35_pond_sites']})")
+def q80_pond_layer(spark, sf):
+    """The pond sites as a layer with labels."""
+    ha = F.col("acc") * AREA / 10000
+    out = q35_pond_sites(spark, sf).select("rank", "r", "c", F.col("z").alias("elevation"), ha.alias("catchment_ha"), F.col("width_m").alias("dam_width_m"), L.pond_label("rank", ha, "width_m").alias("label"))
+    return rounded(out, "catchment_ha")
