@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-STEPS = "site int, time_min int, name string, inflow double, infiltration double, stored double, overflow double, exit double, fill_pct double, first_overflow_hr double"
+from rillwork.operators.vector import global_rank
+from rillwork.sources.tables import written
+
+#: Stores, and steps, that one fold takes at most.
+BLOCK, STEPS = 64, 1024
+STEPS_SCHEMA = "site int, time_min int, name string, inflow double, infiltration double, stored double, overflow double, exit double, fill_pct double, first_overflow_hr double"
 
 
 def receivers(stores: DataFrame) -> DataFrame:
@@ -17,62 +23,100 @@ def receivers(stores: DataFrame) -> DataFrame:
     return stores.join(levels.select("site", "elevation", "receiver"), ["site", "elevation"])
 
 
-def step(stored: list[float], inflow: list[float], loss: list[float], capacity: list[float], receiver: list[int]) -> tuple[list[float], list[float], list[float], float]:
-    """One step over stores from the highest down: new storage, infiltration, overflow, and what leaves the site."""
-    into, out_loss, over, left = list(inflow), [0.0] * len(stored), [0.0] * len(stored), 0.0
-    now = list(stored)
-    for i in range(len(stored)):
-        have = now[i] + into[i]
-        out_loss[i] = min(loss[i], have)
-        now[i] = max(0.0, have - out_loss[i])
-        over[i] = max(0.0, now[i] - capacity[i])
-        now[i] = min(now[i], capacity[i])
-        if receiver[i] < 0:
-            left += over[i]
-        else:
-            into[receiver[i]] += over[i]
-    return now, out_loss, over, left
+def _blocks(stores: DataFrame, inflow: Column) -> DataFrame:
+    """(site, block, stores): stores from the highest down, BLOCK of them a row, each with what decides where its water goes.
 
+    leads: the store is the first of its level and takes what the level above spills; lowest: what it spills leaves.
+    A store without an elevation lies below all others. Names that repeat on a site count once.
+    """
+    level = F.coalesce(F.col("elevation").cast("double"), F.lit(float("-inf")))
+    own = stores.select("site", "name", level.alias("level"), F.col("capacity").cast("double").alias("capacity"), (F.col("rate") / 1000.0 * F.col("area")).cast("double").alias("rate"), inflow.alias("inflow")).dropDuplicates(["site", "name"])
+    own = global_rank(own, "place", F.col("site"), F.desc("level"), F.col("name"))
+    sites = own.groupBy("site").agg(F.min("place").alias("start"), F.min("level").alias("bottom"))
+    heads = own.groupBy("site", "level").agg(F.min("name").alias("head"))
+    own = own.join(sites, "site").join(heads, ["site", "level"])
+    place = F.col("place") - F.col("start")
+    store = F.struct(place.alias("place"), "name", (F.col("name") == F.col("head")).alias("leads"), (F.col("level") == F.col("bottom")).alias("lowest"), "capacity", "rate", "inflow")
+    return own.groupBy("site", F.floor(place / BLOCK).cast("int").alias("block")).agg(F.sort_array(F.collect_list(store)).alias("stores"))
+
+
+def _folded(first: int, last: int) -> Column:
+    """Steps ``first`` to ``last`` (not included) of one row of stores, as columns ``stores``, ``held``, ``above``, ``hours``.
+
+    struct<held, spill, out>: what each store holds at the end; what the row's last level has spilled, for each step;
+    and for each step the row's stores as (inflow, infiltration, stored, overflow). ``above`` is what has come from
+    the row above in each step.
+    """
+    none = F.expr("cast(array() as array<struct<inflow: double, infiltration: double, stored: double, overflow: double>>)")
+    start = F.struct(F.col("held").alias("held"), F.expr("cast(array() as array<double>)").alias("spill"), F.expr("cast(array() as array<array<struct<inflow: double, infiltration: double, stored: double, overflow: double>>>)").alias("out"))
 
-def _lower(elevation: list[float]) -> list[int]:
-    """For each of descending elevations the first place strictly below it, -1 if there is none; one pass from the end."""
-    out, below = [-1] * len(elevation), -1
-    for i in range(len(elevation) - 2, -1, -1):
-        if elevation[i + 1] < elevation[i]:
-            below = i + 1
-        out[i] = below
-    return out
+    def step(acc, k):
+        def store(a, s):
+            inflow = F.greatest(F.lit(0.0), F.coalesce(F.get(s["inflow"], k), F.lit(0.0)))
+            have = F.get(acc["held"], F.size(a["out"])) + inflow + F.when(s["leads"], a["spill"]).otherwise(0.0)
+            gone = F.least(s["rate"] * F.get(F.col("hours"), k), have)
+            now = F.greatest(F.lit(0.0), have - gone)
+            over = F.greatest(F.lit(0.0), now - s["capacity"])
+            one = F.struct(inflow.alias("inflow"), gone.alias("infiltration"), F.least(now, s["capacity"]).alias("stored"), over.alias("overflow"))
+            return F.struct(F.when(s["leads"], over).otherwise(a["spill"] + over).alias("spill"), F.array_append(a["out"], one).alias("out"))
+
+        row = F.aggregate("stores", F.struct(F.get(F.col("above"), k).alias("spill"), none.alias("out")), store)
+        return F.transform(F.array(row), lambda x: F.struct(F.transform(x["out"], lambda o: o["stored"]).alias("held"), F.array_append(acc["spill"], x["spill"]).alias("spill"), F.array_append(acc["out"], x["out"]).alias("out")))[0]
+
+    return F.aggregate(F.sequence(F.lit(first), F.lit(last - 1)), start, step)
 
 
 def simulate(stores: DataFrame, feed: DataFrame, inflow: Column | None = None) -> DataFrame:
     """One row per site, step and store, from stores (site, name, elevation, capacity, area, rate, ...) and steps (time_min, hours, mm).
 
     Inflow is the step's mm over area times feed, or the column ``inflow``, an array with a volume for each step in
-    the order of time. A site is one group, with a row for each store: its storages, and the steps as arrays, which
-    are sent once. exit is what leaves the site. Rows that repeat a name count once.
+    the order of time. exit is what leaves the site. Stores of a site that lie next to each other in height are a
+    row of at most BLOCK, and a fold of at most STEPS steps over it is one column expression; what a row spills goes
+    on to the row below as an array, what it holds to its next steps. All sites advance together, so there are as
+    many rounds as rows on the fullest site, times stretches of steps. Without stores, or without steps, there is no row.
     """
-    row = feed.agg(F.sort_array(F.collect_list(F.struct("time_min", "hours", "mm"))).alias("steps"))  # one row: a storm's steps
-    rows = stores.crossJoin(F.broadcast(row)) if inflow is None else stores.withColumn("_in", inflow).crossJoin(F.broadcast(row))
+    steps = feed.agg(F.sort_array(F.collect_list(F.struct("time_min", "hours", "mm"))).alias("steps"))  # one row: a storm's steps
     into = F.transform("steps", lambda s: s["mm"] / 1000.0 * F.col("area") * F.col("feed")) if inflow is None else F.col("_in")
-    rows = rows.select("site", "name", "elevation", "capacity", "area", "rate", into.alias("inflow"), F.transform("steps", lambda s: s["time_min"]).alias("times"), F.transform("steps", lambda s: s["hours"]).alias("hours"))
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf.drop_duplicates("name").sort_values(["elevation", "name"], ascending=[False, True]).reset_index(drop=True)
-        at = _lower(own["elevation"].tolist())
-        names, capacity = own["name"].tolist(), own["capacity"].tolist()
-        rate = (own["rate"] / 1000.0 * own["area"]).tolist()
-        stored, first, out = [0.0] * len(own), [None] * len(own), []
-        for k, (t, dt) in enumerate(zip(own["times"][0], own["hours"][0], strict=True)):
-            inflow = [max(0.0, x[k]) for x in own["inflow"]]
-            stored, gone, over, _ = step(stored, inflow, [r * dt for r in rate], capacity, at)
-            for i, name in enumerate(names):
-                if over[i] > 0 and first[i] is None:
-                    first[i] = t / 60
-                fill = 100 * stored[i] / capacity[i] if capacity[i] > 0 else 0.0
-                out.append((int(key[0]), int(t), name, inflow[i], gone[i], stored[i], over[i], over[i] if at[i] < 0 else 0.0, fill, first[i]))
-        return pd.DataFrame(out, columns=[x.split()[0] for x in STEPS.split(", ")])
-
-    return rows.groupBy("site").applyInPandas(run, STEPS)
+    rows = (stores if inflow is None else stores.withColumn("_in", inflow)).crossJoin(F.broadcast(steps))
+    blocks = written(_blocks(rows, into))
+    size = steps.select(F.size("steps")).first()[0]
+    most = blocks.agg(F.max("block")).first()[0]
+    at = steps.select(F.transform("steps", lambda s: s["hours"].cast("double")).alias("hours"), F.transform("steps", lambda s: s["time_min"]).alias("times"))
+    out = []
+    for block in range(0 if most is None or not size else most + 1):
+        own = blocks.where(F.col("block") == block)
+        if block == 0:
+            own = own.withColumn("above", F.array_repeat(F.lit(0.0), size))
+        else:
+            own = own.join(spilled, "site")
+        own = own.withColumn("held", F.transform("stores", lambda s: F.lit(0.0))).crossJoin(F.broadcast(at))
+        parts = []
+        for first in range(0, size, STEPS):
+            done = written(own.select("site", "stores", "above", "hours", "times", _folded(first, min(size, first + STEPS)).alias("f")).withColumn("from", F.lit(first)))
+            parts.append(done)
+            own = done.select("site", "stores", "above", "hours", "times", F.col("f.held").alias("held"))
+        out += parts
+        # the stretches of a row follow each other
+        whole = reduce(DataFrame.unionByName, [p.select("site", "from", F.col("f.spill").alias("spill")) for p in parts])
+        spilled = written(whole.groupBy("site").agg(F.sort_array(F.collect_list(F.struct("from", "spill"))).alias("s")).select("site", F.flatten(F.transform("s", lambda x: x["spill"])).alias("above")))
+    if not out:
+        return stores.sparkSession.createDataFrame([], STEPS_SCHEMA)
+    every = reduce(DataFrame.unionByName, out)
+    series = every.select("site", "from", "times", F.posexplode("stores").alias("i", "s"), F.col("f.out").alias("o"))
+    series = series.select("site", "from", "times", "s.name", "s.capacity", "s.lowest", F.transform("o", lambda x: F.get(x, F.col("i"))).alias("v"))
+    # the first step with an overflow, over all stretches of a store
+    wet = F.array_position(F.transform("v", lambda x: x["overflow"] > 0), True)
+    if size > STEPS:
+        when = series.select("site", "name", F.when(wet > 0, F.get("times", (F.col("from") + wet - 1).cast("int"))).alias("t")).groupBy("site", "name").agg(F.min("t").alias("first"))
+        series = series.join(when, ["site", "name"])
+    else:
+        series = series.withColumn("first", F.when(wet > 0, F.get("times", (wet - 1).cast("int"))))
+    each = series.select("site", "name", "capacity", "lowest", "first", "times", "from", F.posexplode("v").alias("k", "x")).withColumn("time_min", F.get("times", F.col("from") + F.col("k")))
+    fill = F.when(F.col("capacity") > 0, 100 * F.col("x.stored") / F.col("capacity")).otherwise(0.0)
+    return each.select(
+        F.col("site").cast("int").alias("site"), F.col("time_min").cast("int").alias("time_min"), "name", "x.inflow", "x.infiltration", "x.stored", "x.overflow", F.when(F.col("lowest"), F.col("x.overflow")).otherwise(0.0).alias("exit"),
+        fill.alias("fill_pct"), F.when(F.col("time_min") >= F.col("first"), F.col("first") / 60).alias("first_overflow_hr"),
+    )
 
 
 def site_steps(simulated: DataFrame, runoff: DataFrame) -> DataFrame:

@@ -106,14 +106,6 @@ def test_storm_takes_the_rain_of_all_days(spark, tmp_path):
     assert catalog.q40_fill_frames(spark, str(tmp_path)).count() == 72
 
 
-def test_cascade_step():
-    assert cascade.step([0.0], [150.0], [0.0], [100.0], [-1]) == ([100.0], [0.0], [50.0], 50.0)
-    assert cascade.step([0.0, 0.0], [100.0, 0.0], [0.0, 0.0], [50.0, 200.0], [1, -1])[0] == [50.0, 50.0]
-    assert cascade.step([0.0] * 3, [200.0, 0.0, 0.0], [0.0] * 3, [50.0] * 3, [1, 2, -1])[3] == 50.0
-    assert cascade.step([0.0], [10.0], [4.0], [1000.0], [-1])[0] == [6.0]
-    assert cascade.step([0.0], [30.0], [0.0], [0.0], [-1])[3] == 30.0
-
-
 def test_equal_stores_do_not_feed_each_other(spark):
     s = spark.createDataFrame([(1, "a", 5.0), (1, "b", 5.0), (1, "c", 2.0)], "site int, name string, elevation double")
     assert {(x.name, x.receiver) for x in cascade.receivers(s).collect()} == {("a", "c"), ("b", "c"), ("c", None)}
