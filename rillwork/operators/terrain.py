@@ -229,7 +229,9 @@ def first_outlet(flow: DataFrame, n: int, outlets: DataFrame) -> DataFrame:
             return state.where("ptr is not null").select("id", F.col("ptr").alias("outlet"))
         hop = state.select(F.col("id").alias("ptr"), F.col("ptr").alias("next"), F.col("done").alias("end"))
         moved = left.join(hop, "ptr", "left").select("id", F.col("next").alias("ptr"), F.coalesce("end", F.lit(True)).alias("done"))
-        state = written(state.where("done").unionByName(moved))
+        new = written(state.where("done").unionByName(moved))
+        forget(state)
+        state = new
     raise RuntimeError("the drainage has a loop")
 
 
@@ -261,6 +263,7 @@ def components(cells: DataFrame, n: int, eight: bool = True) -> DataFrame:
         spread = label.join(least, "id", "left").select("id", "zone", F.least("zone", F.coalesce("m", "zone")).alias("new"))
         jump = label.select(F.col("id").alias("new"), F.col("zone").alias("far"))
         moved = written(spread.join(jump, "new", "left").select("id", "zone", F.least("new", "far").alias("new")))
+        forget(label)
         label = moved.select("id", F.col("new").alias("zone"))
         if moved.where("new < zone").isEmpty():
             return label.select(F.floor(F.col("id") / n).cast("int").alias("r"), (F.col("id") % n).cast("int").alias("c"), "zone")
@@ -305,11 +308,18 @@ def _near_flat(z: np.ndarray, w: np.ndarray) -> np.ndarray:
     return out
 
 
-def tiled_fixpoint(cells: DataFrame, kernel, tile: int = 128) -> DataFrame:
+def _newest(versions: list[DataFrame], ran: list[DataFrame]) -> DataFrame:
+    """The cells of each tile as they were written last; ``ran`` has the tiles (tr, tc, k) of each round."""
+    last = reduce(DataFrame.unionByName, ran).groupBy("tr", "tc").agg(F.max("k").alias("k"))
+    return reduce(DataFrame.unionByName, versions).join(last, ["tr", "tc", "k"]).select("r", "c", "z", "w", "tr", "tc")
+
+
+def tiled_fixpoint(cells: DataFrame, kernel, tile: int = 128, most: int = 12) -> DataFrame:
     """Runs a kernel on tiles with a rim of neighbours' values until none changes. ``cells`` has r, c, z, w.
 
     A task holds one tile and settles it for the rim it has. After the first round only tiles beside a changed rim
-    run again, so a round costs what still moves; rounds grow with the tiles a path crosses.
+    run again, and only those are written again; of every ``most`` rounds' tables one is made. Rounds grow with the
+    tiles a path crosses.
     """
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -324,19 +334,30 @@ def tiled_fixpoint(cells: DataFrame, kernel, tile: int = 128) -> DataFrame:
         return out
 
     at = {"tr": F.floor(F.col("r") / tile), "tc": F.floor(F.col("c") / tile)}
-    state, active = written(cells.select("r", "c", "z", "w")), None
+    around = lambda x: F.explode(F.sequence(F.col(x) - 1, F.col(x) + 1))
+    state, active, versions, ran, k = written(cells.select("r", "c", "z", "w").withColumns(at)), None, [], [], 0
+    first = state
     while True:
-        dealt = _dealt(state, tile)
-        new = dealt if active is None else dealt.join(active, ["tr", "tc"], "left_semi")
-        new = written(new.groupBy("tr", "tc").applyInPandas(run, "r int, c int, z double, was double, w double"))
-        changed = new.where("w != was").select("r", "c").withColumns({"hr": at["tr"], "hc": at["tc"]})
+        if active is None:
+            dealt = _dealt(state.select("r", "c", "z", "w"), tile)
+        else:  # tiles that run, and those beside them
+            near = active.select(around("tr").alias("tr"), "tc").select("tr", around("tc").alias("tc")).distinct()
+            dealt = _dealt(state.join(near, ["tr", "tc"], "left_semi").select("r", "c", "z", "w"), tile).join(active, ["tr", "tc"], "left_semi")
+        new = written(dealt.groupBy("tr", "tc").applyInPandas(run, "r int, c int, z double, was double, w double").withColumns(at).withColumn("k", F.lit(k)))
+        changed = new.where("w != was").select("r", "c", F.col("tr").alias("hr"), F.col("tc").alias("hc"))
         touched = written(_dealt(changed, tile).where("tr != hr or tc != hc").select("tr", "tc").distinct())
-        kept = new.select("r", "c", "z", "w")
-        if active is not None:
-            kept = kept.unionByName(state.withColumns(at).join(active, ["tr", "tc"], "left_anti").select("r", "c", "z", "w"))
+        versions.append(new.drop("was"))
+        ran.append(new.select("tr", "tc", "k").distinct() if active is None else active.withColumn("k", F.lit(k)))
+        state, active, k = _newest(versions, ran), touched, k + 1
+        if k == 1:
+            forget(first)
         if touched.isEmpty():
-            return kept
-        state, active = written(kept), touched
+            return state.select("r", "c", "z", "w")
+        if len(versions) > most:
+            whole = written(state.withColumn("k", F.lit(k)))
+            forget(*versions)
+            versions, ran, k = [whole], [whole.select("tr", "tc", "k").distinct()], k + 1
+            state = _newest(versions, ran)
 
 
 def fill_depressions(cells: DataFrame, n: int, tile: int = 128) -> DataFrame:
