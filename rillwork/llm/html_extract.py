@@ -31,8 +31,12 @@ _EMPTY = re.compile("<!--+>")
 _EDGE = re.compile(r"[>\"']")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _PARTS = re.compile(r"[a-z0-9]+")
+#: Names of elements with readers' comments.
+COMMENTS = frozenset("comment comments reply replies respond disqus discussion".split())
 #: Without labelled pages.
 DEFAULT = {"word": 0.5, "link": 0.2, "tag": -0.5}
+#: A tag that no labelled page has: nothing speaks against it.
+UNSEEN = -0.1
 #: An element whose features say that its words are main text less often than this is set apart.
 APART = 0.1
 
@@ -154,28 +158,49 @@ class Scores:
         return self.words.get(name, DEFAULT["link" if name == "a" else "word"])
 
     def tag(self, name: str) -> float:
-        return self.tags.get(name, DEFAULT["tag"])
+        return self.tags.get(name, UNSEEN if self.tags else DEFAULT["tag"])
 
     def share(self, feature: str) -> float:
         doubted = feature[1:-1] in DOUBTED if feature[0] == "<" else feature in DOUBTED_NAMES
         return self.kept.get(feature, 0.02 if doubted else 0.5)
 
 
+def _prose(page: Page, i: int) -> bool:
+    """Whether the element reads as running text: paragraphs of 20 words and more on the whole, few of them links, nothing to fill in."""
+    words = links = paragraphs = 0
+    for k in range(i + 1, page.end[i]):
+        if page.kind[k] == "text":
+            n = len(page.text[k].split())
+            words, links = words + n, links + n * (page.name[k] == "a")
+        elif page.kind[k] == "open":
+            paragraphs += page.name[k] == "p"
+            if page.name[k] in ("form", "input", "button", "select", "nav"):
+                return False
+    return words >= 40 and 5 * links < words and 0 < 20 * paragraphs <= words
+
+
 def apart(page: Page, scores: Scores) -> list[bool]:
     """Which tokens lie in an element that is set apart: one with a feature of little main text, if it is closed and
-    holds no article or main element. A form with over half of the page's words is the page's frame, not a form."""
+    holds no article or main element. A form with over half of the page's words is the page's frame, not a form. A
+    section within an article is a chapter, whatever its name says, if it reads as one and is none of comments."""
     n = len(page.kind)
     holds, words = [0] * (n + 1), [0] * (n + 1)
     for i in range(n):
         holds[i + 1] = holds[i] + (page.kind[i] == "open" and page.name[i] in ("article", "main"))
         words[i + 1] = words[i] + (len(page.text[i].split()) if page.kind[i] == "text" else 0)
-    out, until = [False] * n, -1
+    out, until, depth = [False] * n, -1, 0
     for i in range(n):
+        if page.name[i] == "article" and page.kind[i] != "text":
+            depth = max(0, depth + (1 if page.kind[i] == "open" else -1))
         if i <= until:
             out[i] = True
         elif page.kind[i] == "open" and page.end[i] > i and holds[page.end[i]] == holds[i]:
+            own = features(page.name[i], page.text[i])
+            if not any(scores.share(f) < APART for f in own):
+                continue
             frame = page.name[i] == "form" and 2 * (words[page.end[i]] - words[i]) > words[n]
-            if not frame and any(scores.share(f) < APART for f in features(page.name[i], page.text[i])):
+            chapter = page.name[i] == "section" and depth and not COMMENTS.intersection(own) and _prose(page, i)
+            if not frame and not chapter:
                 out[i], until = True, page.end[i]
     return out
 

@@ -390,6 +390,22 @@ def test_pages_in_one_form_and_empty_comments():
         assert html_extract.extract(f"<body>{comment}{body}</body>", scores) == ("word " * 30).strip()
 
 
+def test_chapters_whatever_their_names_say():
+    """A chapter of an article is no search box; comments, lists of links and boxes to fill in are not chapters."""
+    prose = "<h2>Title here</h2><p>" + "word " * 30 + "</p><p>" + "more " * 30 + "</p>"
+    page = "<html><body><nav><a href=1>Home</a></nav><article><p>" + "first " * 40 + "</p>{}<p>" + "last " * 40 + "</p></article><footer>end</footer></body></html>"
+    scores = learned([page.format("")] * 60)
+    for name in ("search", "related-work", "form-and-function", "promotion"):
+        got = html_extract.extract(page.format(f"<section id='{name}'>{prose}</section>"), scores).split()
+        assert [got.count(w) for w in ("first", "word", "more", "last", "Home", "end")] == [40, 30, 30, 40, 0, 0], name
+    for inner in (f"<section id=comments>{prose}</section>", "<section class=related>" + "<p><a href=x>some other page</a></p>" * 20 + "</section>", f"<section class=newsletter>{prose}<form><input name=a></form></section>", f"<div class=notice>{prose}</div>", f"<aside>{prose}</aside>"):
+        got = html_extract.extract(page.format(inner), scores).split()
+        assert [got.count(w) for w in ("first", "word", "other", "last")] == [40, 0, 0, 40], inner[:40]
+    table = "<table>" + "<tr><td>one</td><td>two</td><td>three</td></tr>" * 60 + "</table>"
+    got = html_extract.extract(page.format(table), scores).split()
+    assert [got.count(w) for w in ("first", "two", "last")] == [40, 60, 40]
+
+
 def test_labels_other_than_two(spark):
     docs = docs_of(spark, ["some words of a text"] * 12)
     labels = docs.select("doc_id", F.when(F.col("doc_id") < 3, 2).when(F.col("doc_id") < 6, -1).when(F.col("doc_id") < 9, 1).otherwise(0).alias("label"))
