@@ -177,9 +177,11 @@ def q13_incremental_runoff(spark, sf):
     return rounded(_increments(spark, sf), "mm")
 
 
-@query("SELECT (60 * i)::INT AS time_min, round(8e1 * (60 * i) / 72e1, 6) AS cum_mm FROM (SELECT unnest(range(13)) AS i)")
+@query(f"WITH {RAIN} SELECT day, (60 * i)::INT AS time_min, round(d.mm * (60 * i) / 72e1, 6) AS cum_mm FROM (SELECT day, sum(mm) AS mm FROM rain GROUP BY day) d, (SELECT unnest(range(13)) AS i)")
 def q14_uniform_storm(spark, sf):
-    return rounded(T.uniform_storm(spark, 80.0, 12, 60), "cum_mm")
+    """Each day's rain as a uniform storm of twelve hours."""
+    days = T.daily_rain(spark, sf).groupBy("day").agg(F.sum("mm").alias("rain_mm"))
+    return rounded(T.uniform_storms(days, 12, 60), "cum_mm")
 
 
 FILL = "WITH RECURSIVE " + ROUGH + """,
@@ -592,11 +594,17 @@ lb(r, c, zone) USING KEY (r, c) AS (SELECT r, c, id FROM tz UNION SELECT w.r, w.
 @query(_RIDGES + " SELECT zone, count(*)::BIGINT AS cells, round(avg(z), 6) AS mean_z FROM tz JOIN lb ON lb.r = tz.r AND lb.c = tz.c GROUP BY zone HAVING count(*) >= 20 ORDER BY cells DESC, zone LIMIT 30")
 def q34_ridges(spark, sf):
     n = T.side(spark, sf)
-    tpi = terrain.box_mean(T.grid(spark, sf), n, 7, "z", "mean").where((F.col("z") - F.col("mean") > 0.02) & F.col("r").between(1, n - 2) & F.col("c").between(1, n - 2))
-    crest = T.written(tpi.join(_counted(spark, sf).where("acc <= 2"), ["r", "c"]).select("r", "c", "z"))
+    crest = _crest(spark, sf)
     return _ridge_zones(crest, n)
 
 
+def _crest(spark, sf, least: float = 0.02) -> DataFrame:
+    """(r, c, z) of cells inside the grid that stand out above their surroundings by ``least`` and have hardly any flow."""
+    n = T.side(spark, sf)
+    tpi = terrain.box_mean(T.grid(spark, sf), n, 7, "z", "mean").where((F.col("z") - F.col("mean") > least) & F.col("r").between(1, n - 2) & F.col("c").between(1, n - 2))
+    return T.written(tpi.join(_counted(spark, sf).where("acc <= 2"), ["r", "c"]).select("r", "c", "z"))
+
+
 def _ridge_zones(crest: DataFrame, n: int, least_m: float = 100.0) -> DataFrame:
     """The 30 largest connected parts of the thinned crest, of those as long as ``least_m`` or more, in cells."""
     thin = T.written(terrain.erode(crest))
@@ -652,10 +660,14 @@ def q39_rolling_rain(spark, sf):
     return rounded(T.daily_rain(spark, sf).select("time_min", "hour", "mm", F.sum("mm").over(w).alias("mm_6h")), "mm", "mm_6h", digits=9)
 
 
-@query()
+@query(_SIM + """ SELECT site, time_min, name, round(least(fill_pct, 1e2), 1) AS fill_pct, first_overflow_hr IS NOT NULL AS overflowed,
+  first_overflow_hr IS NOT NULL AND abs(first_overflow_hr - time_min / 6e1) < 1 + 1e-6 AS first_overflow_this_step FROM st""")
 def q40_fill_frames(spark, sf):
-    """One row per site and step, with a map from store to how full it is."""
-    return _simulated(spark, sf).groupBy("site", "time_min").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", F.struct(F.round("fill_pct", 4).alias("fill_pct"), (F.col("overflow") > 0).alias("overflowed")))))).alias("fills"))
+    """Each store at each frame: how full it is, whether it has overflowed yet, and whether that was within the last step."""
+    out = _simulated(spark, sf)
+    gone = F.col("first_overflow_hr").isNotNull()
+    just = gone & (F.abs(F.col("first_overflow_hr") - F.col("time_min") / 60.0) < 1 + 1e-6)
+    return out.select("site", "time_min", "name", (F.round(F.least("fill_pct", F.lit(100.0)), 1) + 0.0).alias("fill_pct"), gone.alias("overflowed"), just.alias("first_overflow_this_step"))
 
 
 def _near_sql(grid: str) -> str:

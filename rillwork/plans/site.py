@@ -11,7 +11,7 @@ from rillwork.functions import hydro as H
 from rillwork.functions import labels as L
 from rillwork.functions import projection as P
 from rillwork.operators import cascade, contours, rings, terrain, vector
-from rillwork.plans.catalog import _EXITS, _FOLD, _FRAMES, _INC, _LINES, _NONE, _SAMPLES, _SCORED, _WORKS, _X, _Y, AREA, GRID, ORACLE, SLOPE, WALK, _cells, _class_counts, _counted, _frames, _increments, _keypoints, _lines, _q, _routed, _scored, _separation, _storm_steps, q20_exits, q23_swale_segments, q35_pond_sites, query, rounded
+from rillwork.plans.catalog import _EXITS, _FOLD, _FRAMES, _INC, _LINES, _NONE, _RIDGES, _SAMPLES, _SCORED, _WORKS, _X, _Y, AREA, GRID, ORACLE, SLOPE, WALK, _cells, _class_counts, _counted, _crest, _frames, _increments, _keypoints, _lines, _q, _routed, _scored, _separation, _storm_steps, q20_exits, q23_swale_segments, q35_pond_sites, query, rounded
 from rillwork.sources import tables as T
 
 _E = "1e-9"
@@ -302,14 +302,22 @@ def q65_contour_lines(spark, sf):
     return rounded(out.select("level", "length_m"), "length_m", digits=4)
 
 
-@query()
+@query(_RIDGES + """,
+bg AS (SELECT lb.zone, tz.r, tz.c, tz.z, tz.id FROM lb JOIN tz ON tz.r = lb.r AND tz.c = lb.c WHERE zone IN (SELECT zone FROM lb GROUP BY zone HAVING count(*) >= 3)),
+dg AS (SELECT x.zone, x.r, x.c, x.id, count(*) - 1 AS near FROM bg x JOIN bg y ON y.zone = x.zone AND abs(y.r - x.r) <= 1 AND abs(y.c - x.c) <= 1 GROUP BY ALL),
+wk AS (SELECT zone, 0 AS seq, r, c, [id] AS seen FROM dg WHERE true QUALIFY row_number() OVER (PARTITION BY zone ORDER BY near <= 1 DESC, r, c) = 1
+  UNION ALL SELECT zone, seq + 1, r2, c2, list_append(seen, id2) FROM (SELECT wk.*, b.r AS r2, b.c AS c2, b.id AS id2, row_number() OVER (PARTITION BY wk.zone ORDER BY b.r - wk.r, b.c - wk.c) AS k
+    FROM wk JOIN bg b ON b.zone = wk.zone AND abs(b.r - wk.r) <= 1 AND abs(b.c - wk.c) <= 1 AND NOT list_contains(seen, b.id)) WHERE k = 1),
+pt AS (SELECT wk.zone, wk.seq, bg.z, 5 * sqrt(power(wk.r - lag(wk.r) OVER w, 2) + power(wk.c - lag(wk.c) OVER w, 2)) AS d FROM wk JOIN bg ON bg.r = wk.r AND bg.c = wk.c WINDOW w AS (PARTITION BY wk.zone ORDER BY wk.seq)),
+rl AS (SELECT zone, count(*)::BIGINT AS cells, coalesce(sum(d), 0e0) AS len, avg(z) AS mz FROM pt GROUP BY zone HAVING count(*) >= 2 ORDER BY len DESC, zone LIMIT 30)
+SELECT zone, cells, round(len, 6) AS length_m, round(mz, 6) AS mean_z, 'Ridge — ' || """ + _f("len", 0, "") + """ || ' m' AS label FROM rl""")
 def q66_ridge_lines(spark, sf):
-    """The longest ridges as lines: the thinned crests of q34, walked from end to end."""
+    """The longest ridges as lines with labels: the thinned crests of q34, walked from end to end."""
     n = T.side(spark, sf)
-    tpi = terrain.box_mean(T.grid(spark, sf), n, 7, "z", "mean").where((F.col("z") - F.col("mean") > 0.02) & F.col("r").between(1, n - 2) & F.col("c").between(1, n - 2))
-    crest = T.written(tpi.join(_counted(spark, sf).where("acc <= 2"), ["r", "c"]).select("r", "c", "z"))
+    crest = _crest(spark, sf)
     zones = T.written(terrain.components(T.written(terrain.erode(crest)), n, eight=False))
-    return rounded(vector.thinned_ridges(crest, zones, n, T.CELL, 15.0), "length_m", "mean_z")
+    out = vector.thinned_ridges(crest, zones, n, T.CELL, 15.0)
+    return rounded(out.withColumn("label", L.ridge_label("length_m")), "length_m", "mean_z")
 
 
 @query(_FRAMES + """, ce AS (SELECT r, c, sum(v) AS v FROM fr GROUP BY r, c) SELECT 'incremental' AS mode, round(greatest(1e0, coalesce(max(v), 0e0)), 4) AS top FROM fr UNION ALL SELECT 'cumulative', round(greatest(1e0, coalesce(max(v), 0e0)), 4) FROM ce""")

@@ -99,10 +99,16 @@ def read_hyetograph(spark: SparkSession, path: str) -> DataFrame:
     return zero.unionAll(out)
 
 
-def uniform_storm(spark: SparkSession, rain_mm: float, hours: float, step_min: int) -> DataFrame:
+def uniform_storms(storms: DataFrame, hours: float, step_min: int) -> DataFrame:
+    """The columns of ``storms`` but rain_mm, with time_min and cum_mm: each storm's depth rain_mm spread evenly over so many hours.
+
+    One step at least; a null depth gives null depths.
+    """
     n = max(1, int(hours * 60 / step_min))
-    t = F.col("id") * step_min
-    return spark.range(n + 1).select(t.cast("int").alias("time_min"), (rain_mm * t / (hours * 60)).alias("cum_mm"))
+    t = (F.col("k") * step_min).cast("int")
+    rest = [c for c in storms.columns if c != "rain_mm"]
+    each = storms.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n))))
+    return each.select(*rest, t.alias("time_min"), (F.col("rain_mm") * t / (hours * 60)).alias("cum_mm"))
 
 
 def works(spark: SparkSession, sf_dir: str) -> DataFrame:
