@@ -4,6 +4,7 @@ import random
 import re
 import sys
 import time
+import zlib
 from collections import Counter
 from html.parser import HTMLParser
 from pathlib import Path
@@ -680,3 +681,21 @@ def test_classifier_on_odd_rows(spark):
         assert want is None or all(r.score == want for r in got)
         assert quality_classifier.score(docs.limit(0), model, ["doc_id"]).count() == 0
         assert got[4].score == got[5].score  # repeated rows
+
+
+def test_toxicity_query(spark):
+    """The registered query against plain scoring of every whole text with the same model, and its held-out catch."""
+    sf = "/root/testdata/sf0.01"
+    model = toxicity.fit_tables(queries.table(spark, sf, "documents"), queries._labels(spark, sf, "toxic"))
+    two = model.compressors()
+    texts = {r.doc_id: r.text for r in queries.table(spark, sf, "documents").collect()}
+    toxic = {r.doc_id: r.toxic for r in queries.table(spark, sf, "labels").collect()}
+    got = queries.op10_toxicity(spark, sf).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        z = float(toxicity.features(toxicity.margins(texts[r.doc_id], *two, model.p), model.thresholds) @ model.weights[:-1] + model.weights[-1])
+        assert r.score == pytest.approx(1 / (1 + np.exp(-np.clip(z, -30, 30))), abs=1e-9)
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.5)
+    known = [r for r in got if toxic.get(r.doc_id) is not None]
+    assert sum(r.predicted == toxic[r.doc_id] for r in known) >= 0.9 * len(known)  # some labels are wrong by themselves
+    assert toxicity.score(docs_of(spark, ["a"]).limit(0), model, ["doc_id"]).count() == 0
