@@ -55,7 +55,7 @@ def _folded(first: int, last: int) -> Column:
             inflow = F.greatest(F.lit(0.0), F.coalesce(F.get(s["inflow"], k), F.lit(0.0)))
             have = F.get(acc["held"], F.size(a["out"])) + inflow + F.when(s["leads"], a["spill"]).otherwise(0.0)
             gone = F.least(s["rate"] * F.get(F.col("hours"), k), have)
-            now = F.greatest(F.lit(0.0), have - gone)
+            now = F.greatest(F.lit(0.0), have - s["rate"] * F.get(F.col("hours"), k))  # what is there less what seeps away
             over = F.greatest(F.lit(0.0), now - s["capacity"])
             one = F.struct(inflow.alias("inflow"), gone.alias("infiltration"), F.least(now, s["capacity"]).alias("stored"), over.alias("overflow"))
             return F.struct(F.when(s["leads"], over).otherwise(a["spill"] + over).alias("spill"), F.array_append(a["out"], one).alias("out"))
@@ -78,7 +78,8 @@ def simulate(stores: DataFrame, feed: DataFrame, inflow: Column | None = None) -
     steps = feed.agg(F.sort_array(F.collect_list(F.struct("time_min", "hours", "mm"))).alias("steps"))  # one row: a storm's steps
     into = F.transform("steps", lambda s: s["mm"] / 1000.0 * F.col("area") * F.col("feed")) if inflow is None else F.col("_in")
     rows = (stores if inflow is None else stores.withColumn("_in", inflow)).crossJoin(F.broadcast(steps))
-    blocks = written(_blocks(rows, into))
+    # few rows with much to do in each: a task for each row, as far as there are cores
+    blocks = written(_blocks(rows, into).repartition(stores.sparkSession.sparkContext.defaultParallelism, "site", "block"))
     size = steps.select(F.size("steps")).first()[0]
     most = blocks.agg(F.max("block")).first()[0]
     at = steps.select(F.transform("steps", lambda s: s["hours"].cast("double")).alias("hours"), F.transform("steps", lambda s: s["time_min"]).alias("times"))

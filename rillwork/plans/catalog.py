@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -479,6 +480,10 @@ def _frames(spark, sf) -> DataFrame:
     sum_of = lambda k: F.aggregate("s", F.lit(0.0), lambda a, x: a + x[k])
     all_mm = F.struct(*[sum_of(f"mm{k}").alias(f"mm{k}") for k in CNS])
     row = steps.select(F.array_distinct(F.transform(wet, lambda x: F.struct(*[x[f"mm{k}"].alias(f"mm{k}") for k in CNS]))).alias("w"), all_mm.alias("all"))
+    row = T.written(row)
+    # counts are never below 0, so a step with less runoff of every class than another is nowhere the greatest
+    less = lambda x, y: (x != y) & reduce(lambda p, q: p & q, [y[f"mm{k}"] >= x[f"mm{k}"] for k in CNS])
+    row = T.written(row.select(F.filter("w", lambda x: ~F.exists("w", lambda y: less(x, y))).alias("w"), "all"))
     at = _class_counts(spark, sf).crossJoin(F.broadcast(row))
     return at.select("r", "c", "ends", F.coalesce(F.array_max(F.transform("w", _routed)), F.lit(0.0)).alias("peak_m3"), F.coalesce(_routed(F.col("all")), F.lit(0.0)).alias("total_m3"))
 
