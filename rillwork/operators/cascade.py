@@ -13,6 +13,8 @@ from rillwork.sources.tables import written
 
 #: Stores, and steps, that one fold takes at most.
 BLOCK, STEPS = 64, 1024
+#: Steps that are strung together at once.
+RUN = 32
 STEPS_SCHEMA = "site int, time_min int, name string, inflow double, infiltration double, stored double, overflow double, exit double, fill_pct double, first_overflow_hr double"
 
 
@@ -40,30 +42,54 @@ def _blocks(stores: DataFrame, inflow: Column) -> DataFrame:
     return own.groupBy("site", F.floor(place / BLOCK).cast("int").alias("block")).agg(F.sort_array(F.collect_list(store)).alias("stores"))
 
 
+def _inflow(s: Column, k: Column) -> Column:
+    return F.greatest(F.lit(0.0), F.coalesce(F.get(s["inflow"], k), F.lit(0.0)))
+
+
+def _kept(s: Column, have: Column, k: Column) -> Column:
+    """What is left of ``have`` once a step has seeped away; above the capacity it overflows."""
+    return F.greatest(F.lit(0.0), have - s["rate"] * F.get(F.col("hours"), k))
+
+
+def _store_steps(s: Column, held: Column, came: Column, first: int, last: int) -> Column:
+    """What a store has in each of the steps ``first`` to ``last`` (not included), before any of it seeps away, overflows or stays.
+
+    The rest of a step follows from this number. Only numbers are gathered, by RUN and the runs then strung together:
+    Spark copies what a fold has gathered at each of its steps.
+    """
+    none = F.expr("cast(array() as array<double>)")
+    stored = lambda have, k: F.least(_kept(s, have, k), s["capacity"])
+
+    def run(acc, k):
+        def step(out, k):
+            before = F.when(F.size(out) == 0, acc["held"]).otherwise(stored(F.get(out, F.size(out) - 1), k - 1))
+            return F.array_append(out, before + _inflow(s, k) + F.coalesce(F.get(came, k - first), F.lit(0.0)))
+
+        end = F.least(k + (RUN - 1), F.lit(last - 1))
+        return F.aggregate(F.sequence(k, end), none, step, lambda out: F.struct(stored(F.element_at(out, -1), end).alias("held"), F.array_append(acc["runs"], out).alias("runs")))
+
+    start = F.struct(held.alias("held"), F.expr("cast(array() as array<array<double>>)").alias("runs"))
+    return F.aggregate(F.sequence(F.lit(first), F.lit(last - 1), F.lit(RUN)), start, run, lambda a: F.flatten(a["runs"]))
+
+
 def _folded(first: int, last: int) -> Column:
     """Steps ``first`` to ``last`` (not included) of one row of stores, as columns ``stores``, ``held``, ``above``, ``hours``.
 
-    struct<held, spill, out>: what each store holds at the end; what the row's last level has spilled, for each step;
-    and for each step the row's stores as (inflow, infiltration, stored, overflow). ``above`` is what has come from
-    the row above in each step.
+    struct<spill, have>: what the row's last level spills in each step, and what each store has in each. One store
+    after the other runs through all the steps, since water only goes down. ``above`` is what has come from the row above in each step.
     """
-    none = F.expr("cast(array() as array<struct<inflow: double, infiltration: double, stored: double, overflow: double>>)")
-    start = F.struct(F.col("held").alias("held"), F.expr("cast(array() as array<double>)").alias("spill"), F.expr("cast(array() as array<array<struct<inflow: double, infiltration: double, stored: double, overflow: double>>>)").alias("out"))
 
-    def step(acc, k):
-        def store(a, s):
-            inflow = F.greatest(F.lit(0.0), F.coalesce(F.get(s["inflow"], k), F.lit(0.0)))
-            have = F.get(acc["held"], F.size(a["out"])) + inflow + F.when(s["leads"], a["spill"]).otherwise(0.0)
-            gone = F.least(s["rate"] * F.get(F.col("hours"), k), have)
-            now = F.greatest(F.lit(0.0), have - s["rate"] * F.get(F.col("hours"), k))  # what is there less what seeps away
-            over = F.greatest(F.lit(0.0), now - s["capacity"])
-            one = F.struct(inflow.alias("inflow"), gone.alias("infiltration"), F.least(now, s["capacity"]).alias("stored"), over.alias("overflow"))
-            return F.struct(F.when(s["leads"], over).otherwise(a["spill"] + over).alias("spill"), F.array_append(a["out"], one).alias("out"))
+    def store(a, s):
+        def keep(v):
+            over = F.transform(v, lambda have, i: F.greatest(F.lit(0.0), _kept(s, have, i + first) - s["capacity"]))
+            spill = F.when(s["leads"], over).otherwise(F.zip_with(a["spill"], over, lambda x, y: x + y))
+            return F.struct(spill.alias("spill"), F.array_append(a["have"], v).alias("have"))
 
-        row = F.aggregate("stores", F.struct(F.get(F.col("above"), k).alias("spill"), none.alias("out")), store)
-        return F.transform(F.array(row), lambda x: F.struct(F.transform(x["out"], lambda o: o["stored"]).alias("held"), F.array_append(acc["spill"], x["spill"]).alias("spill"), F.array_append(acc["out"], x["out"]).alias("out")))[0]
+        steps = _store_steps(s, F.get("held", F.size(a["have"])), F.when(s["leads"], a["spill"]), first, last)
+        return F.aggregate(F.array(steps), a, lambda _, v: keep(v))  # computed once, named twice
 
-    return F.aggregate(F.sequence(F.lit(first), F.lit(last - 1)), start, step)
+    start = F.struct(F.slice("above", first + 1, last - first).alias("spill"), F.expr("cast(array() as array<array<double>>)").alias("have"))
+    return F.aggregate("stores", start, store)
 
 
 def simulate(stores: DataFrame, feed: DataFrame, inflow: Column | None = None) -> DataFrame:
@@ -75,7 +101,7 @@ def simulate(stores: DataFrame, feed: DataFrame, inflow: Column | None = None) -
     on to the row below as an array, what it holds to its next steps. All sites advance together, so there are as
     many rounds as rows on the fullest site, times stretches of steps. Without stores, or without steps, there is no row.
     """
-    steps = feed.agg(F.sort_array(F.collect_list(F.struct("time_min", "hours", "mm"))).alias("steps"))  # one row: a storm's steps
+    steps = written(feed.agg(F.sort_array(F.collect_list(F.struct("time_min", "hours", "mm"))).alias("steps")))  # one row: a storm's steps
     into = F.transform("steps", lambda s: s["mm"] / 1000.0 * F.col("area") * F.col("feed")) if inflow is None else F.col("_in")
     rows = (stores if inflow is None else stores.withColumn("_in", inflow)).crossJoin(F.broadcast(steps))
     # few rows with much to do in each: a task for each row, as far as there are cores
@@ -95,7 +121,8 @@ def simulate(stores: DataFrame, feed: DataFrame, inflow: Column | None = None) -
         for first in range(0, size, STEPS):
             done = written(own.select("site", "stores", "above", "hours", "times", _folded(first, min(size, first + STEPS)).alias("f")).withColumn("from", F.lit(first)))
             parts.append(done)
-            own = done.select("site", "stores", "above", "hours", "times", F.col("f.held").alias("held"))
+            held = F.zip_with("stores", "f.have", lambda s, v: F.least(_kept(s, F.element_at(v, -1), F.col("from") + F.size(v) - 1), s["capacity"]))
+            own = done.select("site", "stores", "above", "hours", "times", held.alias("held"))
         out += parts
         # the stretches of a row follow each other
         whole = reduce(DataFrame.unionByName, [p.select("site", "from", F.col("f.spill").alias("spill")) for p in parts])
@@ -103,16 +130,22 @@ def simulate(stores: DataFrame, feed: DataFrame, inflow: Column | None = None) -
     if not out:
         return stores.sparkSession.createDataFrame([], STEPS_SCHEMA)
     every = reduce(DataFrame.unionByName, out)
-    series = every.select("site", "from", "times", F.posexplode("stores").alias("i", "s"), F.col("f.out").alias("o"))
-    series = series.select("site", "from", "times", "s.name", "s.capacity", "s.lowest", F.transform("o", lambda x: F.get(x, F.col("i"))).alias("v"))
+    def told(s, v):
+        def one(have, i):
+            k = F.col("from") + i
+            kept = _kept(s, have, k)
+            return F.struct(F.get("times", k).alias("time_min"), _inflow(s, k).alias("inflow"), F.least(s["rate"] * F.get("hours", k), have).alias("infiltration"), F.least(kept, s["capacity"]).alias("stored"), F.greatest(F.lit(0.0), kept - s["capacity"]).alias("overflow"))
+
+        return F.struct(s["name"].alias("name"), s["capacity"].alias("capacity"), s["lowest"].alias("lowest"), F.transform(v, one).alias("v"))
+
+    series = every.select("site", F.explode(F.zip_with("stores", "f.have", told)).alias("s")).select("site", "s.*")
     # the first step with an overflow, over all stretches of a store
-    wet = F.array_position(F.transform("v", lambda x: x["overflow"] > 0), True)
+    wet = F.get(F.filter("v", lambda x: x["overflow"] > 0), F.lit(0))["time_min"]
     if size > STEPS:
-        when = series.select("site", "name", F.when(wet > 0, F.get("times", (F.col("from") + wet - 1).cast("int"))).alias("t")).groupBy("site", "name").agg(F.min("t").alias("first"))
-        series = series.join(when, ["site", "name"])
+        series = series.join(series.groupBy("site", "name").agg(F.min(wet).alias("first")), ["site", "name"])
     else:
-        series = series.withColumn("first", F.when(wet > 0, F.get("times", (wet - 1).cast("int"))))
-    each = series.select("site", "name", "capacity", "lowest", "first", "times", "from", F.posexplode("v").alias("k", "x")).withColumn("time_min", F.get("times", F.col("from") + F.col("k")))
+        series = series.withColumn("first", wet)
+    each = series.select("site", "name", "capacity", "lowest", "first", F.explode("v").alias("x")).withColumn("time_min", F.col("x.time_min"))
     fill = F.when(F.col("capacity") > 0, 100 * F.col("x.stored") / F.col("capacity")).otherwise(0.0)
     return each.select(
         F.col("site").cast("int").alias("site"), F.col("time_min").cast("int").alias("time_min"), "name", "x.inflow", "x.infiltration", "x.stored", "x.overflow", F.when(F.col("lowest"), F.col("x.overflow")).otherwise(0.0).alias("exit"),
