@@ -153,6 +153,16 @@ def simulate(stores: DataFrame, feed: DataFrame, inflow: Column | None = None) -
     )
 
 
+def fills_at(works: DataFrame, simulated: DataFrame, frame: DataFrame) -> DataFrame:
+    """``works`` (site, name, ...) with ``fill``, from 0 to 1, as their stores stand in the one row of ``frame`` (time_min).
+
+    A work that was not simulated, or not in that frame, has 0. Works that repeat a name on a site all have its fill.
+    """
+    at = simulated.join(F.broadcast(frame), "time_min").groupBy("site", "name").agg(F.max("fill_pct").alias("_fill"))
+    fill = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.col("_fill") / 100, F.lit(0.0))))
+    return works.join(at, ["site", "name"], "left").withColumn("fill", fill).drop("_fill")
+
+
 def site_steps(simulated: DataFrame, runoff: DataFrame) -> DataFrame:
     """(site, time_min, runoff_m3, exit_m3, outflow_ls, baseline_ls): what leaves a site in each step, with its stores and without.
 

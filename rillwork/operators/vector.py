@@ -462,12 +462,14 @@ def ponding_frame(ponds: DataFrame, works: DataFrame, n: int, cell: float) -> Da
     """(r, c, name, depth) of ponded cells (r, c, x, y, depth) within five widths of a work (name, wx, wy, fill, width).
 
     The depth is the pond's times the store's fill, none at a millimetre or less; of several works the last by name
-    counts. A work is dealt to the rows it reaches, so cells meet only works beside them.
+    counts. A work is dealt to the rows it reaches and, in these, to stretches of 64 columns, so cells meet only works beside them.
     """
-    reach = F.col("width") * 5
+    reach, wide = F.col("width") * 5, cell * 64
     top, bottom = F.floor((cell * n - F.col("wy") - reach) / cell), F.floor((cell * n - F.col("wy") + reach) / cell)
-    rows = works.withColumn("r", F.explode(F.sequence(top, bottom))).withColumn("r", F.col("r").cast("int"))
-    close = ponds.join(rows, "r").where(F.sqrt(F.pow(F.col("x") - F.col("wx"), 2) + F.pow(F.col("y") - F.col("wy"), 2)) <= reach)
+    dealt = works.withColumn("r", F.explode(F.sequence(top, bottom))).withColumn("r", F.col("r").cast("int"))
+    dealt = dealt.withColumn("part", F.explode(F.sequence(F.floor((F.col("wx") - reach) / wide), F.floor((F.col("wx") + reach) / wide))))
+    near = F.sqrt(F.pow(F.col("x") - F.col("wx"), 2) + F.pow(F.col("y") - F.col("wy"), 2)) <= reach
+    close = ponds.withColumn("part", F.floor(F.col("x") / wide)).join(dealt, ["r", "part"]).where(near)
     last = close.groupBy("r", "c").agg(F.max_by(F.struct("name", (F.col("depth") * F.col("fill")).alias("d")), "name").alias("s"))
     return last.select("r", "c", "s.name", F.when(F.col("s.d") > 1e-3, F.col("s.d")).alias("depth"))
 

@@ -11,7 +11,7 @@ from rillwork.functions import hydro as H
 from rillwork.functions import labels as L
 from rillwork.functions import projection as P
 from rillwork.operators import cascade, contours, rings, terrain, vector
-from rillwork.plans.catalog import _EXITS, _FOLD, _FRAMES, _INC, _LINES, _NONE, _RIDGES, _SAMPLES, _SCORED, _WORKS, _X, _Y, AREA, GRID, ORACLE, SLOPE, WALK, _cells, _class_counts, _counted, _crest, _frames, _increments, _keypoints, _lines, _q, _routed, _scored, _separation, _storm_steps, q20_exits, q23_swale_segments, q35_pond_sites, query, rounded
+from rillwork.plans.catalog import FILL, _EXITS, _FOLD, _FRAMES, _INC, _LINES, _NONE, _RIDGES, _SAMPLES, _SCORED, _WORKS, _X, _Y, AREA, GRID, ORACLE, SLOPE, WALK, _cells, _class_counts, _counted, _crest, _filled, _frames, _increments, _keypoints, _lines, _q, _routed, _scored, _separation, _storm_steps, q20_exits, q23_swale_segments, q35_pond_sites, query, rounded
 from rillwork.sources import tables as T
 
 _E = "1e-9"
@@ -462,3 +462,22 @@ def q80_pond_layer(spark, sf):
     ha = F.col("acc") * AREA / 10000
     out = q35_pond_sites(spark, sf).select("rank", "r", "c", F.col("z").alias("elevation"), ha.alias("catchment_ha"), F.col("width_m").alias("dam_width_m"), L.pond_label("rank", ha, "width_m").alias("label"))
     return rounded(out, "catchment_ha")
+
+
+@query(_STORM + f""", fa AS (SELECT t FROM ru ORDER BY runoff_m3 DESC, t LIMIT 1),
+fi AS (SELECT sim.site, unnest(names) AS name, unnest(list_transform(list_zip(ss, s), lambda x: least(1e0, x[2].stored / x[1].cap))) AS fill FROM sim JOIN si ON si.site = sim.site JOIN fa ON fa.t = sim.t),
+wo AS (SELECT s_nationkey AS site, s_name AS name, s_suppkey * 37 % n.n AS r, s_suppkey * 91 % n.n AS c FROM supplier, n UNION ALL SELECT n_nationkey, n_name, n_nationkey * 53 % n.n, n_nationkey * 71 % n.n FROM nation, n),
+po AS ({FILL} SELECT g.r, g.c, w - z AS depth FROM f JOIN g ON g.r = f.r AND g.c = f.c WHERE w > z),
+j AS (SELECT po.r, po.c, wo.name, depth * coalesce(fill, 0e0) AS d FROM po JOIN wo ON power(po.r - wo.r, 2) + power(po.c - wo.c, 2) <= 16 LEFT JOIN fi ON fi.site = wo.site AND fi.name = wo.name
+  QUALIFY row_number() OVER (PARTITION BY po.r, po.c ORDER BY wo.name DESC) = 1)
+SELECT r, c, name, round(CASE WHEN d > 1e-3 THEN d END, 6) AS depth FROM j""")
+def q81_storm_ponding(spark, sf):
+    """The ponds of the frame in which most runs off: as full as the store beside them, dry beside a drain, which stores nothing."""
+    n, k = T.side(spark, sf), F.col("n_nationkey")
+    simulated, runoff = _site_storm(spark, sf)
+    frame = runoff.agg(F.max_by("time_min", F.struct("runoff_m3", -F.col("time_min"))).alias("time_min"))
+    drains = T.table(spark, sf, "nation").select(k.alias("site"), F.col("n_name").alias("name"), (k * 53 % n).cast("int").alias("r"), (k * 71 % n).cast("int").alias("c"))
+    works = vector.with_centres(_placed_stores(spark, sf).select("site", "name", "r", "c").unionByName(drains), n, T.CELL)
+    works = cascade.fills_at(works.select("site", "name", F.col("x").alias("wx"), F.col("y").alias("wy"), F.lit(4.0).alias("width")), simulated, frame)
+    ponds = vector.with_centres(_filled(spark, sf), n, T.CELL).withColumn("depth", F.col("w") - F.col("z")).where("depth > 0")
+    return rounded(vector.ponding_frame(ponds.select("r", "c", "x", "y", "depth"), works.select("name", "wx", "wy", "fill", "width"), n, T.CELL), "depth")
