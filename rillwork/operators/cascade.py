@@ -33,7 +33,7 @@ def _blocks(stores: DataFrame, inflow: Column) -> DataFrame:
     """
     level = F.coalesce(F.col("elevation").cast("double"), F.lit(float("-inf")))
     own = stores.select("site", "name", level.alias("level"), F.col("capacity").cast("double").alias("capacity"), (F.col("rate") / 1000.0 * F.col("area")).cast("double").alias("rate"), inflow.alias("inflow")).dropDuplicates(["site", "name"])
-    own = global_rank(own, "place", F.col("site"), F.desc("level"), F.col("name"))
+    own = global_rank(written(own), "place", F.col("site"), F.desc("level"), F.col("name"))
     sites = own.groupBy("site").agg(F.min("place").alias("start"), F.min("level").alias("bottom"))
     heads = own.groupBy("site", "level").agg(F.min("name").alias("head"))
     own = own.join(sites, "site").join(heads, ["site", "level"])
