@@ -411,12 +411,15 @@ def q28_receivers(spark, sf):
 
 
 def _simulated(spark, sf) -> DataFrame:
-    """Over all days of rain: the runoff of each is that of a storm of its own, the stores keep what they hold."""
+    """Over all days of rain: the runoff of each is that of a storm of its own, the stores keep what they hold.
+
+    As the SQL has it, stores of one height pass their water on in the order of their names.
+    """
     storm = Window.partitionBy("day").orderBy("hour")
     q = T.daily_rain(spark, sf).withColumn("q", H.runoff_mm(F.sum("mm").over(storm.rowsBetween(Window.unboundedPreceding, 0)), F.lit(70)))
     hours = (F.col("time_min") - F.lag("time_min", 1, 0).over(Window.orderBy("time_min"))) / 60.0  # a row an hour: few
     feed = q.select("time_min", hours.alias("hours"), F.greatest(F.lit(0.0), F.col("q") - F.lag("q", 1, 0.0).over(storm)).alias("mm"))
-    return cascade.simulate(T.stores(spark, sf), feed)
+    return cascade.simulate(T.stores(spark, sf), feed, by_name=True)
 
 
 #: Every site's stores from the highest down, a step at a time: what one spills comes to the next in the same step.

@@ -18,8 +18,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The same rows from a table in the shared folder, so that lineage ends there."""
+def written(df: DataFrame, *by: str) -> DataFrame:
+    """The same rows from a table in the shared folder, so that lineage ends there; with a folder for each value of ``by``."""
     spark = df.sparkSession
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
@@ -29,7 +29,7 @@ def written(df: DataFrame) -> DataFrame:
         root = at.get() if at.isDefined() else tempfile.mkdtemp(prefix="rillwork-")
         spark.sparkContext.setCheckpointDir(root)
     path = f"{root.rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
