@@ -22,7 +22,7 @@ def tied(spark, tmp_path_factory):
     return str(at)
 
 
-@pytest.mark.parametrize("name", ["q56_site_storm"])
+@pytest.mark.parametrize("name", ["q56_site_storm", "q57_compare_storms"])
 def test_ties_as_in_sql(spark, tied, name):
     same(spark, catalog.QUERIES[name], catalog.ORACLE[name], tied)
 
