@@ -264,7 +264,7 @@ def q19_catchments(spark, sf):
     bearing = F.radians(F.coalesce(F.try_element_at(code, F.col("dir")), F.lit(0.0)))
     # a cell's direction counts as much as what flows through it
     acc = terrain.accumulate(flow, n, {"acc": F.lit(1.0)})
-    cells = flow.select((F.col("r").cast("long") * n + F.col("c")).alias("id"), bearing.alias("b")).join(own, "id").join(acc, "id")
+    cells = flow.select((F.col("r").cast("long") * n + F.col("c")).alias("id"), bearing.alias("b")).hint("merge").join(own, "id").join(acc, "id")
     east, north = F.round(F.sum(F.col("acc") * F.sin("b")), 6), F.round(F.sum(F.col("acc") * F.cos("b")), 6)
     out = cells.groupBy("outlet").agg(F.count("*").alias("cells"), (F.count("*") * AREA).alias("area_m2"), F.pmod(F.degrees(F.atan2(east, north)) + 360.0, F.lit(360.0)).alias("bearing"))
     return rounded(out, "bearing", digits=4)
@@ -454,7 +454,8 @@ def _class_counts(spark, sf) -> DataFrame:
     n = T.side(spark, sf)
     flow = T.written(terrain.d8(T.grid(spark, sf), T.CELL).select("r", "c", "cn", "to_r", "to_c"))
     counts = _cells(terrain.accumulate(flow, n, {f"cn{k}": (F.col("cn") == k).cast("double") for k in CNS}), n)
-    return counts.join(flow.select("r", "c", F.col("to_r").isNull().alias("ends")), ["r", "c"])
+    # nine million cells of whole numbers are a file of few MB, which Spark would take for small and send through the driver
+    return counts.join(flow.select("r", "c", F.col("to_r").isNull().alias("ends")).hint("merge"), ["r", "c"])
 
 
 def _storm_steps(increments: DataFrame) -> DataFrame:
