@@ -157,20 +157,27 @@ def _along_pointers(state: DataFrame, names: list[str], how: str = "sum") -> Dat
 
 def _within_tile(pdf: pd.DataFrame, names: list[str], how: str = "sum") -> tuple[np.ndarray, dict[str, np.ndarray]]:
     """For the cells of one tile: the place of the last cell of each one's path inside, and what weights come to inside, by doubling."""
-    at = {int(x): k for k, x in enumerate(pdf["id"])}
-    to = np.array([at.get(int(x), -1) if x == x else -1 for x in pdf["to"]], np.int64)
+    ids, far = pdf["id"].to_numpy(), pdf["to"].to_numpy(np.float64)
+    order = np.argsort(ids)
+    sought = np.where(np.isnan(far), -1, far).astype(np.int64)
+    place = order[np.minimum(np.searchsorted(ids, sought, sorter=order), len(ids) - 1)]
+    to = np.where(ids[place] == sought, place, -1)
     root = np.where(to < 0, np.arange(len(to)), to)
     sums = {k: pdf[k].to_numpy(np.float64).copy() for k in names}
-    ptr = to
+    ptr = to.copy()
     for _ in range(64):
-        live = ptr >= 0
-        if not live.any():
+        live = np.flatnonzero(ptr >= 0)
+        if not len(live):
             return root, sums
+        at = ptr[live]
         for k in names:
-            new = sums[k].copy()
-            _MEET[how][2].at(new, ptr[live], sums[k][live])
-            sums[k] = new
-        ptr = np.where(live, ptr[np.maximum(ptr, 0)], -1)
+            if how == "sum":
+                sums[k] = sums[k] + np.bincount(at, sums[k][live], len(ptr))
+            else:
+                new = sums[k].copy()
+                _MEET[how][2].at(new, at, sums[k][live])
+                sums[k] = new
+        ptr[live] = ptr[at]
         root = root[root]
     raise RuntimeError("the drainage has a loop")
 
@@ -270,18 +277,22 @@ def components(cells: DataFrame, n: int, eight: bool = True) -> DataFrame:
 
 
 def _uphill(z: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Spreads 1 from marked cells to neighbours that lie as high or higher. 0.5 marks cells that never pass it on."""
-    out = w.copy()
-    todo = [(i, j) for i, j in zip(*np.nonzero(w == 1), strict=True)]
+    """Spreads 1 from marked cells to neighbours that lie as high or higher. 0.5 marks cells that never pass it on.
+
+    All cells that were reached last look around at once.
+    """
     rows, cols = z.shape
-    while todo:
-        i, j = todo.pop()
-        for x in range(max(0, i - 1), min(rows, i + 2)):
-            for y in range(max(0, j - 1), min(cols, j + 2)):
-                if out[x, y] == 0 and z[x, y] >= z[i, j]:
-                    out[x, y] = 1
-                    todo.append((x, y))
-    return out
+    high = np.pad(z, 1, constant_values=np.nan).ravel()
+    out = np.pad(w, 1, constant_values=2.0).ravel()
+    wide = cols + 2
+    steps = np.array([x * wide + y for x in (-1, 0, 1) for y in (-1, 0, 1) if x or y])
+    todo = np.flatnonzero(out == 1)
+    while len(todo):
+        near = todo[:, None] + steps
+        new = near[(out[near] == 0) & (high[near] >= high[todo][:, None])]
+        out[new] = 1
+        todo = np.unique(new)
+    return out.reshape(rows + 2, wide)[1:-1, 1:-1]
 
 
 def _dealt(cells: DataFrame, tile: int) -> DataFrame:
@@ -365,7 +376,7 @@ def fill_depressions(cells: DataFrame, n: int, tile: int = 128) -> DataFrame:
     return spill.fill(cells, n, tile)
 
 
-def uphill(cells: DataFrame, start: Column, barrier: Column, tile: int = 128) -> DataFrame:
+def uphill(cells: DataFrame, start: Column, barrier: Column, tile: int = 512) -> DataFrame:
     """cell(r, c, z, w): w >= 0.5 where a cell is a start, a barrier, or reached from a start going never down."""
     return tiled_fixpoint(cells.withColumn("w", F.when(start, 1.0).when(barrier, 0.5).otherwise(0.0)), _uphill, tile)
 
