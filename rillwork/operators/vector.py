@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rillwork.functions import geometry as G
-from rillwork.sources.tables import written
+from rillwork.sources.tables import forget, written
 
 
 def with_centres(cells: DataFrame, n: int, cell: float) -> DataFrame:
@@ -103,32 +105,63 @@ def burn_diversion(cells: DataFrame, points: list[tuple[float, float]], depth: f
     return cells.join(lowest, ["r", "c"], "left").withColumn("z", F.least("z", F.coalesce("floor", "z"))).drop("floor")
 
 
+#: Side of the tiles in which ``all_apart`` takes cells, in cells.
+APART_TILE = 1024
+
+
+def _apart_in_tile(pdf: pd.DataFrame, apart: float) -> pd.DataFrame:
+    """The own cells of a tile that are taken or still open, from all cells within ``apart`` of it that are.
+
+    From the greatest down a cell goes if one is taken within that distance, and is taken if none is open there
+    either. Of cells beyond the tile not all neighbours are here: those that do not go stay as they came.
+    """
+    pdf = pdf.sort_values(["last", "v", "r", "c"], ascending=[True, False, True, True])
+    side, least = max(1, int(apart / 2**0.5)), apart * apart
+    reach = int(apart / side) + 1
+    steps = [(i, j) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1)]
+    taken, undecided = {}, {}  # by blocks of which no two cells can be taken
+    for r, c in pdf.loc[pdf["won"], ["r", "c"]].itertuples(index=False):
+        taken[r // side, c // side] = (r, c)
+    state = []
+    for r, c, won, own in zip(*(pdf[k].tolist() for k in ("r", "c", "won", "own")), strict=True):
+        if won:
+            state.append(1)
+            continue
+        i, j = r // side, c // side
+        near = [(i + di, j + dj) for di, dj in steps]
+        if any((t := taken.get(k)) and (t[0] - r) ** 2 + (t[1] - c) ** 2 < least for k in near):
+            state.append(0)
+        elif not own or any((x - r) ** 2 + (y - c) ** 2 < least for k in near for x, y in undecided.get(k, ())):
+            undecided.setdefault((i, j), []).append((r, c))
+            state.append(2)
+        else:
+            taken[i, j] = (r, c)
+            state.append(1)
+    state = np.array(state, np.int8)
+    pdf["won"] = state == 1
+    return pdf.loc[pdf["own"] & (state > 0), ["r", "c", "v", "last", "won"]]
+
+
 def all_apart(cells: DataFrame, by: str, apart: float) -> DataFrame:
     """Cells (r, c, by) from the greatest value down, each at least ``apart`` cells from all taken before it; ties by row and column.
 
-    All cells that are greater than every other left within that distance are taken at once and those too close to
-    them go, which gives what taking one by one would. Of a block no two cells can be taken, so only its greatest is
-    compared, with the cells of the blocks around it.
+    A tile takes its own cells in that order, but for those that wait for a greater one beyond its edge. Rounds follow
+    until none waits; the greatest cell left never does. A chain of cells of which each waits for the next takes a
+    round for each tile that it crosses.
     """
-    side = max(1, int(apart / 2**0.5))
-    key = F.struct(F.col(by), (-F.col("r")).alias("r"), (-F.col("c")).alias("c"))
-    left = written(cells.select("r", "c", by).withColumns({"br": F.floor(F.col("r") / side), "bc": F.floor(F.col("c") / side), "key": key}))
-    reach = int(apart / side) + 1
-    around = lambda x: F.explode(F.sequence(F.col(x) - reach, F.col(x) + reach))
-    near = lambda a, b: (F.pow(F.col(f"{a}.r") - F.col(f"{b}.r"), 2) + F.pow(F.col(f"{a}.c") - F.col(f"{b}.c"), 2)) < apart * apart
-    taken = []
-    while not left.isEmpty():
-        best = left.groupBy("br", "bc").agg(F.max("key").alias("key"))
-        best = best.select((-F.col("key.r")).alias("r"), (-F.col("key.c")).alias("c"), F.col(f"key.{by}").alias(by), "key", around("br").alias("br"), "bc").select("r", "c", by, "key", "br", around("bc").alias("bc"))
-        beaten = best.alias("x").join(left.alias("y"), ["br", "bc"]).where(near("x", "y") & (F.col("y.key") > F.col("x.key"))).select("x.r", "x.c").distinct()
-        won = written(best.select("r", "c", by).distinct().join(beaten, ["r", "c"], "left_anti"))
-        taken.append(won)
-        spread = won.select("r", "c", around_of("r", side, reach).alias("br")).select("r", "c", "br", around_of("c", side, reach).alias("bc"))
-        gone = left.alias("y").join(spread.alias("x"), ["br", "bc"]).where(near("x", "y")).select("y.r", "y.c").distinct()
-        left = written(left.join(gone, ["r", "c"], "left_anti"))
-    if not taken:
-        return cells.select("r", "c", by).limit(0)
-    return reduce(DataFrame.unionAll, taken)
+    tile, reach = max(APART_TILE, math.ceil(apart)), math.ceil(apart)
+    given = written(cells.select("r", "c", by))
+    value = F.col(by).cast("double")
+    last = F.when(value.isNull(), 2).when(F.isnan(value), 0).otherwise(1)  # pandas does not tell null from NaN, the greatest
+    state = written(given.select(F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), value.alias("v"), last.alias("last"), F.lit(False).alias("won")))
+    ranges = lambda x: F.explode(F.sequence(F.floor((F.col(x) - reach) / tile), F.floor((F.col(x) + reach) / tile)))
+    own = (F.floor(F.col("r") / tile) == F.col("tr")) & (F.floor(F.col("c") / tile) == F.col("tc"))
+    while not state.where("not won").isEmpty():
+        dealt = state.withColumn("tr", ranges("r")).withColumn("tc", ranges("c")).withColumn("own", own)
+        new = written(dealt.groupBy("tr", "tc").applyInPandas(lambda pdf: _apart_in_tile(pdf, apart), "r int, c int, v double, last int, won boolean"))
+        forget(state)
+        state = new
+    return given.join(state.select("r", "c"), ["r", "c"], "left_semi")
 
 
 def auto_outlets(acc: DataFrame, n: int, threshold: float, apart: float = 20.0) -> DataFrame:
@@ -144,10 +177,6 @@ def auto_outlets(acc: DataFrame, n: int, threshold: float, apart: float = 20.0)
     return best.where("b is not null").select("b.*")
 
 
-def around_of(axis: str, side: int, reach: int) -> Column:
-    return F.explode(F.sequence(F.floor(F.col(axis) / side) - reach, F.floor(F.col(axis) / side) + reach))
-
-
 def greedy_apart(cells: DataFrame, by: str, apart: float, most: int, square: bool = False) -> DataFrame:
     """Up to ``most`` cells from the greatest value down, each at least ``apart`` cells from all taken before.
 
