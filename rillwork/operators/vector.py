@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -467,24 +468,46 @@ def outline(cells: DataFrame) -> DataFrame:
     return cells.select(F.explode(sides).alias("s")).select("s.*").groupBy("x0", "y0", "x1", "y1").count().where("count = 1").drop("count")
 
 
+def _walked(cells: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """From the first cell with one neighbour or none to the first unvisited neighbour, until there is none."""
+    left = set(cells)
+    near = lambda p: [(p[0] + a, p[1] + b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a or b) and (p[0] + a, p[1] + b) in left]
+    ends = sorted(p for p in left if len(near(p)) <= 1)
+    at, out = (ends or sorted(left))[0], []
+    while at is not None:
+        out.append(at)
+        left.discard(at)
+        at = next(iter(near(at)), None)
+    return out
+
+
 def ordered_pixels(zones: DataFrame) -> DataFrame:
     """(zone, seq, r, c): each zone's cells as a line, from the first cell with one neighbour or none to the first unvisited neighbour.
 
-    Where the walk ends, what is left of the zone is not part of the line. A zone is one group: a thinned ridge.
+    Where the walk ends, what is left of the zone is not part of the line. A task reads its zones one after the other
+    and holds one of them, a thinned ridge: most are of few cells, too few for a group of their own.
     """
 
-    def walk(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        left = set(zip(pdf["r"].tolist(), pdf["c"].tolist(), strict=True))
-        near = lambda p: [(p[0] + a, p[1] + b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a or b) and (p[0] + a, p[1] + b) in left]
-        ends = sorted(p for p in left if len(near(p)) <= 1)
-        at, out = (ends or sorted(left))[0], []
-        while at is not None:
-            out.append(at)
-            left.discard(at)
-            at = next(iter(near(at)), None)
-        return pd.DataFrame([(key[0], i, r, c) for i, (r, c) in enumerate(out)], columns=["zone", "seq", "r", "c"])
-
-    return zones.select("zone", "r", "c").groupBy("zone").applyInPandas(walk, "zone long, seq int, r int, c int")
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        zone, own, out = None, [], []
+
+        def told():
+            out.extend((zone, i, r, c) for i, (r, c) in enumerate(_walked(own)))
+
+        for pdf in batches:
+            for z, r, c in zip(pdf["zone"].tolist(), pdf["r"].tolist(), pdf["c"].tolist(), strict=True):
+                if z != zone:
+                    if own:
+                        told()
+                    zone, own = z, []
+                own.append((r, c))
+            yield pd.DataFrame(out, columns=["zone", "seq", "r", "c"])
+            out = []
+        if own:
+            told()
+            yield pd.DataFrame(out, columns=["zone", "seq", "r", "c"])
+
+    return zones.select("zone", "r", "c").repartition("zone").sortWithinPartitions("zone").mapInPandas(walk, "zone long, seq int, r int, c int")
 
 
 def ponding_frame(ponds: DataFrame, works: DataFrame, n: int, cell: float) -> DataFrame:
