@@ -550,14 +550,15 @@ def _separation(n: int) -> float:
     return float(max(10, int(n * 0.1)))
 
 
-def _scored(spark, sf, site: DataFrame | None = None) -> DataFrame:
+def _scored(spark, sf, site: DataFrame | None = None, acc: DataFrame | None = None) -> DataFrame:
     """Valley cells up to the 75th percentile of flow, all of them if that leaves none, by flow over gentle slope.
 
-    With a ``site`` (r, c) only its cells: those of the band, or if there are none, those of the valley.
+    With a ``site`` (r, c) only its cells: those of the band, or if there are none, those of the valley. ``acc``: the
+    counted flow, if it is there already.
     """
     n = T.side(spark, sf)
     slope = terrain.box_mean(terrain.slope_deg(T.grid(spark, sf), T.CELL), n, 1, "slope", "smooth").select("r", "c", "smooth")
-    valley = T.written(_counted(spark, sf).where("acc >= 10"))
+    valley = T.written((_counted(spark, sf) if acc is None else acc).where("acc >= 10"))
     p75 = quantile.quantile(valley, "acc", 0.75)
     band = valley if p75 is None or valley.where(F.col("acc") <= p75).isEmpty() else valley.where(F.col("acc") <= p75)
     if site is not None:
@@ -577,8 +578,8 @@ kp AS (SELECT 1 AS rank, r, c, acc, score, [{{'r': r, 'c': c}}] AS kept FROM (SE
     WHERE kp.rank < 5 AND len(list_filter(kp.kept, lambda x: sc.r - x.r >= -s AND sc.r - x.r < s AND sc.c - x.c >= -s AND sc.c - x.c < s)) = 0) b WHERE o = 1)"""
 
 
-def _keypoints(spark, sf) -> DataFrame:
-    return vector.greedy_apart(_scored(spark, sf), "score", _separation(T.side(spark, sf)), 5, square=True)
+def _keypoints(spark, sf, acc: DataFrame | None = None) -> DataFrame:
+    return vector.greedy_apart(_scored(spark, sf, acc=acc), "score", _separation(T.side(spark, sf)), 5, square=True)
 
 
 @query(_SCORED + " SELECT rank::INT AS rank, r, c, round(score, 6) AS score FROM kp")
@@ -630,9 +631,9 @@ SELECT kp.rank::INT AS rank, coalesce(be1.r, kp.r) AS r, coalesce(be1.c, kp.c) A
 FROM kp JOIN g ON g.r = kp.r AND g.c = kp.c LEFT JOIN be1 ON be1.rank = kp.rank""")
 def q35_pond_sites(spark, sf):
     """Just below each keypoint, where the valley is narrow for its flow; the row is scanned to the grid's edge."""
-    n = T.side(spark, sf)
-    keys = _keypoints(spark, sf).select("rank", F.col("r").alias("kr"), F.col("c").alias("kc"))
-    out = vector.pond_sites(keys, T.grid(spark, sf), _counted(spark, sf), 6, n, T.CELL, cut_left=False)
+    n, acc = T.side(spark, sf), _counted(spark, sf)
+    keys = _keypoints(spark, sf, acc).select("rank", F.col("r").alias("kr"), F.col("c").alias("kc"))
+    out = vector.pond_sites(keys, T.grid(spark, sf), acc, 6, n, T.CELL, cut_left=False)
     return rounded(out.withColumn("acc", F.col("acc").cast("long")), "z")
 
 
