@@ -10,6 +10,7 @@ sketch, whose distance never exceeds that of the sets, and then by the sets them
 
 In an index entry, each document is compared with one chosen document. What is linked then is one component, and
 only pairs of different components that share an entry are left to compare: groups of copies never give all pairs.
+In entries of many documents these are compared within tasks, which tell links that join components and no pairs.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ _PRIME = np.uint64(0x9E3779B97F4A7C15)
 #: Entries of more sets than this are compared in blocks of their clusters, others by a join.
 HOT = 32
 BLOCK = 1024
+#: Tokens that the sets of a block have together, about.
+BLOCK_TOKENS = 4_000_000
 _META = "doc_id long, sid long, n long, sketch array<long>, tokens array<long>"
 
 
@@ -234,6 +237,12 @@ def _texts_of(docs: DataFrame, classes: DataFrame, sids: DataFrame) -> DataFrame
     return docs.join(own, "doc_id", "left_semi").select("doc_id", "text")
 
 
+def _sets_of(docs: DataFrame, classes: DataFrame, sids: DataFrame, p: JoinParams) -> DataFrame:
+    """(sid, tokens) of these sets, whole."""
+    sets = _texts_of(docs, classes, sids).mapInArrow(_whole(p), "sid long, tokens array<long>")
+    return written(sets.dropDuplicates(["sid"]))
+
+
 def _buckets(meta: DataFrame, p: JoinParams) -> DataFrame:
     """(key, sid, n, k): sets that may be similar share a key, k sets in all; of keys of the same sets, one."""
     index = meta.where("tokens is not null").select("sid", F.col("n").cast("int").alias("n"), F.posexplode("tokens").alias("pos", "token"))
@@ -268,51 +277,86 @@ def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, p: JoinParams
     most = F.col("n_a") + F.col("n_b") - 2 * _needed(F.col("n_a"), F.col("n_b"), p)
     left = written(both.where(sizes).where(apart <= most).select("a", "b", "n_a", "n_b"))
     sids = left.select(F.col("a").alias("sid")).union(left.select(F.col("b").alias("sid"))).distinct()
-    sets = _texts_of(docs, classes, sids).mapInArrow(_whole(p), "sid long, tokens array<long>")
-    sets = written(sets.dropDuplicates(["sid"]))
+    sets = _sets_of(docs, classes, sids, p)
     both = left.join(sets.select(F.col("sid").alias("a"), F.col("tokens").alias("t_a")), "a").join(sets.select(F.col("sid").alias("b"), F.col("tokens").alias("t_b")), "b")
     shared = F.size(F.array_intersect("t_a", "t_b"))
     return both.withColumn("shared", shared).where(100 * F.col("shared") >= p.percent * (F.col("n_a") + F.col("n_b") - F.col("shared"))).select("a", "b")
 
 
+def _candidates(sid: np.ndarray, n: np.ndarray, root: np.ndarray, first: np.ndarray, sketches: tuple[np.ndarray, np.ndarray], p: JoinParams) -> Iterator[tuple[int, np.ndarray]]:
+    """Each set of two blocks with those it may link to by sizes and sketches: of other components, each pair once."""
+    flat, length = sketches
+    start = np.cumsum(length) - length
+    for size in np.unique(length).tolist():
+        own = np.flatnonzero(length == size)
+        rows = flat[start[own][:, None] + np.arange(size)]
+        twice = np.flatnonzero(length == 2 * size)
+        longer = flat[start[twice][:, None] + np.arange(2 * size)]
+        others, cells = np.concatenate([own, twice]), np.concatenate([rows, longer[:, :size] ^ longer[:, size:]])
+        for k, x in enumerate(own.tolist()):
+            apart = np.bitwise_count(cells ^ rows[k]).sum(axis=1, dtype=np.int64)
+            both = n[others] + n[x]
+            needed = -(-p.percent * both // (100 + p.percent))
+            ok = (apart <= both - 2 * needed) & (root[others] != root[x])
+            ok &= np.minimum(n[others], n[x]) * 100 >= np.maximum(n[others], n[x]) * p.percent
+            ok &= (length[others] > size) | (others > x)
+            if not first.all():
+                ok &= first[others] != first[x]
+            if ok.any():
+                yield x, others[ok]
+
+
 def _close(p: JoinParams):
-    """Pairs of different components in two blocks of a cluster that pass the test of sizes and sketches."""
+    """Of two blocks of a cluster the sets that have a candidate there: a row for a set, not for a pair."""
 
     def run(table: pa.Table) -> pa.Table:
         sid, n, root, first = (table.column(c).to_numpy() for c in ("sid", "n", "root", "first"))
         length = np.array([len(x) for x in table.column("sketch")], np.int64)
         flat = table.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64)
-        start = np.cumsum(length) - length
+        near = np.zeros(len(sid), bool)
+        for x, hits in _candidates(sid, n, root, first, (flat, length), p):
+            near[x] = near[hits] = True
+        return table.select(["cluster", "i", "j", "first", "sid", "root"]).filter(pa.array(near))
+
+    return run
+
+
+def _joined(p: JoinParams):
+    """Links (a, b) between the sets of two blocks, tried whole; what is joined already is not tried, so there are fewer links than sets."""
+
+    def run(table: pa.Table) -> pa.Table:
+        sid, root, first = (table.column(c).to_numpy() for c in ("sid", "root", "first"))
+        tokens = table.column("tokens").combine_chunks()
+        offsets, flat = tokens.offsets.to_numpy(), tokens.values.to_numpy(zero_copy_only=False).view(np.uint64)
+        n = np.diff(offsets).astype(np.int64)
+        sets = [flat[u:v] for u, v in zip(offsets[:-1], offsets[1:], strict=True)]
+        sketches = [_sketch(x).view(np.uint64) for x in sets]
+        joined = np.unique(root, return_inverse=True)[1]
         out_a, out_b = [], []
-        for size in np.unique(length).tolist():
-            own = np.flatnonzero(length == size)
-            rows = flat[start[own][:, None] + np.arange(size)]
-            twice = np.flatnonzero(length == 2 * size)
-            longer = flat[start[twice][:, None] + np.arange(2 * size)]
-            others, cells = np.concatenate([own, twice]), np.concatenate([rows, longer[:, :size] ^ longer[:, size:]])
-            for k, x in enumerate(own.tolist()):
-                apart = np.bitwise_count(cells ^ rows[k]).sum(axis=1, dtype=np.int64)
-                both = n[others] + n[x]
-                needed = -(-p.percent * both // (100 + p.percent))
-                ok = (apart <= both - 2 * needed) & (root[others] != root[x])
-                ok &= np.minimum(n[others], n[x]) * 100 >= np.maximum(n[others], n[x]) * p.percent
-                ok &= (length[others] > size) | (others > x)  # each pair once
-                if not first.all():
-                    ok &= first[others] != first[x]
-                hit = others[ok]
-                out_a.append(np.maximum(sid[hit], sid[x]))
-                out_b.append(np.minimum(sid[hit], sid[x]))
-        return pa.table({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
+        for x, hits in _candidates(sid, n, root, first, (np.concatenate(sketches), np.array([len(k) for k in sketches])), p):
+            for y in hits.tolist():
+                if joined[x] == joined[y]:
+                    continue
+                less, more = (sets[x], sets[y]) if n[x] < n[y] else (sets[y], sets[x])
+                at = np.minimum(np.searchsorted(more, less), len(more) - 1)
+                shared = int((more[at] == less).sum())
+                if 100 * shared >= p.percent * (n[x] + n[y] - shared):
+                    joined[joined == joined[y]] = joined[x]
+                    out_a.append(max(sid[x], sid[y]))
+                    out_b.append(min(sid[x], sid[y]))
+        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
     return run
 
 
-def _within_clusters(hot: DataFrame, classes: DataFrame, p: JoinParams) -> DataFrame:
-    """Candidates (a, b) from entries (key, sid, root) of many sets.
+def _within_clusters(hot: DataFrame, docs: DataFrame, classes: DataFrame, p: JoinParams) -> DataFrame:
+    """Links (a, b) that join what the entries (key, sid, root) of many sets have apart.
 
     Such entries overlap almost wholly, so a join by key would give each pair again and again. Sets that entries
     connect are a cluster; its pairs of different components are tested once, block against block: a task holds two
-    blocks, and only pairs that pass leave it. A component of BLOCK members or more has blocks of its own, which are
+    blocks. Near copies that do not link to their original give candidates with the square of their number, so no
+    pair leaves a task: the sets that have a candidate do, and come back whole, for a task that tries their pairs and
+    tells no more links than join them. A component of BLOCK members or more has blocks of its own, which are
     not compared with each other: the work grows with what is not linked yet, not with the square of the cluster.
     """
     chosen = written(hot.groupBy("key").agg(F.min("sid").alias("b")))
@@ -320,8 +364,9 @@ def _within_clusters(hot: DataFrame, classes: DataFrame, p: JoinParams) -> DataF
     members = hot.select("sid", "root").distinct().join(clusters.select(F.col("node").alias("sid"), F.col("root").alias("cluster")), "sid")
     members = written(members.join(classes.select("sid", "n", "sketch"), "sid"))
     part = F.when(F.col("size") >= BLOCK, F.col("root").cast("string")).otherwise("")
-    parts = written(members.groupBy("cluster", "root").agg(F.count("*").alias("size")).withColumn("part", part))
-    blocks = written(parts.groupBy("cluster", "part").agg(F.ceil(F.sum("size") / BLOCK).cast("int").alias("blocks")))
+    parts = written(members.groupBy("cluster", "root").agg(F.count("*").alias("size"), F.sum("n").alias("tokens")).withColumn("part", part))
+    blocks = F.ceil(F.greatest(F.sum("size") / BLOCK, F.sum("tokens") / BLOCK_TOKENS)).cast("int")
+    blocks = written(parts.groupBy("cluster", "part").agg(blocks.alias("blocks")))
     name = F.concat("part", F.lit(":"), "k")
     placed = members.join(parts.select("cluster", "root", "part"), ["cluster", "root"]).join(blocks, ["cluster", "part"])
     placed = written(placed.withColumn("k", F.pmod(F.xxhash64("sid"), F.col("blocks"))).select("cluster", name.alias("block"), "sid", "n", "root", "sketch"))
@@ -330,7 +375,10 @@ def _within_clusters(hot: DataFrame, classes: DataFrame, p: JoinParams) -> DataF
     pairs = written(one.join(two, "cluster").where("i <= j and (p != q or p = '')").select("cluster", "i", "j"))
     left = placed.join(pairs, (placed.cluster == pairs.cluster) & (placed.block == pairs.i)).select(pairs.cluster, "i", "j", F.lit(True).alias("first"), "sid", "n", "root", "sketch")
     right = placed.join(pairs, (placed.cluster == pairs.cluster) & (placed.block == pairs.j)).where("i != j").select(pairs.cluster, "i", "j", F.lit(False).alias("first"), "sid", "n", "root", "sketch")
-    return left.unionAll(right).groupBy("cluster", "i", "j").applyInArrow(_close(p), "a long, b long")
+    near = left.unionAll(right).groupBy("cluster", "i", "j").applyInArrow(_close(p), "cluster long, i string, j string, first boolean, sid long, root long")
+    near = written(near)
+    whole = near.join(_sets_of(docs, classes, near.select("sid").distinct(), p), "sid")
+    return whole.groupBy("cluster", "i", "j").applyInArrow(_joined(p), "a long, b long")
 
 
 def link_components(docs: DataFrame, p: JoinParams | None = None) -> DataFrame:
@@ -365,10 +413,9 @@ def link_components(docs: DataFrame, p: JoinParams | None = None) -> DataFrame:
     one = cold.select("key", F.col("sid").alias("a"), F.col("n").alias("m_a"), F.col("root").alias("r_a"))
     two = cold.select("key", F.col("sid").alias("b"), F.col("n").alias("m_b"), F.col("root").alias("r_b"))
     near = (F.least("m_a", "m_b") * 100 >= F.greatest("m_a", "m_b") * p.percent) & (F.col("r_a") != F.col("r_b")) & (F.col("a") > F.col("b"))
-    rest = one.join(two, "key").where(near).select("a", "b")
+    rest = one.join(two, "key").where(near).select("a", "b").distinct()
     hot = live.where(F.col("k") > HOT)
-    rest = rest.union(_within_clusters(hot, classes, p)).distinct()
-    more = _linked(rest, docs, classes, p)
+    more = _linked(rest, docs, classes, p).union(_within_clusters(hot, docs, classes, p))
     roots = components(links.union(more))
     full = classes.select("sid", "rep").join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").select("sid", "rep", F.coalesce("root", "sid").alias("root"))
     full = written(full)
