@@ -449,11 +449,19 @@ def q30_store_summary(spark, sf):
 CNS = (40, 50, 60, 70, 80)
 
 
+def _class_flow(spark, sf) -> DataFrame:
+    return T.written(terrain.d8(T.grid(spark, sf), T.CELL).select("r", "c", "cn", "to_r", "to_c"))
+
+
+def _drained(flow: DataFrame, n: int) -> DataFrame:
+    """(r, c, cn40, ...): how many cells of each curve number drain through a cell."""
+    return _cells(terrain.accumulate(flow, n, {f"cn{k}": (F.col("cn") == k).cast("double") for k in CNS}), n)
+
+
 def _class_counts(spark, sf) -> DataFrame:
     """(r, c, ends, cn40, ...): how many cells of each curve number drain through a cell, and whether its path ends there."""
-    n = T.side(spark, sf)
-    flow = T.written(terrain.d8(T.grid(spark, sf), T.CELL).select("r", "c", "cn", "to_r", "to_c"))
-    counts = _cells(terrain.accumulate(flow, n, {f"cn{k}": (F.col("cn") == k).cast("double") for k in CNS}), n)
+    flow = _class_flow(spark, sf)
+    counts = _drained(flow, T.side(spark, sf))
     # nine million cells of whole numbers are a file of few MB, which Spark would take for small and send through the driver
     return counts.join(flow.select("r", "c", F.col("to_r").isNull().alias("ends")).hint("merge"), ["r", "c"])
 
