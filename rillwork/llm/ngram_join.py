@@ -5,12 +5,15 @@ from the start. A pair of classes with the wanted similarity shares a token in t
 prefixes are extended by g tokens, it shares g + 1 tokens there. A token is frequent when it stands in more than so
 many extended prefixes. A set whose prefix holds no frequent token is indexed under the single tokens of its prefix.
 Any other is indexed under the rare tokens of its extended prefix, and under pairs of frequent ones that fall into the
-same of g classes: of g + 1 shared tokens, one is rare or two share a class. Every candidate is tried first by a parity
-sketch, whose distance never exceeds that of the sets, and then by the sets themselves.
+same of g classes: of g + 1 shared tokens, one is rare or two share a class. With g frequent ones or fewer one is rare in
+any case, and no pairs are needed. Every candidate is tried first by a parity sketch, whose distance never exceeds that
+of the sets, and then by the sets themselves.
 
 In an index entry, each document is compared with one chosen document. What is linked then is one component, and
 only pairs of different components that share an entry are left to compare: groups of copies never give all pairs.
-In entries of many documents these are compared within tasks, which tell links that join components and no pairs.
+Documents that only entries of many leave apart are indexed anew, by the rarest of all their tokens: what they share by
+common lines falls out. In what entries of many are left then, documents are compared within tasks, which tell links that
+join components and no pairs.
 """
 
 from __future__ import annotations
@@ -210,7 +213,9 @@ def _signatures(p: JoinParams):
                 if not (f & (at < need)).any():
                     keys = t[at < need]
                 else:
-                    keys = np.concatenate([t[~f], *(k for g in p.groups(n) for k in _pairs(t[f & (at < need + g)], g))])
+                    # sets that link share more tokens than the prefix is extended by: if fewer of them are frequent, a rare one is shared
+                    frequent = [(g, f & (at < need + g)) for g in p.groups(n)]
+                    keys = np.concatenate([t[~f], *(k for g, x in frequent if x.sum() > min(n, need + g) - need for k in _pairs(t[x], g))])
                 keys = np.unique(keys)
                 found.append(keys)
                 owner.append(np.full(len(keys), i))
@@ -222,6 +227,28 @@ def _signatures(p: JoinParams):
     return run
 
 
+def _rarest(p: JoinParams):
+    """(key, sid, n) from (sid, n, shared): a set's prefix when its rarest tokens come first. shared: its (df, token) that other sets have; the others are the rarest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sids, sizes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            shared = batch.column(2)
+            offsets = shared.offsets.to_numpy()
+            df, token = (shared.values.field(k).to_numpy(zero_copy_only=False) for k in range(2))
+            found = []
+            for i, n in enumerate(sizes.tolist()):
+                own = slice(offsets[i], offsets[i + 1])
+                left = max(0, p.prefix(n) - (n - (own.stop - own.start)))
+                found.append(token[own][np.lexsort((token[own], df[own]))[:left]])
+            if not found:
+                continue
+            at = np.repeat(np.arange(len(found)), [len(x) for x in found])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(sids[at], pa.int64()), pa.array(sizes[at].astype(np.int32))], names=["key", "sid", "n"])
+
+    return run
+
+
 def _common(index: DataFrame) -> DataFrame:
     """(token, df) of tokens in two sets or more; counts are summed before the shuffle."""
     return index.groupBy("token").agg(F.count("*").alias("df"), F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo != hi").select("token", "df")
@@ -249,13 +276,45 @@ def _buckets(meta: DataFrame, p: JoinParams) -> DataFrame:
     flagged = index.join(_common(index), "token").select("sid", "n", F.struct("token", "pos", (F.col("df") > p.frequent).alias("often")).alias("t"))
     # copies of a set in different tasks gave the same tokens, which meet in one partition and are merged there
     sets = flagged.groupBy("sid").agg(F.first("n").alias("n"), F.collect_set("t").alias("shared"))
-    buckets = written(sets.mapInArrow(_signatures(p), "key long, sid long, n int"))
+    return _entries(written(sets.mapInArrow(_signatures(p), "key long, sid long, n int")))
+
+
+def _entries(buckets: DataFrame) -> DataFrame:
+    """The rows (key, sid, n) of keys of two sets or more, with k, the sets of the key; of keys of the same sets, one."""
     member = [F.bit_xor(F.xxhash64("sid", F.lit(seed))).alias(f"x{seed}") for seed in (1, 2)]
     entries = buckets.groupBy("key").agg(F.count("*").alias("k"), F.min("sid").alias("lo"), F.max("sid").alias("hi"), *member).where("lo != hi")
     kept = entries.groupBy("k", "lo", "hi", "x1", "x2").agg(F.min("key").alias("key")).select("key", "k")
     return written(buckets.join(kept, "key"))
 
 
+def _mixed(placed: DataFrame) -> DataFrame:
+    """The rows of entries (key, sid, n, k, root) with sets of different components."""
+    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
+    return written(placed.join(mixed, "key"))
+
+
+def _refined(hot: DataFrame, docs: DataFrame, classes: DataFrame, p: JoinParams) -> DataFrame:
+    """The sets of entries (key, sid, root) in entries by the rarest of all their tokens, those with different components.
+
+    Any order of tokens that all sets share gives prefixes. Here it goes by the number of these sets that hold a token:
+    the lines that many of them have in common come last, and stand in no prefix as long as the rest of the set fills it.
+    """
+    roots = written(hot.select("sid", "root").distinct())
+    index = _sets_of(docs, classes, roots.select("sid"), p).select("sid", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    shared = index.join(_common(index), "token").groupBy("sid").agg(F.first("n").alias("n"), F.collect_list(F.struct("df", "token")).alias("shared"))
+    entries = _entries(written(shared.mapInArrow(_rarest(p), "key long, sid long, n int")))
+    return _mixed(entries.join(roots, "sid").select("key", "sid", "n", "k", "root"))
+
+
+def _apart(entries: DataFrame, p: JoinParams) -> DataFrame:
+    """The pairs (a, b) of different components and like sizes in entries of few sets."""
+    cold = entries.where(F.col("k") <= HOT)
+    one = cold.select("key", F.col("sid").alias("a"), F.col("n").alias("m_a"), F.col("root").alias("r_a"))
+    two = cold.select("key", F.col("sid").alias("b"), F.col("n").alias("m_b"), F.col("root").alias("r_b"))
+    near = (F.least("m_a", "m_b") * 100 >= F.greatest("m_a", "m_b") * p.percent) & (F.col("r_a") != F.col("r_b")) & (F.col("a") > F.col("b"))
+    return one.join(two, "key").where(near).select("a", "b")
+
+
 def _needed(a: Column, b: Column, p: JoinParams) -> Column:
     """The least intersection of linked sets of these sizes."""
     return F.ceil((a + b) * p.percent / (100.0 + p.percent) - 1e-9)
@@ -406,17 +465,11 @@ def link_components(docs: DataFrame, p: JoinParams | None = None) -> DataFrame:
     roots = written(components(links))
     # what is left: sets of different components in one entry
     placed = weighed.where("k > 2").join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").select("key", "sid", "n", "k", F.coalesce("root", "sid").alias("root"))
-    placed = written(placed)
-    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
-    live = written(placed.join(mixed, "key"))
-    cold = live.where(F.col("k") <= HOT)
-    one = cold.select("key", F.col("sid").alias("a"), F.col("n").alias("m_a"), F.col("root").alias("r_a"))
-    two = cold.select("key", F.col("sid").alias("b"), F.col("n").alias("m_b"), F.col("root").alias("r_b"))
-    near = (F.least("m_a", "m_b") * 100 >= F.greatest("m_a", "m_b") * p.percent) & (F.col("r_a") != F.col("r_b")) & (F.col("a") > F.col("b"))
-    rest = one.join(two, "key").where(near).select("a", "b").distinct()
-    hot = live.where(F.col("k") > HOT)
-    more = _linked(rest, docs, classes, p).union(_within_clusters(hot, docs, classes, p))
-    roots = components(links.union(more))
+    live = _mixed(written(placed))
+    left = _refined(live.where(F.col("k") > HOT), docs, classes, p)
+    rest = _apart(live, p).union(_apart(left, p)).distinct()
+    more = _linked(rest, docs, classes, p).union(_within_clusters(left.where(F.col("k") > HOT), docs, classes, p))
+    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
     full = classes.select("sid", "rep").join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").select("sid", "rep", F.coalesce("root", "sid").alias("root"))
     full = written(full)
     least = full.groupBy("root").agg(F.min("rep").alias("component_id"))
